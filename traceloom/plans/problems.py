@@ -73,7 +73,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_times, p3
 
 _PERIODS = """
 with b as (
-  select trace_name, cast(round_even(start_time * 1000, 0) as bigint) s, cast(round_even(end_time * 1000, 0) as bigint) e
+  select distinct trace_name, cast(round_even(start_time * 1000, 0) as bigint) s, cast(round_even(end_time * 1000, 0) as bigint) e
   from bursts where isfinite(start_time) and isfinite(end_time) and end_time > start_time),
 m as (select *, max(e) over (partition by trace_name order by s, e rows between unbounded preceding and 1 preceding) pe from b where e > s),
 g as (select *, sum(case when pe is null or s > pe then 1 else 0 end) over (partition by trace_name order by s, e rows unbounded preceding) i from m),
@@ -93,7 +93,8 @@ x as (
 y as (select x.*, recording_id, period from x join rec on split_part(series_key, ' | ', 1) = recording_id where period is not null),
 u as (select unnest(['ms', 's', 'us', 'min', 'ns', 'h']) unit, unnest([1.0, 1000.0, 0.001, 60000.0, 0.000001, 3600000.0]) f),
 v as (select distinct recording_id, table_name, series_key, pos, round(x * f / period - pos) o from y, u where abs(x * f / period - pos - round(x * f / period - pos)) < 0.2 and round(x * f / period - pos) between 0 and 40),
-w as (select recording_id, o, row_number() over (partition by recording_id order by count(*) desc, o) n from v group by all),
+c as (select recording_id, o, count(*) c from v group by 1, 2),
+w as (select recording_id, o, row_number() over (partition by recording_id order by c desc, o) n from c),
 z as (
   select table_name, series_key, pos, x, period, (pos + coalesce(o, 0)) * period expected from y left join (select * from w where n = 1) using (recording_id)
   union all select 'signal_frames', s.source_tiff, frame, min(time_ms), period, frame * period from signal_frames s join (select source_tiff, max(period) period from rec group by 1) r on s.source_tiff = r.source_tiff

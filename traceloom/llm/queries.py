@@ -89,5 +89,5 @@ v as (
 SQL = {
     "p4_found": _RUNS + "select source_tiff, mask_index, first_frame, last_frame from runs where n_rows >= 2",
     "p4_runs": _RUNS + "select source_tiff, mask_index, track_state, first_frame, last_frame, n_rows from runs",
-    "p5_within_bound": _VALUES + "select trace_name, metric, count(*) n, true "within" from v where v is not null and isfinite(v) group by 1, 2",
+    "p5_within_bound": _VALUES + "select trace_name, metric, count(*) n, true as \"within\" from v where v is not null and isfinite(v) group by 1, 2",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import quantiles, runs, tokenize
+from traceloom.llm import leakage, quantiles, runs, tokenize
 from traceloom.sources.tables import table
 
 #: The percentiles that p5 reports.
@@ -62,7 +62,18 @@ def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
     return p7_ids(spark, folder).select("doc_id", F.size("ids").cast("bigint").alias("tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p5_percentiles, p5_daily, p5_within_bound, p7_ids, p7_counts)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold an evaluation item's text, whole or in part."""
+    return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents hold each leaked item, and the most words of it that one of them holds."""
+    held = leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return held.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("held").alias("most_words"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p5_percentiles, p5_daily, p5_within_bound, p7_ids, p7_counts, p8_found, p8_items)}
 
 _RUNS = r"""
 with l as (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import leakage, quantiles, runs, tokenize
+from traceloom.llm import leakage, quantiles, reading, runs, tokenize
 from traceloom.sources.tables import table
 
 #: The percentiles that p5 reports.
@@ -73,7 +73,21 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     return held.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("held").alias("most_words"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p5_percentiles, p5_daily, p5_within_bound, p7_ids, p7_counts, p8_found, p8_items)}
+def _levels(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "graded_passages"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Reading band of every page with an English article."""
+    return _levels(spark, folder).select("doc_id", "band")
+
+
+def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """The band with the measures that it comes from."""
+    return _levels(spark, folder)
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p5_percentiles, p5_daily, p5_within_bound, p7_ids, p7_counts, p8_found, p8_items, p9_found, p9_levels)}
 
 _RUNS = r"""
 with l as (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from traceloom.plans import problems
+from traceloom.plans import problems, traces
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **traces.QUERIES}
+SQL = {**problems.SQL, **traces.SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from traceloom.plans import problems, traces
+from traceloom.plans import images, problems, traces
 
-QUERIES = {**problems.QUERIES, **traces.QUERIES}
-SQL = {**problems.SQL, **traces.SQL}
+QUERIES = {**problems.QUERIES, **traces.QUERIES, **images.QUERIES}
+SQL = {**problems.SQL, **traces.SQL, **images.SQL}

@@ -510,12 +510,12 @@ _WANTED = "wt as (select distinct trace_name trace_id, start_time wanted_t from
     _X
     + _WANTED
     + """, c as (select wt.trace_id, wanted_t, idx, row_number() over (partition by wt.trace_id, wanted_t order by abs(t - wanted_t), t, idx) k from wt join x on x.trace_id = wt.trace_id where t is not null and floor(t / 5.0) between floor(wanted_t / 5.0) - 1 and floor(wanted_t / 5.0) + 1)
-select wt.trace_id, wt.wanted_t, idx from wt left join (select * from c where k = 1) c on c.trace_id = wt.trace_id and c.wanted_t = wt.wanted_t"""
+select wt.trace_id, wt.wanted_t, coalesce(idx, -1) idx from wt left join (select * from c where k = 1) c on c.trace_id = wt.trace_id and c.wanted_t = wt.wanted_t"""
 )
 def nearest_sample(spark, d):
-    """The sample nearest in time to the start of each burst."""
+    """The sample nearest in time to the start of each burst, -1 where there is none near."""
     wanted = table(spark, d, "bursts").where("trace_name is not null").select(F.col("trace_name").alias("trace_id"), scalars.finite(F.col("start_time")).alias("at")).where("at is not null").distinct()
-    return detection.nearest_sample(_samples(spark, d), wanted, 5.0).withColumnRenamed("at", "wanted_t")
+    return detection.nearest_sample(_samples(spark, d), wanted, 5.0).select("trace_id", F.col("at").alias("wanted_t"), F.coalesce("idx", F.lit(-1)).cast("bigint").alias("idx"))
 
 
 @query(

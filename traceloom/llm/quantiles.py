@@ -9,6 +9,8 @@ days combine into one of the same form.  Up to ``K`` values a summary is exact.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,23 +74,33 @@ def quantiles_of(weights: list[int], buffers: list[np.ndarray], at: list[float])
     return values[order][np.minimum(np.searchsorted(reached, ranks), len(values) - 1)].tolist()
 
 
-def _one_row(key: tuple, parts: list) -> pd.DataFrame:
-    n, error, weights, buffers = merge_summaries(parts)
-    return pd.DataFrame({"n": [n], "rank_error": [error], "weights": [weights], "buffers": [[b.tolist() for b in buffers]]})
-
-
 def _merge(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge the summaries of ``df`` that agree on ``keys``."""
+    """Merge the summaries of ``df`` that agree on ``keys``.
+
+    Spark gathers the summaries of a group, which are few.  As long as their values fit one buffer, putting them together is
+    sorting them; only larger groups go through the collapsing.
+    """
     types = dict(df.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + SUMMARY
+    total = F.aggregate(F.flatten(F.col("parts.buffers")), F.lit(0), lambda n, b: n + F.size(b))
+    groups = df.groupBy(*keys).agg(F.collect_list(F.struct("rank_error", "weights", "buffers")).alias("parts")).withColumn("held", total)
+    small = groups.where(F.col("held") < K).select(
+        *keys,
+        F.col("held").cast("long").alias("n"),
+        F.lit(0.0).alias("rank_error"),
+        F.array(F.lit(1).cast("long")).alias("weights"),
+        F.array(F.array_sort(F.flatten(F.flatten("parts.buffers")))).alias("buffers"),
+    )
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _one_row(key, list(zip(pdf["rank_error"], pdf["weights"], pdf["buffers"])))
-        for i, (k, v) in enumerate(zip(keys, key)):
-            out.insert(i, k, [v])
-        return out
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [merge_summaries([(p["rank_error"], p["weights"], p["buffers"]) for p in parts]) for parts in pdf["parts"]]
+            done = pdf[keys].copy()
+            done["n"], done["rank_error"] = [o[0] for o in out], [o[1] for o in out]
+            done["weights"], done["buffers"] = [o[2] for o in out], [[b.tolist() for b in o[3]] for o in out]
+            yield done
 
-    return df.groupBy(*keys).applyInPandas(merge, schema)
+    return small.unionByName(groups.where(F.col("held") >= K).select(*keys, "parts").mapInPandas(merge, schema))
 
 
 def summarise(values: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""An isolation forest in numpy: readings that few random cuts separate from the rest of their source score high."""
+"""Isolation forests in numpy, one for each source of a batch: readings that few random cuts part from the rest score high."""
 
 from __future__ import annotations
 
@@ -7,63 +7,68 @@ import numpy as np
 
 def _mean_depth(n: np.ndarray) -> np.ndarray:
     """Mean depth of an unsuccessful search in a binary tree of n points."""
-    n = np.maximum(n, 1).astype(float)
-    harmonic = np.log(np.maximum(n - 1, 1)) + 0.5772156649
-    return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
+    n = np.maximum(n, 1).astype(np.float32)
+    harmonic = np.log(np.maximum(n - 1, 1)) + np.float32(0.5772156649)
+    return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / n, np.where(n == 2, np.float32(1), np.float32(0)))
 
 
-def isolation_scores(x: np.ndarray, trees: int = 32, sample: int = 64, seed: int = 7) -> np.ndarray:
+def isolation_scores(x: np.ndarray, starts: np.ndarray, trees: int = 12, sample: int = 32, seed: int = 7) -> np.ndarray:
     """Scores in (0, 1) of the rows of ``x`` (readings by features); about 0.5 is ordinary, towards 1 is isolated.
 
-    All trees grow together, level by level, in heap order.  The seed is fixed, so the same readings score the same.
-    Fewer than three readings can't be told apart and score 0.
+    ``starts`` gives the first row of each source; each has its own forest.  All trees of all sources grow together, level by
+    level, in heap order, from ``sample`` readings each.  The seed is fixed, so the same batch scores the same.  Sources of
+    fewer than three readings can't be told apart and score 0.
     """
     n, features = x.shape
-    if n < 3:
-        return np.zeros(n)
+    x = np.ascontiguousarray(x, dtype=np.float32)
+    counts = np.diff(np.r_[starts, n])
+    sources = len(starts)
     rng = np.random.default_rng(seed)
-    m = min(sample, n)
-    depth = int(np.ceil(np.log2(max(m, 2))))
-    picked = x[rng.random((trees, n)).argpartition(m - 1, axis=1)[:, :m]] if n > m else np.broadcast_to(x, (trees, n, features))
+    depth = int(np.ceil(np.log2(sample)))
     inner = 2**depth - 1
-    cut_by = rng.integers(0, features, (trees, inner))
-    cut_at = np.full((trees, inner), np.nan)
-    row = np.repeat(np.arange(trees), m)
-    node = np.zeros(trees * m, dtype=np.int64)
-    flat = picked.reshape(trees * m, features)
-    sizes = np.zeros((trees, 2 * inner + 1))
+    forest = sources * trees
+    picked = (rng.random((sources, trees, sample), dtype=np.float32) * counts[:, None, None]).astype(np.int64)
+    picked = np.minimum(picked, counts[:, None, None] - 1) + starts[:, None, None]
+    flat = x[picked.reshape(-1)]
+    tree = np.repeat(np.arange(forest, dtype=np.int64), sample)
+    cut_by = rng.integers(0, features, forest * inner, dtype=np.int8)
+    cut_at = np.full(forest * inner, np.nan, dtype=np.float32)
+    sizes = np.zeros(forest * (2 * inner + 1), dtype=np.float32)
+    node = np.zeros(forest * sample, dtype=np.int64)
+    rows = np.arange(len(node))
     for level in range(depth):
-        lo, hi = 2**level - 1, 2 ** (level + 1) - 1
-        live = node >= lo
-        r, k = row[live], node[live]
-        slot = r * (hi - lo) + (k - lo)
-        value = flat[live, cut_by[r, k]]
-        least = np.full(trees * (hi - lo), np.inf)
-        most = np.full(trees * (hi - lo), -np.inf)
+        lo, wide = 2**level - 1, 2**level
+        at = tree * inner + node
+        value = flat[rows, cut_by[at]]
+        slot = tree * wide + (node - lo)
+        least = np.full(forest * wide, np.inf, dtype=np.float32)
+        most = np.full(forest * wide, -np.inf, dtype=np.float32)
         np.minimum.at(least, slot, value)
         np.maximum.at(most, slot, value)
-        np.add.at(sizes, (r, k), 1)
+        sizes += np.bincount(tree * (2 * inner + 1) + node, minlength=len(sizes)).astype(np.float32)
         splits = most > least
-        at = np.full(len(least), np.nan)
-        at[splits] = least[splits] + rng.random(int(splits.sum())) * (most[splits] - least[splits])
-        cut_at[:, lo:hi] = at.reshape(trees, hi - lo)
-        cut = at[slot]
-        moved = np.where(np.isnan(cut), -1, 2 * k + 1 + (value > cut))
-        node[live] = moved
-    live = node >= 0
-    np.add.at(sizes, (row[live], node[live]), 1)
-    total = np.zeros(n)
+        cut = np.full(forest * wide, np.nan, dtype=np.float32)
+        cut[splits] = least[splits] + rng.random(int(splits.sum()), dtype=np.float32) * (most[splits] - least[splits])
+        cut_at.reshape(forest, inner)[:, lo : lo + wide] = cut.reshape(forest, wide)
+        own = cut[slot]
+        live = ~np.isnan(own)
+        node, tree, flat, rows = 2 * node[live] + 1 + (value[live] > own[live]), tree[live], flat[live], np.arange(int(live.sum()))
+    sizes += np.bincount(tree * (2 * inner + 1) + node, minlength=len(sizes)).astype(np.float32)
+    beyond = _mean_depth(sizes)
+    source = np.repeat(np.arange(sources, dtype=np.int64), counts)
+    cells, first = x.reshape(-1), np.arange(n, dtype=np.int64) * features
+    total = np.zeros(n, dtype=np.float32)
     for t in range(trees):
+        base = (source * trees + t) * inner
         at = np.zeros(n, dtype=np.int64)
-        deep = np.zeros(n)
-        going = np.ones(n, dtype=bool)
-        for level in range(depth):
-            cut = cut_at[t, np.minimum(at, inner - 1)]
-            going &= ~np.isnan(cut)
-            if not going.any():
-                break
-            value = x[np.arange(n), cut_by[t, np.minimum(at, inner - 1)]]
-            at = np.where(going, 2 * at + 1 + (value > cut), at)
-            deep += going
-        total += deep + _mean_depth(sizes[t, at])
-    return 2.0 ** (-(total / trees) / max(float(_mean_depth(np.array([m]))[0]), 1e-9))
+        for _ in range(depth):
+            here = base + np.minimum(at, inner - 1)
+            cut = cut_at[here]
+            right = cells[first + cut_by[here]] > cut
+            on = ~np.isnan(cut)
+            at = np.where(on, 2 * at + 1 + right, at)
+            total += on
+        total += beyond[(source * trees + t) * (2 * inner + 1) + at]
+    scores = 2.0 ** (-(total / trees) / float(_mean_depth(np.array([sample]))[0]))
+    scores[np.repeat(counts < 3, counts)] = 0.0
+    return scores

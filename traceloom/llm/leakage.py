@@ -29,6 +29,9 @@ NEAR = 0.75
 #: A leak holds this share of a test text's words in one piece, with this share of them unaltered.
 HELD, UNALTERED = 0.5, 0.9
 
+#: What a piece's matches must be worth after the costs of what is altered and put in between.
+COHERENT = 0.5
+
 #: Words that a page may put in between at one place, and on either side of where a test text is expected.
 BETWEEN = 40
 
@@ -42,6 +45,7 @@ _HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
 _TAGS = re.compile(r"</?[a-zA-Z][^<>]{0,80}>")
 _OTHER = re.compile(r"[^\x00-\x7f]+")
 _BROKEN = re.compile(r"[-‐]\s*\n\s*")
+_NUMBERED = re.compile(r"(?m)^\s*\d{1,3}[.)]\s")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -52,8 +56,8 @@ def _fold(run: str) -> str:
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-case words of a text, however it is written or laid out: markup, hidden characters, lookalike letters, accents
-    and hyphens at line ends don't matter; hyphens and apostrophes inside words are dropped."""
+    """Lower-case words of a text, however it is written or laid out: markup, hidden characters, lookalike letters, accents,
+    hyphens at line ends and the numbers of a list don't matter; hyphens and apostrophes inside words are dropped."""
     if not text:
         return []
     if "&" in text:
@@ -64,6 +68,8 @@ def words(text: str | None) -> list[str]:
         text = _OTHER.sub(lambda m: _fold(m.group()), text)
     if "-\n" in text or "- \n" in text or "-\r" in text:
         text = _BROKEN.sub("", text)
+    if ") " in text or ". " in text:
+        text = _NUMBERED.sub(" ", text)
     return _WORD.findall(text.lower().replace("-", "").replace("'", ""))
 
 
@@ -198,9 +204,12 @@ def latent_space(encoded: DataFrame, idf: np.ndarray, wide: bool, seed: int = 11
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": [np.sum([np.frombuffer(p) for p in pdf["part"]], axis=0).tobytes()]})
 
-    parts = encoded.mapInArrow(run, "part binary").withColumn("branch", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(8)))
-    summed = parts.groupBy("branch").applyInPandas(add, "part binary").toPandas()["part"]
+    parts = encoded.mapInArrow(run, "part binary").withColumn("branch", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(64)))
+    branches = parts.groupBy("branch").applyInPandas(add, "part binary")
+    summed = branches.groupBy(F.lit(0).alias("branch")).applyInPandas(add, "part binary").toPandas()["part"]
     product = np.sum([np.frombuffer(p) for p in summed], axis=0).reshape(size, rank) if len(summed) else np.zeros((size, rank))
+    if not product.any():
+        return np.zeros((size, 1), dtype=np.float32)
     # Nyström: A'A is about Z (R'Z)^-1 Z'
     core = probe.T.astype(float) @ product
     core = (core + core.T) / 2
@@ -216,8 +225,8 @@ def aligned(items: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
     """For each pair of a test text and a region of a document: the most words of the text held in one piece.
 
     A local alignment that runs over all pairs at once, one word of the regions at a time.  It is a longest common
-    subsequence in which leaving out or altering a word of the text costs, while words that the page puts in between are
-    cheap once begun.  A piece counts if its span is ``HELD`` of the text and ``UNALTERED`` of its words are matched; the
+    subsequence in which leaving out or altering a word of the text costs, and so does beginning to put words in between, more
+    than a matched word gains: a piece may be interrupted, but words picked here and there make none.  A piece counts if its span is ``HELD`` of the text and ``UNALTERED`` of its words are matched; the
     result is the best number of matched words, 0 where no piece counts.
     """
     if not items:
@@ -231,7 +240,7 @@ def aligned(items: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
     size = np.array([len(a) for a in items])
     need = np.ceil(HELD * size)[:, None]
     place = np.arange(wide, dtype=np.float32)
-    cost, opening, onward = np.float32(0.6), np.float32(0.4), np.float32(0.01)
+    cost, opening, onward = np.float32(0.6), np.float32(1.5), np.float32(0.01)
     low = np.float32(-1e6)
     score, hits, start = np.zeros((n, wide), np.float32), np.zeros((n, wide), np.float32), np.tile(place, (n, 1))
     gap, gap_hits, gap_start = np.full((n, wide), low), np.zeros((n, wide), np.float32), np.zeros((n, wide), np.float32)
@@ -267,7 +276,7 @@ def aligned(items: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
         new_hits[dead] = 0
         score, hits, start = new, new_hits, np.where(dead, place, new_start)
         span = place - start + 1
-        good = same & (span >= need) & (hits >= UNALTERED * span)
+        good = same & (span >= need) & (hits >= UNALTERED * span) & (score >= COHERENT * hits)
         if good.any():
             best = np.maximum(best, np.where(good, hits, 0).max(axis=1).astype(np.int32))
     return best

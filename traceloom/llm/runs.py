@@ -94,7 +94,7 @@ def collapse_runs(events: DataFrame, max_gap: int = 1, stretch: int = STRETCH) -
     at_end = (F.col("stretch") + 1) * stretch - F.col("last_pos") <= max_gap
     edge = parts.withColumn("edge", at_start | at_end)
     along = Window.partitionBy("entity", "edge").orderBy("first_pos", "kind")
-    goes_on = (F.lag("kind").over(along) == F.col("kind")) & (F.col("first_pos") - F.lag("last_pos").over(along) <= max_gap) & F.col("edge")
+    goes_on = (F.lag("stretch").over(along) < F.col("stretch")) & (F.lag("kind").over(along) == F.col("kind")) & (F.col("first_pos") - F.lag("last_pos").over(along) <= max_gap) & F.col("edge")
     joined = (
         edge.where("edge")
         .withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))

@@ -76,3 +76,23 @@ def test_components(spark):
     px = [(0, 0), (0, 1), (1, 2), (4, 4), (5, 5), (9, 0)]
     got = images.components(spark.createDataFrame([(1, y, x) for y, x in px], "k long, y long, x long"), ["k"])
     assert len({r["component"] for r in got.collect()}) == 3
+
+
+def test_wide_and_narrow_windows_agree(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=700).round(2)
+    rows = trace(spark, x)
+    for edges in ("nearest", "reflect"):
+        narrow = {r["idx"]: r["y"] for r in signals.rolling_rank(rows, "v", 6, "y", 30.0, edges).collect()}
+        monkeypatch.setattr(signals, "WIDE", 2)
+        monkeypatch.setattr(signals, "PIECE", 100)
+        wide = {r["idx"]: r["y"] for r in signals.rolling_rank(rows, "v", 6, "y", 30.0, edges).collect()}
+        monkeypatch.undo()
+        assert narrow == wide and len(wide) == 700
+
+
+def test_long_plateau(spark):
+    rng = np.random.default_rng(34)
+    x = 200 + 0.04 * rng.normal(size=700)
+    x[320:360] += 20
+    got = [(r["start"], r["end"]) for r in detection.long_plateaus(trace(spark, x), "v", half=100).collect()]
+    assert len(got) == 1 and abs(got[0][0] - 320) <= 2 and abs(got[0][1] - 360) <= 10

@@ -16,15 +16,24 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
     return ((first[1:-1] + last[1:-1]) // 2)[top]
 
 
+def _reach(x: np.ndarray, p: int, step: int) -> int:
+    """The last position from ``p`` on in one direction before a higher value; looked for in stretches that double."""
+    size, at = 64, p + step
+    while 0 <= at < len(x):
+        end = at + step * size
+        part = x[at:end] if step > 0 else x[max(end + 1, 0) : at + 1][::-1]
+        higher = np.flatnonzero(part > x[p])
+        if len(higher):
+            return at + step * int(higher[0]) - step
+        at, size = end, size * 2
+    return len(x) - 1 if step > 0 else 0
+
+
 def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
     """Height of each peak above the higher of the lowest points towards the next higher value on either side."""
     out = np.empty(len(peaks))
     for i, p in enumerate(peaks):
-        left = np.flatnonzero(x[:p] > x[p])
-        right = np.flatnonzero(x[p + 1 :] > x[p])
-        a = left[-1] + 1 if len(left) else 0
-        b = p + 1 + right[0] if len(right) else len(x)
-        out[i] = x[p] - max(x[a : p + 1].min(), x[p:b].min())
+        out[i] = x[p] - max(x[_reach(x, p, -1) : p + 1].min(), x[p : _reach(x, p, 1) + 1].min())
     return out
 
 

@@ -8,13 +8,14 @@ that it starts in, and is found whole as long as it and what it depends on lie w
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.peaks import find_peaks, schmitt, zero_phase_butterworth
 from traceloom.operators import masks, stats
+from traceloom.operators.grouped import map_groups
 from traceloom.operators.signals import aligned_windows, lagged, rolling_rank, with_halo
+from traceloom.session import cut_lineage
 
 #: Samples in a piece and in the halo on either side of it.
 PIECE, HALO = 65_536, 8_192
@@ -30,38 +31,24 @@ def threshold_spikes(df: DataFrame, column: str, k: float = 5.0, prominence_k: f
     scale = (stats.noise_mad if mode == "mad" else stats.noise_std)(df, ["trace_id"], column)
     held = with_halo(df.join(scale, "trace_id"), HALO, PIECE).select("trace_id", "idx", "t", F.col(column).alias("value"), "centre", "noise", "piece", "own")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        x = pdf["value"].to_numpy(dtype=float)
-        centre, noise = pdf["centre"].iloc[0], pdf["noise"].iloc[0]
+    def run(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        x, centre, noise = g["value"], g["centre"][0], g["noise"][0]
         at = find_peaks(np.where(np.isfinite(x), x, -np.inf), centre + k * noise, distance, prominence_k * noise)
-        out = pdf.iloc[at]
-        out = out[out["own"]]
-        return pd.DataFrame(
-            {
-                "trace_id": out["trace_id"],
-                "spike_index": out["idx"],
-                "spike_time": out["t"],
-                "value": out["value"],
-                "threshold": centre + k * noise,
-                "amplitude": out["value"] - centre,
-                "snr": (out["value"] - centre) / noise,
-            }
-        )
-
-    return held.groupBy("trace_id", "piece").applyInPandas(run, "trace_id string, spike_index bigint, spike_time double, value double, threshold double, amplitude double, snr double")
+        at = at[g["own"][at].astype(bool)]
+        return at, {"threshold": np.full(len(at), centre + k * noise), "amplitude": x[at] - centre, "snr": (x[at] - centre) / noise}
+
+    out = map_groups(held, ["trace_id", "piece"], "idx", run, ["trace_id", "idx", "t", "value"], {"threshold": "double", "amplitude": "double", "snr": "double"})
+    return out.withColumnsRenamed({"idx": "spike_index", "t": "spike_time"})
 
 
 def triggered_regions(df: DataFrame, column: str, high: str, low: str, enter: int, leave: int) -> DataFrame:
     """``(trace_id, start, end)`` where a trigger with two thresholds is on; ``high`` and ``low`` are columns."""
     held = with_halo(df, HALO, PIECE).select("trace_id", "idx", F.col(column).cast("double").alias("v"), F.col(high).cast("double").alias("hi"), F.col(low).cast("double").alias("lo"), "piece", "own")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        on = schmitt(pdf["v"].to_numpy(), pdf["hi"].to_numpy(), pdf["lo"].to_numpy(), enter, leave)
-        return pdf.loc[on & pdf["own"].to_numpy(), ["trace_id", "idx"]]
+    def run(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        return np.flatnonzero(schmitt(g["v"], g["hi"], g["lo"], enter, leave) & g["own"].astype(bool)), {}
 
-    return masks.regions_of(held.groupBy("trace_id", "piece").applyInPandas(run, "trace_id string, idx bigint"), F.lit(True))
+    return masks.regions_of(map_groups(held, ["trace_id", "piece"], "idx", run, ["trace_id", "idx"], {}), F.lit(True))
 
 
 def long_plateaus(df: DataFrame, column: str, half: int = 50, drift_percentile: float = 20.0, entry_k: float = 5.0, exit_k: float = 2.0, exit_fraction: float = 0.5, enter: int = 10, leave: int = 10, shortest: int = 20) -> DataFrame:
@@ -71,6 +58,7 @@ def long_plateaus(df: DataFrame, column: str, half: int = 50, drift_percentile:
     the median and ``entry_k`` noises, and an exit level below.  Regions of at least ``shortest`` samples stay.
     """
     flat = rolling_rank(df, column, half, "drift", drift_percentile, "reflect").withColumn("above", F.col(column) - F.col("drift"))
+    flat = cut_lineage(flat.select("trace_id", "idx", "above"))  # read five times below
     middle = flat.groupBy("trace_id").agg(stats.median("above").alias("centre"))
     noise = stats.mad_or_sd(flat, ["trace_id"], "above")
     levels = middle.join(noise, "trace_id").join(stats.otsu(flat, ["trace_id"], "above"), "trace_id")
@@ -104,7 +92,7 @@ def waveforms(df: DataFrame, spikes: DataFrame, column: str, half: int) -> DataF
     The windows are joined by bucket and folded with higher-order functions; nothing leaves Spark.
     """
     near = aligned_windows(df.select("trace_id", "idx", F.col(column).alias("a")), spikes.select("trace_id", F.col("spike_index").alias("onset")), half, half)
-    w = near.groupBy("trace_id", "onset").agg(F.array_sort(F.collect_list(F.struct(F.col("offset").cast("int").alias("o"), "a"))).alias("w"), F.count("a").alias("n"))
+    w = near.groupBy("trace_id", "onset").agg(F.sort_array(F.collect_list(F.struct(F.col("offset").cast("int").alias("o"), "a"))).alias("w"), F.count("a").alias("n"))
     left, right = F.filter("w", lambda p: p["o"] <= 0), F.filter("w", lambda p: p["o"] >= 0)
     w = w.where(F.col("n") >= 3).select(
         "*",
@@ -164,14 +152,15 @@ def filtered(df: DataFrame, column: str, fs: str, cutoff: float, order: int, hig
     """
     held = with_halo(df, HALO, PIECE).select("trace_id", "idx", F.col(column).cast("double").alias("v"), F.col(fs).cast("double").alias("fs"), "piece", "own")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        x = pdf["v"].interpolate(limit_direction="both").fillna(0.0).to_numpy()
-        rate = float(pdf["fs"].iloc[0])
+    def run(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        x, rate, there = g["v"].copy(), float(g["fs"][0]), np.isfinite(g["v"])
+        x[~there] = np.interp(np.flatnonzero(~there), np.flatnonzero(there), x[there]) if there.any() else 0.0
         y = zero_phase_butterworth(x, rate, cutoff, order, highpass, int(1.5 * rate)) if rate > 0 else x
-        return pd.DataFrame({"trace_id": pdf["trace_id"], "idx": pdf["idx"], out: y})[pdf["own"].to_numpy()]
+        own = np.flatnonzero(g["own"].astype(bool))
+        return own, {out: y[own]}
 
-    return df.join(held.groupBy("trace_id", "piece").applyInPandas(run, f"trace_id string, idx bigint, {out} double"), ["trace_id", "idx"])
+    smooth = map_groups(held, ["trace_id", "piece"], "idx", run, ["trace_id", "idx"], {out: "double"})
+    return df.join(smooth, ["trace_id", "idx"])
 
 
 def local_noise(df: DataFrame, column: str, baseline: str, half: int, out: str) -> DataFrame:

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.isolation import isolation_scores
+from traceloom.operators.grouped import starts_of, whole_groups
 
 #: A source is judged in pieces of so many positions, each with a margin on both sides, so that a hot source is many groups.
 PIECE, MARGIN = 4096, 512
@@ -163,36 +163,6 @@ def judge(pos: np.ndarray, value: np.ndarray, starts: np.ndarray | None = None)
     return pd.DataFrame({"row": rows, "pos": pos[rows], "value": v, "score": np.where(enough, score, 0.0), "spike": spike, "frozen": frozen})
 
 
-def _batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted batches put together to about ``BATCH`` rows that end with a whole piece of a source."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in source:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < BATCH:
-            continue
-        table = pa.Table.from_batches(held)
-        starts = _starts(table)
-        cut = int(starts[-1]) if len(starts) > 1 else 0
-        if cut:
-            yield table.slice(0, cut)
-        held = table.slice(cut).to_batches()
-        rows = table.num_rows - cut
-    if rows:
-        yield pa.Table.from_batches(held)
-
-
-def _starts(table: pa.Table) -> np.ndarray:
-    """First rows of the pieces of sources in a sorted table."""
-    new = np.zeros(table.num_rows, dtype=bool)
-    new[:1] = True
-    for name in ("table_name", "series_key", "piece"):
-        column = table.column(name).combine_chunks()
-        new[1:] |= pc.not_equal(column.slice(1), column.slice(0, max(len(column) - 1, 0))).to_numpy(zero_copy_only=False)
-    return np.flatnonzero(new)
-
-
 def score_readings(rows: DataFrame) -> DataFrame:
     """Every finite reading of ``(table_name, series_key, pos, value)`` with ``score``, ``spike`` and ``frozen``.
 
@@ -211,9 +181,9 @@ def score_readings(rows: DataFrame) -> DataFrame:
     keys = ["table_name", "series_key", "piece"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _batches(batches):
+        for table in whole_groups(batches, keys, BATCH):
             pos = table.column("pos").to_numpy()
-            out = judge(pos, table.column("value").to_numpy(), _starts(table))
+            out = judge(pos, table.column("value").to_numpy(), starts_of(table, keys))
             out = out[(out["pos"] // PIECE).to_numpy() == table.column("piece").to_numpy()[out["row"]]]
             picked = table.take(pa.array(out["row"].to_numpy())).select(["table_name", "series_key", "pos", "value"])
             for name, kind in (("score", pa.float64()), ("spike", pa.bool_()), ("frozen", pa.bool_())):

@@ -6,14 +6,19 @@ pieces of a trace that bring a halo of their neighbours' rows along; only per-tr
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from traceloom.functions.scalars import finite
+from traceloom.operators.grouped import map_groups
 
 #: Positions in a piece of a trace.
 PIECE = 16_384
 
+#: Windows that reach further than this to either side are worked on as arrays of a whole piece.
+WIDE = 16
+
 
 def samples(trace_samples: DataFrame) -> DataFrame:
     """``(trace_id, idx, t, raw, corrected)``: each sample once, missing numbers null, ``corrected`` falling back to ``raw``.
@@ -81,6 +86,8 @@ def rolling_rank(df: DataFrame, column: str, half: int, out: str, percentile: fl
     """
     width = 2 * half + 1
     rank = half if percentile is None else min(int(width * percentile / 100), width - 1)
+    if half > WIDE:
+        return _wide_rolling_rank(df, column, half, out, rank, edges)
     rows = numbered(df).join(trace_ends(df, column).select("trace_id", "n", "first", "last"), "trace_id")
     held = with_halo(rows, min(PIECE, 4 * half + 8)).withColumn("w", F.collect_list(column).over(along().rowsBetween(-half, half)))
     left, right = F.greatest(F.lit(half) - F.col("row"), F.lit(0)), F.greatest(F.lit(half) - (F.col("n") - 1 - F.col("row")), F.lit(0))
@@ -90,10 +97,30 @@ def rolling_rank(df: DataFrame, column: str, half: int, out: str, percentile: fl
         front = F.when(left > 0, F.reverse(F.slice("w", F.lit(2), left.cast("int")))).otherwise(F.slice("w", 1, 0))
         inner = F.size("w") - right
         back = F.when(right > 0, F.reverse(F.slice("w", F.greatest(inner, F.lit(1)).cast("int"), right.cast("int")))).otherwise(F.slice("w", 1, 0))
-    filled = F.array_sort(F.concat(front, F.col("w"), back))
+    filled = F.sort_array(F.concat(front, F.col("w"), back))
     return own_rows(held.withColumn(out, F.get(filled, F.lit(rank)))).drop("row", "n", "first", "last", "w")
 
 
+def _wide_rolling_rank(df: DataFrame, column: str, half: int, out: str, rank: int, edges: str) -> DataFrame:
+    """``rolling_rank`` for windows that are too wide to gather for every row: a partial sort over array views of a piece."""
+    width = 2 * half + 1
+    rows = numbered(df.select("trace_id", "idx", F.col(column).cast("double").alias("v"))).join(df.groupBy("trace_id").agg(F.count("*").alias("n")), "trace_id")
+    held = with_halo(rows, min(PIECE, 4 * half + 8))
+
+    def run(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        left, right = half * int(g["row"][0] == 0), half * int(g["row"][-1] == g["n"][-1] - 1)
+        x = np.pad(g["v"], (left, right), mode="edge" if edges == "nearest" else "reflect")
+        if len(x) < width:
+            return np.zeros(0, dtype=np.int64), {out: np.zeros(0)}
+        windows = np.lib.stride_tricks.sliding_window_view(x, width)
+        y = np.concatenate([np.partition(windows[i : i + 4096], rank, axis=1)[:, rank] for i in range(0, len(windows), 4096)])
+        at = np.arange(len(y)) + half - left
+        own = g["own"][at].astype(bool)
+        return at[own], {out: y[own]}
+
+    return df.join(map_groups(held, ["trace_id", "piece"], "idx", run, ["trace_id", "idx"], {out: "double"}), ["trace_id", "idx"])
+
+
 def moving_mean(df: DataFrame, column: str, half: int, out: str) -> DataFrame:
     """Add ``out``: the mean of a centred window of ``2 half + 1`` rows with the trace mirrored at its ends."""
     width = 2 * half + 1
@@ -128,11 +155,12 @@ def interpolated(df: DataFrame, column: str, masked: Column, x: str, out: str) -
         "trace_id",
         "piece",
         F.last("hi", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("seam_before"),
-        F.first("lo", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("seam_after"),
+        F.last("lo", True).over(Window.partitionBy("trace_id").orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)).alias("seam_after"),
     )
     rows = cut.join(seams, ["trace_id", "piece"])
     rows = rows.withColumn("l", F.coalesce(F.last("a", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "seam_before"))
-    rows = rows.withColumn("r", F.coalesce(F.first("a", True).over(inside.rowsBetween(0, Window.unboundedFollowing)), "seam_after"))
+    backwards = Window.partitionBy("trace_id", "piece").orderBy(F.desc("idx"))
+    rows = rows.withColumn("r", F.coalesce(F.last("a", True).over(backwards.rowsBetween(Window.unboundedPreceding, 0)), "seam_after"))
     lerp = F.col("l.y") + (F.col("r.y") - F.col("l.y")) * (F.col(x) - F.col("l.x")) / (F.col("r.x") - F.col("l.x"))
     value = (
         F.when(F.col("a").isNotNull(), F.col("a.y"))

@@ -89,7 +89,7 @@ def _merge(df: DataFrame, keys: list[str]) -> DataFrame:
         F.col("held").cast("long").alias("n"),
         F.lit(0.0).alias("rank_error"),
         F.array(F.lit(1).cast("long")).alias("weights"),
-        F.array(F.array_sort(F.flatten(F.flatten("parts.buffers")))).alias("buffers"),
+        F.array(F.sort_array(F.flatten(F.flatten("parts.buffers")))).alias("buffers"),
     )
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

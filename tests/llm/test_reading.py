@@ -12,14 +12,14 @@ def test_held_out_passages():
     from collections import Counter
 
     df = Counter(w for t in docs for w in set(R._words("\n".join(R.prose_lines(t)))))
-    rank = {w: i for i, (w, _) in enumerate(sorted(df.items(), key=lambda x: (-x[1], x[0]))[: max(R.FAMILIAR)])}
-    x, bands = np.array([R.measure(p, rank).features for _, p in graded]), [b for b, _ in graded]
+    familiar = frozenset(w for w, _ in sorted(df.items(), key=lambda x: (-x[1], x[0]))[: R.FAMILIAR])
+    x, bands = np.array([R.measure(p, familiar).features for _, p in graded]), [b for b, _ in graded]
     right = 0
     for k in range(5):
         test = np.arange(len(x)) % 5 == k
         model = R.grade(x[~test], [b for b, t in zip(bands, test) if not t])
         right += sum(a == b for a, b in zip(model.bands_of(x[test]), [b for b, t in zip(bands, test) if t]))
-    assert right / len(x) >= 0.93
+    assert right / len(x) >= 0.97
 
 
 def test_own_prose_only(spark):

@@ -1,4 +1,8 @@
-"""Reading level of each page's own English prose by a familiar-word formula that is graded on passages read by people."""
+"""Reading level of each page's own English prose by a familiar-word formula that is graded on passages read by people.
+
+The formula takes the share of words outside a list of those that most of the corpus's articles use, and the average length of
+sentences; the mean length of words stands beside them, as frequency alone doesn't tell short everyday words from long ones.
+"""
 
 from __future__ import annotations
 
@@ -16,8 +20,8 @@ from pyspark.sql import functions as F
 
 from traceloom.session import cut_lineage
 
-#: The lists of familiar words are the so many words that stand in most articles of the corpus.
-FAMILIAR = (100, 200, 400, 800)
+#: The familiar words are the so many that stand in most articles of the corpus.
+FAMILIAR = 800
 
 #: A line of at most ``LINE`` letters that stands in this share of all pages (and in three at least) is page furniture.  No
 #: more than lines-a-page / ``FURNITURE`` lines can be, whatever the size of the corpus.
@@ -116,11 +120,11 @@ def _unpack(blob: bytes) -> str:
     return zlib.decompress(blob).decode("utf-8")
 
 
-def familiar_words(packed: DataFrame) -> dict[str, int]:
-    """The rank of each of the words that stand in most articles, from 0; equal counts by the word."""
+def familiar_words(packed: DataFrame) -> frozenset[str]:
+    """The words that stand in most articles; of equal counts the first by the alphabet."""
     counted = _counted(packed, "article", "word", lambda blob: set(_words(_unpack(blob))))
-    top = counted.orderBy(F.desc("n"), "word").limit(max(FAMILIAR)).collect()
-    return {r["word"]: i for i, r in enumerate(top)}
+    top = counted.orderBy(F.desc("n"), "word").limit(FAMILIAR).collect()
+    return frozenset(r["word"] for r in top)
 
 
 @dataclass(frozen=True)
@@ -130,21 +134,20 @@ class Measures:
     words: int
     sentences: int
     english: float
-    unfamiliar: tuple[float, ...]
+    unfamiliar: float
+    letters: float
 
     @property
     def features(self) -> list[float]:
-        return [*self.unfamiliar, float(np.log(max(self.words, 1) / max(self.sentences, 1)))]
+        return [self.unfamiliar, float(np.log(max(self.words, 1) / max(self.sentences, 1))), self.letters]
 
 
-def measure(text: str, rank: dict[str, int]) -> Measures:
-    """Words, sentences, share of English function words and shares of words outside each list of familiar words."""
+def measure(text: str, familiar: frozenset[str]) -> Measures:
+    """Words, sentences, shares of English function words and of words that aren't familiar, and letters in a word."""
     found = _words(text)
     n = max(len(found), 1)
-    ranks = np.sort(np.array([rank.get(w, 1 << 30) for w in found], dtype=np.int64))
     sentences = sum(1 for s in _SENTENCE.split(text) if any(c.isalpha() for c in s))
-    outside = tuple(float(len(ranks) - np.searchsorted(ranks, k)) / n for k in FAMILIAR)
-    return Measures(len(found), sentences, sum(w in FUNCTION_WORDS for w in found) / n, outside)
+    return Measures(len(found), sentences, sum(w in FUNCTION_WORDS for w in found) / n, sum(w not in familiar for w in found) / n, sum(map(len, found)) / n)
 
 
 @dataclass(frozen=True)
@@ -179,7 +182,7 @@ def grade(features: np.ndarray, bands: list[str], rounds: int = 3000, rate: floa
 def reading_levels(documents: DataFrame, graded: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, words, sentence_words, unfamiliar, band)`` of every page whose own article is English prose of enough words.
 
-    ``unfamiliar`` is the share of words outside the longest list of familiar words.  Lines that many pages share, menus,
+    ``unfamiliar`` is the share of words outside the list of familiar words.  Lines that many pages share, menus,
     headings, comments and fragments don't belong to the article.  Line counts and word counts go over the whole corpus;
     only bounded results come to the driver: the furniture lines, the familiar words and the graded passages.  Null and
     empty texts and other languages give no row; repeated pages come out as often as they stand in the table; without graded
@@ -190,12 +193,12 @@ def reading_levels(documents: DataFrame, graded: DataFrame, key: str = "doc_id",
     known = graded.where("band is not null and passage is not null").orderBy("passage_id").limit(GRADED).collect()
     if not known:
         return documents.sparkSession.createDataFrame([], schema)
-    rank = familiar_words(packed)
-    model = grade(np.array([measure(r["passage"], rank).features for r in known]), [r["band"] for r in known])
+    familiar = familiar_words(packed)
+    model = grade(np.array([measure(r["passage"], familiar).features for r in known]), [r["band"] for r in known])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            took = [measure(_unpack(v.as_py()), rank) for v in batch.column(1)]
+            took = [measure(_unpack(v.as_py()), familiar) for v in batch.column(1)]
             at = [i for i, m in enumerate(took) if m.words >= LEAST_WORDS and m.english >= ENGLISH]
             kept = [took[i] for i in at]
             bands = model.bands_of(np.array([m.features for m in kept])) if kept else []
@@ -204,7 +207,7 @@ def reading_levels(documents: DataFrame, graded: DataFrame, key: str = "doc_id",
                     batch.column(0).take(pa.array(at, pa.int64())),
                     pa.array([m.words for m in kept], pa.int64()),
                     pa.array([m.words / max(m.sentences, 1) for m in kept], pa.float64()),
-                    pa.array([m.unfamiliar[-1] for m in kept], pa.float64()),
+                    pa.array([m.unfamiliar for m in kept], pa.float64()),
                     pa.array(bands, pa.string()),
                 ],
                 names=[key, "words", "sentence_words", "unfamiliar", "band"],

@@ -209,3 +209,35 @@ def motion_shifts(frames: DataFrame, most: int = 2) -> DataFrame:
 
     kind = dict(frames.dtypes)
     return paired.mapInArrow(run, f"stack {kind['stack']}, frame {kind['frame']}, dy bigint, dx bigint, peak double")
+
+
+def mask_shifts(frames: DataFrame, weights: DataFrame, radius: int) -> DataFrame:
+    """``(stack, frame, mask, dy, dx, score, visible, signal)``: where each mask fits each frame best, near its place.
+
+    Every shift of at most ``radius`` pixels is scored by the correlation of the stack's mean under the mask with the frame under
+    the shifted mask, or by the mean brightness where either is flat; pixels that leave the frame drop out.  The best score
+    wins, then the smaller dy and dx.  Masks are small and the shifts few, so the join is on pixels: (2 radius + 1) squared
+    rows for each pixel of a mask in each frame, summed up at once.
+    """
+    each = pixels(frames)
+    template = each.groupBy("stack", "y", "x").agg(F.avg("v").alias("t")).join(weights.where("w > 0").select("mask", "y", "x"), ["y", "x"])
+    moves = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1))))
+    moved = template.select("stack", "mask", "t", "y", "x", moves.alias("s")).select("stack", "mask", "t", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "s.dy", "s.dx")
+    met = moved.join(each, ["stack", "y", "x"])
+    scored = met.groupBy("stack", "frame", "mask", "dy", "dx").agg(F.count("*").alias("visible"), F.avg("v").alias("signal"), F.corr("t", "v").alias("c"), F.stddev_pop("t").alias("st"), F.stddev_pop("v").alias("sv"))
+    score = F.when((F.col("visible") >= 2) & (F.col("st") > 1e-9) & (F.col("sv") > 1e-9), F.col("c")).otherwise(F.col("signal"))
+    best = scored.withColumn("score", score).groupBy("stack", "frame", "mask").agg(F.max_by(F.struct("dy", "dx", "score", "visible", "signal"), F.struct(F.round("score", 9), -F.col("dy"), -F.col("dx"))).alias("b"))
+    return best.select("stack", "frame", "mask", "b.*")
+
+
+def difference_map(v: Column, limit: Column, gamma: float = 0.85) -> Column:
+    """A signed difference as -1..1 for a diverging map, cut at the limit and bent by ``gamma``."""
+    share = F.least(F.greatest(v / limit, F.lit(-1.0)), F.lit(1.0))
+    return F.signum(share) * F.pow(F.abs(share), gamma)
+
+
+def sample_frames(count: int, wanted: int) -> list[int]:
+    """At most ``wanted`` frame numbers spread evenly over ``count``, each once."""
+    if count <= 0 or wanted <= 0:
+        return []
+    return sorted({round(i * (count - 1) / max(wanted - 1, 1)) for i in range(min(wanted, count))})

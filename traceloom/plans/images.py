@@ -293,3 +293,49 @@ def latest_sessions(spark, d):
     """The session saved last for each workbook of a station."""
     rows = table(spark, d, "sessions").groupBy("file_id", "station", "excel_path", "saved_at").count()
     return rows.groupBy("station", "excel_path").agg(F.max_by(F.struct("file_id", "saved_at"), F.struct("saved_at", "file_id")).alias("x")).select("station", "excel_path", "x.file_id", "x.saved_at")
+
+
+@query(
+    _P
+    + """te as (select stack, y, x, avg(v) t from px group by 1, 2, 3), tm as (select stack, mask, te.y, te.x, t from te join ml using (y, x)),
+mv as (select stack, mask, t, y + dy y, x + dx x, dy, dx from tm, range(-1, 2) a(dy), range(-1, 2) b(dx)),
+sc as (select px.stack, frame, mask, dy, dx, count(*) visible, avg(v) signal, case when count(*) >= 2 and stddev_pop(t) > 1e-9 and stddev_pop(v) > 1e-9 then corr(t, v) else avg(v) end score
+  from mv join px on px.stack = mv.stack and px.y = mv.y and px.x = mv.x group by 1, 2, 3, 4, 5),
+k as (select *, row_number() over (partition by stack, frame, mask order by round(score, 9) desc, dy, dx) n from sc)
+select stack, frame, mask, dy, dx, cast(score as float) score, visible, cast(signal as float) signal from k where n = 1"""
+)
+def mask_shifts(spark, d):
+    """Where each mask fits each frame best within one pixel."""
+    out = images.mask_shifts(_frames(spark, d), _mask(spark), 1)
+    return out.select("stack", "frame", "mask", F.col("dy").cast("bigint"), F.col("dx").cast("bigint"), F.col("score").cast("float"), "visible", F.col("signal").cast("float"))
+
+
+@query(
+    _P
+    + """mi as (select stack, y, x, avg(v) m from px group by 1, 2, 3), df as (select px.stack, frame, px.y, px.x, v - m e from px join mi using (stack, y, x)),
+l as (select stack, frame, greatest(quantile_cont(abs(e), 0.99), 1e-9) lim from df group by 1, 2), s as (select df.*, least(greatest(e / lim, -1), 1) q from df join l using (stack, frame))
+select stack, frame, y, x, cast(sign(q) * pow(abs(q), 0.85) as float) as "value" from s"""
+)
+def difference_maps(spark, d):
+    """Each frame's difference from its stack's mean as a diverging map."""
+    each = images.pixels(_frames(spark, d))
+    mean = each.groupBy("stack", "y", "x").agg(F.avg("v").alias("m"))
+    gap = each.join(mean, ["stack", "y", "x"]).withColumn("e", F.col("v") - F.col("m"))
+    limit = gap.groupBy("stack", "frame").agg(F.greatest(F.percentile(F.abs("e"), F.lit(0.99)), F.lit(1e-9)).alias("limit"))
+    return gap.join(limit, ["stack", "frame"]).select("stack", "frame", "y", "x", images.difference_map(F.col("e"), F.col("limit")).cast("float").alias("value"))
+
+
+@query(
+    """with s as (select distinct file_id, station, excel_path, pipeline_config from sessions where json_valid(pipeline_config)),
+k as (select file_id, json_extract_string(pipeline_config, '$.active_preset') preset, json_extract(pipeline_config, '$.ordered_step_ids') st from s where json_type(pipeline_config) = 'OBJECT'),
+u as (select file_id, preset, unnest(from_json(st, '["varchar"]')) step, unnest(range(1, cast(json_array_length(st) as bigint) + 1)) position from k where json_type(st) = 'ARRAY')
+select file_id, preset, step, position from u"""
+)
+def session_steps(spark, d):
+    """The ordered pipeline steps of each session, where they are saved as a list."""
+    rows = table(spark, d, "sessions").select("file_id", "pipeline_config").dropDuplicates(["file_id"])
+    rows = rows.withColumn("c", F.from_json("pipeline_config", "active_preset string, ordered_step_ids string", {"mode": "PERMISSIVE"})).where("try_parse_json(pipeline_config) is not null")
+    steps = F.from_json("c.ordered_step_ids", "array<string>")
+    listed = rows.where(F.col("c.ordered_step_ids").startswith("["))
+    out = listed.select("file_id", F.col("c.active_preset").alias("preset"), F.posexplode(steps).alias("i", "step"))
+    return out.select("file_id", "preset", "step", (F.col("i") + 1).cast("bigint").alias("position"))

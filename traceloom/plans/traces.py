@@ -393,13 +393,13 @@ def spike_events(spark, d):
 @query(
     _SPIKES
     + "select t.trace_id, count(peak_index) spike_count, "
-    + ", ".join(f"cast(avg({c}) as float) mean_{c}, cast(median({c}) as float) median_{c}" for c in stats.SPIKE_METRICS)
+    + ", ".join(f"cast(round(avg({c}), 9) + 0.0 as float) mean_{c}, cast(round(median({c}), 9) + 0.0 as float) median_{c}" for c in stats.SPIKE_METRICS)
     + " from (select distinct trace_id from trace_samples where trace_id is not null) t left join ev using (trace_id) group by 1"
 )
 def spike_summary(spark, d):
     """Per trace: spikes, means and medians of their metrics."""
     out = stats.spike_summary(_events(spark, d), table(spark, d, "trace_samples").where("trace_id is not null"))
-    return out.select("trace_id", "spike_count", *(_f(c) for c in out.columns if c not in ("trace_id", "spike_count")))
+    return out.select("trace_id", "spike_count", *(_f(F.round(c, 9) + 0.0, c) for c in out.columns if c not in ("trace_id", "spike_count")))
 
 
 _EVENTS = """with e as (

@@ -241,3 +241,44 @@ def sample_frames(count: int, wanted: int) -> list[int]:
     if count <= 0 or wanted <= 0:
         return []
     return sorted({round(i * (count - 1) / max(wanted - 1, 1)) for i in range(min(wanted, count))})
+
+
+def tracked_masks(frames: DataFrame, weights: DataFrame, local: int = 1, bound: int = 2, least_score: float | None = None, least_visible: float = 0.25) -> DataFrame:
+    """Masks followed from frame to frame: ``(stack, mask, frame, dy, dx, score, visible_fraction, signal, state)``.
+
+    Every shift within ``bound`` is scored natively, as in ``mask_shifts``.  Then a small state machine passes over the frames of
+    each mask: it takes the best shift near the last one (``accepted``), else the best of all (``rescued``), else stays where
+    it was (``held``); the first frame starts from no shift.  A shift passes if its score and the visible share of the mask do.
+    """
+    each = pixels(frames)
+    inside = weights.where("w > 0")
+    template = each.groupBy("stack", "y", "x").agg(F.avg("v").alias("t")).join(inside.select("mask", "y", "x"), ["y", "x"])
+    sizes = inside.groupBy("mask").agg(F.count("*").alias("size"))
+    moves = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-bound, bound + 1) for dx in range(-bound, bound + 1))))
+    moved = template.select("stack", "mask", "t", "y", "x", moves.alias("s")).select("stack", "mask", "t", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "s.dy", "s.dx")
+    scored = moved.join(each, ["stack", "y", "x"]).groupBy("stack", "mask", "frame", "dy", "dx").agg(
+        F.count("*").alias("visible"), F.avg("v").alias("signal"), F.corr("t", "v").alias("c"), F.stddev_pop("t").alias("st"), F.stddev_pop("v").alias("sv")
+    )
+    score = F.when((F.col("visible") >= 2) & (F.col("st") > 1e-9) & (F.col("sv") > 1e-9), F.col("c")).otherwise(F.col("signal"))
+    rows = scored.join(sizes, "mask").select("stack", "mask", "frame", "dy", "dx", score.alias("score"), (F.col("visible") / F.col("size")).alias("visible_fraction"), "signal", (F.col("frame") * 10_000 + (F.col("dy") + bound) * 100 + F.col("dx") + bound).alias("place"))
+
+    def run(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        at, state = [], []
+        last = np.array([0, 0])
+        passes = (g["visible_fraction"] >= least_visible) & ((g["score"] >= least_score) if least_score is not None else True)
+        edges = np.flatnonzero(np.r_[True, g["frame"][1:] != g["frame"][:-1], True])
+        for a, b in zip(edges[:-1], edges[1:]):
+            dy, dx, score, ok = g["dy"][a:b], g["dx"][a:b], np.round(g["score"][a:b], 9), passes[a:b]
+            near = (np.abs(dy - last[0]) <= local) & (np.abs(dx - last[1]) <= local)
+            for name, choice in (("accepted", near), ("rescued", np.ones(b - a, dtype=bool)), ("held", (dy == last[0]) & (dx == last[1]))):
+                best = int(np.argmax(np.where(choice, score, -np.inf)))
+                if choice[best] and (ok[best] or name == "held"):
+                    at.append(a + best)
+                    state.append(name)
+                    last = np.array([dy[best], dx[best]])
+                    break
+        return np.array(at, dtype=np.int64), {"state": np.array(state, dtype=object)}
+
+    from traceloom.operators.grouped import map_groups
+
+    return map_groups(rows, ["stack", "mask"], "place", run, ["stack", "mask", "frame", "dy", "dx", "score", "visible_fraction", "signal"], {"state": "string"})

@@ -339,3 +339,9 @@ def session_steps(spark, d):
     listed = rows.where(F.col("c.ordered_step_ids").startswith("["))
     out = listed.select("file_id", F.col("c.active_preset").alias("preset"), F.posexplode(steps).alias("i", "step"))
     return out.select("file_id", "preset", "step", (F.col("i") + 1).cast("bigint").alias("position"))
+
+
+@query()
+def tracked_masks(spark, d):
+    """Masks followed from frame to frame."""
+    return images.tracked_masks(_frames(spark, d), _mask(spark))

@@ -596,3 +596,45 @@ def trace_file_names(spark, d):
         scalars.canonical_name(F.col("trace_id")).alias("name"),
         scalars.short_label(F.col("trace_id"), 16).alias("label"),
     )
+
+
+@query()
+def short_plateaus(spark, d):
+    """Short raised floors of each trace, with windows at 1000 Hz."""
+    from traceloom.operators import plateaus
+
+    return plateaus.short_plateaus(_present(spark, d), "raw", 1000.0)
+
+
+@query()
+def plateau_signal_types(spark, d):
+    """What the signal of each long stretch above the median is made of."""
+    from traceloom.operators import plateaus
+
+    rows, regions = _high(spark, d)
+    smooth = signals.rolling_rank(rows.select("trace_id", "idx", "raw"), "raw", 2, "smooth").withColumn("noise", F.lit(None).cast("double"))
+    return plateaus.signal_types(plateaus.signal_metrics(smooth, masks.at_least(masks.merged(regions, 3), 20), "raw", "smooth", "noise", 1000.0))
+
+
+@query(
+    _X
+    + """k as (select trim(split_part(trace_id, '|', 1)) recording_id, trim(regexp_extract(trace_id, '^[^|]*\\|(.*)$', 1)) roi, row, raw from n)
+select recording_id, row as row_no, max(raw) filter (roi = 'ROI 01') roi_01, max(raw) filter (roi = 'ROI 02') roi_02, max(raw) filter (roi = 'ROI 03') roi_03 from k group by 1, 2"""
+)
+def aligned_panel(spark, d):
+    """The first three regions of each recording side by side by row number."""
+    rows = signals.numbered(_present(spark, d)).select(scalars.recording_of(F.col("trace_id")).alias("recording_id"), scalars.roi_of(F.col("trace_id")).alias("roi"), F.col("row").alias("row_no"), "raw")
+    wide = rows.groupBy("recording_id", "row_no").pivot("roi", [f"ROI {i:02d}" for i in (1, 2, 3)]).agg(F.max("raw"))
+    return wide.select("recording_id", "row_no", *(F.col(f"ROI {i:02d}").alias(f"roi_{i:02d}") for i in (1, 2, 3)))
+
+
+@query(
+    """with s as (select trace_name, spike_index, any_value(status) status, any_value(source) source from spikes where trace_name is not null and spike_index is not null group by 1, 2)
+select trace_name trace_id, list_sort(list(spike_index) filter (status in ('accepted', 'manual') or source = 'manual')) as templates, count(*) filter (status = 'deleted') deleted from s group by 1"""
+)
+def template_spikes(spark, d):
+    """Positions of the spikes of each trace that a person accepted or set, and the number of deleted ones."""
+    once = table(spark, d, "spikes").where("trace_name is not null and spike_index is not null").groupBy("trace_name", "spike_index").agg(F.any_value("status").alias("status"), F.any_value("source").alias("source"))
+    chosen = F.when(F.col("status").isin("accepted", "manual") | (F.col("source") == "manual"), F.col("spike_index"))
+    out = once.groupBy(F.col("trace_name").alias("trace_id")).agg(F.sort_array(F.collect_list(chosen)).alias("templates"), F.count_if(F.col("status") == "deleted").alias("deleted"))
+    return out.withColumn("templates", F.when(F.size("templates") > 0, F.col("templates")))

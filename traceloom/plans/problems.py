@@ -101,7 +101,31 @@ z as (
     where time_ms is not null and not isnan(time_ms) and frame is not null and period is not null group by all)
 """
 
+_CHANGES = """
+with f as (
+  select file_id, 'detection_params' stream, min(station) station, min(saved_at) saved_at, max(detection_params) text from sessions where file_id is not null and detection_params is not null group by 1
+  union all select file_id, 'pipeline_config', min(station), min(saved_at), max(pipeline_config) from sessions where file_id is not null and pipeline_config is not null group by 1
+  union all select file_id, 'manifest', min(station), min(saved_at), max(manifest) from analysis_packages where file_id is not null and manifest is not null group by 1),
+o as materialized (select *, row_number() over (partition by stream, station order by saved_at nulls first, file_id) n from f where case when json_valid(text) then json_type(text) = 'OBJECT' else false end),
+v as materialized (
+  select o.stream, o.station, o.n, o.file_id, substring(t.fullkey, 3) field,
+    case when t.type = 'BOOLEAN' then 'boolean' when t.type in ('UBIGINT', 'BIGINT', 'DOUBLE') then 'number' when t.type = 'VARCHAR' then 'string' when t.type = 'ARRAY' then 'array' else 'null' end kind,
+    case when t.type in ('UBIGINT', 'BIGINT', 'DOUBLE') then cast(cast(t.value as double) as varchar) else cast(t.value as varchar) end val
+  from o, json_tree(o.text) t where t.type <> 'OBJECT' and t.fullkey not like '%[%'),
+p as (select n.stream, n.station, n.n, n.file_id from o n join o b on b.stream = n.stream and b.station is not distinct from n.station and b.n = n.n - 1),
+old as (select p.*, v.field, v.kind, v.val from p join v on v.stream = p.stream and v.station is not distinct from p.station and v.n = p.n - 1),
+new as (select p.*, v.field, v.kind, v.val from p join v on v.stream = p.stream and v.station is not distinct from p.station and v.n = p.n),
+gone as (select old.*, count(*) over (partition by file_id, stream, kind, val) c from old where not exists(select 1 from new where new.file_id = old.file_id and new.stream = old.stream and new.field = old.field)),
+come as (select new.*, count(*) over (partition by file_id, stream, kind, val) c from new where not exists(select 1 from old where new.file_id = old.file_id and new.stream = old.stream and new.field = old.field)),
+ren as (select g.file_id, g.stream, g.field, k.field new_field from gone g join come k on g.file_id = k.file_id and g.stream = k.stream and g.kind = k.kind and g.val = k.val where g.c = 1 and k.c = 1)
+select file_id, stream, 'type_changed' change, field, '' new_field from new join old using (file_id, stream, field) where new.kind <> old.kind
+union all select file_id, stream, 'renamed', field, new_field from ren
+union all select file_id, stream, 'removed', field, '' from gone where not exists(select 1 from ren where ren.file_id = gone.file_id and ren.stream = gone.stream and ren.field = gone.field)
+union all select file_id, stream, 'added', field, '' from come where not exists(select 1 from ren where ren.file_id = come.file_id and ren.stream = come.stream and ren.new_field = come.field)
+"""
+
 SQL = {
+    "p3_found": _CHANGES,
     "p1_found": _PERIODS + "select * from r",
     "p1_coverage": _PERIODS
     + "select trace_name, count(*) filter (kind = 'period') periods, cast(coalesce(sum(end_us - start_us) filter (kind = 'period'), 0) as bigint) active_us, "

@@ -8,7 +8,7 @@ that it starts in, and is found whole as long as it and what it depends on lie w
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.peaks import find_peaks, schmitt, zero_phase_butterworth
@@ -69,11 +69,8 @@ def long_plateaus(df: DataFrame, column: str, half: int = 50, drift_percentile:
     return masks.at_least(triggered_regions(flat.join(levels, "trace_id"), "above", "entry", "exit", enter, leave), shortest)
 
 
-def dropouts(df: DataFrame, column: str, window: int = 80, low: float = 120.0, depth: float = 8.0, fall: float = 6.0) -> DataFrame:
-    """Seeds of downward dropouts: samples low, well below the median of the last ``window`` samples, and just falling.
-
-    ``(trace_id, start, end)`` of the seeds, one sample apart put together.
-    """
+def _dropout_seeds(df: DataFrame, column: str, window: int, low: float, depth: float, fall: float) -> DataFrame:
+    """Samples low, well below the median of the last ``window`` samples, and just falling, as regions."""
     from pyspark.sql import Window
 
     held = with_halo(df, 4 * window, PIECE)
@@ -82,7 +79,43 @@ def dropouts(df: DataFrame, column: str, window: int = 80, low: float = 120.0, d
     falling = F.coalesce(F.col("step") <= -fall, F.lit(False))
     held = held.withColumn("falling", falling).withColumn("fell", F.coalesce(F.lag("falling").over(order), F.lit(False)))
     seed = (F.col(column) <= low) & (F.col("usual") - F.col(column) >= depth) & (F.col("falling") | F.col("fell"))
-    return masks.merged(masks.regions_of(held.where("own"), F.coalesce(seed, F.lit(False))), 1)
+    return masks.regions_of(held.where("own"), F.coalesce(seed, F.lit(False)))
+
+
+def dropouts(df: DataFrame, column: str, window: int = 80, low: float = 120.0, depth: float = 8.0, fall: float = 6.0) -> DataFrame:
+    """``(trace_id, start, end)`` of the seeds of downward dropouts, those one sample apart put together."""
+    return masks.merged(_dropout_seeds(df, column, window, low, depth, fall), 1)
+
+
+def artifact_regions(df: DataFrame, column: str, window: int = 80, low: float = 120.0, depth: float = 8.0, fall: float = 6.0, recovered: float = 0.9, margin: float = 2.0, most: int = 120, least_fall: float = 0.5, longest: int = 250) -> DataFrame:
+    """``(trace_id, start, end)`` of whole downward dropouts, with one sample before and two after.
+
+    A seed grows to the left as long as the trace falls by ``least_fall`` a sample, and to the right until it has come back
+    ``recovered`` of the way to the median of the ``window`` samples before, ``most`` samples after its start at the latest.
+    Grown seeds that meet are one; those of a single sample or over ``longest`` samples are left out.
+    """
+    keys = ["trace_id", "start", "end"]
+    rows = df.where(F.col(column).isNotNull()).select("trace_id", "idx", F.col(column).alias("x"))
+    seeds = cut_lineage(_dropout_seeds(df, column, window, low, depth, fall))
+
+    def near(rows: DataFrame, first: Column, last: Column) -> DataFrame:
+        cut = seeds.withColumn("_a", F.greatest(first, F.lit(0))).withColumn("_b", last).where("_b >= _a")
+        return rows.join(cut.select(*keys, F.explode(F.sequence("_a", "_b")).alias("idx")), ["trace_id", "idx"])
+
+    before = near(rows, F.col("start") - window, F.col("start") - 1).groupBy(*keys).agg(stats.median("x").alias("usual"))
+    inside = near(rows, F.col("start"), F.col("end") - 1).groupBy(*keys).agg(F.min("x").alias("trough"), F.min_by("x", "idx").alias("first"))
+    levels = inside.join(before, keys, "left").withColumn("usual", F.coalesce("usual", "first"))
+    levels = levels.select(*keys, F.greatest(F.lit(low + margin), F.col("trough") + recovered * (F.col("usual") - F.col("trough"))).alias("target"))
+    ends = rows.groupBy("trace_id").agg((F.max("idx") + 1).alias("n"))
+    back = near(rows, F.col("end"), F.col("start") + most - 1).join(levels, keys).where("x >= target").groupBy(*keys).agg(F.min("idx").alias("right"))
+    drops = lagged(rows, "x", 1, "past").select("trace_id", "idx", (F.col("past") - F.col("x")).alias("x"))
+    left = near(drops, F.col("start") - most, F.col("start")).where(f"x is null or x < {least_fall}").groupBy(*keys).agg(F.max("idx").alias("left"))
+    grown = seeds.join(back, keys, "left").join(left, keys, "left").join(ends, "trace_id")
+    whole = masks.merged(
+        grown.select("trace_id", F.coalesce("left", F.greatest(F.col("start") - most, F.lit(0))).alias("start"), F.greatest(F.col("end"), F.coalesce("right", F.least("n", F.col("start") + most))).alias("end")), 1
+    )
+    kept = whole.where((F.col("end") - F.col("start") >= 2) & (F.col("end") - F.col("start") <= longest)).join(ends, "trace_id")
+    return masks.merged(kept.select("trace_id", F.greatest(F.col("start") - 1, F.lit(0)).alias("start"), F.least(F.col("end") + 2, F.col("n")).alias("end")))
 
 
 def waveforms(df: DataFrame, spikes: DataFrame, column: str, half: int) -> DataFrame:

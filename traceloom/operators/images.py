@@ -282,3 +282,9 @@ def tracked_masks(frames: DataFrame, weights: DataFrame, local: int = 1, bound:
     from traceloom.operators.grouped import map_groups
 
     return map_groups(rows, ["stack", "mask"], "place", run, ["stack", "mask", "frame", "dy", "dx", "score", "visible_fraction", "signal"], {"state": "string"})
+
+
+def roi_crops(frames: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``(stack, frame, roi, y, x, v)``: every frame cut to each of its stack's boxes ``(stack, roi, x0, y0, x1, y1)``."""
+    met = pixels(frames).join(boxes, "stack").where("x >= x0 and x < x1 and y >= y0 and y < y1")
+    return met.select("stack", "frame", "roi", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "v")

@@ -345,3 +345,11 @@ def session_steps(spark, d):
 def tracked_masks(spark, d):
     """Masks followed from frame to frame."""
     return images.tracked_masks(_frames(spark, d), _mask(spark))
+
+
+@query(_P + "z as (select 1) select stack, frame, cast((y // 4) * 2 + x // 4 + 1 as bigint) roi, y % 4 y, x % 4 x, cast(v as float) v from px")
+def roi_crops(spark, d):
+    """Frames cut into their tiles."""
+    frames = _frames(spark, d)
+    layout = frames.select("stack", "width", "height").distinct().select("*", F.lit(4).alias("box_width"), F.lit(4).alias("box_height"), F.lit(4).alias("roi_count"))
+    return images.roi_crops(frames, images.roi_boxes(layout)).withColumn("v", F.col("v").cast("float"))

@@ -638,3 +638,40 @@ def template_spikes(spark, d):
     chosen = F.when(F.col("status").isin("accepted", "manual") | (F.col("source") == "manual"), F.col("spike_index"))
     out = once.groupBy(F.col("trace_name").alias("trace_id")).agg(F.sort_array(F.collect_list(chosen)).alias("templates"), F.count_if(F.col("status") == "deleted").alias("deleted"))
     return out.withColumn("templates", F.when(F.size("templates") > 0, F.col("templates")))
+
+
+@query()
+def artifact_regions(spark, d):
+    """Whole downward dropouts."""
+    return detection.artifact_regions(_present(spark, d), "raw")
+
+
+@query()
+def without_artifacts(spark, d):
+    """Samples with dropouts replaced along the line in time between their neighbours."""
+    rows = _samples(spark, d)
+    marked = masks.covered(rows, detection.artifact_regions(rows.where("raw is not null"), "raw"), "artifact")
+    return signals.interpolated(marked, "raw", F.col("artifact"), "t", "clean").select("trace_id", "idx", "artifact", "clean")
+
+
+@query(
+    _X
+    + """k as (select trim(split_part(trace_id, '|', 1)) recording_id, (max(t) - min(t)) / 4 q from x where t is not null group by 1), l as (select *, case when q > 0 then pow(10.0, floor(log10(q))) end pw from k)
+select recording_id, cast(case when q > 0 then pw * case when q / pw >= 5 then 5 when q / pw >= 2 then 2 else 1 end else 1 end as float) bar from l"""
+)
+def time_scale(spark, d):
+    """A round length of a quarter of each recording's time at most."""
+    rows = _samples(spark, d).where("t is not null").groupBy(scalars.recording_of(F.col("trace_id")).alias("recording_id")).agg(((F.max("t") - F.min("t")) / 4).alias("q"))
+    return rows.select("recording_id", _f(scalars.nice_floor(F.col("q")), "bar"))
+
+
+@query(
+    _X
+    + """k as (select trim(split_part(trace_id, '|', 1)) recording_id, quantile_cont(raw, 0.005) lo, quantile_cont(raw, 0.995) hi from p group by 1)
+select recording_id, cast(lo - 0.15 * (hi - lo) as float) least, cast(hi + 0.15 * (hi - lo) as float) most from k"""
+)
+def panel_range(spark, d):
+    """Range of a recording's panel: percentiles of all its samples with a margin."""
+    rows = _present(spark, d).groupBy(scalars.recording_of(F.col("trace_id")).alias("recording_id")).agg(F.percentile("raw", F.lit(0.005)).alias("lo"), F.percentile("raw", F.lit(0.995)).alias("hi"))
+    wide = 0.15 * (F.col("hi") - F.col("lo"))
+    return rows.select("recording_id", _f(F.col("lo") - wide, "least"), _f(F.col("hi") + wide, "most"))

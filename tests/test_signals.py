@@ -70,6 +70,11 @@ def test_motion(spark):
     df = spark.createDataFrame(frames, "stack long, frame long, height int, width int, pixels array<double>")
     got = {r["frame"]: (r["dy"], r["dx"]) for r in images.motion_shifts(df, 3).collect()}
     assert got == {0: (0, 0), 1: (0, 0), 2: (0, 0), 3: (-1, 2)}
+    again = {r["frame"]: (r["dy"], r["dx"]) for r in images.motion_shifts(df, 3, "mean", 2).collect()}
+    assert again == got == {r["frame"]: (r["dy"], r["dx"]) for r in images.motion_shifts(df, 3, "first").collect()}
+    boxes = spark.createDataFrame([(0, i + 1, i * 8, 0, i * 8 + 8, 16) for i in range(2)], "stack long, roi long, x0 long, y0 long, x1 long, y1 long")
+    tiles = images.tile_shifts(df, boxes, 16, 8, 1).collect()
+    assert len(tiles) == 8 and all((r["dy"], r["dx"]) == (0, 0) for r in tiles if r["frame"] < 3)
 
 
 def test_components(spark):

@@ -187,14 +187,21 @@ def estimate_shift(reference: np.ndarray, moving: np.ndarray, most: int) -> tupl
     return int(y) - most, int(x) - most, float(near[y, x])
 
 
-def motion_shifts(frames: DataFrame, most: int = 2) -> DataFrame:
-    """``(stack, frame, dy, dx, peak)``: the shift of every frame against its stack's mean.
+def frames_of(rows: DataFrame, height: int, width: int) -> DataFrame:
+    """Frames of pixels ``(stack, frame, y, x, v)`` of one size."""
+    packed = rows.groupBy("stack", "frame").agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
+    return packed.select("stack", "frame", F.lit(height).alias("height"), F.lit(width).alias("width"), F.col("p.v").alias("pixels"))
 
-    The mean image comes from a native aggregate and is joined to the frames by stack; each batch of frames is transformed
-    in one Arrow call.
-    """
-    mean = pixels(frames).groupBy("stack", "y", "x").agg(F.avg("v").alias("m")).groupBy("stack").agg(F.array_sort(F.collect_list(F.struct("y", "x", "m"))).alias("mean"))
-    paired = frames.join(mean, "stack").select("stack", "frame", "height", "width", "pixels", F.col("mean.m").alias("mean"))
+
+def _mean_images(rows: DataFrame) -> DataFrame:
+    """``(stack, reference)``: the mean of a stack's pixels as an array."""
+    mean = rows.groupBy("stack", "y", "x").agg(F.avg("v").alias("m"))
+    return mean.groupBy("stack").agg(F.sort_array(F.collect_list(F.struct("y", "x", "m"))).alias("r")).select("stack", F.col("r.m").alias("reference"))
+
+
+def _shifts_against(frames: DataFrame, references: DataFrame, most: int) -> DataFrame:
+    """Shift of every frame against its stack's reference; frames are transformed batch by batch in Arrow calls."""
+    paired = frames.join(references, "stack").select("stack", "frame", "height", "width", "pixels", "reference")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,6 +218,32 @@ def motion_shifts(frames: DataFrame, most: int = 2) -> DataFrame:
     return paired.mapInArrow(run, f"stack {kind['stack']}, frame {kind['frame']}, dy bigint, dx bigint, peak double")
 
 
+def motion_shifts(frames: DataFrame, most: int = 2, reference: str = "mean", rounds: int = 1) -> DataFrame:
+    """``(stack, frame, dy, dx, peak)``: the shift of every frame against its stack's reference.
+
+    The reference is the stack's first frame (``first``) or its mean image, which with more ``rounds`` is taken again from the
+    frames as they are moved so far.  Means are native aggregates, joined to the frames by stack.
+    """
+    if reference == "first":
+        first = frames.groupBy("stack").agg(F.min_by("pixels", "frame").alias("reference"))
+        return _shifts_against(frames, first, most)
+    shifts = _shifts_against(frames, _mean_images(pixels(frames)), most)
+    for _ in range(rounds - 1):
+        shifts = cut_lineage(shifts)
+        shifts = _shifts_against(frames, _mean_images(shifted(frames, shifts.select("stack", "frame", "dy", "dx"))), most)
+    return shifts
+
+
+def tile_shifts(frames: DataFrame, boxes: DataFrame, height: int, width: int, most: int = 2) -> DataFrame:
+    """``(stack, roi, frame, dy, dx, peak)``: each tile of a stack moved on its own against its first frame."""
+    cut = roi_crops(frames, boxes).withColumn("tile", F.struct("stack", "roi"))
+    tiles = frames_of(cut.select(F.to_json("tile").alias("stack"), "frame", "y", "x", "v"), height, width)
+    out = motion_shifts(tiles, most, "first")
+    kind = dict(frames.dtypes)["stack"]
+    place = F.from_json("stack", f"stack {kind}, roi bigint")
+    return out.select(place["stack"].alias("stack"), place["roi"].alias("roi"), "frame", "dy", "dx", "peak")
+
+
 def mask_shifts(frames: DataFrame, weights: DataFrame, radius: int) -> DataFrame:
     """``(stack, frame, mask, dy, dx, score, visible, signal)``: where each mask fits each frame best, near its place.
 

@@ -353,3 +353,17 @@ def roi_crops(spark, d):
     frames = _frames(spark, d)
     layout = frames.select("stack", "width", "height").distinct().select("*", F.lit(4).alias("box_width"), F.lit(4).alias("box_height"), F.lit(4).alias("roi_count"))
     return images.roi_crops(frames, images.roi_boxes(layout)).withColumn("v", F.col("v").cast("float"))
+
+
+@query()
+def shared_template_shifts(spark, d):
+    """Shift of each frame against a mean image that is refined once."""
+    return images.motion_shifts(_frames(spark, d), 2, "mean", 2)
+
+
+@query()
+def tile_first_shifts(spark, d):
+    """Shift of each tile against its first frame."""
+    frames = _frames(spark, d)
+    layout = frames.select("stack", "width", "height").distinct().select("*", F.lit(4).alias("box_width"), F.lit(4).alias("box_height"), F.lit(4).alias("roi_count"))
+    return images.tile_shifts(frames, images.roi_boxes(layout), 4, 4, 1)

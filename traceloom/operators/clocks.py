@@ -73,7 +73,10 @@ def sampling_rates(recordings: DataFrame) -> DataFrame:
 
 
 def clock_records(trace_samples: DataFrame, spikes: DataFrame, signal_frames: DataFrame) -> DataFrame:
-    """``(table_name, series_key, pos, x, owner, note_unit)`` of the three tables, each key once, without null or NaN times."""
+    """``(table_name, series_key, pos, x, owner, note_unit)`` of the three tables, each key once.
+
+    Null and NaN times and rows without a series or position are left out; of repeated keys the smallest time counts.
+    """
 
     def one(df: DataFrame, name: str, series: str, pos: str, x: str, note: Column) -> DataFrame:
         value = F.col(x).cast("double")

@@ -88,6 +88,12 @@ def rolling_rank(df: DataFrame, column: str, half: int, out: str, percentile: fl
     rank = half if percentile is None else min(int(width * percentile / 100), width - 1)
     if half > WIDE:
         return _wide_rolling_rank(df, column, half, out, rank, edges)
+    held, window = _window_arrays(df, column, half, edges)
+    return own_rows(held.withColumn(out, F.get(F.sort_array(window), F.lit(rank)))).drop("row", "n", "first", "last", "w")
+
+
+def _window_arrays(df: DataFrame, column: str, half: int, edges: str) -> tuple[DataFrame, Column]:
+    """Rows of pieces, and the array of each row's window with what stands beyond the trace's ends filled in."""
     rows = numbered(df).join(trace_ends(df, column).select("trace_id", "n", "first", "last"), "trace_id")
     held = with_halo(rows, min(PIECE, 4 * half + 8)).withColumn("w", F.collect_list(column).over(along().rowsBetween(-half, half)))
     left, right = F.greatest(F.lit(half) - F.col("row"), F.lit(0)), F.greatest(F.lit(half) - (F.col("n") - 1 - F.col("row")), F.lit(0))
@@ -97,8 +103,16 @@ def rolling_rank(df: DataFrame, column: str, half: int, out: str, percentile: fl
         front = F.when(left > 0, F.reverse(F.slice("w", F.lit(2), left.cast("int")))).otherwise(F.slice("w", 1, 0))
         inner = F.size("w") - right
         back = F.when(right > 0, F.reverse(F.slice("w", F.greatest(inner, F.lit(1)).cast("int"), right.cast("int")))).otherwise(F.slice("w", 1, 0))
-    filled = F.sort_array(F.concat(front, F.col("w"), back))
-    return own_rows(held.withColumn(out, F.get(filled, F.lit(rank)))).drop("row", "n", "first", "last", "w")
+    return held, F.concat(front, F.col("w"), back)
+
+
+def polynomial_smooth(df: DataFrame, column: str, half: int, order: int, out: str) -> DataFrame:
+    """Add ``out``: the middle of a least-squares polynomial over each centred window, ends repeated (Savitzky-Golay)."""
+    powers = np.vander(np.arange(-half, half + 1), order + 1, increasing=True)
+    weights = F.array(*(F.lit(float(w)) for w in np.linalg.pinv(powers)[0]))
+    held, window = _window_arrays(df, column, half, "nearest")
+    value = F.aggregate(F.zip_with(window, weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return own_rows(held.withColumn(out, value)).drop("row", "n", "first", "last", "w")
 
 
 def _wide_rolling_rank(df: DataFrame, column: str, half: int, out: str, rank: int, edges: str) -> DataFrame:

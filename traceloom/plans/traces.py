@@ -675,3 +675,14 @@ def panel_range(spark, d):
     rows = _present(spark, d).groupBy(scalars.recording_of(F.col("trace_id")).alias("recording_id")).agg(F.percentile("raw", F.lit(0.005)).alias("lo"), F.percentile("raw", F.lit(0.995)).alias("hi"))
     wide = 0.15 * (F.col("hi") - F.col("lo"))
     return rows.select("recording_id", _f(F.col("lo") - wide, "least"), _f(F.col("hi") + wide, "most"))
+
+
+@query(
+    _X
+    + """o as (select trace_id, idx, row, len, unnest(range(-2, 3)) k from n),
+w as (select o.trace_id, o.idx, sum(v.raw * case abs(k) when 0 then 17.0 when 1 then 12.0 else -3.0 end / 35.0) y from o join n v on v.trace_id = o.trace_id and v.row = least(greatest(o.row + k, 0), o.len - 1) group by 1, 2)
+select trace_id, idx, cast(round(y, 6) as float) smooth from w"""
+)
+def polynomial_smooth(spark, d):
+    """Quadratic least squares over five samples, ends repeated."""
+    return signals.polynomial_smooth(_present(spark, d), "raw", 2, 2, "smooth").select("trace_id", "idx", _f(F.round("smooth", 6), "smooth"))

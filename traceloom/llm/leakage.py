@@ -366,7 +366,9 @@ def leaked(documents: DataFrame, eval_items: DataFrame, key: str = "doc_id", tex
         return documents.select(key, F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("held")).where("false")
     size = len(items.vocab) + 1
     wide = size > 65_535
-    encoded = cut_lineage(encode_words(documents, items.vocab, key, text))
+    # the packed words are a fraction of the texts: spread evenly, the later passes use all cores
+    tasks = max(2 * documents.sparkSession.sparkContext.defaultParallelism, documents.rdd.getNumPartitions())
+    encoded = cut_lineage(encode_words(documents, items.vocab, key, text).repartition(tasks, key))
     frequency = document_frequencies(encoded, size, wide)
     idf = np.log((encoded.count() + 1) / (frequency + 1)) + 0.1
     idf[0] = 0.0

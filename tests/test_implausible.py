@@ -50,3 +50,24 @@ def test_scores_are_the_same_again():
     x[7] = 40
     s = isolation_scores(x, np.array([0]))
     assert s.argmax() == 7 and (s == isolation_scores(x, np.array([0]))).all()
+
+
+def test_a_source_scores_the_same_in_any_batch():
+    x = np.random.default_rng(2).normal(size=(900, 3))
+    starts, seeds = np.array([0, 300, 320, 500]), np.array([3, 9, 4, 5])
+    together = isolation_scores(x, starts, seeds=seeds)
+    for a, b, k in zip(starts, np.r_[starts[1:], 900], seeds):
+        assert (isolation_scores(x[a:b], np.array([0]), seeds=np.array([k])) == together[a:b]).all()
+
+
+def test_few_readings_are_all_drawn():
+    # without replacement every tree of a small source holds all its readings: equal ones can't be told apart
+    x = np.r_[np.zeros(40), 1.0][:, None]
+    s = isolation_scores(x, np.array([0]))
+    one = 2.0 ** (-1 / (2 * (np.log(40) + 0.5772156649) - 2 * 40 / 41))
+    assert np.isclose(s[-1], one, atol=1e-5) and np.ptp(s[:-1]) == 0
+
+
+def test_the_gate_keeps_ordinary_readings_out():
+    out = I.judge(np.arange(4000), course(4000, 5))
+    assert (out.score < I.ISOLATED).mean() > 0.8

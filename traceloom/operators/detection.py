@@ -8,7 +8,7 @@ that it starts in, and is found whole as long as it and what it depends on lie w
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.peaks import find_peaks, schmitt, zero_phase_butterworth
@@ -158,15 +158,29 @@ def region_stats(df: DataFrame, regions: DataFrame, column: str) -> DataFrame:
     )
 
 
-def nearest_sample(df: DataFrame, wanted: DataFrame, bucket: float) -> DataFrame:
-    """``(trace_id, at, idx)``: the sample nearest in time to each wanted time, the earlier of equals.
+def nearest_sample(df: DataFrame, wanted: DataFrame, piece: int = PIECE) -> DataFrame:
+    """``(trace_id, at, idx)``: the sample nearest in time to each wanted time, however far, the earlier of equals.
 
-    Both sides meet in buckets of time and the ones beside; a wanted time without a sample within a bucket's width gets none.
+    Samples and wanted times of a trace stand in one order of time, cut into about as many pieces as it has times ``piece``
+    samples; the nearest is the last sample up to the wanted time or the first from it on.  Where either lies in another
+    piece, it is found in the piece ends, one row per piece.  Only traces without samples in time get null.
     """
-    b = lambda c: F.floor(F.col(c) / bucket)
-    near = wanted.select("trace_id", "at", F.explode(F.array(b("at") - 1, b("at"), b("at") + 1)).alias("b"))
-    met = df.where("t is not null").select("trace_id", "idx", "t", b("t").alias("b")).join(near, ["trace_id", "b"])
-    best = met.groupBy("trace_id", "at").agg(F.min_by("idx", F.struct(F.abs(F.col("t") - F.col("at")), "t", "idx")).alias("idx"))
+    rows = df.where("t is not null").select("trace_id", F.col("t").cast("double").alias("x"), F.col("idx"))
+    spread = rows.groupBy("trace_id").agg(F.ceil(F.count("*") / piece).alias("k"), F.percentile_approx("x", [0.01, 0.99]).alias("q"))
+    both = rows.unionByName(wanted.select("trace_id", F.col("at").cast("double").alias("x")).distinct(), allowMissingColumns=True)
+    place = F.floor(F.least(F.greatest((F.col("x") - F.col("q")[0]) / (F.col("q")[1] - F.col("q")[0]), F.lit(0.0)), F.lit(1.0)) * F.col("k"))
+    cut = both.join(spread, "trace_id").select("trace_id", "x", "idx", F.when((F.col("k") > 1) & (F.col("q")[1] > F.col("q")[0]), place).otherwise(0).alias("piece"))
+    past, next_ = F.when(F.col("idx").isNotNull(), F.struct("x", (-F.col("idx")).alias("i"))), F.when(F.col("idx").isNotNull(), F.struct("x", F.col("idx").alias("i")))
+    ends = cut.groupBy("trace_id", "piece").agg(F.max(past).alias("hi"), F.min(next_).alias("lo"))
+    earlier = Window.partitionBy("trace_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("trace_id").orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
+    seams = ends.select("trace_id", "piece", F.max("hi").over(earlier).alias("seam_before"), F.min("lo").over(later).alias("seam_after"))
+    inside, so_far = Window.partitionBy("trace_id", "piece"), (Window.unboundedPreceding, Window.currentRow)
+    met = cut.withColumn("l", F.max(past).over(inside.orderBy("x", F.col("idx").isNull()).rowsBetween(*so_far)))
+    met = met.withColumn("r", F.min(next_).over(inside.orderBy(F.desc("x"), F.col("idx").isNull()).rowsBetween(*so_far)))
+    met = met.where("idx is null").join(seams, ["trace_id", "piece"]).withColumn("l", F.coalesce("l", "seam_before")).withColumn("r", F.coalesce("r", "seam_after"))
+    left = F.col("r").isNull() | (F.col("x") - F.col("l.x") <= F.col("r.x") - F.col("x"))
+    best = met.select("trace_id", F.col("x").alias("at"), F.when(F.col("l").isNotNull() & left, -F.col("l.i")).otherwise(F.col("r.i")).alias("idx"))
     return wanted.select("trace_id", "at").distinct().join(best, ["trace_id", "at"], "left")
 
 

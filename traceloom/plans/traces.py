@@ -513,9 +513,12 @@ _WANTED = "wt as (select distinct trace_name trace_id, start_time wanted_t from
 select wt.trace_id, wt.wanted_t, coalesce(idx, -1) idx from wt left join (select * from c where k = 1) c on c.trace_id = wt.trace_id and c.wanted_t = wt.wanted_t"""
 )
 def nearest_sample(spark, d):
-    """The sample nearest in time to the start of each burst, -1 where there is none near."""
+    """The sample nearest in time to the start of each burst, -1 where the trace has no samples in time.
+
+    The SQL only looks at samples in the same or an adjacent five-wide stretch of time, so it differs wherever none is near.
+    """
     wanted = table(spark, d, "bursts").where("trace_name is not null").select(F.col("trace_name").alias("trace_id"), scalars.finite(F.col("start_time")).alias("at")).where("at is not null").distinct()
-    return detection.nearest_sample(_samples(spark, d), wanted, 5.0).select("trace_id", F.col("at").alias("wanted_t"), F.coalesce("idx", F.lit(-1)).cast("bigint").alias("idx"))
+    return detection.nearest_sample(_samples(spark, d), wanted).select("trace_id", F.col("at").alias("wanted_t"), F.coalesce("idx", F.lit(-1)).cast("bigint").alias("idx"))
 
 
 @query(

@@ -41,3 +41,19 @@ def test_empty(spark):
 
 def test_joined_lines():
     assert R.prose_lines("Heading\nThe quick brown fox was here and jum-\nped over it. Yes.\nmenu | item one two three four.\n\nA short end.") == ["The quick brown fox was here and jumped over it. Yes."]
+
+
+def test_mirrored_article_stays_and_long_furniture_goes(spark):
+    rng = np.random.default_rng(4)
+    nouns = ["cat", "dog", "boat", "tree", "house", "river", "lamp", "bread", "stone", "horse", "cloud", "field"]
+    prose = lambda k: "\n".join(f"The {a} was on the {b} and the {c} was in the {d} number {'abcdefghijklmnopqrstuvwxyz'[i]}{'x' * k}." for i, (a, b, c, d) in enumerate(rng.choice(nouns, (12, 4))))
+    long = "This site and its partners store small files on your device and read them again later. " * 4 + "You agree to it."
+    menus = ["Sign in now to read more of it.", "All rights are reserved by us.", "Write to us if you like it."]
+    mirrored = prose(0)
+    rows = [(i, f"{menus[i % 3]}\n{mirrored}\n{long if i % 2 else menus[(i + 1) % 3]}") for i in range(12)]
+    rows += [(100 + i, f"{menus[i % 3]}\n{prose(i + 1)}\n{long}") for i in range(24)]
+    got = R.furniture(spark.createDataFrame(rows, "doc_id long, text string"), "text")
+    assert got == {R.line_key(x) for x in [*menus, long]}
+    graded = [(1, "basic", mirrored), (2, "advanced", long)]
+    levels = R.reading_levels(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(graded, "passage_id long, band string, passage string")).collect()
+    assert {r["doc_id"]: r["words"] for r in levels} == {i: 12 * 15 for i, _ in rows}

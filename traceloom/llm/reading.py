@@ -6,6 +6,7 @@ sentences; the mean length of words stands beside them, as frequency alone doesn
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -23,9 +24,12 @@ from traceloom.session import cut_lineage
 #: The familiar words are the so many that stand in most articles of the corpus.
 FAMILIAR = 800
 
-#: A line of at most ``LINE`` letters that stands in this share of all pages (and in three at least) is page furniture.  No
-#: more than lines-a-page / ``FURNITURE`` lines can be, whatever the size of the corpus.
-FURNITURE, LINE = 0.002, 200
+#: A line that stands with this share of all different articles (and with three at least) is page furniture; copies of an
+#: article count once.  No more than lines-a-page / ``FURNITURE`` lines can be, whatever the size of the corpus.
+FURNITURE = 0.002
+
+#: Of lines with more letters a digest is the key.  No line has the key ``ALL``.
+LONG, ALL = 200, "*"
 
 #: An article has at least so many words, and so large a share of them are English function words.
 LEAST_WORDS, ENGLISH = 100, 0.13
@@ -70,7 +74,8 @@ def prose_lines(text: str | None) -> list[str]:
 
 def line_key(line: str) -> str:
     """The letters of a line, which stay the same where numbers, marks or broken characters differ."""
-    return _NO_LETTERS.sub("", line.lower())
+    letters = _NO_LETTERS.sub("", line.lower())
+    return letters if len(letters) <= LONG else hashlib.blake2b(letters.encode(), digest_size=16).hexdigest()
 
 
 def _counted(df: DataFrame, column: str, name: str, of) -> DataFrame:
@@ -94,11 +99,50 @@ def _counted(df: DataFrame, column: str, name: str, of) -> DataFrame:
     return df.select(column).mapInArrow(run, f"{name} string, n bigint").groupBy(name).agg(F.sum("n").alias("n"))
 
 
+def body(lines: dict[str, int], shared: frozenset[str]) -> str:
+    """What tells a page's article from others: its longest line, given all lines by their keys with their lengths.
+
+    The line is taken from those that aren't shared by many pages, unless these make up less than half of the page: then the
+    page is a copy, and beside its shared lines there are only comments and the like.
+    """
+    own = {k: n for k, n in lines.items() if k not in shared}
+    among = own if 2 * sum(own.values()) >= sum(lines.values()) else lines.keys() & shared
+    return max(among, key=lambda k: (lines[k], k))
+
+
 def furniture(documents: DataFrame, text: str) -> frozenset[str]:
-    """Keys of the lines that stand in too many pages to be anyone's own prose, over all pages."""
-    keys = lambda t: {line_key(x) for x in prose_lines(t) if len(x) <= LINE}
-    least = max(3.0, FURNITURE * documents.count())
-    return frozenset(r["line"] for r in _counted(documents, text, "line", keys).where(F.col("n") >= least).select("line").collect())
+    """Keys of the lines that stand with too many different articles to be anyone's own prose, over all pages.
+
+    Lines that stand in many pages are looked at again: those of an article that is mirrored or fetched many times stand
+    with that one article only.
+    """
+    lengths = lambda t: {line_key(x): len(x) for x in prose_lines(t)}
+    counted = _counted(documents, text, "line", lambda t: lengths(t).keys())
+    pages = documents.count() / 2
+    while True:
+        least = max(3.0, FURNITURE * pages)
+        shared = frozenset(r["line"] for r in counted.where(F.col("n") >= least).select("line").collect())
+        articles_of = _different(documents, text, lengths, shared)
+        pages = articles_of.pop(ALL, 0)
+        # fewer articles than were reckoned with: lines that stand in fewer pages may be furniture too
+        if FURNITURE * pages >= least or least == 3.0:
+            return frozenset(k for k, n in articles_of.items() if n >= max(3.0, FURNITURE * pages))
+
+
+def _different(documents: DataFrame, text: str, lengths, shared: frozenset[str]) -> dict[str, int]:
+    """Of each of the shared lines, and of all pages under ``ALL``, the number of different articles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met = set()
+            for value in batch.column(0):
+                if lines := lengths(value.as_py()):
+                    own = body(lines, shared)
+                    met.update((k, own) for k in (ALL, *(lines.keys() & shared)))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in met], pa.string()), pa.array([b for _, b in met], pa.string())], names=["line", "body"])
+
+    pairs = documents.select(text).mapInArrow(run, "line string, body string").distinct()
+    return {r["line"]: r["count"] for r in pairs.groupBy("line").count().collect()}
 
 
 def articles(documents: DataFrame, known: frozenset[str], key: str, text: str) -> DataFrame:
@@ -106,7 +150,7 @@ def articles(documents: DataFrame, known: frozenset[str], key: str, text: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = ["\n".join(x for x in prose_lines(v.as_py()) if len(x) > LINE or line_key(x) not in known) for v in batch.column(1)]
+            own = ["\n".join(x for x in prose_lines(v.as_py()) if line_key(x) not in known) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(x.encode("utf-8", "replace"), 1) for x in own], pa.binary())], names=[key, "article"])
 
     return documents.select(key, text).mapInArrow(run, f"{key} {dict(documents.dtypes)[key]}, article binary")
@@ -182,7 +226,7 @@ def grade(features: np.ndarray, bands: list[str], rounds: int = 3000, rate: floa
 def reading_levels(documents: DataFrame, graded: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, words, sentence_words, unfamiliar, band)`` of every page whose own article is English prose of enough words.
 
-    ``unfamiliar`` is the share of words outside the list of familiar words.  Lines that many pages share, menus,
+    ``unfamiliar`` is the share of words outside the list of familiar words.  Lines that many different articles share, menus,
     headings, comments and fragments don't belong to the article.  Line counts and word counts go over the whole corpus;
     only bounded results come to the driver: the furniture lines, the familiar words and the graded passages.  Null and
     empty texts and other languages give no row; repeated pages come out as often as they stand in the table; without graded

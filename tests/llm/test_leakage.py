@@ -60,3 +60,28 @@ def test_no_items_or_documents(spark):
     assert L.leaked(docs, none).count() == 0
     some = spark.createDataFrame([(1, "one two three four", None)], "item_id long, passage string, question string")
     assert L.leaked(docs.where("false"), some).count() == 0
+
+
+def test_short_altered_and_interrupted_pieces(spark):
+    rng = random.Random(8)
+    vocab = [f"{a}{b}" for a in ("ka", "lo", "mi", "ru", "te", "vo", "zi", "pu", "ge") for b in ("ban", "dor", "fel", "gus", "hem", "jal", "nor", "wik")]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    texts = [say(26) for _ in range(10)] + [say(80) for _ in range(6)]
+    docs = []
+    for d in range(240):
+        w = texts[d % len(texts)]
+        n = len(w) // 2 + (d % 3) + 1
+        at = rng.randrange(len(w) - n + 1)
+        part = w[at : at + n]
+        if d % 2:
+            part[n // 3] = "altered"
+        if d % 5 == 0:
+            part[n // 2 : n // 2] = ["between"] * 130
+        docs.append((d, " ".join(say(rng.randrange(30, 90)) + part + say(50))))
+    coded = L.Items([(i, " ".join(t)) for i, t in enumerate(texts)])
+    every = set()
+    for d, text in docs:
+        page = L.np.array([coded.vocab.get(w, 0) for w in L.words(text)])
+        every |= {(d, i) for t, n in enumerate(L.aligned(coded.words, [page] * len(coded.words))) if n for i in coded.ids[t]}
+    got = L.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t), None) for i, t in enumerate(texts)], "item_id long, passage string, question string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == every and len(every) > 200

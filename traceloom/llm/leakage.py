@@ -32,6 +32,9 @@ HELD, UNALTERED = 0.5, 0.9
 #: What a piece's matches must be worth after the costs of what is altered and put in between.
 COHERENT = 0.5
 
+#: Costs in matched words of an altered or left-out word, of beginning to put words in between and of each further one.
+COST, OPENING, ONWARD = 0.6, 1.5, 0.01
+
 #: Words that a page may put in between at one place, and on either side of where a test text is expected.
 BETWEEN = 40
 
@@ -104,6 +107,23 @@ class Items:
                 place.append(start)
         return np.array(rows).reshape(-1, WINDOW), np.array(owner, dtype=np.int32), np.array(place, dtype=np.int32)
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of neighbouring words, where the texts of each begin in the next array, the texts, and the least shared pairs.
+
+        Of the matched words of a piece that counts, at most ``altered`` + ``between`` of a hundred are followed by a word
+        that isn't the next one of both the text and the page: more would cost more than ``COHERENT`` leaves.  All others
+        are pairs that the page has too.
+        """
+        size = len(self.vocab) + 1
+        key = np.concatenate([w[:-1].astype(np.int64) * size + w[1:] for w in self.words])
+        owner = np.repeat(np.arange(len(self.words)), [len(w) - 1 for w in self.words])
+        order = np.argsort(key, kind="stable")
+        known, first = np.unique(key[order], return_index=True)
+        altered = 1 / UNALTERED - 1
+        between = (1 - COHERENT - COST * altered) / OPENING
+        matched = np.ceil(UNALTERED * np.ceil(HELD * np.array([len(w) for w in self.words])) - 1e-6)
+        return known, np.r_[first, len(key)], owner[order], np.ceil((1 - altered - between) * matched - 1 - 0.01).astype(np.int64)
+
 
 def encode_words(documents: DataFrame, vocab: dict[str, int], key: str, text: str) -> DataFrame:
     """``(key, ids)``: each document's words as ids of the test texts' vocabulary, 0 for other words, packed."""
@@ -240,7 +260,7 @@ def aligned(items: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
     size = np.array([len(a) for a in items])
     need = np.ceil(HELD * size)[:, None]
     place = np.arange(wide, dtype=np.float32)
-    cost, opening, onward = np.float32(0.6), np.float32(1.5), np.float32(0.01)
+    cost, opening, onward = np.float32(COST), np.float32(OPENING), np.float32(ONWARD)
     low = np.float32(-1e6)
     score, hits, start = np.zeros((n, wide), np.float32), np.zeros((n, wide), np.float32), np.tile(place, (n, 1))
     gap, gap_hits, gap_start = np.full((n, wide), low), np.zeros((n, wide), np.float32), np.zeros((n, wide), np.float32)
@@ -285,7 +305,7 @@ def aligned(items: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
 def may_hold(items: list[np.ndarray], regions: list[np.ndarray], size: int) -> np.ndarray:
     """Whether a region has the words for a piece of a text at all, in any order: a test that no leak fails.
 
-    A piece that counts has, somewhere in it, ``HELD`` of the text in a row with ``UNALTERED`` of the words in the region.
+    A piece that counts spans ``HELD`` of the text in a row or more, with ``UNALTERED`` of the words of that in the region.
     """
     n, wide = len(items), max(map(len, items))
     rows = np.repeat(np.arange(n), [len(r) for r in regions])
@@ -295,23 +315,43 @@ def may_hold(items: list[np.ndarray], regions: list[np.ndarray], size: int) -> n
     text = np.zeros((n, wide), dtype=np.int64)
     for i, a in enumerate(items):
         text[i, : len(a)] = a
-    run = np.concatenate([np.zeros((n, 1), np.int32), np.cumsum(has[np.arange(n)[:, None], text], axis=1, dtype=np.int32)], axis=1)
     half = np.ceil(HELD * np.array([len(a) for a in items])).astype(int)
-    ends = np.minimum(np.arange(wide + 1)[None, :] + half[:, None], wide)
-    most = (run[np.arange(n)[:, None], ends] - run).max(axis=1)
-    return most >= np.floor(UNALTERED * half) - 1
+    place = np.arange(wide + 1)
+    over = np.concatenate([np.zeros((n, 1)), np.cumsum(has[np.arange(n)[:, None], text], axis=1)], axis=1) - UNALTERED * place
+    least = np.minimum.accumulate(over, axis=1)
+    before = np.take_along_axis(least, np.maximum(place[None, :] - half[:, None], 0), axis=1)
+    inside = (place[None, :] >= half[:, None]) & (place[None, :] <= np.array([len(a) for a in items])[:, None])
+    return (np.where(inside, over - before, -1.0) >= -1e-6).any(axis=1)
+
+
+def sharing(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int, pairs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
+    """Documents and texts that share as many pairs of neighbouring words as any piece that counts must have."""
+    known, first, owner, least = pairs
+    out: list[tuple[int, int]] = []
+    for d, (s, n) in enumerate(zip(starts, lengths)):
+        doc = flat[s : s + n].astype(np.int64)
+        met = np.unique((doc[:-1] * size + doc[1:])[(doc[:-1] > 0) & (doc[1:] > 0)])
+        at = np.minimum(np.searchsorted(known, met), max(len(known) - 1, 0))
+        at = at[known[at] == met] if len(known) else at[:0]
+        count = first[at + 1] - first[at]
+        every = np.repeat(first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        shared = np.bincount(owner[every], minlength=len(least))
+        out += [(d, int(t)) for t in np.flatnonzero(shared >= least)]
+    return out
 
 
 def search(encoded: DataFrame, items: Items, space: np.ndarray, wide: bool, key: str) -> DataFrame:
     """``(key, item, held)``: the documents that hold enough of a test text, and the number of its words that they hold.
 
     Each task holds the latent windows of the test texts, compares all passages of a batch with them by cosine, and aligns
-    the texts with the places of those that are near.  No candidate is dropped or capped.
+    the texts with the places of those that are near.  Short or altered pieces may lie between the windows, so every
+    document that shares the pairs of neighbouring words that a piece must have is aligned too, as a whole.  No candidate is
+    dropped or capped.
     """
     rows, owner, place = items.windows()
     query = space[rows].sum(axis=1)
     query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-9)
-    texts, item_ids, size = items.words, items.ids, len(space)
+    texts, item_ids, size, neighbours = items.words, items.ids, len(items.vocab) + 1, items.pairs()
     kind = dict(encoded.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +368,9 @@ def search(encoded: DataFrame, items: Items, space: np.ndarray, wide: bool, key:
                 expected = part[hit] - starts[doc[lo + hit]] - place[which]
                 for d, t, e in zip(doc[lo + hit].tolist(), owner[which].tolist(), (expected // BETWEEN).tolist()):
                     pairs[d, t, e] = None
-            todo = sorted(pairs, key=lambda p: (len(texts[p[1]]), p))
+            whole = sharing(flat, starts, lengths, size, neighbours)
+            covered = set(whole)
+            todo = sorted((p for p in pairs if p[:2] not in covered), key=lambda p: (len(texts[p[1]]), p))
             kept: list[tuple[int, int, np.ndarray]] = []
             for lo in range(0, len(todo), 512):
                 some = todo[lo : lo + 512]
@@ -338,6 +380,13 @@ def search(encoded: DataFrame, items: Items, space: np.ndarray, wide: bool, key:
                     regions.append(flat[starts[d] + a : starts[d] + max(a, min(b, lengths[d]))])
                 able = may_hold([texts[t] for _, t, _ in some], regions, size)
                 kept += [(d, t, r) for (d, t, _), r, ok in zip(some, regions, able) if ok]
+            for lo in range(0, len(whole), 512):
+                some = whole[lo : lo + 512]
+                regions = [flat[starts[d] : starts[d] + lengths[d]] for d, _ in some]
+                able = may_hold([texts[t] for _, t in some], regions, size)
+                kept += [(d, t, r) for (d, t), r, ok in zip(some, regions, able) if ok]
+            # texts and regions of like lengths together
+            kept.sort(key=lambda p: (len(texts[p[1]]) // 32, len(p[2])))
             found: dict[tuple[int, int], int] = {}
             for lo in range(0, len(kept), 256):
                 some = kept[lo : lo + 256]

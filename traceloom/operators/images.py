@@ -321,3 +321,11 @@ def roi_crops(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     """``(stack, frame, roi, y, x, v)``: every frame cut to each of its stack's boxes ``(stack, roi, x0, y0, x1, y1)``."""
     met = pixels(frames).join(boxes, "stack").where("x >= x0 and x < x1 and y >= y0 and y < y1")
     return met.select("stack", "frame", "roi", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "v")
+
+
+def tracked_signals(tracks: DataFrame) -> DataFrame:
+    """``(source_tiff, frame, mask_0, mask_1, ...)``: valid signals of every mask there is, and of the first three in any case."""
+    rows = tracks.where("source_tiff is not null")
+    there = sorted({0, 1, 2} | {r["mask_index"] for r in rows.where("mask_index is not null").select("mask_index").distinct().collect()})
+    wide = rows.groupBy("source_tiff", "frame").pivot("mask_index", there).agg(F.max(F.when(F.col("tv"), F.col("sg"))))
+    return wide.select("source_tiff", "frame", *(F.col(f"`{i}`").alias(f"mask_{i}") for i in there))

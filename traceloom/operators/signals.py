@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from traceloom.functions.scalars import finite
+from traceloom.functions.scalars import finite, recording_of, roi_of
 from traceloom.operators.grouped import map_groups
 
 #: Positions in a piece of a trace.
@@ -222,3 +222,14 @@ def aligned_windows(df: DataFrame, onsets: DataFrame, before: int, after: int) -
     rows = df.withColumn("bucket", F.floor(F.col("idx") / width))
     near = rows.join(wanted, ["trace_id", "bucket"]).where((F.col("idx") >= F.col("onset") - before) & (F.col("idx") <= F.col("onset") + after))
     return near.withColumn("offset", F.col("idx") - F.col("onset")).drop("bucket")
+
+
+def aligned_panel(df: DataFrame, column: str) -> DataFrame:
+    """``(recording_id, row_no, regions)``: the values of all regions of a recording by row number, as a map by region.
+
+    A panel is as long as the shortest region; of traces with the same recording and region the highest value counts.
+    """
+    rows = numbered(df).select(recording_of(F.col("trace_id")).alias("recording_id"), roi_of(F.col("trace_id")).alias("roi"), F.col("row").alias("row_no"), F.col(column).alias("v"))
+    ends = rows.groupBy("recording_id", "roi").agg((F.max("row_no") + 1).alias("n")).groupBy("recording_id").agg(F.min("n").alias("n"))
+    held = rows.join(ends, "recording_id").where("row_no < n").groupBy("recording_id", "row_no", "roi").agg(F.max("v").alias("v"))
+    return held.groupBy("recording_id", "row_no").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("roi", "v")))).alias("regions"))

@@ -269,9 +269,8 @@ def track_summary(spark, d):
 
 @query(_TRACKS + "select source_tiff, frame, max(sg) filter (mask_index = 0 and tv) mask_0, max(sg) filter (mask_index = 1 and tv) mask_1, max(sg) filter (mask_index = 2 and tv) mask_2 from t where source_tiff is not null group by 1, 2")
 def tracked_signals(spark, d):
-    """Signals of the first three masks side by side by frame."""
-    wide = _tracks(spark, d).where("source_tiff is not null").groupBy("source_tiff", "frame").pivot("mask_index", [0, 1, 2]).agg(F.max(F.when(F.col("tv"), F.col("sg"))))
-    return wide.select("source_tiff", "frame", *(F.col(str(i)).alias(f"mask_{i}") for i in range(3)))
+    """Signals of all masks side by side by frame; the first three always have a column, as in the SQL."""
+    return images.tracked_signals(_tracks(spark, d))
 
 
 @query(

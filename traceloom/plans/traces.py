@@ -625,10 +625,11 @@ def plateau_signal_types(spark, d):
 select recording_id, row as row_no, max(raw) filter (roi = 'ROI 01') roi_01, max(raw) filter (roi = 'ROI 02') roi_02, max(raw) filter (roi = 'ROI 03') roi_03 from k group by 1, 2"""
 )
 def aligned_panel(spark, d):
-    """The first three regions of each recording side by side by row number."""
-    rows = signals.numbered(_present(spark, d)).select(scalars.recording_of(F.col("trace_id")).alias("recording_id"), scalars.roi_of(F.col("trace_id")).alias("roi"), F.col("row").alias("row_no"), "raw")
-    wide = rows.groupBy("recording_id", "row_no").pivot("roi", [f"ROI {i:02d}" for i in (1, 2, 3)]).agg(F.max("raw"))
-    return wide.select("recording_id", "row_no", *(F.col(f"ROI {i:02d}").alias(f"roi_{i:02d}") for i in (1, 2, 3)))
+    """All regions of each recording side by side by row number, up to the end of the shortest: ``regions`` by their names.
+
+    The SQL has only the first three regions, as columns, and goes on after the end of the shortest.
+    """
+    return signals.aligned_panel(_present(spark, d), "raw")
 
 
 @query(

@@ -11,10 +11,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.functions.peaks import find_peaks, schmitt, zero_phase_butterworth
+from traceloom.functions.peaks import find_peaks, zero_phase_butterworth
+from traceloom.functions.scalars import finite
 from traceloom.operators import masks, stats
 from traceloom.operators.grouped import map_groups
-from traceloom.operators.signals import aligned_windows, lagged, rolling_rank, with_halo
+from traceloom.operators.ordered import bucketed_lag
+from traceloom.operators.signals import aligned_windows, lagged, numbered, rolling_rank, with_halo
 from traceloom.session import cut_lineage
 
 #: Samples in a piece and in the halo on either side of it.
@@ -42,13 +44,25 @@ def threshold_spikes(df: DataFrame, column: str, k: float = 5.0, prominence_k: f
 
 
 def triggered_regions(df: DataFrame, column: str, high: str, low: str, enter: int, leave: int) -> DataFrame:
-    """``(trace_id, start, end)`` where a trigger with two thresholds is on; ``high`` and ``low`` are columns."""
-    held = with_halo(df, HALO, PIECE).select("trace_id", "idx", F.col(column).cast("double").alias("v"), F.col(high).cast("double").alias("hi"), F.col(low).cast("double").alias("lo"), "piece", "own")
+    """``(trace_id, start, end)`` where a trigger with two thresholds is on; ``high`` and ``low`` are columns.
 
-    def run(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        return np.flatnonzero(schmitt(g["v"], g["hi"], g["lo"], enter, leave) & g["own"].astype(bool)), {}
+    It goes on where ``enter`` values in a row begin to be above ``high``, off where ``leave`` in a row begin to be at or below
+    ``low``, and stays on to the trace's end otherwise, over any distance.  Missing values and positions end a row of values
+    and change nothing else.  Thresholds must not be crossed (``high`` below ``low``).
 
-    return masks.regions_of(map_groups(held, ["trace_id", "piece"], "idx", run, ["trace_id", "idx"], {}), F.lit(True))
+    Runs of values are found as regions; of the beginnings of runs, in order, those count that change the state: each knows
+    the one before by ``bucketed_lag``, so a trace of any length is many groups.
+    """
+    v, hi, lo = (finite(F.col(c)) for c in (column, high, low))
+    on = masks.at_least(masks.regions_of(df, v > hi), enter).select("trace_id", F.col("start").alias("idx"), F.lit(True).alias("on"))
+    off = masks.at_least(masks.regions_of(df, v <= lo), leave).select("trace_id", F.col("start").alias("idx"), F.lit(False).alias("on"))
+    bucket = F.floor(F.col("idx") / PIECE)
+    events = bucketed_lag(on.unionByName(off), ["trace_id"], bucket, ["idx"], "on", "was")
+    turns = cut_lineage(events.where("on <> coalesce(was, false)").select("trace_id", "idx", "on"))
+    closed = bucketed_lag(turns, ["trace_id"], bucket, ["idx"], "idx", "start").where("not on").select("trace_id", "start", F.col("idx").alias("end"))
+    last = turns.groupBy("trace_id").agg(F.max_by("on", "idx").alias("on"), F.max("idx").alias("start")).where("on")
+    ends = df.groupBy("trace_id").agg((F.max("idx") + 1).alias("end"))
+    return closed.unionByName(last.join(ends, "trace_id").select("trace_id", "start", "end"))
 
 
 def long_plateaus(df: DataFrame, column: str, half: int = 50, drift_percentile: float = 20.0, entry_k: float = 5.0, exit_k: float = 2.0, exit_fraction: float = 0.5, enter: int = 10, leave: int = 10, shortest: int = 20) -> DataFrame:
@@ -71,9 +85,7 @@ def long_plateaus(df: DataFrame, column: str, half: int = 50, drift_percentile:
 
 def _dropout_seeds(df: DataFrame, column: str, window: int, low: float, depth: float, fall: float) -> DataFrame:
     """Samples low, well below the median of the last ``window`` samples, and just falling, as regions."""
-    from pyspark.sql import Window
-
-    held = with_halo(df, 4 * window, PIECE)
+    held = with_halo(numbered(df), window + 2, PIECE, "row")
     order = Window.partitionBy("trace_id", "piece").orderBy("idx")
     held = held.withColumn("usual", F.percentile(column, F.lit(0.5)).over(order.rowsBetween(1 - window, 0))).withColumn("step", F.col(column) - F.lag(column).over(order))
     falling = F.coalesce(F.col("step") <= -fall, F.lit(False))
@@ -195,9 +207,13 @@ def nearest_spike(df: DataFrame, spikes: DataFrame, tolerance: int = 8) -> DataF
 def filtered(df: DataFrame, column: str, fs: str, cutoff: float, order: int, highpass: bool, out: str) -> DataFrame:
     """Add ``out``: a zero-phase Butterworth low-pass or high-pass; missing values are bridged linearly first.
 
-    Each piece brings the halo along, of which the filter's mirror padding takes the outer part.
+    Each piece brings as many rows of its neighbours along as the filter's answer to a single value lasts (``HALO``, or 64
+    periods of the cutoff over the order), so where a trace is cut makes no difference; only its own ends are mirrored.  Rows
+    at a rate that isn't positive stay as they are.
     """
-    held = with_halo(df, HALO, PIECE).select("trace_id", "idx", F.col(column).cast("double").alias("v"), F.col(fs).cast("double").alias("fs"), "piece", "own")
+    last = F.greatest(F.lit(HALO), F.ceil(64.0 * F.col(fs) / cutoff)).cast("long")
+    rows = numbered(df.select("trace_id", "idx", F.col(column).cast("double").alias("v"), F.col(fs).cast("double").alias("fs")))
+    held = with_halo(rows.withColumn("last", F.coalesce(last, F.lit(HALO))), F.col("last"), PIECE, "row").drop("row", "last")
 
     def run(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         x, rate, there = g["v"].copy(), float(g["fs"][0]), np.isfinite(g["v"])

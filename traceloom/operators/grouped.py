@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 
 
 def starts_of(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """First rows of the groups of a table that is sorted by ``keys``."""
+    """First rows of the groups of a table that is sorted by ``keys``; nulls are a key of their own."""
     new = np.zeros(table.num_rows, dtype=bool)
     new[:1] = True
     for name in keys:
         column = table.column(name).combine_chunks()
-        differs = pc.not_equal(column.slice(1), column.slice(0, max(len(column) - 1, 0)))
-        new[1:] |= pc.fill_null(differs, True).to_numpy(zero_copy_only=False)
+        here, before = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+        differs = pc.or_(pc.fill_null(pc.not_equal(here, before), False), pc.xor(here.is_null(), before.is_null()))
+        new[1:] |= differs.to_numpy(zero_copy_only=False)
     return np.flatnonzero(new)
 
 
@@ -41,16 +42,16 @@ def whole_groups(source: Iterator[pa.RecordBatch], keys: list[str], rows: int) -
         yield pa.Table.from_batches(held)
 
 
-def map_groups(df: DataFrame, keys: list[str], order: str, run: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, dict[str, np.ndarray]]], passed: list[str], added: dict[str, str], rows: int = 65_536) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], order: str, run: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, dict[str, np.ndarray]]], passed: list[str], added: dict[str, str], rows: int = 65_536, used: list[str] | None = None) -> DataFrame:
     """``run`` over the rows of each group in order of ``order``.
 
-    Spark brings groups together by ``keys``, which must not be null, and sorts them.  ``run`` gets the other columns as
+    Spark brings groups together by ``keys`` and sorts them.  ``run`` gets the other columns, or those that are ``used``, as
     arrays, nulls as NaN, and gives the rows to keep and the values of the added columns for these; the ``passed`` columns
     come along.
     """
     types = dict(df.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in passed] + [f"{c} {t}" for c, t in added.items()])
-    given = [c for c in df.columns if c not in keys]
+    given = used or [c for c in df.columns if c not in keys]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys, rows):

@@ -6,9 +6,59 @@ column; rows look behind inside their bucket, and only one row per bucket travel
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Buckets whose rows travel together when something is carried along a key; above them one row for so many buckets does.
+FAN = 1024
+
+#: A side of at most so many rows of one key and a few numbers each (tens of MB) may be broadcast.
+SMALL = 200_000
+
+#: Parts into which the rows of a hot key are spread where its side of a join is too large to be broadcast.
+SALT = 32
+
+
+def null_safe(left: DataFrame, right: DataFrame, names: dict[str, str]) -> Column:
+    """The condition that columns of ``left`` equal those of ``right``, nulls being equal."""
+    return reduce(lambda a, b: a & b, (left[a].eqNullSafe(right[b]) for a, b in names.items()))
+
+
+def with_numbers(df: DataFrame, numbers: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``numbers``, at most one row per key, to rows of which one key may hold any share.
+
+    Up to ``SMALL`` rows, which are counted, ``numbers`` is broadcast and the rows stay where they are; beyond that the rows
+    of a key are spread over ``SALT`` parts, to each of which its numbers go.
+    """
+    if numbers.count() <= SMALL:
+        return df.join(F.broadcast(numbers), keys, how)
+    spread = numbers.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return df.withColumn("_salt", F.floor(F.rand(7) * SALT).cast("int")).join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
+def carried(edges: DataFrame, keys: list[str], bucket: str, value: str, out: str, how: str = "nearest", later: bool = False, fan: int = FAN) -> DataFrame:
+    """Add ``out``: the ``value`` of all earlier buckets of a key (``later``: of all later ones) put together.
+
+    ``how`` is ``max``, ``sum`` or ``nearest``, the nearest one that isn't null.  ``edges`` has one row per key and bucket;
+    null keys are a key.  No window holds more than ``fan`` buckets of a key, but for one that has a row for each ``fan`` buckets.
+    """
+    combine = {"max": lambda c, _: F.max(c), "sum": lambda c, _: F.sum(c), "nearest": lambda c, _: F.last(c, True)}[how]
+    order = (lambda c: F.desc(c)) if later else (lambda c: F.asc(c))
+    before = (Window.unboundedPreceding, -1)
+    rows = edges.withColumn("_hi", F.floor(F.col(bucket) / fan))
+    near = combine(F.col(value), None).over(Window.partitionBy(*keys, "_hi").orderBy(order(bucket)).rowsBetween(*before))
+    pick = F.min_by if later else F.max_by
+    whole = pick(value, F.when(F.col(value).isNotNull(), F.col(bucket))) if how == "nearest" else combine(F.col(value), None)
+    tops = rows.groupBy(*keys, "_hi").agg(whole.alias("_whole"))
+    far = combine(F.col("_whole"), None).over(Window.partitionBy(*keys).orderBy(order("_hi")).rowsBetween(*before))
+    tops = tops.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_hi").alias("_top"), far.alias("_far"))
+    rows = rows.withColumn("_near", near)
+    met = rows.join(tops, null_safe(rows, tops, {k: f"_k{i}" for i, k in enumerate(keys)} | {"_hi": "_top"}), "left")
+    put = {"max": F.greatest("_near", "_far"), "sum": F.coalesce("_near", F.lit(0)) + F.coalesce("_far", F.lit(0)), "nearest": F.coalesce("_near", "_far")}[how]
+    return met.withColumn(out, put).select(*edges.columns, out)
+
 
 def bucketed_lag(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: ``value`` of the row before, by ``order`` within ``keys``; null at the first row of a key.
@@ -24,17 +74,8 @@ def bucketed_lag(df: DataFrame, keys: list[str], bucket: Column, order: list[str
         .withColumn(out, F.lag(value).over(inside))
         .withColumn("_first", F.row_number().over(inside) == 1)
     )
-    along = Window.partitionBy(*keys).orderBy("_bucket")
-    seams = (
-        df.withColumn("_bucket", bucket)
-        .groupBy(*keys, "_bucket")
-        .agg(F.max_by(value, F.struct(*order)).alias("_last"))
-        .withColumn("_seam", F.lag("_last").over(along))
-        .drop("_last")
-    )
-    on = None
-    for name in (*keys, "_bucket"):
-        one = rows[name].eqNullSafe(seams[name])
-        on = one if on is None else on & one
-    joined = rows.join(seams, on, "left").select(*(rows[c] for c in rows.columns), seams["_seam"])
-    return joined.withColumn(out, F.when(F.col("_first"), F.col("_seam")).otherwise(F.col(out))).drop("_bucket", "_first", "_seam")
+    lasts = df.withColumn("_bucket", bucket).groupBy(*keys, "_bucket").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    names = {name: f"_s{i}" for i, name in enumerate((*keys, "_bucket"))}
+    seams = carried(lasts, keys, "_bucket", "_last", "_seam").select(*(F.col(a).alias(b) for a, b in names.items()), "_seam")
+    joined = rows.join(seams, null_safe(rows, seams, names), "left").drop(*names.values())
+    return joined.withColumn(out, F.when(F.col("_first"), F.col("_seam.v")).otherwise(F.col(out))).drop("_bucket", "_first", "_seam")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from traceloom.functions.scalars import finite, recording_of, roi_of
 from traceloom.operators.grouped import map_groups
+from traceloom.operators.ordered import bucketed_lag, carried
 
 #: Positions in a piece of a trace.
 PIECE = 16_384
@@ -30,13 +31,13 @@ def samples(trace_samples: DataFrame) -> DataFrame:
     return once.select("trace_id", "idx", "t", "raw", F.coalesce("c", "raw").alias("corrected"))
 
 
-def with_halo(df: DataFrame, halo: int, piece: int = PIECE) -> DataFrame:
-    """Rows with ``piece`` and ``own``: each row in its own piece and, within ``halo`` positions of an edge, in the next one too."""
-    if halo > piece:
-        raise ValueError("a halo can't be longer than a piece")
-    at = F.pmod("idx", F.lit(piece))
-    mine = F.floor(F.col("idx") / piece)
-    pieces = F.array_compact(F.array(mine, F.when(at < halo, mine - 1), F.when(at >= piece - halo, mine + 1)))
+def with_halo(df: DataFrame, halo: int | Column, piece: int = PIECE, position: str = "idx") -> DataFrame:
+    """Rows with ``piece`` and ``own``: each row in its own piece of positions and in every other that begins or ends within
+    ``halo`` positions of it.  Windows of rows take ``row`` of ``numbered`` for the position, so that gaps don't matter."""
+    halo = F.lit(halo) if isinstance(halo, int) else halo
+    at = F.col(position)
+    mine = F.floor(at / piece)
+    pieces = F.sequence(F.greatest(F.floor((at - halo) / piece), F.least(mine, F.lit(0))), F.floor((at + halo) / piece))
     return df.withColumn("piece", F.explode(pieces)).withColumn("own", F.col("piece") == mine)
 
 
@@ -49,10 +50,12 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.where("own").drop("piece", "own")
 
 
-def lagged(df: DataFrame, column: str, lag: int, out: str, halo: int | None = None) -> DataFrame:
-    """Add ``out``: the value ``lag`` rows before (after, if negative).  Rows must not be more than ``halo`` positions apart."""
-    reach = halo or max(64, 4 * abs(lag))
-    return own_rows(with_halo(df, reach).withColumn(out, F.lag(column, lag).over(along()) if lag >= 0 else F.lead(column, -lag).over(along())))
+def lagged(df: DataFrame, column: str, lag: int, out: str) -> DataFrame:
+    """Add ``out``: the value ``lag`` rows before (after, if negative), however far apart their positions are."""
+    if lag == 1:
+        return bucketed_lag(df, ["trace_id"], F.floor(F.col("idx") / PIECE), ["idx"], column, out)
+    held = with_halo(numbered(df), abs(lag), PIECE, "row")
+    return own_rows(held.withColumn(out, F.lag(column, lag).over(along()) if lag >= 0 else F.lead(column, -lag).over(along()))).drop("row")
 
 
 def sampling_rates(df: DataFrame) -> DataFrame:
@@ -72,22 +75,23 @@ def trace_ends(df: DataFrame, column: str) -> DataFrame:
 def numbered(df: DataFrame) -> DataFrame:
     """Add ``row``: the number of each row within its trace from 0, counted piece by piece."""
     cut = df.withColumn("piece", F.floor(F.col("idx") / PIECE))
-    before = cut.groupBy("trace_id", "piece").count().select("trace_id", "piece", F.coalesce(F.sum("count").over(Window.partitionBy("trace_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = carried(cut.groupBy("trace_id", "piece").count(), ["trace_id"], "piece", "count", "base", "sum").drop("count")
     within = F.row_number().over(Window.partitionBy("trace_id", "piece").orderBy("idx")) - 1
     return cut.join(before, ["trace_id", "piece"]).withColumn("row", (F.col("base") + within).cast("long")).drop("piece", "base")
 
 
-def rolling_rank(df: DataFrame, column: str, half: int, out: str, percentile: float | None = None, edges: str = "nearest") -> DataFrame:
+def rolling_rank(df: DataFrame, column: str, half: int | Column, out: str, percentile: float | None = None, edges: str = "nearest") -> DataFrame:
     """Add ``out``: the value of a given rank in a centred window of ``2 half + 1`` rows, the median if no percentile is given.
 
     Rank filters don't interpolate: the rank of percentile p in a window of w is ``int(w p / 100)``.  Beyond the ends of a trace
     the window is filled with the end's value (``nearest``) or with the trace mirrored at its end (``reflect``).  Null values
-    aren't allowed; fill them first.  Traces shorter than the window keep what the filling gives.
+    aren't allowed; fill them first.  Traces shorter than the window keep what the filling gives.  Windows count rows, not
+    positions.  ``half`` may be a column that is the same for all rows of a trace, as where each has its own rate.
     """
+    if not isinstance(half, int) or half > WIDE:
+        return _wide_rolling_rank(df, column, half, out, percentile, edges)
     width = 2 * half + 1
     rank = half if percentile is None else min(int(width * percentile / 100), width - 1)
-    if half > WIDE:
-        return _wide_rolling_rank(df, column, half, out, rank, edges)
     held, window = _window_arrays(df, column, half, edges)
     return own_rows(held.withColumn(out, F.get(F.sort_array(window), F.lit(rank)))).drop("row", "n", "first", "last", "w")
 
@@ -95,7 +99,7 @@ def rolling_rank(df: DataFrame, column: str, half: int, out: str, percentile: fl
 def _window_arrays(df: DataFrame, column: str, half: int, edges: str) -> tuple[DataFrame, Column]:
     """Rows of pieces, and the array of each row's window with what stands beyond the trace's ends filled in."""
     rows = numbered(df).join(trace_ends(df, column).select("trace_id", "n", "first", "last"), "trace_id")
-    held = with_halo(rows, min(PIECE, 4 * half + 8)).withColumn("w", F.collect_list(column).over(along().rowsBetween(-half, half)))
+    held = with_halo(rows, half, PIECE, "row").withColumn("w", F.collect_list(column).over(along().rowsBetween(-half, half)))
     left, right = F.greatest(F.lit(half) - F.col("row"), F.lit(0)), F.greatest(F.lit(half) - (F.col("n") - 1 - F.col("row")), F.lit(0))
     if edges == "nearest":
         front, back = F.array_repeat("first", left.cast("int")), F.array_repeat("last", right.cast("int"))
@@ -115,31 +119,36 @@ def polynomial_smooth(df: DataFrame, column: str, half: int, order: int, out: st
     return own_rows(held.withColumn(out, value)).drop("row", "n", "first", "last", "w")
 
 
-def _wide_rolling_rank(df: DataFrame, column: str, half: int, out: str, rank: int, edges: str) -> DataFrame:
+def _wide_rolling_rank(df: DataFrame, column: str, half: int | Column, out: str, percentile: float | None, edges: str) -> DataFrame:
     """``rolling_rank`` for windows that are too wide to gather for every row: a partial sort over array views of a piece."""
-    width = 2 * half + 1
-    rows = numbered(df.select("trace_id", "idx", F.col(column).cast("double").alias("v"))).join(df.groupBy("trace_id").agg(F.count("*").alias("n")), "trace_id")
-    held = with_halo(rows, min(PIECE, 4 * half + 8))
+    reach = F.lit(half) if isinstance(half, int) else half
+    ends = df.groupBy("trace_id").agg(F.count("*").alias("_n"))
+    rows = numbered(df).join(ends, "trace_id").withColumn("_v", F.col(column).cast("double")).withColumn("_half", reach.cast("long"))
+    held = with_halo(rows, F.col("_half"), PIECE, "row")
 
     def run(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        left, right = half * int(g["row"][0] == 0), half * int(g["row"][-1] == g["n"][-1] - 1)
-        x = np.pad(g["v"], (left, right), mode="edge" if edges == "nearest" else "reflect")
-        if len(x) < width:
+        half = int(g["_half"][0])
+        width = 2 * half + 1
+        rank = half if percentile is None else min(int(width * percentile / 100), width - 1)
+        left, right = half * int(g["row"][0] == 0), half * int(g["row"][-1] == g["_n"][-1] - 1)
+        x = np.pad(g["_v"], (left, right), mode="edge" if edges == "nearest" else "reflect")
+        if len(x) < width:  # the end of a trace as the halo of a piece behind it
             return np.zeros(0, dtype=np.int64), {out: np.zeros(0)}
         windows = np.lib.stride_tricks.sliding_window_view(x, width)
-        y = np.concatenate([np.partition(windows[i : i + 4096], rank, axis=1)[:, rank] for i in range(0, len(windows), 4096)])
+        block = max(1, 4_000_000 // width)
+        y = np.concatenate([np.partition(windows[i : i + block], rank, axis=1)[:, rank] for i in range(0, len(windows), block)])
         at = np.arange(len(y)) + half - left
         own = g["own"][at].astype(bool)
         return at[own], {out: y[own]}
 
-    return df.join(map_groups(held, ["trace_id", "piece"], "idx", run, ["trace_id", "idx"], {out: "double"}), ["trace_id", "idx"])
+    return map_groups(held, ["trace_id", "piece"], "idx", run, df.columns, {out: "double"}, used=["_v", "row", "_n", "_half", "own"])
 
 
 def moving_mean(df: DataFrame, column: str, half: int, out: str) -> DataFrame:
     """Add ``out``: the mean of a centred window of ``2 half + 1`` rows with the trace mirrored at its ends."""
     width = 2 * half + 1
     rows = numbered(df).join(trace_ends(df, column).select("trace_id", "n"), "trace_id")
-    held = with_halo(rows, min(PIECE, 4 * half + 8)).withColumn("w", F.collect_list(column).over(along().rowsBetween(-half, half)))
+    held = with_halo(rows, half, PIECE, "row").withColumn("w", F.collect_list(column).over(along().rowsBetween(-half, half)))
     left, right = F.greatest(F.lit(half) - F.col("row"), F.lit(0)).cast("int"), F.greatest(F.lit(half) - (F.col("n") - 1 - F.col("row")), F.lit(0)).cast("int")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     mirrored = total(F.slice("w", F.lit(2), left)) + total(F.slice("w", F.greatest(F.size("w") - right, F.lit(1)).cast("int"), right))
@@ -164,13 +173,8 @@ def interpolated(df: DataFrame, column: str, masked: Column, x: str, out: str) -
     inside = Window.partitionBy("trace_id", "piece").orderBy("idx")
     ends = cut.where("a is not null").groupBy("trace_id", "piece").agg(F.min_by("a", "idx").alias("lo"), F.max_by("a", "idx").alias("hi"))
     every = cut.select("trace_id", "piece").distinct().join(ends, ["trace_id", "piece"], "left")
-    over = Window.partitionBy("trace_id").orderBy("piece")
-    seams = every.select(
-        "trace_id",
-        "piece",
-        F.last("hi", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("seam_before"),
-        F.last("lo", True).over(Window.partitionBy("trace_id").orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)).alias("seam_after"),
-    )
+    seams = carried(every, ["trace_id"], "piece", "hi", "seam_before")
+    seams = carried(seams, ["trace_id"], "piece", "lo", "seam_after", later=True).drop("lo", "hi")
     rows = cut.join(seams, ["trace_id", "piece"])
     rows = rows.withColumn("l", F.coalesce(F.last("a", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "seam_before"))
     backwards = Window.partitionBy("trace_id", "piece").orderBy(F.desc("idx"))

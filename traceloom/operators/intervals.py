@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceloom.operators.ordered import carried
 from traceloom.session import cut_lineage
 
 #: Intervals are first merged inside buckets of this many microseconds of their start, so that a hot entity is many groups.
@@ -31,7 +32,8 @@ def periods_and_gaps(spans: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     Spark's ``session_window`` with a duration that each row brings along merges what overlaps within a bucket of start
     times; the sessions that remain are carried on across buckets by the latest end so far, which also joins periods that
     just touch.  A period starts where a session starts after every earlier end; the ``lead`` of those starts gives its
-    end and the gap after it.  Only one row per bucket crosses buckets, so no task holds a whole hot entity.
+    end and the gap after it.  Only one row per bucket crosses buckets, and those in two levels (``carried``), so no task holds
+    a whole hot entity however sparse its intervals are.
 
     Repeated and nested intervals add nothing; an empty table gives no rows; a null entity is an entity of its own;
     intervals of no or negative length are no intervals.
@@ -44,46 +46,21 @@ def periods_and_gaps(spans: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
         .drop("session_window")
     )
     local = cut_lineage(local)  # read four times below
-    along = Window.partitionBy("entity").orderBy("bucket")
-    edges = (
-        local.groupBy("entity", "bucket")
-        .agg(F.max("e").alias("latest"))
-        .select(
-            F.col("entity").alias("k"),
-            F.col("bucket").alias("b"),
-            F.max("latest").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"),
-            F.max("latest").over(Window.partitionBy("entity")).alias("final"),
-        )
-    )
+    edges = carried(local.groupBy("entity", "bucket").agg(F.max("e").alias("latest")), ["entity"], "bucket", "latest", "carried", "max")
+    edges = edges.select(F.col("entity").alias("k"), F.col("bucket").alias("b"), "carried")
     joined = local.join(edges, F.col("entity").eqNullSafe(F.col("k")) & (F.col("bucket") == F.col("b")))
     inside = Window.partitionBy("entity", "bucket").orderBy("s", "e")
     before = F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    starts = (
-        joined.withColumn("before", F.greatest("carried", before))
-        .where("before is null or s > before")
-        .select("entity", "bucket", "s", "before", "final")
-    )
-    seams = (
-        starts.groupBy("entity", "bucket")
-        .agg(F.min_by("before", "s").alias("first"), F.min("s").alias("first_s"))
-        .select(
-            F.col("entity").alias("k"),
-            F.col("bucket").alias("b"),
-            F.lead("first").over(along).alias("next"),
-            F.lead("first_s").over(along).alias("next_s"),
-        )
-    )
-    ends = (
-        starts.withColumn("lead_end", F.lead("before").over(inside_starts := Window.partitionBy("entity", "bucket").orderBy("s")))
-        .withColumn("lead_s", F.lead("s").over(inside_starts))
-        .join(seams, F.col("entity").eqNullSafe(F.col("k")) & (F.col("bucket") == F.col("b")))
-        .select(
-            "entity",
-            "s",
-            F.coalesce("lead_end", "next", "final").alias("e"),
-            F.coalesce("lead_s", "next_s").alias("after"),
-        )
-    )
+    starts = joined.withColumn("before", F.greatest("carried", before)).where("before is null or s > before").select("entity", "bucket", "s", "before")
+    # the next start of an entity, and the end of what lies before it, come from the same bucket or the next one with a start
+    first = starts.groupBy("entity", "bucket").agg(F.min_by(F.struct("before", "s"), "s").alias("first"))
+    seams = carried(first, ["entity"], "bucket", "first", "next", later=True).select(F.col("entity").alias("k"), F.col("bucket").alias("b"), "next")
+    final = local.groupBy("entity").agg(F.max("e").alias("final")).withColumnRenamed("entity", "k2")
+    led = starts.withColumn("lead", F.lead(F.struct("before", "s")).over(Window.partitionBy("entity", "bucket").orderBy("s")))
+    led = led.join(seams, F.col("entity").eqNullSafe(F.col("k")) & (F.col("bucket") == F.col("b"))).withColumn("lead", F.coalesce("lead", "next"))
+    # only the last period of an entity needs the latest end of all
+    last = led.where("lead is null").join(final, F.col("entity").eqNullSafe(F.col("k2"))).select("entity", "s", F.col("final").alias("e"), F.lit(None).cast("long").alias("after"))
+    ends = led.where("lead is not null").select("entity", "s", F.col("lead.before").alias("e"), F.col("lead.s").alias("after")).unionByName(last)
     kinds = F.array(
         F.struct(F.lit("period").alias("kind"), F.col("s").alias("start_us"), F.col("e").alias("end_us")),
         F.struct(F.lit("gap").alias("kind"), F.col("e").alias("start_us"), F.col("after").alias("end_us")),

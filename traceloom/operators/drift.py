@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.operators.ordered import bucketed_lag
+from traceloom.operators.ordered import carried, latest, with_numbers
 from traceloom.session import cut_lineage
 
 FIELDS = "array<struct<path: string, type: string, value: string>>"
@@ -22,6 +23,10 @@ BUCKET_S = 30 * 86_400
 #: Propagation stops when no score moves by more than this, or after so many rounds.
 SETTLED, ROUNDS = 1e-3, 60
 
+#: Fields whose value changed are followed under a new name if flooding gives the pair this share of the best score at least,
+#: and neither field a better partner.
+FOLLOWED = 0.6
+
 
 def _kind(value) -> str:
     if isinstance(value, bool):
@@ -59,18 +64,24 @@ def flatten(text: str | None) -> list[tuple[str, str, str]] | None:
     return [(path, *out[path]) for path in sorted(out)]
 
 
+@lru_cache(maxsize=65_536)
 def _grams(name: str) -> Counter:
     plain = f"  {name.lower()} "
     return Counter(plain[i : i + 3] for i in range(len(plain) - 2))
 
 
+@lru_cache(maxsize=65_536)
+def _like(a: str, b: str) -> float:
+    """Similarity of two names by their shared triples of letters."""
+    p, q = _grams(a), _grams(b)
+    return 2 * sum((p & q).values()) / max(sum(p.values()) + sum(q.values()), 1)
+
+
 def _alike(a: list[str], b: list[str]) -> np.ndarray:
-    """Similarity of names by their shared triples of letters."""
-    one, two = [_grams(x) for x in a], [_grams(x) for x in b]
-    return np.array([[2 * sum((p & q).values()) / max(sum(p.values()) + sum(q.values()), 1) for q in two] for p in one]).reshape(len(a), len(b))
+    return np.array([[_like(x, y) for y in b] for x in a]).reshape(len(a), len(b))
 
 
-def _incidence(items: list[str], nodes: list[str]) -> np.ndarray:
+def _incidence(items: list, nodes: list) -> np.ndarray:
     at = {x: i for i, x in enumerate(nodes)}
     out = np.zeros((len(items), len(nodes)))
     out[np.arange(len(items)), [at[x] for x in items]] = 1
@@ -87,62 +98,82 @@ def flood(old: list[tuple[str, str, str]], new: list[tuple[str, str, str]]) -> n
 
     Nodes are the fields, the objects that hold them, their types and their values.  A pair of fields gets score from the
     pair of objects that hold them and from the type and the value that they share, and gives score back, round by round,
-    until nothing moves; similarity of names starts it.
+    until nothing moves; similarity of names starts it.  The rounds are products of one matrix over all pairs of nodes.
     """
+    values = {v: i for i, v in enumerate(dict.fromkeys(f[1:] for f in (*old, *new)))}
+    return _flooded(tuple((f[0], f[1], values[f[1:]]) for f in old), tuple((f[0], f[1], values[f[1:]]) for f in new))
+
+
+@lru_cache(maxsize=16_384)
+def _flooded(old: tuple[tuple[str, str, int], ...], new: tuple[tuple[str, str, int], ...]) -> np.ndarray:
+    """``flood`` with values as numbers, which tell the same ones: files that drift alike are flooded once in a worker."""
     parent = lambda p: p.rpartition(".")[0]
     leaf = lambda p: p.rpartition(".")[2]
-    pa, pb = sorted({parent(f[0]) for f in old}), sorted({parent(f[0]) for f in new})
-    types = sorted({f[1] for f in old} | {f[1] for f in new})
-    values = sorted({f[1:] for f in old} | {f[1:] for f in new})
-    under_a, under_b = _incidence([parent(f[0]) for f in old], pa), _incidence([parent(f[0]) for f in new], pb)
-    type_a, type_b = _incidence([f[1] for f in old], types), _incidence([f[1] for f in new], types)
-    value_a, value_b = _incidence([f[1:] for f in old], values), _incidence([f[1:] for f in new], values)
-    start = (_alike([leaf(f[0]) for f in old], [leaf(f[0]) for f in new]), _alike(pa, pb), np.ones(len(types)), np.ones(len(values)))
-    now = start
+    pa_, pb = sorted({parent(f[0]) for f in old}), sorted({parent(f[0]) for f in new})
+    types, values = sorted({f[1] for f in (*old, *new)}), sorted({f[2] for f in (*old, *new)})
+    under_a, under_b = _incidence([parent(f[0]) for f in old], pa_), _incidence([parent(f[0]) for f in new], pb)
+    n, m = len(old), len(new)
+    start = [_alike([leaf(f[0]) for f in old], [leaf(f[0]) for f in new]).ravel(), _alike(pa_, pb).ravel(), np.ones(len(types)), np.ones(len(values))]
+    ends = np.cumsum([len(x) for x in start])
+    passed = np.eye(ends[-1])
+    passed[: n * m, ends[0] : ends[1]] = np.kron(_share(under_a), _share(under_b))
+    passed[ends[0] : ends[1], : n * m] = np.kron(under_a.T, under_b.T) / np.maximum(np.outer(under_a.sum(0), under_b.sum(0)).ravel(), 1)[:, None]
+    for at, nodes, kind in ((ends[1], types, 1), (ends[2], values, 2)):
+        a, b = _incidence([f[kind] for f in old], nodes), _incidence([f[kind] for f in new], nodes)
+        passed[: n * m, at : at + len(nodes)] = np.einsum("ai,bi->abi", _share(a), _share(b)).reshape(n * m, -1)
+        passed[at : at + len(nodes), : n * m] = (np.einsum("ai,bi->iab", a, b) / np.maximum(a.sum(0) * b.sum(0), 1)[:, None, None]).reshape(len(nodes), -1)
+    first = np.concatenate(start)
+    now = first
     for _ in range(ROUNDS):
-        fields, objects, kinds, same = (x + s for x, s in zip(now, start))
-        passed = (
-            fields + _share(under_a) @ objects @ _share(under_b).T + (_share(type_a) * kinds) @ _share(type_b).T + (_share(value_a) * same) @ _share(value_b).T,
-            objects + under_a.T @ fields @ under_b / np.maximum(np.outer(under_a.sum(0), under_b.sum(0)), 1),
-            kinds + np.einsum("ai,ab,bi->i", type_a, fields, type_b) / np.maximum(type_a.sum(0) * type_b.sum(0), 1),
-            same + np.einsum("ai,ab,bi->i", value_a, fields, value_b) / np.maximum(value_a.sum(0) * value_b.sum(0), 1),
-        )
-        top = max(float(x.max()) for x in passed if x.size) or 1.0
-        after = tuple(x / top for x in passed)
-        moved = max(float(np.abs(x - y).max()) for x, y in zip(after, now) if x.size)
+        after = passed @ (now + first)
+        after /= max(after.max(), 1e-12)
+        moved = np.abs(after - now).max()
         now = after
         if moved < SETTLED:
             break
-    return now[0]
+    return now[: n * m].reshape(n, m) / max(now[: n * m].max(), 1e-12)
+
 
+def correspondences(old: list[tuple[str, str, str]], new: list[tuple[str, str, str]]) -> list[tuple[int, int, float]]:
+    """Pairs of fields with their scores, chosen from the top, each field once, among the pairs that agree in type.
 
-def correspondences(old: list[tuple[str, str, str]], new: list[tuple[str, str, str]]) -> list[tuple[int, int]]:
-    """Pairs of fields chosen by score from the top, each field once, among the pairs that agree in type and value."""
+    Pairs that agree in value too come first; of the others a pair must have ``FOLLOWED`` of the best score and be the best
+    for both of its fields.
+    """
     if not old or not new:
         return []
     scores = flood(old, new)
-    fit = np.array([[a[1:] == b[1:] for b in new] for a in old])
-    order = sorted(zip(*np.nonzero(fit)), key=lambda p: (-scores[p], p))
+    same_type = np.array([[a[1] == b[1] for b in new] for a in old])
+    same = same_type & np.array([[a[2] == b[2] for b in new] for a in old])
+    fit = np.where(same_type, scores, 0.0)
+    likely = same_type & ~same & (fit >= FOLLOWED) & (fit >= fit.max(axis=0)[None, :]) & (fit >= fit.max(axis=1)[:, None])
+    order = sorted(zip(*np.nonzero(same | likely)), key=lambda p: (not same[p], -scores[p], p))
     taken_a, taken_b, out = set(), set(), []
     for a, b in order:
         if a not in taken_a and b not in taken_b:
             taken_a.add(a)
             taken_b.add(b)
-            out.append((int(a), int(b)))
+            out.append((int(a), int(b), float(scores[a, b])))
     return out
 
 
-def compare(old: list[tuple[str, str, str]], new: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
-    """``(change, field, new_field)`` between two flattened files."""
+def compare(old: list[tuple[str, str, str]], new: list[tuple[str, str, str]]) -> list[tuple[str, str, str, float]]:
+    """``(change, field, new_field, score)`` between two flattened files.
+
+    Fields that correspond are ``renamed`` if no other vanished or appeared field has their type and value; other
+    correspondences come out as ``followed`` beside the removal and the addition that they are by the letter.
+    """
     before, after = {f[0]: f for f in old}, {f[0]: f for f in new}
-    out = [("type_changed", p, "") for p in before if p in after and before[p][1] != after[p][1]]
+    out = [("type_changed", p, "", 1.0) for p in before if p in after and before[p][1] != after[p][1]]
     gone, come = [f for f in old if f[0] not in after], [f for f in new if f[0] not in before]
     lost, made = Counter(f[1:] for f in gone), Counter(f[1:] for f in come)
-    renamed = [(a, b) for a, b in correspondences(gone, come) if lost[gone[a][1:]] == 1 == made[come[b][1:]]]
-    out += [("renamed", gone[a][0], come[b][0]) for a, b in renamed]
-    old_names, new_names = {a for a, _ in renamed}, {b for _, b in renamed}
-    out += [("removed", f[0], "") for i, f in enumerate(gone) if i not in old_names]
-    return out + [("added", f[0], "") for i, f in enumerate(come) if i not in new_names]
+    pairs = correspondences(gone, come)
+    exact = {(a, b): s for a, b, s in pairs if gone[a][1:] == come[b][1:] and lost[gone[a][1:]] == 1 == made[come[b][1:]]}
+    out += [("renamed", gone[a][0], come[b][0], s) for (a, b), s in exact.items()]
+    out += [("followed", gone[a][0], come[b][0], s) for a, b, s in pairs if (a, b) not in exact]
+    old_names, new_names = {a for a, _ in exact}, {b for _, b in exact}
+    out += [("removed", f[0], "", 0.0) for i, f in enumerate(gone) if i not in old_names]
+    return out + [("added", f[0], "", 0.0) for i, f in enumerate(come) if i not in new_names]
 
 
 def json_streams(sessions: DataFrame, packages: DataFrame) -> DataFrame:
@@ -169,58 +200,101 @@ def parse(streams: DataFrame) -> DataFrame:
     return streams.mapInPandas(read, f"file_id bigint, station string, saved_at timestamp, stream string, fields {FIELDS}")
 
 
-def _bucket() -> Column:
-    return F.floor(F.coalesce(F.col("saved_at").cast("timestamp").cast("long"), F.lit(-(2**40))) / BUCKET_S)
+def _bucket(saved_at: Column) -> Column:
+    """Bucket of time; files without a time come before all others."""
+    return F.floor(F.coalesce(saved_at.cast("timestamp").cast("long"), F.lit(-(2**40))) / BUCKET_S)
 
 
-def changes(parsed: DataFrame) -> DataFrame:
-    """``(file_id, station, saved_at, stream, change, field, new_field)``: each file against the one before of its station.
+def changes(streams: DataFrame) -> DataFrame:
+    """``(file_id, station, saved_at, stream, change, field, new_field, score)``: each file of ``json_streams`` against the one
+    before of its station, ``change`` being ``type_changed``, ``renamed``, ``removed``, ``added`` or ``followed`` (see ``compare``).
 
-    Files come in order of ``saved_at`` and then ``file_id``; those without a time first.  The first file of a station and
-    stream has nothing to differ from.  A station may hold any share of all files: see ``bucketed_lag``.  Empty input gives
-    no rows; a null station is a station.
+    Files come in order of ``saved_at`` and then ``file_id``; those without a time first; those without a readable JSON object
+    aren't there.  The first file of a station and stream has nothing to differ from.  A station may hold any share of all
+    files: Spark sorts the files of a station within buckets of time, a pass over them reads each once and compares it with
+    the last one, and of each bucket only the first and the last file meet those of other buckets.  Empty input gives no
+    rows; a null station is a station.
     """
-    pairs = bucketed_lag(parsed, ["stream", "station"], _bucket(), ["saved_at", "file_id"], "fields", "before").where("before is not null")
+    keys = ["stream", "station", "bucket"]
+    columns = ["file_id", "station", "saved_at", "stream", "bucket", "change", "field", "new_field", "score"]
+    kinds = dict(streams.dtypes)
+    schema = f"file_id {kinds['file_id']}, station string, saved_at timestamp, stream string, bucket bigint, change string, field string, new_field string, score double"
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Changes within each bucket, and for each bucket one row with the texts of its first and last file."""
+        place, first, last, last_text = None, None, None, None
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                at = (r.stream, r.station, r.bucket)
+                if at == place and r.text == last_text:
+                    continue
+                fields = flatten(r.text)
+                if fields is None:
+                    continue
+                if at != place:
+                    if place is not None:
+                        rows.append((*first[:5], "", first[5], last_text, 0.0))
+                    place, first = at, (r.file_id, r.station, r.saved_at, r.stream, r.bucket, r.text)
+                elif fields != last:
+                    rows += [(r.file_id, r.station, r.saved_at, r.stream, r.bucket, *c) for c in compare(last, fields)]
+                last, last_text = fields, r.text
+            yield pd.DataFrame(rows, columns=columns)
+        if place is not None:
+            yield pd.DataFrame([(*first[:5], "", first[5], last_text, 0.0)], columns=columns)
 
-    def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["file_id", "station", "saved_at", "stream", "change", "field", "new_field"]
+    def seams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                old, new = ([(f["path"], f["type"], f["value"]) for f in x] for x in (r.before, r.fields))
-                if old != new:
-                    rows += [(r.file_id, r.station, r.saved_at, r.stream, *c) for c in compare(old, new)]
+                if r.field != r.before:
+                    rows += [(r.file_id, r.station, r.saved_at, r.stream, r.bucket, *c) for c in compare(flatten(r.before), flatten(r.field))]
             yield pd.DataFrame(rows, columns=columns)
 
-    schema = "file_id bigint, station string, saved_at timestamp, stream string, change string, field string, new_field string"
-    return pairs.select("file_id", "station", "saved_at", "stream", "before", "fields").mapInPandas(diff, schema)
+    files = streams.withColumn("bucket", _bucket(F.col("saved_at"))).select("file_id", "station", "saved_at", "stream", "bucket", "text")
+    found = cut_lineage(files.repartition(*keys).sortWithinPartitions(*keys, "saved_at", "file_id").mapInPandas(work, schema))
+    edges = carried(found.where("change = ''"), ["stream", "station"], "bucket", "new_field", "before").where("before is not null")
+    every = found.where("change <> ''").unionByName(edges.mapInPandas(seams, schema))
+    return every.drop("bucket")
 
 
-def one_table(parsed: DataFrame, changed: DataFrame, rounds: int = 12) -> DataFrame:
-    """All files in one long table: ``file_id, station, saved_at, stream, field, written_as, type, value``.
+def one_table(parsed: DataFrame, changed: DataFrame) -> DataFrame:
+    """All files in one long table: ``file_id, station, saved_at, stream, field, written_as, type, value, doubtful``.
 
-    ``field`` is the first name that the field had in its station; ``written_as`` the name in this file.  Chains of
-    renames are followed by doubling, up to ``2 ** rounds`` renames of one field; each round joins the renames only.
+    ``field`` is the first name that the field had in its station; ``written_as`` the name in this file; ``doubtful`` whether
+    the last change of its name rests on likeness alone (``followed``), not on the same value.  Chains of renames are followed by doubling,
+    until none is left; each round joins the renames only.  A cell finds the last renaming before it within its bucket of
+    time, or the one that is carried to there.
     """
     keys = ["stream", "station"]
-    renames = cut_lineage(changed.where("change = 'renamed'").select(*keys, F.struct("saved_at", "file_id").alias("at"), F.col("field").alias("old"), F.col("new_field").alias("name")))
-    by_name = Window.partitionBy(*keys, "name").orderBy("at", "made")
-    made = renames.select(*keys, "name", "at", F.lit(0).alias("made"), F.struct("at", "name").alias("id"), F.col("old").alias("root"))
-    used = renames.select(*keys, F.col("old").alias("name"), "at", F.lit(-1).alias("made"), F.struct("at", "name").alias("id"), F.lit(None).cast("string").alias("root"))
-    earlier = F.last(F.when(F.col("made") == 0, F.col("id")), ignorenulls=True).over(by_name.rowsBetween(Window.unboundedPreceding, -1))
-    parents = made.unionByName(used).withColumn("parent", earlier).where("made = -1").select(*keys, "id", "parent", F.col("name").alias("root"))
-    links = cut_lineage(parents)
-    for _ in range(rounds):
-        if links.where("parent is not null").isEmpty():
-            break
+    at = F.struct("saved_at", "file_id").alias("at")
+    renames = changed.where("change in ('renamed', 'followed')").select(*keys, at, F.col("field").alias("old"), F.col("new_field").alias("name"), (F.col("change") == "followed").alias("doubtful"))
+    renames = cut_lineage(renames.withColumn("bucket", _bucket(F.col("at.saved_at"))))
+    made = renames.select(*keys, "name", "at", "bucket", F.struct("at", "name").alias("id"))
+    used = renames.select(*keys, F.col("old").alias("name"), "at", "bucket", F.struct("at", "name").alias("id"), "doubtful")
+    links = latest(used, made, [*keys, "name"], "at", "bucket", "id", "parent", equal=False)
+    links = cut_lineage(links.select(*keys, "id", "parent", F.col("name").alias("root"), "doubtful"))
+    while not links.where("parent is not null").isEmpty():
         up = links.select(*(F.col(k).alias(f"up_{k}") for k in keys), F.col("id").alias("up_id"), F.col("parent").alias("grand"), F.col("root").alias("up_root"))
         on = F.col("stream").eqNullSafe(F.col("up_stream")) & F.col("station").eqNullSafe(F.col("up_station")) & (F.col("parent") == F.col("up_id"))
-        links = cut_lineage(links.join(up, on, "left").select(*keys, "id", F.col("grand").alias("parent"), F.coalesce("up_root", "root").alias("root")))
-    roots = links.select(*keys, F.col("id.name").alias("name"), F.col("id.at").alias("at"), F.lit(0).alias("made"), "root")
+        links = cut_lineage(links.join(up, on, "left").select(*keys, "id", F.col("grand").alias("parent"), F.coalesce("up_root", "root").alias("root"), "doubtful"))
+    roots = links.select(*keys, F.col("id.name").alias("name"), F.col("id.at").alias("at"), _bucket(F.col("id.at.saved_at")).alias("bucket"), F.struct("root", "doubtful").alias("root"))
     cells = parsed.select("file_id", *keys, "saved_at", F.explode("fields").alias("f")).select(
-        *keys, F.col("f.path").alias("name"), F.struct("saved_at", "file_id").alias("at"), F.lit(1).alias("made"), F.lit(None).cast("string").alias("root"), F.col("f.type").alias("type"), F.col("f.value").alias("value")
+        *keys, F.col("f.path").alias("name"), at, _bucket(F.col("saved_at")).alias("bucket"), F.col("f.type").alias("type"), F.col("f.value").alias("value")
     )
-    placed = cells.unionByName(roots, allowMissingColumns=True).withColumn("root", F.last("root", ignorenulls=True).over(by_name))
-    return placed.where("made = 1").select(
-        F.col("at.file_id").alias("file_id"), "station", F.col("at.saved_at").alias("saved_at"), "stream", F.coalesce("root", "name").alias("field"), F.col("name").alias("written_as"), "type", "value"
+    # most names of most stations never change: their cells stay where they are
+    place = F.struct(*keys, "name").alias("place")
+    changing = cut_lineage(with_numbers(cells.withColumn("place", place), roots.select(place, F.lit(True).alias("changes")).distinct(), ["place"], "left").drop("place"))
+    followed = latest(changing.where("changes").drop("changes"), roots, [*keys, "name"], "at", "bucket", "root", "root")
+    kept = changing.where("changes is null").drop("changes").withColumn("root", F.lit(None).cast(followed.schema["root"].dataType))
+    return followed.unionByName(kept).select(
+        F.col("at.file_id").alias("file_id"),
+        "station",
+        F.col("at.saved_at").alias("saved_at"),
+        "stream",
+        F.coalesce("root.root", "name").alias("field"),
+        F.col("name").alias("written_as"),
+        "type",
+        "value",
+        F.coalesce("root.doubtful", F.lit(False)).alias("doubtful"),
     )

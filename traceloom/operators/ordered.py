@@ -79,3 +79,23 @@ def bucketed_lag(df: DataFrame, keys: list[str], bucket: Column, order: list[str
     seams = carried(lasts, keys, "_bucket", "_last", "_seam").select(*(F.col(a).alias(b) for a, b in names.items()), "_seam")
     joined = rows.join(seams, null_safe(rows, seams, names), "left").drop(*names.values())
     return joined.withColumn(out, F.when(F.col("_first"), F.col("_seam.v")).otherwise(F.col(out))).drop("_bucket", "_first", "_seam")
+
+
+def latest(rows: DataFrame, events: DataFrame, keys: list[str], at: str, bucket: str, value: str, out: str, equal: bool = True) -> DataFrame:
+    """Add ``out`` to ``rows``: ``value`` of the last event of the same keys before a row, or at the same place if ``equal``.
+
+    Both have the columns ``keys``, ``at`` and ``bucket``, which must not decrease along ``at``; null keys are a key.  Rows and
+    events meet within buckets; what a bucket's end leaves is carried on, one row per bucket.
+    """
+    none = F.lit(None)
+    kind = events.select(F.struct(F.col(value).alias("v")).alias("s")).schema["s"].dataType
+    told = events.select(*keys, at, bucket, F.struct(F.col(value).alias("v")).alias("_v"), F.lit(0 if equal else 1).alias("_turn"), none.alias("_row"))
+    both = rows.select(*keys, at, bucket, none.cast(kind).alias("_v"), F.lit(1 if equal else 0).alias("_turn"), F.struct(*rows.columns).alias("_row"))
+    both = both.unionByName(told.withColumn("_row", none.cast(both.schema["_row"].dataType)))
+    inside = Window.partitionBy(*keys, bucket).orderBy(at, "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_near", F.last("_v", True).over(inside)).where("_row is not null")
+    lasts = both.groupBy(*keys, bucket).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(at))).alias("_last"))
+    names = {name: f"_s{i}" for i, name in enumerate((*keys, bucket))}
+    seams = carried(lasts, keys, bucket, "_last", "_seam").select(*(F.col(a).alias(b) for a, b in names.items()), "_seam")
+    met = near.join(seams, null_safe(near, seams, names), "left")
+    return met.select("_row.*", F.coalesce("_near", "_seam")["v"].alias(out))

@@ -40,19 +40,19 @@ def p2_times(spark: SparkSession, folder: str) -> DataFrame:
     return _converted(spark, folder).select("table_name", "series_key", "pos", "unit", "uncertain", "time_us")
 
 
-def _parsed(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.parse(drift.json_streams(table(spark, folder, "sessions"), table(spark, folder, "analysis_packages")))
+def _streams(spark: SparkSession, folder: str) -> DataFrame:
+    return drift.json_streams(table(spark, folder, "sessions"), table(spark, folder, "analysis_packages"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every change of a field between successive files of a station."""
-    return drift.changes(_parsed(spark, folder)).select("file_id", "stream", "change", "field", "new_field")
+    return drift.changes(_streams(spark, folder)).where("change <> 'followed'").select("file_id", "stream", "change", "field", "new_field")
 
 
 def p3_table(spark: SparkSession, folder: str) -> DataFrame:
     """All files in one table under the first name of each field."""
-    parsed = _parsed(spark, folder)
-    return drift.one_table(parsed, drift.changes(parsed))
+    streams = _streams(spark, folder)
+    return drift.one_table(drift.parse(streams), drift.changes(streams))
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.operators.ordered import with_numbers
 from traceloom.session import cut_lineage
 
 # Milliseconds in one of each unit.  ``sample`` counts sampling periods and so differs by recording.
@@ -36,7 +37,8 @@ MOST_OFFSET = 40
 #: A record on which the text and the clock disagree is believed to follow the text with this weight against any other unit.
 TEXT_WEIGHT = 20.0
 
-#: Width and range of the bins of the residual's histogram; it bounds what the driver sees of a table, whatever its size.
+#: Width of the bins of the residual's histogram, and where it ends: what lies further out counts in the last bin.  They
+#: bound what the driver sees of a table, whatever its size.
 BIN, REACH = 0.01, 12.0
 
 #: Components are this wide at least, in decades.
@@ -73,19 +75,14 @@ def sampling_rates(recordings: DataFrame) -> DataFrame:
 
 
 def clock_records(trace_samples: DataFrame, spikes: DataFrame, signal_frames: DataFrame) -> DataFrame:
-    """``(table_name, series_key, pos, x, owner, note_unit)`` of the three tables, each key once.
+    """``(table_name, series_key, pos, x, owner, note_unit)`` of the three tables; repeated rows come out as they stand.
 
-    Null and NaN times and rows without a series or position are left out; of repeated keys the smallest time counts.
+    Null and NaN times and rows without a series or position are left out.
     """
 
     def one(df: DataFrame, name: str, series: str, pos: str, x: str, note: Column) -> DataFrame:
-        value = F.col(x).cast("double")
-        return (
-            df.select(F.lit(name).alias("table_name"), F.col(series).alias("series_key"), F.col(pos).cast("long").alias("pos"), value.alias("x"), note.alias("note_unit"))
-            .where("x is not null and not isnan(x) and pos is not null and series_key is not null")
-            .groupBy("table_name", "series_key", "pos")
-            .agg(F.min("x").alias("x"), F.max("note_unit").alias("note_unit"))
-        )
+        rows = df.select(F.lit(name).alias("table_name"), F.col(series).alias("series_key"), F.col(pos).cast("long").alias("pos"), F.col(x).cast("double").alias("x"), note.alias("note_unit"))
+        return rows.where("x is not null and not isnan(x) and pos is not null and series_key is not null")
 
     none = F.lit(None).cast("string")
     return (
@@ -150,30 +147,33 @@ def _components(names: list[str], weights: np.ndarray, widths: np.ndarray) -> Co
 
 
 def in_one_unit(records: DataFrame, rates: DataFrame) -> DataFrame:
-    """Every record with its unit: ``table_name, series_key, pos, x, unit, posterior, uncertain, time_us, on_clock``.
+    """Every record with its unit: ``table_name, series_key, pos, x, unit, factor, posterior, uncertain, time_us, on_clock``.
+
+    ``unit`` is the likeliest unit of the recorded number (``sample`` for a count of periods), ``factor`` the milliseconds in
+    one of it, ``posterior`` its probability.  ``time_us`` is the recorded number in that unit, converted to whole microseconds
+    and set on the nearest tick of the recording's clock.  A number that is on no unit's clock (``on_clock`` false) has the
+    time that its position says.  ``uncertain`` says that the posterior is below 0.9 or the number on no clock.  Records of
+    unknown recordings are left out, as their clock isn't known.  A recorded or expected 0 is 0 in every unit and comes out as
+    ms.  Of repeated records the one with the smallest number counts.  Empty tables give no rows.
 
-    ``time_us`` is the true time on the recording's clock in whole microseconds; ``unit`` the likeliest unit of the
-    recorded number (``sample`` for a count of periods), ``posterior`` its probability; ``uncertain`` where that is below
-    0.9 or the number is on no unit's clock (``on_clock`` false).  Records of unknown recordings are left out, as their
-    clock isn't known.  A recorded or expected 0 is 0 in every unit and comes out as ms.  Empty tables give no rows.
+    The records are read three times, for the offsets, for the histogram that the mixture is fitted to, and for the answer;
+    the first two sum up in place, and the few numbers of each recording are brought to the records (``with_numbers``).
     """
     frames = F.col("table_name") == "signal_frames"
     by_rec = rates.select(F.col("recording_id").alias("owner"), "rate", F.col("header_unit").alias("said"))
     by_tiff = rates.where("source_tiff is not null").groupBy(F.col("source_tiff").alias("owner")).agg(F.max("rate").alias("rate"), F.max("sidecar_unit").alias("said"))
-    owners = by_rec.withColumn("stack", F.lit(False)).unionByName(by_tiff.withColumn("stack", F.lit(True)))
-    timed = cut_lineage(
-        records.withColumn("stack", frames).join(owners, ["owner", "stack"]).withColumn("period", 1000 / F.col("rate")).withColumn("said", F.coalesce("note_unit", "said"))
-    )
-    offsets = start_offsets(timed.where(~frames)).withColumn("stack", F.lit(False))
-    placed = timed.join(offsets, ["owner", "stack"], "left").withColumn("expected", (F.col("pos") + F.coalesce("offset", F.lit(0))) * F.col("period"))
-    clear = (F.col("x") > 0) & (F.col("expected") > 0) & (F.col("x") < float("inf"))
-    placed = cut_lineage(placed.withColumn("r", F.when(clear, F.log10(F.col("x") / F.col("expected")))).withColumn("p", F.log10("period")))
-    binned = (
-        placed.where(F.abs("r") < REACH)
-        .groupBy("table_name", (F.rint(F.col("r") / BIN) * BIN).alias("r"), (F.rint(F.col("p") / BIN) * BIN).alias("p"))
-        .count()
-        .toPandas()
-    )
+    owners = cut_lineage(by_rec.withColumn("stack", F.lit(False)).unionByName(by_tiff.withColumn("stack", F.lit(True))).withColumn("period", 1000 / F.col("rate")))
+    kept = records.withColumn("stack", frames)
+    offsets = start_offsets(with_numbers(kept.where(~frames), owners, ["owner", "stack"])).withColumn("stack", F.lit(False))
+    clocks = cut_lineage(owners.join(offsets, ["owner", "stack"], "left").select("owner", "stack", "period", "said", F.coalesce("offset", F.lit(0)).alias("offset")))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        timed = with_numbers(rows, clocks, ["owner", "stack"]).withColumn("expected", (F.col("pos") + F.col("offset")) * F.col("period"))
+        clear = (F.col("x") > 0) & (F.col("expected") > 0) & (F.col("x") < float("inf"))
+        return timed.withColumn("said", F.coalesce("note_unit", "said")).withColumn("r", F.when(clear, F.log10(F.col("x") / F.col("expected")))).withColumn("p", F.log10("period"))
+
+    far = F.least(F.greatest("r", F.lit(-REACH)), F.lit(REACH))
+    binned = placed(kept).where("r is not null").groupBy("table_name", (F.rint(far / BIN) * BIN).alias("r"), (F.rint(F.col("p") / BIN) * BIN).alias("p")).count().toPandas()
     names = [*UNITS_MS, "sample"]
     parts = {t: _fit(g["r"].to_numpy(), g["p"].to_numpy(), g["count"].to_numpy(dtype=float)) for t, g in binned.groupby("table_name")}
     model = reduce(
@@ -181,43 +181,37 @@ def in_one_unit(records: DataFrame, rates: DataFrame) -> DataFrame:
         parts,
         _components(names, np.full(len(names), 1 / len(names)), np.full(len(names), LEAST_WIDTH)),
     )
-    scored = placed.withColumn(
-        "likely",
-        F.transform(
-            model,
-            lambda c: F.struct(
-                (c["prior"] + F.when(F.col("said") == c["unit"], math.log(TEXT_WEIGHT)).otherwise(0.0) - F.log(c["width"]) - (F.col("r") - c["place"] + c["periods"] * F.col("p")) ** 2 / (2 * c["width"] ** 2)).alias("l"),
-                c["unit"].alias("unit"),
-                F.when(c["periods"] > 0, F.col("period")).otherwise(c["factor"]).alias("factor"),
-            ),
+    once = kept.groupBy("table_name", "series_key", "pos").agg(F.min("x").alias("x"), F.max("note_unit").alias("note_unit"), F.first("owner").alias("owner"), F.first("stack").alias("stack"))
+    likely = F.transform(
+        model,
+        lambda c: F.struct(
+            (c["prior"] + F.when(F.col("said") == c["unit"], math.log(TEXT_WEIGHT)).otherwise(0.0) - F.log(c["width"]) - (F.col("r") - c["place"] + c["periods"] * F.col("p")) ** 2 / (2 * c["width"] ** 2)).alias("l"),
+            c["unit"].alias("unit"),
+            F.when(c["periods"] > 0, F.col("period")).otherwise(c["factor"]).alias("factor"),
         ),
-    ).withColumn("top", F.array_max("likely"))
-    weight = F.aggregate("likely", F.lit(0.0), lambda a, v: a + F.exp(v["l"] - F.col("top")["l"]))
-    known = F.col("r").isNotNull()
-    scored = scored.select(
-        "*",
-        F.when(known, 1 / weight).alias("posterior"),
-        F.when(known, F.col("top")["unit"]).alias("unit"),
-        F.when(known, F.col("top")["factor"]).alias("factor"),
     )
-    near = F.greatest(0.1 * F.col("period"), 0.002 * F.abs("expected"))
+    scored = placed(once).withColumn("likely", F.when(F.col("r").isNotNull(), likely)).withColumn("top", F.array_max("likely"))
+    scored = scored.withColumn("posterior", 1 / F.aggregate("likely", F.lit(0.0), lambda a, v: a + F.exp(v["l"] - F.col("top")["l"])))
+    converted = F.col("x") * F.col("top")["factor"]
     zero = (F.col("x") == 0) & (F.col("expected") == 0)
-    on_clock = F.coalesce(F.abs(F.col("x") * F.col("factor") - F.col("expected")) <= near, zero)
+    on_clock = zero | F.coalesce(F.abs(converted - F.col("expected")) <= F.greatest(0.1 * F.col("period"), 0.002 * F.abs("expected")), F.lit(False))
+    ticks = F.rint(converted / F.col("period")) * F.col("period")
+    scored = scored.withColumn("on_clock", on_clock)
     return scored.select(
         "table_name",
         "series_key",
         "pos",
         "x",
-        F.when(zero, "ms").otherwise(F.coalesce("unit", F.lit("unknown"))).alias("unit"),
+        F.when(zero, "ms").otherwise(F.coalesce(F.col("top")["unit"], F.lit("unknown"))).alias("unit"),
+        F.when(zero, 1.0).otherwise(F.col("top")["factor"]).alias("factor"),
         F.when(zero, 1.0).otherwise(F.coalesce("posterior", F.lit(0.0))).alias("posterior"),
-        (~zero & (~on_clock | (F.coalesce("posterior", F.lit(0.0)) < 0.9))).alias("uncertain"),
-        F.rint(F.col("expected") * 1000).cast("long").alias("time_us"),
-        on_clock.alias("on_clock"),
-        (F.abs(F.col("x") - F.col("expected")) > F.least(near, 0.05 * F.col("period"))).alias("not_ms"),
+        (~zero & (~F.col("on_clock") | (F.coalesce("posterior", F.lit(0.0)) < 0.9))).alias("uncertain"),
+        F.rint(F.when(F.col("on_clock") & ~zero, ticks).otherwise(F.col("expected")) * 1000).cast("long").alias("time_us"),
+        "on_clock",
     )
 
 
 def off_milliseconds(converted: DataFrame) -> DataFrame:
     """The records whose recorded number isn't their time in milliseconds: those of another unit, or on no clock."""
-    other = (F.col("unit") != "ms") | ~F.col("on_clock")
-    return converted.where(other & F.col("not_ms")).select("table_name", "series_key", "pos", "time_us")
+    other = F.abs(F.coalesce("factor", F.lit(0.0)) - 1) > 1e-9
+    return converted.where(other | ~F.col("on_clock")).select("table_name", "series_key", "pos", "time_us")

@@ -24,8 +24,8 @@ BUCKET_S = 30 * 86_400
 SETTLED, ROUNDS = 1e-3, 60
 
 #: Fields whose value changed are followed under a new name if flooding gives the pair this share of the best score at least,
-#: and neither field a better partner.
-FOLLOWED = 0.6
+#: neither field has a better partner, and their names share this much.
+FOLLOWED, NAMED_ALIKE = 0.6, 0.4
 
 
 def _kind(value) -> str:
@@ -137,8 +137,8 @@ def _flooded(old: tuple[tuple[str, str, int], ...], new: tuple[tuple[str, str, i
 def correspondences(old: list[tuple[str, str, str]], new: list[tuple[str, str, str]]) -> list[tuple[int, int, float]]:
     """Pairs of fields with their scores, chosen from the top, each field once, among the pairs that agree in type.
 
-    Pairs that agree in value too come first; of the others a pair must have ``FOLLOWED`` of the best score and be the best
-    for both of its fields.
+    Pairs that agree in value too come first; of the others a pair must have ``FOLLOWED`` of the best score, be the best for
+    both of its fields and have names that are ``NAMED_ALIKE``, as where nothing else is left any pair scores best.
     """
     if not old or not new:
         return []
@@ -146,7 +146,8 @@ def correspondences(old: list[tuple[str, str, str]], new: list[tuple[str, str, s
     same_type = np.array([[a[1] == b[1] for b in new] for a in old])
     same = same_type & np.array([[a[2] == b[2] for b in new] for a in old])
     fit = np.where(same_type, scores, 0.0)
-    likely = same_type & ~same & (fit >= FOLLOWED) & (fit >= fit.max(axis=0)[None, :]) & (fit >= fit.max(axis=1)[:, None])
+    alike = _alike([f[0].rpartition(".")[2] for f in old], [f[0].rpartition(".")[2] for f in new])
+    likely = same_type & ~same & (alike >= NAMED_ALIKE) & (fit >= FOLLOWED) & (fit >= fit.max(axis=0)[None, :]) & (fit >= fit.max(axis=1)[:, None])
     order = sorted(zip(*np.nonzero(same | likely)), key=lambda p: (not same[p], -scores[p], p))
     taken_a, taken_b, out = set(), set(), []
     for a, b in order:

@@ -37,7 +37,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_times(spark: SparkSession, folder: str) -> DataFrame:
     """Every record's time in microseconds with the unit it was recorded in and whether that is uncertain."""
-    return _converted(spark, folder).select("table_name", "series_key", "pos", "unit", "uncertain", "time_us")
+    return _converted(spark, folder).select("table_name", "series_key", "pos", "unit", F.round("posterior", 3).alias("posterior"), "uncertain", "time_us")
 
 
 def _streams(spark: SparkSession, folder: str) -> DataFrame:

@@ -71,3 +71,8 @@ def test_few_readings_are_all_drawn():
 def test_the_gate_keeps_ordinary_readings_out():
     out = I.judge(np.arange(4000), course(4000, 5))
     assert (out.score < I.ISOLATED).mean() > 0.8
+
+
+def test_physical_range_holds_for_short_sources():
+    out = I.judge(np.arange(3), np.array([1.0, -9999.0, 4294967295.0]))
+    assert out.out_of_range.tolist() == [False, True, True] and not out.spike.any()

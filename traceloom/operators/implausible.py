@@ -31,6 +31,9 @@ ON_THE_WAY = (0.2, 0.8)
 #: this; what the limits alone would take for a spike scores 0.544 at least.
 ISOLATED = 0.54
 
+# The physical range of a reading, a mean of 16-bit counts: it is never negative and never above the top count.
+LEAST, MOST = 0.0, 65_535.0
+
 #: Rows that a task works through at once, beside the rest of the last piece.
 BATCH = 65_536
 
@@ -117,7 +120,7 @@ def seasonal_residual(smooth: np.ndarray, v: np.ndarray, segment: np.ndarray, st
 
 
 def judge(pos: np.ndarray, value: np.ndarray, starts: np.ndarray | None = None, seeds: np.ndarray | None = None) -> pd.DataFrame:
-    """Score and flags of the finite readings of one or more sources: ``row, pos, value, score, spike, frozen``.
+    """Score and flags of the finite readings of one or more sources: ``row, pos, value, score, spike, frozen, out_of_range``.
 
     Readings of a source, which begins at each of ``starts``, are in order of position; ``row`` is the place in the input.
     Repeated positions count once.  Sources of under five readings get no score and no flag.  ``seeds`` has a number for each
@@ -133,7 +136,7 @@ def judge(pos: np.ndarray, value: np.ndarray, starts: np.ndarray | None = None,
     left, first, segment = np.unique(source[rows], return_index=True, return_inverse=True)
     v, n, sources = value[rows].astype(float), len(rows), len(first)
     if not n:
-        return pd.DataFrame({"row": rows, "pos": pos[rows], "value": v, "score": np.zeros(0), "spike": np.zeros(0, bool), "frozen": np.zeros(0, bool)})
+        return pd.DataFrame({"row": rows, "pos": pos[rows], "value": v, "score": np.zeros(0), "spike": np.zeros(0, bool), "frozen": np.zeros(0, bool), "out_of_range": np.zeros(0, bool)})
     counts = np.diff(np.r_[first, n])
     noise = noise_of(v, segment, sources)[segment]
     middle = neighbours(v, segment)
@@ -163,14 +166,16 @@ def judge(pos: np.ndarray, value: np.ndarray, starts: np.ndarray | None = None,
     repeats, pairs = np.bincount(segment, same & usual, sources), np.bincount(segment, usual, sources)
     chance = np.clip((repeats + 0.5) / (pairs + 1), 1e-3, 0.999)[segment]
     frozen = long & enough & (np.log(counts)[segment] + (runs - 1) * np.log(chance) < np.log(BY_CHANCE))
-    return pd.DataFrame({"row": rows, "pos": pos[rows], "value": v, "score": np.where(enough, score, 0.0), "spike": spike, "frozen": frozen})
+    out = (v < LEAST) | (v > MOST)
+    return pd.DataFrame({"row": rows, "pos": pos[rows], "value": v, "score": np.where(enough, score, 0.0), "spike": spike, "frozen": frozen, "out_of_range": out})
 
 
 def score_readings(rows: DataFrame) -> DataFrame:
-    """Every finite reading of ``(table_name, series_key, pos, value)`` with ``score``, ``spike`` and ``frozen``.
+    """Every finite reading of ``(table_name, series_key, pos, value)`` with ``score``, ``spike``, ``frozen`` and ``out_of_range``.
 
     Each piece of a source gets an isolation forest over level, difference, seasonal and run-length features, relative to
-    that piece's own noise, drawn by a number of that piece alone; then limits that no event or drift can pass decide.  Null, NaN and infinite readings and rows
+    that piece's own noise, drawn by a number of that piece alone; then limits that no event or drift can pass decide, and the physical range of a
+    reading, which holds for sources of any length.  Null, NaN and infinite readings and rows
     without a key or position are left out; repeated rows count once; sources of under five readings are only passed on.
     A source of any length is cut into pieces of ``PIECE`` positions with ``MARGIN`` more on either side, so no task
     holds a whole hot source, and every reading is judged in one piece only.  Spark brings the readings of a piece together
@@ -192,14 +197,14 @@ def score_readings(rows: DataFrame) -> DataFrame:
             out = judge(pos, table.column("value").to_numpy(), starts, seeds)
             out = out[(out["pos"] // PIECE).to_numpy() == table.column("piece").to_numpy()[out["row"]]]
             picked = table.take(pa.array(out["row"].to_numpy())).select(["table_name", "series_key", "pos", "value"])
-            for name, kind in (("score", pa.float64()), ("spike", pa.bool_()), ("frozen", pa.bool_())):
+            for name, kind in (("score", pa.float64()), ("spike", pa.bool_()), ("frozen", pa.bool_()), ("out_of_range", pa.bool_())):
                 picked = picked.append_column(name, pa.array(out[name].to_numpy(), kind))
             yield from picked.to_batches()
 
-    schema = "table_name string, series_key string, pos bigint, value double, score double, spike boolean, frozen boolean"
+    schema = "table_name string, series_key string, pos bigint, value double, score double, spike boolean, frozen boolean, out_of_range boolean"
     return split.repartition(*keys).sortWithinPartitions(*keys, "pos").mapInArrow(run, schema)
 
 
 def implausible(scored: DataFrame) -> DataFrame:
     """``(table_name, series_key, pos)`` of the readings that can't have been measured."""
-    return scored.where("spike or frozen").select("table_name", "series_key", "pos")
+    return scored.where("spike or frozen or out_of_range").select("table_name", "series_key", "pos")

@@ -43,3 +43,25 @@ def test_large_group_over_chunks(spark):
 
 def test_empty(spark):
     assert Q.summarise(spark.createDataFrame([], "k string, pos long, value double"), ["k"]).count() == 0
+
+
+def test_hot_group_with_and_without_positions_is_collapsed(spark, monkeypatch):
+    monkeypatch.setattr(Q, "CHUNK", 500)
+    monkeypatch.setattr(Q, "FAN_IN", 4)
+    monkeypatch.setattr(Q, "LOOSE", 32)
+    n = 30_000
+    df = spark.range(n).selectExpr("if(id % 50 = 0, concat('k', id), 'hot') k", "if(id % 3 = 0, null, id) pos", "cast(pmod(id * 7919, 30011) as double) value")
+    hot = np.sort(df.where("k = 'hot'").toPandas()["value"].to_numpy())
+    rows = Q.summarise(df, ["k"], k=32).collect()
+    assert len(rows) == n // 50 + 1
+    at = [0.0, 0.1, 0.5, 0.99, 1.0]
+    top = next(r for r in rows if r["k"] == "hot")
+    assert top["n"] == len(hot) and max(map(len, top["buffers"])) <= 32 and max(top["weights"]) > 100
+    assert true_rank_error(hot, Q.quantiles_of(top["weights"], [np.array(b) for b in top["buffers"]], at), at) <= top["rank_error"] < 0.3 * len(hot)
+
+
+def test_many_metrics_and_repeated_keys(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(None, 1, 1.0, nan), (None, 2, 2.0, 5.0), ("a", None, 3.0, None), ("a", None, 3.0, None)], "k string, pos long, x double, y double")
+    got = {(r["k"], r["metric"]): (r["n"], r["buffers"]) for r in Q.summarise(df, ["k"], ["x", "y"]).collect()}
+    assert got == {(None, "x"): (2, [[1.0, 2.0]]), (None, "y"): (1, [[5.0]]), ("a", "x"): (2, [[3.0, 3.0]])}

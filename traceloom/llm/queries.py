@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from traceloom.llm import leakage, quantiles, reading, runs, tokenize
 from traceloom.sources.tables import table
 
+#: Values in a buffer where the bound itself is put to the test.
+SMALL_K = 16
+
 #: The percentiles that p5 reports.
 AT = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
@@ -18,28 +21,35 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every run, of one row too, with its state and count."""
-    return runs.track_runs(table(spark, folder, "frame_tracks")).select("source_tiff", "mask_index", "track_state", "first_frame", "last_frame", "n_rows")
+    """Every run, of one row too, with its state, duration in frames and count."""
+    return runs.track_runs(table(spark, folder, "frame_tracks")).select("source_tiff", "mask_index", "track_state", "first_frame", "last_frame", "frames", "n_rows")
+
 
+def _daily(spark: SparkSession, folder: str, k: int = quantiles.K) -> DataFrame:
+    return quantiles.summarise(quantiles.spike_rows(table(spark, folder, "spikes")), ["trace_name", "day"], list(quantiles.METRICS), k)
 
-def _daily(spark: SparkSession, folder: str) -> DataFrame:
-    return quantiles.summarise(quantiles.spike_values(table(spark, folder, "spikes")), ["trace_name", "day", "metric"])
+
+def _percentiles(spark: SparkSession, folder: str, k: int = quantiles.K) -> DataFrame:
+    keys = ["trace_name", "metric"]
+    return quantiles.read_off(quantiles.combine(_daily(spark, folder, k), keys, k), keys, AT)
 
 
 def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of each trace and metric from its combined daily summaries, with the bound of their rank error."""
-    keys = ["trace_name", "metric"]
-    return quantiles.read_off(quantiles.combine(_daily(spark, folder), keys), keys, AT)
+    return _percentiles(spark, folder)
 
 
 def p5_daily(spark: SparkSession, folder: str) -> DataFrame:
     """Median of each trace, day and metric from the daily summary."""
-    return quantiles.read_off(_daily(spark, folder), ["trace_name", "day", "metric"], [0.5])
+    return quantiles.read_off(_daily(spark, folder), ["trace_name", "day", "metric"], [0.5]).withColumn("day", F.col("day").cast("string"))
 
 
 def p5_within_bound(spark: SparkSession, folder: str) -> DataFrame:
-    """For each trace and metric: count of values and whether every percentile's true rank is within the stated bound."""
-    asked = p5_percentiles(spark, folder)
+    """For each trace and metric: count of values and whether every percentile's true rank is within the stated bound.
+
+    Buffers are small here, so that most traces are collapsed, many times over.
+    """
+    asked = _percentiles(spark, folder, SMALL_K)
     values = quantiles.spike_values(table(spark, folder, "spikes")).where("value is not null and not isnan(value) and abs(value) < double('infinity')")
     counted = values.select("trace_name", "metric", F.col("value").alias("v")).join(
         asked.groupBy("trace_name", "metric").agg(F.max("n").alias("n"), F.max("rank_error").alias("bound"), F.collect_list(F.struct("q", "value")).alias("at")), ["trace_name", "metric"]
@@ -105,14 +115,20 @@ runs as (select source_tiff, mask_index, r, any_value(state) track_state, min(fr
 
 _VALUES = """
 with o as (
-  select trace_name, spike_index, case when trace_name is null or spike_index is null then hash(amplitude_above_baseline, snr, fwhm_ms) end h, min(amplitude_above_baseline) amplitude_above_baseline, min(snr) snr, min(fwhm_ms) fwhm_ms
+  select trace_name, spike_index, cast(min(detected_at) as date) as "day", case when trace_name is null or spike_index is null then hash(amplitude_above_baseline, snr, fwhm_ms) end h, min(amplitude_above_baseline) amplitude_above_baseline, min(snr) snr, min(fwhm_ms) fwhm_ms
   from spikes group by all),
 v as (
-  select trace_name, 'amplitude_above_baseline' metric, amplitude_above_baseline v from o union all select trace_name, 'snr', snr from o union all select trace_name, 'fwhm_ms', fwhm_ms from o)
+  select trace_name, day, 'amplitude_above_baseline' metric, amplitude_above_baseline v from o union all select trace_name, day, 'snr', snr from o union all select trace_name, day, 'fwhm_ms', fwhm_ms from o)
 """
 
+_RANKED = """, r as (select {keys}, metric, v, row_number() over (partition by {keys}, metric order by v) k, count(*) over (partition by {keys}, metric) n from v where v is not null and isfinite(v))
+select {keys}, metric, n, 0.0::double rank_error, q, v as "value" from r join (select unnest([{at}]::double[]) q) on k = greatest(ceil(q * n), 1)"""
+
 SQL = {
     "p4_found": _RUNS + "select source_tiff, mask_index, first_frame, last_frame from runs where n_rows >= 2",
-    "p4_runs": _RUNS + "select source_tiff, mask_index, track_state, first_frame, last_frame, n_rows from runs",
+    "p4_runs": _RUNS + "select source_tiff, mask_index, track_state, first_frame, last_frame, last_frame - first_frame + 1 frames, n_rows from runs",
+    # up to K values a summary is exact, as all are at scale 0.01; p5_within_bound checks what lies above
+    "p5_percentiles": _VALUES + _RANKED.format(keys="trace_name", at=", ".join(map(str, AT))),
+    "p5_daily": _VALUES + _RANKED.format(keys="trace_name, day", at="0.5").replace("select trace_name, day, metric, n", "select trace_name, cast(day as varchar) as \"day\", metric, n"),
     "p5_within_bound": _VALUES + "select trace_name, metric, count(*) n, true as \"within\" from v where v is not null and isfinite(v) group by 1, 2",
 }

@@ -43,3 +43,16 @@ def test_spellings(spark):
 
 def test_empty(spark):
     assert runs.collapse_runs(spark.createDataFrame([], "entity string, pos long, kind string")).count() == 0
+
+
+def test_slips_in_labels_dont_end_a_run_but_numbers_do(spark):
+    kinds = ["held|roi1mask1", "held|roi1mask1", "held|rol1mask1", "held|roi1msk1", "held|roi1mask2", "held|roi1mask2", "accepted|roi1mask2"]
+    df = spark.createDataFrame([("e", i, k) for i, k in enumerate(kinds)], "entity string, pos long, kind string")
+    for stretch in (2, 3, 100):
+        got = sorted((r["first_pos"], r["last_pos"], r["kind"], r["n"]) for r in runs.collapse_runs(df, 1, stretch).collect())
+        assert got == [(0, 3, kinds[0], 4), (4, 5, kinds[4], 2), (6, 6, kinds[6], 1)]
+
+
+def test_the_anchor_decides_not_the_event_before():
+    assert runs.alike("held|abcdefgh1", "held|abcdefxy1") and runs.alike("held|abcdefxy1", "held|abcdzzxy1")
+    assert not runs.alike("held|abcdefgh1", "held|abcdzzxy1") and not runs.alike("a|x1", "a|y1") and not runs.alike("\0", "held|x")

@@ -85,3 +85,19 @@ def test_short_altered_and_interrupted_pieces(spark):
         every |= {(d, i) for t, n in enumerate(L.aligned(coded.words, [page] * len(coded.words))) if n for i in coded.ids[t]}
     got = L.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t), None) for i, t in enumerate(texts)], "item_id long, passage string, question string"))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == every and len(every) > 200
+
+
+def test_answers_are_evidence(spark):
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words) + " it was the red house"), (2, " ".join(words) + " the house was red"), (3, "the red house")], "doc_id long, text string")
+    items = [(7, " ".join(words), None, ["a dog", "The Red House"], "B"), (8, " ".join(words), None, None, "the house"), (9, " ".join(words), None, ["x"], "C")]
+    eval_df = spark.createDataFrame(items, "item_id long, passage string, question string, choices array<string>, answer string")
+    got = {(r["doc_id"], r["item_id"]): r["answered"] for r in L.leaked(docs, eval_df).collect()}
+    assert got == {(1, 7): True, (2, 7): False, (1, 8): False, (2, 8): True, (1, 9): False, (2, 9): False}
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(L, "ITEMS", 5)
+    items, docs, truth = corpus()
+    got = L.leaked(spark.createDataFrame(docs, "doc_id long, text string, x int"), spark.createDataFrame(items, "item_id long, passage string, question string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == truth

@@ -7,12 +7,12 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.session import cut_lineage
@@ -35,6 +35,13 @@ COHERENT = 0.5
 #: Costs in matched words of an altered or left-out word, of beginning to put words in between and of each further one.
 COST, OPENING, ONWARD = 0.6, 1.5, 0.01
 
+#: Test texts that are searched for at a time: their windows, vectors and words travel with every task (about 4 MB for the 240
+#: items at hand, 60 MB for so many).  More are searched for block by block, each in a pass of its own over the packed words.
+ITEMS = 4000
+
+#: Words whose rows of a partial product travel together.
+BLOCK = 256
+
 #: Words that a page may put in between at one place, and on either side of where a test text is expected.
 BETWEEN = 40
 
@@ -77,17 +84,26 @@ def words(text: str | None) -> list[str]:
 
 
 class Items:
-    """The test texts as word ids, with one entry for each distinct text; their number bounds everything the driver holds."""
+    """The test texts as word ids, with one entry for each distinct text, and the answers of the items.
+
+    Their number, ``ITEMS`` at most, bounds everything the driver holds and every task is sent.  Words that stand in answers
+    only have ids above ``known``; they take no part in the search.
+    """
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple]):
         texts: dict[tuple[str, ...], list[int]] = {}
-        for item, text in rows:
+        answers: dict[int, tuple[str, ...]] = {}
+        for item, text, *answer in rows:
             found = tuple(words(text))
             if found:
                 texts.setdefault(found, []).append(item)
+                answers[item] = tuple(words(answer[0])) if answer else ()
         self.ids = list(texts.values())
-        self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for t in texts for w in t}))}
+        tested = sorted({w for t in texts for w in t})
+        self.known = len(tested)
+        self.vocab = {w: i + 1 for i, w in enumerate([*tested, *sorted({w for a in answers.values() for w in a} - set(tested))])}
         self.words = [np.array([self.vocab[w] for w in t], dtype=np.int32) for t in texts]
+        self.answers = {i: np.array([self.vocab[w] for w in a], dtype=np.int32) for i, a in answers.items()}
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word ids of the texts' windows (0 fills up short texts), the text of each and its place in the text.
@@ -219,15 +235,19 @@ def latent_space(encoded: DataFrame, idf: np.ndarray, wide: bool, seed: int = 11
                 order = np.argsort(part, kind="stable")
                 ids, first = np.unique(part[order], return_index=True)
                 total[ids] += np.add.reduceat(product[order // WINDOW], first, axis=0) * idf[ids][:, None]
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+        blocks = [b for b in range(-(-size // BLOCK)) if total[b * BLOCK : (b + 1) * BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([total[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in blocks], pa.binary())], names=["block", "part"])
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [np.sum([np.frombuffer(p) for p in pdf["part"]], axis=0).tobytes()]})
-
-    parts = encoded.mapInArrow(run, "part binary").withColumn("branch", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(64)))
-    branches = parts.groupBy("branch").applyInPandas(add, "part binary")
-    summed = branches.groupBy(F.lit(0).alias("branch")).applyInPandas(add, "part binary").toPandas()["part"]
-    product = np.sum([np.frombuffer(p) for p in summed], axis=0).reshape(size, rank) if len(summed) else np.zeros((size, rank))
+        return pd.DataFrame({"block": [key[0]], "part": [np.sum([np.frombuffer(p) for p in pdf["part"]], axis=0).tobytes()]})
+
+    # about the root of the number of tasks are summed at a time, of one block of words: no group has more than that of each
+    fan = max(1, int(np.sqrt(encoded.rdd.getNumPartitions())))
+    parts = encoded.mapInArrow(run, "block int, part binary").withColumn("branch", F.floor(F.spark_partition_id() / fan))
+    branches = parts.groupBy("block", "branch").applyInPandas(add, "block int, part binary")
+    product = np.zeros((size, rank))
+    for r in branches.groupBy("block").applyInPandas(add, "block int, part binary").collect():
+        product[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["part"]).reshape(-1, rank)
     if not product.any():
         return np.zeros((size, 1), dtype=np.float32)
     # Nyström: A'A is about Z (R'Z)^-1 Z'
@@ -340,8 +360,17 @@ def sharing(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int
     return out
 
 
+def contains(page: np.ndarray, answer: np.ndarray) -> bool:
+    """Whether the words of an answer stand on a page in a row; no words stand nowhere."""
+    n = len(answer)
+    if not n or n > len(page):
+        return False
+    return bool((np.lib.stride_tricks.sliding_window_view(page, n) == answer).all(axis=1).any())
+
+
 def search(encoded: DataFrame, items: Items, space: np.ndarray, wide: bool, key: str) -> DataFrame:
-    """``(key, item, held)``: the documents that hold enough of a test text, and the number of its words that they hold.
+    """``(key, item, held, answered)``: the documents that hold enough of a test text, the number of its words that they hold,
+    and whether they hold the words of the item's right answer too.
 
     Each task holds the latent windows of the test texts, compares all passages of a batch with them by cosine, and aligns
     the texts with the places of those that are near.  Short or altered pieces may lie between the windows, so every
@@ -351,7 +380,7 @@ def search(encoded: DataFrame, items: Items, space: np.ndarray, wide: bool, key:
     rows, owner, place = items.windows()
     query = space[rows].sum(axis=1)
     query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-9)
-    texts, item_ids, size, neighbours = items.words, items.ids, len(items.vocab) + 1, items.pairs()
+    texts, item_ids, answers, size, neighbours = items.words, items.ids, items.answers, len(items.vocab) + 1, items.pairs()
     kind = dict(encoded.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,26 +422,45 @@ def search(encoded: DataFrame, items: Items, space: np.ndarray, wide: bool, key:
                 for (d, t, _), n in zip(some, aligned([texts[t] for _, t, _ in some], [r for *_, r in some])):
                     if n:
                         found[d, t] = max(found.get((d, t), 0), int(n))
-            out = [(d, item, n) for (d, t), n in found.items() for item in item_ids[t]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32())], names=[key, "item_id", "held"]
-            )
+            out = [(d, item, n, contains(flat[starts[d] : starts[d] + lengths[d]], answers[item])) for (d, t), n in found.items() for item in item_ids[t]]
+            columns = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], names=[key, "item_id", "held", "answered"])
+
+    return encoded.mapInArrow(run, f"{key} {kind}, item_id bigint, held int, answered boolean")
+
 
-    return encoded.mapInArrow(run, f"{key} {kind}, item_id bigint, held int")
+def _right_answer(columns: list[str]) -> Column:
+    """The text of the right answer: the choice that a letter names, or the answer itself; null where there is none."""
+    if "answer" not in columns:
+        return F.lit(None).cast("string")
+    said = F.trim("answer")
+    if "choices" not in columns:
+        return said
+    nth = F.when(said.rlike("^[A-Za-z]$"), F.ascii(F.upper(said)) - 65)
+    return F.coalesce(F.get("choices", nth), F.when(nth.isNull(), said))
 
 
 def leaked(documents: DataFrame, eval_items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, item_id, held)`` of every document that holds a test text: its passage or, where null, its question.
+    """``(key, item_id, held, answered)`` of every document that holds a test text: its passage or, where null, its question.
 
-    The test texts are few and fixed; their words, windows and vectors travel with the tasks.  The corpus is read once for
+    ``answered`` says that the document holds the words of the item's right answer too, which is evidence of a worse leak and
+    decides nothing.  The words, windows and vectors of ``ITEMS`` test texts travel with the tasks; more are searched for in
+    blocks.  The corpus is read once for
     its words, which are written to the checkpoint folder in packed form; document frequencies, the latent space and the
     search then pass over that.  Null and empty texts hold nothing; test texts without words aren't looked for; items with
     the same text come out each; repeated documents come out as often as they stand in the table.
     """
-    rows = [(r["item_id"], r["t"]) for r in eval_items.select("item_id", F.coalesce("passage", "question").alias("t")).where("t is not null").collect()]
+    tests = eval_items.select("item_id", F.coalesce("passage", "question").alias("t"), _right_answer(eval_items.columns).alias("a")).where("t is not null")
+    blocks = max(1, -(-tests.count() // ITEMS))
+    tests = tests.withColumn("block", F.pmod(F.xxhash64("t"), F.lit(blocks)))
+    found = [_leaked(documents, [(r["item_id"], r["t"], r["a"]) for r in tests.where(F.col("block") == b).collect()], key, text) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _leaked(documents: DataFrame, rows: list[tuple[int, str, str | None]], key: str, text: str) -> DataFrame:
     items = Items(rows)
     if not items.words:
-        return documents.select(key, F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("held")).where("false")
+        return documents.select(key, F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("held"), F.lit(False).alias("answered")).where("false")
     size = len(items.vocab) + 1
     wide = size > 65_535
     # the packed words are a fraction of the texts: spread evenly, the later passes use all cores
@@ -421,4 +469,5 @@ def leaked(documents: DataFrame, eval_items: DataFrame, key: str = "doc_id", tex
     frequency = document_frequencies(encoded, size, wide)
     idf = np.log((encoded.count() + 1) / (frequency + 1)) + 0.1
     idf[0] = 0.0
+    idf[items.known + 1 :] = 0.0
     return search(encoded, items, latent_space(encoded, idf, wide), wide, key)

@@ -78,9 +78,9 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_items(spark: SparkSession, folder: str) -> DataFrame:
-    """How many documents hold each leaked item, and the most words of it that one of them holds."""
+    """How many documents hold each leaked item, how many of these its right answer too, and the most words of it in one."""
     held = leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
-    return held.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("held").alias("most_words"))
+    return held.groupBy("item_id").agg(F.count("*").alias("documents"), F.count_if("answered").alias("with_answer"), F.max("held").alias("most_words"))
 
 
 def _levels(spark: SparkSession, folder: str) -> DataFrame:

@@ -28,10 +28,10 @@ FAMILIAR = 800
 #: article count once.  No more than lines-a-page / ``FURNITURE`` lines can be, whatever the size of the corpus.
 FURNITURE = 0.002
 
-#: Of lines with more letters a digest is the key.  No line has the key ``ALL``.
-LONG, ALL = 200, "*"
+#: Of lines with more letters a digest is the key, so that whole lines are never shuffled.  No line has the key ``ALL``.
+LONG, ALL = 24, "*"
 
-#: An article has at least so many words, and so large a share of them are English function words.
+#: An article has at least so many words, so large a share of them are English function words, and of no other language's more are.
 LEAST_WORDS, ENGLISH = 100, 0.13
 
 #: The grading is fitted on at most so many graded passages, the first by their id.
@@ -43,6 +43,16 @@ FUNCTION_WORDS = frozenset(
     "they we you he she his her its my i than then when while if because".split()
 )
 
+# Function words of other languages in Latin letters, where English has none that is written alike.
+OTHER_FUNCTION_WORDS = {
+    "german": frozenset("der die das und ist nicht ein eine zu den von mit sich auf dem des im auch als an wie oder aber wenn nur noch".split()),
+    "french": frozenset("le la les et des est une un dans que qui pour pas sur au plus par avec ce il elle nous vous mais ou donc".split()),
+    "spanish": frozenset("el la los las y de que en un una por con para no es al lo como pero su sus del se ha este esta".split()),
+    "italian": frozenset("il lo la gli le e di che in un una per con non del della sono come ma anche si ha questo questa nel".split()),
+    "portuguese": frozenset("o os as e de que em um uma por com para nao do da dos das no na se mais como mas foi ao".split()),
+    "dutch": frozenset("de het een en van ik te dat die niet zijn is op aan met voor er maar om hem dan zou of wat mijn".split()),
+}
+
 _ENDS = re.compile(r"[.!?][\"'”’)]*\s*$")
 _SENTENCE = re.compile(r"[.!?]+[\"'”’)]*(?:\s+|$)")
 _WORDS = re.compile(r"[a-z]+(?:'[a-z]+)?")
@@ -178,6 +188,7 @@ class Measures:
     words: int
     sentences: int
     english: float
+    foreign: float
     unfamiliar: float
     letters: float
 
@@ -187,11 +198,15 @@ class Measures:
 
 
 def measure(text: str, familiar: frozenset[str]) -> Measures:
-    """Words, sentences, shares of English function words and of words that aren't familiar, and letters in a word."""
+    """Words, sentences, shares of English function words, of the function words of the likeliest other language and of words
+    that aren't familiar, and letters in a word."""
     found = _words(text)
     n = max(len(found), 1)
     sentences = sum(1 for s in _SENTENCE.split(text) if any(c.isalpha() for c in s))
-    return Measures(len(found), sentences, sum(w in FUNCTION_WORDS for w in found) / n, sum(w not in familiar for w in found) / n, sum(map(len, found)) / n)
+    counts = Counter(found)
+    share = lambda words: sum(counts[w] for w in words) / n
+    foreign = max(share(words) for words in OTHER_FUNCTION_WORDS.values())
+    return Measures(len(found), sentences, share(FUNCTION_WORDS), foreign, sum(w not in familiar for w in found) / n, sum(map(len, found)) / n)
 
 
 @dataclass(frozen=True)
@@ -224,28 +239,32 @@ def grade(features: np.ndarray, bands: list[str], rounds: int = 3000, rate: floa
 
 
 def reading_levels(documents: DataFrame, graded: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, words, sentence_words, unfamiliar, band)`` of every page whose own article is English prose of enough words.
+    """``(key, words, sentence_words, unfamiliar, band, formula_band)`` of every page whose own article is English prose of
+    enough words.
 
-    ``unfamiliar`` is the share of words outside the list of familiar words.  Lines that many different articles share, menus,
+    ``unfamiliar`` is the share of words outside the list of familiar words.  ``formula_band`` is the band by that share and
+    the sentence length alone, ``band`` by the word length too.  Lines that many different articles share, menus,
     headings, comments and fragments don't belong to the article.  Line counts and word counts go over the whole corpus;
     only bounded results come to the driver: the furniture lines, the familiar words and the graded passages.  Null and
     empty texts and other languages give no row; repeated pages come out as often as they stand in the table; without graded
     passages there are no bands and so no rows.
     """
     packed = cut_lineage(articles(documents, furniture(documents, text), key, text))
-    schema = f"{key} {dict(documents.dtypes)[key]}, words bigint, sentence_words double, unfamiliar double, band string"
+    schema = f"{key} {dict(documents.dtypes)[key]}, words bigint, sentence_words double, unfamiliar double, band string, formula_band string"
     known = graded.where("band is not null and passage is not null").orderBy("passage_id").limit(GRADED).collect()
     if not known:
         return documents.sparkSession.createDataFrame([], schema)
     familiar = familiar_words(packed)
-    model = grade(np.array([measure(r["passage"], familiar).features for r in known]), [r["band"] for r in known])
+    features, given = np.array([measure(r["passage"], familiar).features for r in known]), [r["band"] for r in known]
+    model, formula = grade(features, given), grade(features[:, :2], given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             took = [measure(_unpack(v.as_py()), familiar) for v in batch.column(1)]
-            at = [i for i, m in enumerate(took) if m.words >= LEAST_WORDS and m.english >= ENGLISH]
+            at = [i for i, m in enumerate(took) if m.words >= LEAST_WORDS and m.english >= ENGLISH and m.english > m.foreign]
             kept = [took[i] for i in at]
-            bands = model.bands_of(np.array([m.features for m in kept])) if kept else []
+            took = np.array([m.features for m in kept]).reshape(-1, 3)
+            bands, plain = (model.bands_of(took), formula.bands_of(took[:, :2])) if kept else ([], [])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(at, pa.int64())),
@@ -253,8 +272,9 @@ def reading_levels(documents: DataFrame, graded: DataFrame, key: str = "doc_id",
                     pa.array([m.words / max(m.sentences, 1) for m in kept], pa.float64()),
                     pa.array([m.unfamiliar for m in kept], pa.float64()),
                     pa.array(bands, pa.string()),
+                    pa.array(plain, pa.string()),
                 ],
-                names=[key, "words", "sentence_words", "unfamiliar", "band"],
+                names=[key, "words", "sentence_words", "unfamiliar", "band", "formula_band"],
             )
 
     return packed.mapInArrow(run, schema)

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 #: Where the vocabulary file lies, on every executor.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
-#: Encodings of so many pieces are kept by a worker before it forgets them all; this changes the speed only.
+#: Encodings of so many pieces, and tests of so many pairs, are kept by a worker before it forgets them all; this changes the
+#: speed only.
 KEPT = 400_000
 
 # The pattern by which the public tokenizer cuts a text into pieces that are encoded apart.
@@ -93,6 +94,8 @@ class PairEncoder:
                 seam, left = a, halves[left][1]
             else:
                 seam, right = b + 1, halves[right][0]
+        if len(self.fits) >= KEPT:
+            self.fits.clear()
         self.fits[key] = out
         return out
 

@@ -29,28 +29,33 @@ def _reach(x: np.ndarray, p: int, step: int) -> int:
     return len(x) - 1 if step > 0 else 0
 
 
-def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
-    """Height of each peak above the higher of the lowest points towards the next higher value on either side."""
+def prominences(x: np.ndarray, peaks: np.ndarray, reach: int | None = None) -> np.ndarray:
+    """Height of each peak above the higher of the lowest points towards the next higher value on either side.
+
+    With ``reach`` no more than so many values on either side are looked at.
+    """
     out = np.empty(len(peaks))
     for i, p in enumerate(peaks):
-        out[i] = x[p] - max(x[_reach(x, p, -1) : p + 1].min(), x[p : _reach(x, p, 1) + 1].min())
+        a, b = (0, len(x)) if reach is None else (max(p - reach, 0), p + reach + 1)
+        y, q = x[a:b], p - a
+        out[i] = x[p] - max(y[_reach(y, q, -1) : q + 1].min(), y[q : _reach(y, q, 1) + 1].min())
     return out
 
 
-def find_peaks(x: np.ndarray, height: float, distance: int = 1, prominence: float | None = None) -> np.ndarray:
+def find_peaks(x: np.ndarray, height: float, distance: int = 1, prominence: float | None = None, reach: int | None = None) -> np.ndarray:
     """Maxima at least ``height`` high; of those closer than ``distance`` the highest stay; then those prominent enough."""
     peaks = local_maxima(x)
     peaks = peaks[x[peaks] >= height]
     if distance > 1 and len(peaks):
         keep = np.ones(len(peaks), dtype=bool)
+        first, last = np.searchsorted(peaks, peaks - distance, "right"), np.searchsorted(peaks, peaks + distance, "left")
         for i in np.argsort(x[peaks], kind="stable")[::-1]:
             if keep[i]:
-                near = np.abs(peaks - peaks[i]) < distance
-                near[i] = False
-                keep[near] = False
+                keep[first[i] : i] = False
+                keep[i + 1 : last[i]] = False
         peaks = peaks[keep]
     if prominence is not None and len(peaks):
-        peaks = peaks[prominences(x, peaks) >= prominence]
+        peaks = peaks[prominences(x, peaks, reach) >= prominence]
     return peaks
 
 

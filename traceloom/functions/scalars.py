@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What stands between recording and region in a trace name, and the recording of names without it.
+BAR, UNGROUPED = " | ", "Ungrouped"
+
 # Spellings of a background mode.
 BACKGROUND_MODES = {"": "none", "none": "none", "off": "none", "false": "none", "parent_tile": "parent_tile", "parent-tile": "parent_tile", "tile": "parent_tile", "local": "parent_tile", "global": "global", "frame": "global"}
 
@@ -29,13 +32,16 @@ def odd_at_least(n: Column, least: int = 5) -> Column:
 
 
 def recording_of(trace: Column) -> Column:
-    """The recording of a trace name ``recording | roi``."""
-    return F.trim(F.split_part(trace, F.lit("|"), F.lit(1)))
+    """The recording of a trace name ``recording | roi``; ``Ungrouped`` for other names and where it is empty."""
+    said = F.trim(F.split_part(trace, F.lit(BAR), F.lit(1)))
+    return F.when(trace.contains(BAR) & (said != ""), said).when(trace.isNotNull(), UNGROUPED)
 
 
 def roi_of(trace: Column) -> Column:
-    """The region of a trace name; empty where the name has no bar.  Further bars belong to the region."""
-    return F.when(trace.contains("|"), F.trim(F.regexp_extract(trace, r"^[^|]*\|(.*)$", 1))).otherwise("")
+    """The region of a trace name: what follows the first bar with spaces around it, or the whole name."""
+    said = F.trim(F.substring_index(trace, BAR, 1))
+    rest = F.trim(F.regexp_replace(trace, r"^.*? \| ", ""))
+    return F.when(trace.contains(BAR) & (rest != "") & said.isNotNull(), rest).otherwise(trace)
 
 
 def canonical_name(name: Column) -> Column:
@@ -57,9 +63,11 @@ def hertz_in(text: Column) -> Column:
 
 
 def seconds_per_unit(header: Column) -> Column:
-    """Seconds in one unit of a time column by its header: 0.001, 1 or null."""
-    plain = F.lower(header)
-    return F.when(plain.rlike(r"(^|[^a-z])(ms|msec|milliseconds?)([^a-z]|$)"), 0.001).when(plain.rlike(r"(^|[^a-z])(s|sec|secs|seconds?)([^a-z]|$)"), 1.0)
+    """Seconds in one unit of a time column by its heading: 0.001, 1 or null where the heading doesn't say."""
+    plain = F.replace(F.lower(header), F.lit(" "), F.lit(""))
+    ms = plain.contains("(ms)") | plain.endswith("_ms") | (plain == "ms") | plain.contains("millisecond")
+    seconds = plain.contains("(s)") | plain.endswith("_s") | plain.isin("s", "sec", "secs", "second", "seconds")
+    return F.when(ms, 0.001).when(seconds, 1.0)
 
 
 def nice_floor(x: Column) -> Column:
@@ -70,15 +78,15 @@ def nice_floor(x: Column) -> Column:
 
 
 def report_number(x: Column, digits: int = 2) -> Column:
-    """A number as reports show it: no digits from 1000 on, one from 100 on, else ``digits``; a dash for missing ones."""
+    """A number as reports show it: no digits from 1000 on, one from 100 on, else ``digits``; empty for missing ones."""
     x = finite(x)
     shown = F.when(F.abs(x) >= 1000, F.format_string("%.0f", x)).when(F.abs(x) >= 100, F.format_string("%.1f", x)).otherwise(F.format_string(f"%.{digits}f", x))
-    return F.coalesce(shown, F.lit("-"))
+    return F.coalesce(shown, F.lit(""))
 
 
 def short_label(name: Column, most: int = 26) -> Column:
-    """A name cut to ``most`` characters with three dots."""
-    return F.when(F.length(name) <= most, name).otherwise(F.concat(F.substring(name, 1, most - 3), F.lit("...")))
+    """A name of more than ``most`` characters as its first ``most`` - 1 and three dots."""
+    return F.when(F.length(name) <= most, name).otherwise(F.concat(F.substring(name, 1, most - 1), F.lit("...")))
 
 
 def unit_interval(x: Column) -> Column:

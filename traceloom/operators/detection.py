@@ -11,36 +11,56 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.functions.peaks import find_peaks, zero_phase_butterworth
+from traceloom.functions.peaks import find_peaks, prominences, zero_phase_butterworth
 from traceloom.functions.scalars import finite
 from traceloom.operators import masks, stats
 from traceloom.operators.grouped import map_groups
 from traceloom.operators.ordered import bucketed_lag
-from traceloom.operators.signals import aligned_windows, lagged, numbered, rolling_rank, with_halo
+from traceloom.operators.signals import aligned_windows, lagged, lagged_snr, numbered, rolling_rank, with_halo
 from traceloom.session import cut_lineage
 
 #: Samples in a piece and in the halo on either side of it.
 PIECE, HALO = 65_536, 8_192
 
 
-def threshold_spikes(df: DataFrame, column: str, k: float = 5.0, prominence_k: float = 2.0, distance: int = 10, mode: str = "std") -> DataFrame:
-    """``(trace_id, spike_index, spike_time, value, threshold, amplitude, snr)`` of the maxima above centre and ``k`` noises.
+def threshold_spikes(df: DataFrame, column: str, k: float = 5.0, prominence_k: float = 2.0, distance: int | str = 10, mode: str = "std", baseline: str | None = None, blocked: Column | None = None, lag: int | str = 5) -> DataFrame:
+    """``(trace_id, spike_index, spike_time, value, baseline, threshold, amplitude, prominence, noise, snr)`` of the maxima of each trace
+    above its threshold.
 
-    Centre and noise are those of ``noise_std`` or, with mode ``mad``, ``noise_mad``; an unknown mode is ``std``.  Of maxima
-    closer than ``distance`` the highest stays; peaks must be ``prominence_k`` noises prominent.  Missing values never are
-    peaks and bound prominences.
+    The threshold is centre and ``k`` noises (``noise_std``, or ``noise_mad`` with mode ``mad``); with mode ``snr`` the trace is
+    first turned into its change over ``lag`` samples in units of its mean step (``lagged_snr``) and ``k`` is the threshold itself.
+    Of maxima closer than ``distance`` the highest stays; but for mode ``snr`` peaks must be ``prominence_k`` noises prominent, for which
+    ``HALO`` samples on either side are looked at.  ``distance`` and ``lag`` may be columns, as where traces have their own
+    rates.  Amplitudes are above ``baseline``, or the centre where none is given; ``noise`` is the mean absolute step and
+    ``snr`` the amplitude in units of it.  Blocked samples and missing values never are peaks, bound prominences and count for nothing.
     """
-    scale = (stats.noise_mad if mode == "mad" else stats.noise_std)(df, ["trace_id"], column)
-    held = with_halo(df.join(scale, "trace_id"), HALO, PIECE).select("trace_id", "idx", "t", F.col(column).alias("value"), "centre", "noise", "piece", "own")
+    rows = df.withColumn("value", finite(F.col(column))).withColumn("ok", F.col("value").isNotNull() & ~F.coalesce(blocked if blocked is not None else F.lit(False), F.lit(False)))
+    given = [c for c in (baseline, distance, lag) if isinstance(c, str)]
+    rows = cut_lineage(rows.select("trace_id", "idx", "t", "value", "ok", *dict.fromkeys(given)))  # read many times below
+    free = rows.where("ok")
+    scale = (stats.noise_mad if mode == "mad" else stats.noise_std)(free, ["trace_id"], "value")
+    steps = lagged(free.select("trace_id", "idx", "value"), "value", 1, "before").groupBy("trace_id").agg(F.greatest(F.coalesce(F.avg(F.abs(F.col("value") - F.col("before"))), F.lit(0.0)), F.lit(1e-9)).alias("step"))
+    if mode == "snr":
+        rows = lagged_snr(rows, "value", lag, "score")
+        limits = steps.withColumn("threshold", F.lit(float(k))).withColumn("least", F.lit(float("-inf"))).join(scale, "trace_id")
+    else:
+        rows = rows.withColumn("score", F.col("value"))
+        limits = scale.join(steps, "trace_id").withColumn("threshold", F.col("centre") + k * F.col("noise")).withColumn("least", prominence_k * F.col("noise"))
+    far = F.lit(distance) if isinstance(distance, int) else F.col(distance)
+    base = F.coalesce(F.col(baseline), F.col("centre")) if baseline else F.col("centre")
+    rows = rows.join(limits, "trace_id").select("trace_id", "idx", "t", "value", base.cast("double").alias("baseline"), F.when(F.col("ok"), F.col("score")).alias("score"), "threshold", "least", "step", far.cast("long").alias("far"))
+    held = with_halo(numbered(rows), HALO, PIECE, "row")
 
     def run(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        x, centre, noise = g["value"], g["centre"][0], g["noise"][0]
-        at = find_peaks(np.where(np.isfinite(x), x, -np.inf), centre + k * noise, distance, prominence_k * noise)
-        at = at[g["own"][at].astype(bool)]
-        return at, {"threshold": np.full(len(at), centre + k * noise), "amplitude": x[at] - centre, "snr": (x[at] - centre) / noise}
+        x = np.where(np.isfinite(g["score"]), g["score"], -np.inf)
+        at = find_peaks(x, g["threshold"][0], int(g["far"][0]))
+        height = prominences(x, at, HALO)
+        kept = g["own"][at].astype(bool) & (height >= g["least"][0])
+        return at[kept], {"prominence": height[kept]}
 
-    out = map_groups(held, ["trace_id", "piece"], "idx", run, ["trace_id", "idx", "t", "value"], {"threshold": "double", "amplitude": "double", "snr": "double"})
-    return out.withColumnsRenamed({"idx": "spike_index", "t": "spike_time"})
+    out = map_groups(held, ["trace_id", "piece"], "idx", run, ["trace_id", "idx", "t", "value", "baseline", "threshold", "step"], {"prominence": "double"}, used=["score", "threshold", "least", "far", "own"])
+    amplitude = F.col("value") - F.col("baseline")
+    return out.select("trace_id", F.col("idx").alias("spike_index"), F.col("t").alias("spike_time"), "value", "baseline", "threshold", amplitude.alias("amplitude"), "prominence", F.col("step").alias("noise"), (amplitude / F.col("step")).alias("snr"))
 
 
 def triggered_regions(df: DataFrame, column: str, high: str, low: str, enter: int, leave: int) -> DataFrame:
@@ -65,20 +85,17 @@ def triggered_regions(df: DataFrame, column: str, high: str, low: str, enter: in
     return closed.unionByName(last.join(ends, "trace_id").select("trace_id", "start", "end"))
 
 
-def long_plateaus(df: DataFrame, column: str, half: int = 50, drift_percentile: float = 20.0, entry_k: float = 5.0, exit_k: float = 2.0, exit_fraction: float = 0.5, enter: int = 10, leave: int = 10, shortest: int = 20) -> DataFrame:
+def long_plateaus(df: DataFrame, column: str, half: int | Column = 50, drift_percentile: float = 20.0, entry_k: float = 5.0, exit_k: float = 2.0, exit_fraction: float = 0.5, enter: int = 10, leave: int = 10, shortest: int = 20) -> DataFrame:
     """Raised stretches of a trace over its drift.
 
     The drift is a rolling percentile; what is above it is compared with an entry level, the greater of the Otsu threshold and
-    the median and ``entry_k`` noises, and an exit level below.  Regions of at least ``shortest`` samples stay.
+    the median and ``entry_k`` noises (``low_state_noise``), and an exit level below.  Regions of at least ``shortest`` samples stay.
     """
     flat = rolling_rank(df, column, half, "drift", drift_percentile, "reflect").withColumn("above", F.col(column) - F.col("drift"))
-    flat = cut_lineage(flat.select("trace_id", "idx", "above"))  # read five times below
-    middle = flat.groupBy("trace_id").agg(stats.median("above").alias("centre"))
-    noise = stats.mad_or_sd(flat, ["trace_id"], "above")
-    levels = middle.join(noise, "trace_id").join(stats.otsu(flat, ["trace_id"], "above"), "trace_id")
-    entry = F.greatest("threshold", F.col("centre") + entry_k * F.col("mad"))
-    levels = levels.withColumn("entry", entry)
-    leave_at = F.least("entry", F.greatest(F.col("centre") + exit_k * F.col("mad"), F.col("centre") + exit_fraction * (F.col("entry") - F.col("centre"))))
+    flat = cut_lineage(flat.select("trace_id", "idx", "above"))  # read many times below
+    levels = stats.low_state_noise(flat, ["trace_id"], "above").join(stats.otsu(flat, ["trace_id"], "above"), "trace_id")
+    levels = levels.withColumn("entry", F.greatest("threshold", F.col("centre") + entry_k * F.col("noise")))
+    leave_at = F.least("entry", F.greatest(F.col("centre") + exit_k * F.col("noise"), F.col("centre") + exit_fraction * (F.col("entry") - F.col("centre"))))
     levels = levels.withColumn("exit", leave_at).select("trace_id", "entry", "exit")
     return masks.at_least(triggered_regions(flat.join(levels, "trace_id"), "above", "entry", "exit", enter, leave), shortest)
 

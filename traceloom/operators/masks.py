@@ -35,23 +35,31 @@ def regions_of(df: DataFrame, mask: Column, piece: int = PIECE) -> DataFrame:
     return parts.where("not edge").select("trace_id", "start", "end").unionByName(joined)
 
 
-def merged(regions: DataFrame, gap: int = 0) -> DataFrame:
-    """Regions with those at most ``gap`` apart, or overlapping, put together."""
-    spans = regions.select(F.col("trace_id").alias("entity"), F.col("start").alias("s"), (F.col("end") + gap).alias("e"))
-    return periods_and_gaps(spans, PIECE).where("kind = 'period'").select(F.col("entity").alias("trace_id"), F.col("start_us").alias("start"), (F.col("end_us") - gap).alias("end"))
+def _with_samples(regions: DataFrame, n: int | DataFrame) -> DataFrame:
+    """Regions with ``_n``: a number of samples that is given, or that each trace has as ``(trace_id, n)``."""
+    if isinstance(n, int):
+        return regions.withColumn("_n", F.lit(n))
+    return regions.join(n.select("trace_id", F.col("n").alias("_n")), "trace_id")
 
 
-def dilated(regions: DataFrame, radius: int, lengths: DataFrame | None = None) -> DataFrame:
+def merged(regions: DataFrame, gap: int | DataFrame = 0) -> DataFrame:
+    """Regions with those at most ``gap`` apart, or overlapping, put together; ``gap`` may be ``(trace_id, n)``."""
+    spans = _with_samples(regions.select("trace_id", "start", "end"), gap).select(F.col("trace_id").alias("entity"), F.col("start").alias("s"), (F.col("end") + F.col("_n")).alias("e"))
+    met = periods_and_gaps(spans, PIECE).where("kind = 'period'").select(F.col("entity").alias("trace_id"), F.col("start_us").alias("start"), F.col("end_us").alias("end"))
+    return _with_samples(met, gap).select("trace_id", "start", (F.col("end") - F.col("_n")).alias("end"))
+
+
+def dilated(regions: DataFrame, radius: int | DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     """Regions widened by ``radius`` on both sides and put together where they meet; cut to 0 and, if given, ``n`` of the trace."""
-    wide = regions.select("trace_id", F.greatest(F.col("start") - radius, F.lit(0)).alias("start"), (F.col("end") + radius).alias("end"))
+    wide = _with_samples(regions, radius).select("trace_id", F.greatest(F.col("start") - F.col("_n"), F.lit(0)).alias("start"), (F.col("end") + F.col("_n")).alias("end"))
     if lengths is not None:
         wide = wide.join(lengths.select("trace_id", "n"), "trace_id").select("trace_id", "start", F.least("end", "n").alias("end"))
     return merged(wide)
 
 
-def at_least(regions: DataFrame, length: int) -> DataFrame:
-    """Regions of at least ``length`` positions."""
-    return regions.where(F.col("end") - F.col("start") >= length)
+def at_least(regions: DataFrame, length: int | DataFrame) -> DataFrame:
+    """Regions of at least ``length`` positions, which may be ``(trace_id, n)``."""
+    return _with_samples(regions, length).where(F.col("end") - F.col("start") >= F.col("_n")).drop("_n")
 
 
 def longest(regions: DataFrame) -> DataFrame:
@@ -60,10 +68,14 @@ def longest(regions: DataFrame) -> DataFrame:
     return regions.groupBy("trace_id").agg(best.alias("r")).select("trace_id", "r.*")
 
 
-def artifact_blocks(regions: DataFrame, rate: float, lengths: DataFrame | None = None) -> DataFrame:
-    """Regions as blocked spans: gaps of 180 ms closed, 45 ms more on either side, gaps of 90 ms closed."""
-    n = lambda ms: max(1, round(ms / 1000 * rate))
-    return merged(dilated(merged(regions, n(180)), n(45), lengths), n(90))
+# Milliseconds of gaps that are closed before and after blocked spans are widened, and by how much on either side.
+CLOSED_MS, WIDER_MS, CLOSED_AGAIN_MS = 180, 45, 90
+
+
+def artifact_blocks(regions: DataFrame, rates: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    """Regions as blocked spans: near ones put together, widened, and put together again; ``rates`` has ``(trace_id, fs)``."""
+    n = lambda ms: rates.select("trace_id", F.greatest(F.lit(1), F.rint(ms / 1000 * F.col("fs")).cast("long")).alias("n"))
+    return merged(dilated(merged(regions, n(CLOSED_MS)), n(WIDER_MS), lengths), n(CLOSED_AGAIN_MS))
 
 
 def run_starts(regions: DataFrame, length: int) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from traceloom.functions.scalars import finite, recording_of, roi_of
+from traceloom.functions.scalars import finite, recording_of, roi_of, seconds_per_unit
 from traceloom.operators.grouped import map_groups
 from traceloom.operators.ordered import bucketed_lag, carried
 
@@ -50,19 +50,36 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.where("own").drop("piece", "own")
 
 
-def lagged(df: DataFrame, column: str, lag: int, out: str) -> DataFrame:
-    """Add ``out``: the value ``lag`` rows before (after, if negative), however far apart their positions are."""
+def lagged(df: DataFrame, column: str, lag: int | str, out: str) -> DataFrame:
+    """Add ``out``: the value ``lag`` rows before (after, if negative), however far apart their positions are.
+
+    ``lag`` may be a column that is the same for all rows of a trace.
+    """
     if lag == 1:
         return bucketed_lag(df, ["trace_id"], F.floor(F.col("idx") / PIECE), ["idx"], column, out)
-    held = with_halo(numbered(df), abs(lag), PIECE, "row")
+    rows = numbered(df)
+    if isinstance(lag, str):
+        past = rows.select(F.col("trace_id").alias("_trace"), (F.col("row") + F.col(lag)).alias("_row"), F.col(column).alias(out))
+        return rows.join(past, (F.col("trace_id") == F.col("_trace")) & (F.col("row") == F.col("_row")), "left").drop("_trace", "_row", "row")
+    held = with_halo(rows, abs(lag), PIECE, "row")
     return own_rows(held.withColumn(out, F.lag(column, lag).over(along()) if lag >= 0 else F.lead(column, -lag).over(along()))).drop("row")
 
 
-def sampling_rates(df: DataFrame) -> DataFrame:
-    """``(trace_id, fs)`` from the median positive step of ``t``; below 5 Hz with steps of a thousandth or more it is in ms."""
+def sampling_rates(df: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """``(trace_id, fs)`` from the median positive step of ``t``.
+
+    ``headers`` has ``(recording_id, header)``, the headings of the time columns: one that names milliseconds or seconds says
+    the unit of ``t``.  Where none does, times below 5 Hz with steps of a thousandth or more are in ms.  A trace without a
+    positive step has a rate of 1.
+    """
     steps = lagged(df.where("t is not null"), "t", 1, "before").withColumn("dt", F.col("t") - F.col("before")).where("dt > 0")
     middle = steps.groupBy("trace_id").agg(F.percentile("dt", F.lit(0.5)).alias("dt"))
-    return middle.select("trace_id", F.when((1 / F.col("dt") < 5) & (F.col("dt") >= 0.001), 1000 / F.col("dt")).otherwise(1 / F.col("dt")).alias("fs"))
+    every = df.select("trace_id").distinct().join(middle, "trace_id", "left").withColumn("unit", F.lit(None).cast("double"))
+    if headers is not None:
+        units = headers.groupBy("recording_id").agg(F.max(seconds_per_unit(F.col("header"))).alias("unit"))
+        every = every.drop("unit").withColumn("recording_id", recording_of(F.col("trace_id"))).join(units, "recording_id", "left")
+    direct = F.when((1 / F.col("dt") < 5) & (F.col("dt") >= 0.001), 1000 / F.col("dt")).otherwise(1 / F.col("dt"))
+    return every.select("trace_id", F.coalesce(F.when(F.col("unit").isNotNull(), 1 / (F.col("dt") * F.col("unit"))).otherwise(direct), F.lit(1.0)).alias("fs"))
 
 
 def trace_ends(df: DataFrame, column: str) -> DataFrame:
@@ -74,10 +91,10 @@ def trace_ends(df: DataFrame, column: str) -> DataFrame:
 
 def numbered(df: DataFrame) -> DataFrame:
     """Add ``row``: the number of each row within its trace from 0, counted piece by piece."""
-    cut = df.withColumn("piece", F.floor(F.col("idx") / PIECE))
-    before = carried(cut.groupBy("trace_id", "piece").count(), ["trace_id"], "piece", "count", "base", "sum").drop("count")
-    within = F.row_number().over(Window.partitionBy("trace_id", "piece").orderBy("idx")) - 1
-    return cut.join(before, ["trace_id", "piece"]).withColumn("row", (F.col("base") + within).cast("long")).drop("piece", "base")
+    cut = df.withColumn("_piece", F.floor(F.col("idx") / PIECE))
+    before = carried(cut.groupBy("trace_id", "_piece").agg(F.count("*").alias("_rows")), ["trace_id"], "_piece", "_rows", "_base", "sum").drop("_rows")
+    within = F.row_number().over(Window.partitionBy("trace_id", "_piece").orderBy("idx")) - 1
+    return cut.join(before, ["trace_id", "_piece"]).withColumn("row", (F.col("_base") + within).cast("long")).drop("_piece", "_base")
 
 
 def rolling_rank(df: DataFrame, column: str, half: int | Column, out: str, percentile: float | None = None, edges: str = "nearest") -> DataFrame:
@@ -155,7 +172,7 @@ def moving_mean(df: DataFrame, column: str, half: int, out: str) -> DataFrame:
     return own_rows(held.withColumn(out, (total(F.col("w")) + mirrored) / width)).drop("row", "n", "w")
 
 
-def lagged_snr(df: DataFrame, column: str, lag: int, out: str) -> DataFrame:
+def lagged_snr(df: DataFrame, column: str, lag: int | str, out: str) -> DataFrame:
     """Add ``out``: the change over ``lag`` rows in units of the trace's mean absolute step; 0 for the first rows."""
     steps = lagged(df, column, 1, "before").groupBy("trace_id").agg(F.greatest(F.coalesce(F.avg(F.abs(F.col(column) - F.col("before"))), F.lit(0.0)), F.lit(1e-9)).alias("noise"))
     moved = lagged(df, column, lag, "past").join(steps, "trace_id")
@@ -210,10 +227,30 @@ def cropped(df: DataFrame, start: float, end: float) -> DataFrame:
     return df.where(F.col("t").between(min(start, end), max(start, end)))
 
 
-def percent_dff(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Add ``out``: percent of the trace's median; null where that is 0."""
-    f0 = df.groupBy("trace_id").agg(F.percentile(column, F.lit(0.5)).alias("f0"))
-    return df.join(f0, "trace_id").withColumn(out, F.when(F.col("f0") != 0, 100 * F.col(column) / F.col("f0"))).drop("f0")
+def f0_of(df: DataFrame, sources: list[str]) -> DataFrame:
+    """``(trace_id, f0, f0_source)``: the median of the first of the columns ``sources`` in which a trace has one that isn't 0;
+    1 and ``unit_fallback`` where none has."""
+    medians = df.groupBy("trace_id").agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in sources))
+    usable = [F.abs(c) > 1e-12 for c in sources]
+    f0 = F.coalesce(*(F.when(ok, F.col(c)) for c, ok in zip(sources, usable)), F.lit(1.0))
+    name = F.coalesce(*(F.when(ok, F.lit(c)) for c, ok in zip(sources, usable)), F.lit("unit_fallback"))
+    return medians.select("trace_id", f0.alias("f0"), name.alias("f0_source"))
+
+
+def percent_dff(df: DataFrame, column: str, out: str, sources: list[str]) -> DataFrame:
+    """Add ``out``: percent of the trace's ``f0_of``, null for missing values."""
+    return df.join(f0_of(df, sources).select("trace_id", "f0"), "trace_id").withColumn(out, finite(100 * F.col(column) / F.col("f0"))).drop("f0")
+
+
+def rolling_dff(df: DataFrame, column: str, baseline: str, half: int | Column, out: str) -> DataFrame:
+    """Add ``out``: the change over the rolling median of a baseline, in parts of it, and ``f0``, that median."""
+    rows = rolling_rank(df, baseline, half, "f0")
+    return rows.withColumn(out, (F.col(column) - F.col("f0")) / F.greatest(F.abs("f0"), F.lit(1e-9)))
+
+
+def samples_of(ms: float, fs: str = "fs", least: int = 1) -> Column:
+    """Milliseconds as a number of samples at each row's own rate."""
+    return F.greatest(F.lit(least), F.rint(ms / 1000 * F.col(fs)).cast("long"))
 
 
 def aligned_windows(df: DataFrame, onsets: DataFrame, before: int, after: int) -> DataFrame:

@@ -6,10 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.scalars import finite, nice_floor, recording_of, roi_of
+from traceloom.operators.ordered import bucketed_lag
+from traceloom.session import cut_lineage
 
 #: A modified z-score above this is an outlier.
 OUTLIER = 4.5
 
+#: Positions of a trace of which regions are ranked together first.
+PART = 1_048_576
+
+#: Events are put in order within stretches of so much time.
+ONSETS_MS = 60_000
+
 #: Metrics of a spike that summaries average.
 SPIKE_METRICS = ("amplitude", "delta_f_over_f0", "snr", "rise_time_ms", "fwhm_ms", "return_to_baseline_time_ms", "post_spike_level", "isi_ms", "instantaneous_firing_rate_hz")
 
@@ -81,11 +89,77 @@ def otsu(df: DataFrame, keys: list[str], column: str, bins: int = 256) -> DataFr
     return best.unionByName(ends.where("hi <= lo").select(*keys, F.col("lo").alias("threshold")))
 
 
+def low_state_noise(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """``(*keys, centre, noise)``: the median, and the greater of ``mad_or_sd`` of all values and of those up to the median, of
+    which eight are needed."""
+    rows = df.where(F.col(column).isNotNull())
+    middle = rows.groupBy(*keys).agg(median(column).alias("centre"))
+    low = rows.join(middle, keys).where(F.col(column) <= F.col("centre")).drop("centre")
+    enough = low.groupBy(*keys).agg(F.count("*").alias("_n"))
+    below = mad_or_sd(low, keys, column).withColumnRenamed("mad", "_low").join(enough, keys)
+    return mad_or_sd(rows, keys, column).join(below, keys).join(middle, keys).select(*keys, "centre", F.when(F.col("_n") >= 8, F.greatest("mad", "_low")).otherwise(F.col("mad")).alias("noise"))
+
+
 def robust_scale(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Polarity and a round scale from the 5th and 95th percentile."""
+    """Polarity and a round scale from the 5th and 95th percentile: the side of zero that reaches further, positive of equals."""
     ends = df.where(F.col(column).isNotNull()).groupBy(*keys).agg(F.percentile(column, F.lit(0.05)).alias("p5"), F.percentile(column, F.lit(0.95)).alias("p95"))
-    span = F.greatest(F.abs("p5"), F.abs("p95"))
-    return ends.select(*keys, "p5", "p95", F.when(F.abs("p95") >= F.abs("p5"), "positive").otherwise("negative").alias("polarity"), nice_floor(span).alias("scale"))
+    up, down = F.greatest("p95", F.lit(0.0)), F.greatest(-F.col("p5"), F.lit(0.0))
+    return ends.select(*keys, "p5", "p95", F.when(down > up, "negative").otherwise("positive").alias("polarity"), nice_floor(F.greatest(up, down, F.lit(1e-9))).alias("scale"))
+
+
+def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> list[float]:
+    """The values at ``ranks``, from 0, of all present values of a table, exactly, without bringing these together.
+
+    Each rank is bracketed by approximate percentiles of what lies in its last bracket, all ranks in one pass, until few
+    values are left, which are looked at; a bracket shrinks some thousandfold in a pass, so the passes are few at any size.
+    """
+    x = F.col(column).cast("double")
+    rows = df.where(x.isNotNull()).select(x.alias("x"))
+    accuracy, margin, few = 10_000, 3e-4, 2_000
+    found: dict[int, float] = {}
+    brackets = {r: (float("-inf"), float("inf")) for r in ranks}
+    while brackets:
+        inside = {r: F.col("x").between(lo, hi) for r, (lo, hi) in brackets.items()}
+        counts = rows.agg(*(F.count_if(F.col("x") < lo).alias(f"b{r}") for r, (lo, _) in brackets.items()), *(F.count_if(i).alias(f"n{r}") for r, i in inside.items())).first()
+        small = [r for r in brackets if counts[f"n{r}"] <= few]
+        for r in small:
+            lo, hi = brackets.pop(r)
+            values = sorted(v["x"] for v in rows.where(F.col("x").between(lo, hi)).collect())
+            found[r] = values[r - counts[f"b{r}"]]
+        if not brackets:
+            break
+        share = {r: (r - counts[f"b{r}"]) / counts[f"n{r}"] for r in brackets}
+        ends = {r: F.percentile_approx(F.when(inside[r], F.col("x")), F.array(F.lit(max(share[r] - margin, 0.0)), F.lit(min(share[r] + margin, 1.0))), F.lit(accuracy)) for r in brackets}
+        narrowed = rows.agg(*(e.alias(f"e{r}") for r, e in ends.items())).first()
+        for r in list(brackets):
+            lo, hi = narrowed[f"e{r}"]
+            if (lo, hi) == brackets[r] or lo == hi:
+                # a single value fills the bracket, or nothing is gained: the value at the bracket's end is counted through
+                found[r] = lo if lo == hi else _counted_through(rows, lo, hi, r - counts[f"b{r}"])
+                del brackets[r]
+            else:
+                brackets[r] = (lo, hi)
+    return [found[r] for r in ranks]
+
+
+def _counted_through(rows: DataFrame, lo: float, hi: float, rank: int) -> float:
+    """The value at a rank within a bracket of few but often repeated values."""
+    for v in rows.where(F.col("x").between(lo, hi)).groupBy("x").count().orderBy("x").toLocalIterator():
+        if rank < v["count"]:
+            return v["x"]
+        rank -= v["count"]
+    raise ValueError("no such rank")
+
+
+def whole_percentiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Interpolated percentiles of all present values of a table, as ``percentile`` gives, by ``order_statistics``."""
+    n = df.agg(F.count(column).alias("n")).first()["n"]
+    if not n:
+        return [None] * len(shares)
+    at = [(n - 1) * q for q in shares]
+    ranks = sorted({int(k) for a in at for k in (a, min(int(a) + 1, n - 1))})
+    value = dict(zip(ranks, order_statistics(df, column, ranks)))
+    return [value[int(a)] + (a - int(a)) * (value[min(int(a) + 1, n - 1)] - value[int(a)]) for a in at]
 
 
 def high_outliers(df: DataFrame, keys: list[str], column: str, flag: str) -> DataFrame:
@@ -94,19 +168,25 @@ def high_outliers(df: DataFrame, keys: list[str], column: str, flag: str) -> Dat
     Modified z-score by the median absolute deviation; where that is 0, three interquartile ranges above the third quartile;
     where those are 0, the greatest value if it is above the median.  Groups of under four values have none.
     """
-    x = finite(F.col(column))
-    rows = df.withColumn("_x", x).withColumn("_k", F.struct(*keys) if keys else F.lit(1))
-    a = rows.groupBy("_k").agg(F.count("_x").alias("_n"), F.percentile("_x", F.lit(0.25)).alias("_q1"), median("_x").alias("_m"), F.percentile("_x", F.lit(0.75)).alias("_q3"), F.max("_x").alias("_top"))
-    rows = rows.join(F.broadcast(a) if not keys else a, "_k")
-    b = rows.groupBy("_k").agg(median(F.abs(F.col("_x") - F.col("_m"))).alias("_mad"))
-    rows = rows.join(F.broadcast(b) if not keys else b, "_k")
+    rows = df.withColumn("_x", finite(F.col(column)))
+    if keys:
+        a = rows.groupBy(*keys).agg(F.count("_x").alias("_n"), F.percentile("_x", F.lit(0.25)).alias("_q1"), median("_x").alias("_m"), F.percentile("_x", F.lit(0.75)).alias("_q3"), F.max("_x").alias("_top"))
+        rows = rows.join(a, keys)
+        rows = rows.join(rows.groupBy(*keys).agg(median(F.abs(F.col("_x") - F.col("_m"))).alias("_mad")), keys)
+    else:
+        values = cut_lineage(rows.where("_x is not null").select("_x"))
+        ends = values.agg(F.count("_x").alias("n"), F.max("_x").alias("top")).first()
+        q1, m, q3 = whole_percentiles(values, "_x", [0.25, 0.5, 0.75])
+        mad = whole_percentiles(values.select(F.abs(F.col("_x") - F.lit(m)).alias("_x")), "_x", [0.5])[0] if m is not None else None
+        for name, value in (("_n", float(ends["n"])), ("_q1", q1), ("_m", m), ("_q3", q3), ("_top", ends["top"]), ("_mad", mad)):
+            rows = rows.withColumn(name, F.lit(value).cast("double"))
     high = (
         F.when(F.col("_mad") > 0, 0.6745 * (F.col("_x") - F.col("_m")) / F.col("_mad") > OUTLIER)
         .when(F.col("_q3") > F.col("_q1"), F.col("_x") > F.col("_q3") + 3 * (F.col("_q3") - F.col("_q1")))
         .when(F.col("_top") > F.col("_m"), F.col("_x") == F.col("_top"))
         .otherwise(F.lit(False))
     )
-    return rows.withColumn(flag, F.coalesce(high & (F.col("_n") >= 4), F.lit(False))).drop("_x", "_k", "_n", "_q1", "_m", "_q3", "_top", "_mad")
+    return rows.withColumn(flag, F.coalesce(high & (F.col("_n") >= 4), F.lit(False))).drop("_x", "_n", "_q1", "_m", "_q3", "_top", "_mad")
 
 
 def spike_events(spikes: DataFrame, periods: DataFrame) -> DataFrame:
@@ -172,23 +252,21 @@ def trace_summary(events: DataFrame, totals: DataFrame) -> DataFrame:
     ``totals`` has ``(trace_id, total_ms)`` of every trace.  Gaps are taken within traces, also for ``ALL``.  Traces without
     events are kept.
     """
-    order = Window.partitionBy("trace_id").orderBy("onset_time_ms")
-    gaps = events.where("onset_time_ms is not null").withColumn("gap", F.col("onset_time_ms") - F.lag("onset_time_ms").over(order)).where("gap > 0").select("trace_id", "gap")
-
-    def over(rows: DataFrame, between: DataFrame, keys: list[str]) -> DataFrame:
-        own = rows.groupBy(*keys).agg(
-            F.count("*").alias("event_count"),
-            F.min("onset_time_ms").alias("first_onset_ms"),
-            F.avg("duration_ms").alias("mean_duration_ms"),
-            median("duration_ms").alias("median_duration_ms"),
-            F.avg("peak_amp_above_baseline").alias("mean_peak_amp"),
-            median("peak_amp_above_baseline").alias("median_peak_amp"),
-            F.coalesce(F.sum("duration_ms"), F.lit(0.0)).alias("total_event_time_ms"),
-        )
-        apart = between.groupBy(*keys).agg(F.avg("gap").alias("mean_interval_ms"), median("gap").alias("median_interval_ms"))
-        return own.join(apart, keys, "left")
-
-    every = totals.join(over(events, gaps, ["trace_id"]), "trace_id", "left").select(
+    at = events.where("onset_time_ms is not null").select("trace_id", "onset_time_ms", "event_id")
+    at = bucketed_lag(at, ["trace_id"], F.floor(F.col("onset_time_ms") / ONSETS_MS), ["onset_time_ms", "event_id"], "onset_time_ms", "past")
+    gaps = at.select("trace_id", (F.col("onset_time_ms") - F.col("past")).alias("gap")).where("gap > 0")
+
+    own = events.groupBy("trace_id").agg(
+        F.count("*").alias("event_count"),
+        F.min("onset_time_ms").alias("first_onset_ms"),
+        F.avg("duration_ms").alias("mean_duration_ms"),
+        median("duration_ms").alias("median_duration_ms"),
+        F.avg("peak_amp_above_baseline").alias("mean_peak_amp"),
+        median("peak_amp_above_baseline").alias("median_peak_amp"),
+        F.coalesce(F.sum("duration_ms"), F.lit(0.0)).alias("total_event_time_ms"),
+    )
+    apart = gaps.groupBy("trace_id").agg(F.avg("gap").alias("mean_interval_ms"), median("gap").alias("median_interval_ms"))
+    every = totals.join(own.join(apart, "trace_id", "left"), "trace_id", "left").select(
         "trace_id",
         F.coalesce("event_count", F.lit(0)).cast("bigint").alias("event_count"),
         "first_onset_ms",
@@ -201,9 +279,25 @@ def trace_summary(events: DataFrame, totals: DataFrame) -> DataFrame:
         "mean_interval_ms",
         "median_interval_ms",
     )
-    label = lambda df: df.drop("trace_id").withColumn("trace_id", F.lit("ALL"))
-    pooled = over(label(events), label(gaps), ["trace_id"]).withColumn("first_onset_ms", F.lit(None).cast("double")).withColumn("event_time_fraction", F.lit(None).cast("double"))
-    return every.unionByName(pooled.select(every.columns))
+    # all events together: sums are aggregated in place, medians found by rank
+    rows, between = cut_lineage(events.select("duration_ms", "peak_amp_above_baseline")), cut_lineage(gaps.select("gap"))
+    middle = {name: F.lit(whole_percentiles(df, c, [0.5])[0]).cast("double") for name, df, c in (("duration", rows, "duration_ms"), ("peak", rows, "peak_amp_above_baseline"), ("gap", between, "gap"))}
+    pooled = rows.agg(F.count("*").alias("event_count"), F.avg("duration_ms").alias("mean_duration_ms"), F.avg("peak_amp_above_baseline").alias("mean_peak_amp"), F.coalesce(F.sum("duration_ms"), F.lit(0.0)).alias("total_event_time_ms"))
+    none = F.lit(None).cast("double")
+    pooled = pooled.where("event_count > 0").select(
+        F.lit("ALL").alias("trace_id"),
+        "event_count",
+        none.alias("first_onset_ms"),
+        "mean_duration_ms",
+        middle["duration"].alias("median_duration_ms"),
+        "mean_peak_amp",
+        middle["peak"].alias("median_peak_amp"),
+        "total_event_time_ms",
+        none.alias("event_time_fraction"),
+        F.lit(between.agg(F.avg("gap")).first()[0]).cast("double").alias("mean_interval_ms"),
+        middle["gap"].alias("median_interval_ms"),
+    )
+    return every.unionByName(pooled)
 
 
 def trace_qc(summary: DataFrame, metrics: dict[str, str]) -> DataFrame:
@@ -225,5 +319,8 @@ def strongest_regions(df: DataFrame, regions: DataFrame, column: str, most: int
     scored = inside.groupBy("trace_id", "start", "end").agg(median(column).alias("level"), F.count("*").alias("n")).join(rest, "trace_id")
     lift = (F.col("level") - F.col("floor")) / F.greatest(F.col("spread"), F.lit(1e-9))
     ranked = scored.withColumn("lift", lift).where("lift >= 1.8").withColumn("score", F.col("lift") * F.sqrt("n"))
-    best = ranked.withColumn("place", F.row_number().over(Window.partitionBy("trace_id").orderBy(F.desc("score"), "start")))
+    # the strongest of each part of a trace first: what is ranked at last is a few rows a part
+    part = Window.partitionBy("trace_id", F.floor(F.col("start") / PART)).orderBy(F.desc("score"), "start")
+    few = ranked.withColumn("place", F.row_number().over(part)).where(F.col("place") <= most)
+    best = few.withColumn("place", F.row_number().over(Window.partitionBy("trace_id").orderBy(F.desc("score"), "start")))
     return best.where(F.col("place") <= most).select("trace_id", "start", "end", "place")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from traceloom.functions import scalars
 from traceloom.operators import detection, masks, signals, stats
+from traceloom.session import cut_lineage
 from traceloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -48,6 +49,36 @@ def _high(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows, masks.regions_of(rows, F.col("raw") > F.col("m"))
 
 
+def _rates(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """``(trace_id, fs)``: the rate of each trace's recording, or by its own times where that isn't known."""
+    from traceloom.operators.clocks import sampling_rates as rates
+
+    known = rates(table(spark, d, "recordings")).select("recording_id", F.col("rate").alias("fs"))
+    traces = rows.select("trace_id").distinct().withColumn("recording_id", scalars.recording_of(F.col("trace_id"))).join(known, "recording_id", "left")
+    unknown = signals.sampling_rates(rows.join(traces.where("fs is null").select("trace_id"), "trace_id", "left_semi"))
+    return cut_lineage(traces.where("fs is not null").select("trace_id", "fs").unionByName(unknown))
+
+
+def _rated(spark: SparkSession, d: str) -> DataFrame:
+    """Present samples with ``fs``, the rate of their trace."""
+    rows = _present(spark, d)
+    return rows.join(_rates(spark, d, rows), "trace_id")
+
+
+def _rec_sql(c: str) -> str:
+    """The recording in a trace name."""
+    return f"case when contains({c}, ' | ') and trim(split_part({c}, ' | ', 1)) <> '' then trim(split_part({c}, ' | ', 1)) else 'Ungrouped' end"
+
+
+def _roi_sql(c: str) -> str:
+    """The region in a trace name."""
+    return f"case when contains({c}, ' | ') and trim(substr({c}, instr({c}, ' | ') + 3)) <> '' then trim(substr({c}, instr({c}, ' | ') + 3)) else {c} end"
+
+
+_REC = """rec as (
+  select recording_id, max(1000 / coalesce(case when sampling_rate_hz > 0 and isfinite(sampling_rate_hz) then sampling_rate_hz end,
+    try_cast(regexp_extract(comment, '(?i)(\\d+(?:\\.\\d+)?)\\s*k?hz', 1) as double) * case when regexp_matches(comment, '(?i)\\d\\s*khz') then 1000 else 1 end)) period from recordings group by 1)"""
+
 _X = """with s as (
   select trace_id, idx, min(case when isfinite(t) then t end) t, min(case when isfinite(raw) then raw end) raw, min(case when isfinite(corrected_source) then corrected_source end) c
   from trace_samples where trace_id is not null and idx is not null group by 1, 2),
@@ -74,7 +105,7 @@ def samples_long(spark, d):
     return _samples(spark, d)
 
 
-@query("""select distinct trace_id, trim(split_part(trace_id, '|', 1)) recording_id, trim(regexp_extract(trace_id, '^[^|]*\\|(.*)$', 1)) roi_id from trace_samples where trace_id is not null""")
+@query("select distinct trace_id, " + _rec_sql("trace_id") + " recording_id, " + _roi_sql("trace_id") + " roi_id from trace_samples where trace_id is not null")
 def trace_names(spark, d):
     """Traces with the recording and region in their names."""
     names = table(spark, d, "trace_samples").select("trace_id").where("trace_id is not null").distinct()
@@ -96,12 +127,15 @@ def signals_long(spark, d):
 @query(
     _X
     + """l as (select trace_id, t - lag(t) over (partition by trace_id order by idx) dt from x where t is not null),
-k as (select trace_id, quantile_cont(dt, 0.5) dt from l where dt > 0 group by 1)
-select trace_id, cast(case when 1 / dt < 5 and dt >= 0.001 then 1000 / dt else 1 / dt end as float) fs from k"""
+k as (select trace_id, quantile_cont(dt, 0.5) dt from l where dt > 0 group by 1), hd as (select recording_id, replace(lower(time_header), ' ', '') h from recordings),
+un as (select recording_id, max(case when contains(h, '(ms)') or ends_with(h, '_ms') or h = 'ms' or contains(h, 'millisecond') then 0.001 when contains(h, '(s)') or ends_with(h, '_s') or h in ('s', 'sec', 'secs', 'second', 'seconds') then 1.0 end) unit from hd group by 1)
+select trace_id, cast(coalesce(case when unit is not null then 1 / (dt * unit) when 1 / dt < 5 and dt >= 0.001 then 1000 / dt else 1 / dt end, 1) as float) fs
+from (select distinct trace_id from x) t left join k using (trace_id) left join un on recording_id = """ + _rec_sql("t.trace_id")
 )
 def sampling_rate(spark, d):
-    """Sampling rate of each trace from its own times."""
-    return signals.sampling_rates(_samples(spark, d)).select("trace_id", _f("fs"))
+    """Sampling rate of each trace from its own times and the heading of its time column."""
+    headers = table(spark, d, "recordings").select("recording_id", F.col("time_header").alias("header"))
+    return signals.sampling_rates(_samples(spark, d), headers).select("trace_id", _f("fs"))
 
 
 @query(_X + "k as (select trace_id, min(t) + 20 f, max(t) l from x where t is not null group by 1) select x.trace_id, idx, t from x join k using (trace_id) where l < f or t >= f")
@@ -201,10 +235,41 @@ def sample_steps(spark, d):
     return detection.steps(_present(spark, d), "raw", "step").select("trace_id", "idx", _f("step"))
 
 
-@query(_X + "z as (select * from m) select trace_id, idx, cast(case when m <> 0 then 100 * raw / m end as float) dff from z")
+_F0 = """f as (select trace_id, median(raw) a, median(corrected) b from x group by 1),
+ff as (select trace_id, case when abs(a) > 1e-12 then a when abs(b) > 1e-12 then b else 1 end f0, case when abs(a) > 1e-12 then 'raw' when abs(b) > 1e-12 then 'corrected' else 'unit_fallback' end f0_source from f)
+"""
+
+
+@query(_X + _F0 + "select trace_id, idx, cast(100 * corrected / f0 as float) dff from x join ff using (trace_id)")
 def percent_dff(spark, d):
-    """Samples in percent of their trace's median."""
-    return signals.percent_dff(_present(spark, d), "raw", "dff").select("trace_id", "idx", _f("dff"))
+    """Samples in percent of their trace's F0: the median of what was recorded, or of what was corrected, or 1."""
+    return signals.percent_dff(_samples(spark, d), "corrected", "dff", ["raw", "corrected"]).select("trace_id", "idx", _f("dff"))
+
+
+@query(_X + _F0 + "select trace_id, " + _rec_sql("trace_id") + " recording_id, " + _roi_sql("trace_id") + " roi_id, f0_source, cast(f0 as float) f0 from ff")
+def trace_normalization(spark, d):
+    """What each trace is divided by when it is shown in percent, and where that comes from."""
+    out = signals.f0_of(_samples(spark, d), ["raw", "corrected"])
+    return out.select("trace_id", scalars.recording_of(F.col("trace_id")).alias("recording_id"), scalars.roi_of(F.col("trace_id")).alias("roi_id"), "f0_source", _f("f0"))
+
+
+@query(
+    _X
+    + _rank_sql(3, 3, "nearest")
+    + ", "
+    + _REC
+    + """, h as (select n.*, w.y from n join w using (trace_id, idx)), ra as (select trace_id, greatest(2, cast(round_even(20 / period, 0) as bigint) // 2) hf from (select distinct trace_id from n) join rec on recording_id = """
+    + _rec_sql("trace_id")
+    + """),
+o3 as (select trace_id, idx, row, len, raw, row + unnest(range(-hf, hf + 1)) k, hf from h join ra using (trace_id)),
+w3 as (select o3.trace_id, o3.idx, any_value(o3.raw) raw, list_sort(list(v.y))[any_value(hf) + 1] f0 from o3 join h v on v.trace_id = o3.trace_id and v.row = least(greatest(o3.k, 0), o3.len - 1) group by 1, 2)
+select trace_id, idx, cast(f0 as float) f0, cast((raw - f0) / greatest(abs(f0), 1e-9) as float) dff from w3"""
+)
+def rolling_dff(spark, d):
+    """Change over a rolling median of the smoothed trace, 20 ms at each trace's own rate."""
+    rows = signals.rolling_rank(_rated(spark, d), "raw", 3, "smooth")
+    out = signals.rolling_dff(rows, "raw", "smooth", F.greatest(F.lit(2), F.floor(signals.samples_of(20.0) / 2)), "dff")
+    return out.select("trace_id", "idx", _f("f0"), _f("dff"))
 
 
 @query(_X + "z as (select 1) select trace_id, s as start, e as \"end\" from r")
@@ -244,13 +309,26 @@ def run_start_samples(spark, d):
     return masks.run_starts(_high(spark, d)[1], 5)
 
 
-_SPACED = _merge_sql("a1", "r", 18) + ", a2 as (select trace_id, greatest(s - 4, 0) s, e + 4 e from a1), " + _merge_sql("a3", "a2", 0) + ", " + _merge_sql("a4", "a3", 9)
+_GAPS = (
+    _REC
+    + """, gs as (select trace_id, greatest(1, round_even(180 / period, 0)) g1, greatest(1, round_even(45 / period, 0)) g2, greatest(1, round_even(90 / period, 0)) g3 from (select distinct trace_id from p) join rec on recording_id = """
+    + _rec_sql("trace_id")
+    + "), "
+)
+_SPACED = (
+    _merge_sql("a1", "(select trace_id, s, e + g1 e from r join gs using (trace_id))", 0)
+    + ", a2 as (select trace_id, greatest(s - g2, 0) s, e - g1 + g2 e from a1 join gs using (trace_id)), "
+    + _merge_sql("a3", "a2", 0)
+    + ", "
+    + _merge_sql("a4", "(select trace_id, s, e + g3 e from a3 join gs using (trace_id))", 0)
+)
 
 
-@query(_X + _SPACED + " select trace_id, s as start, e as \"end\" from a4")
+@query(_X + _GAPS + _SPACED + " select trace_id, cast(s as bigint) as start, cast(e - g3 as bigint) as \"end\" from a4 join gs using (trace_id)")
 def blocked_spans(spark, d):
-    """Stretches above the median as blocked spans at 100 Hz: gaps closed, widened, gaps closed again."""
-    return masks.artifact_blocks(_high(spark, d)[1], 100.0)
+    """Stretches above the median as blocked spans at each trace's rate: gaps closed, widened, gaps closed again."""
+    rows, regions = _high(spark, d)
+    return masks.artifact_blocks(regions, _rates(spark, d, rows))
 
 
 @query(_X + _merge_sql("z", "r", 3) + " select p.trace_id, p.idx, exists(select 1 from z where z.trace_id = p.trace_id and p.idx >= z.s and p.idx < z.e) inside from p")
@@ -352,9 +430,9 @@ def otsu_threshold(spark, d):
 
 @query(
     _X
-    + """a as (select trace_id, quantile_cont(raw, 0.05) p5, quantile_cont(raw, 0.95) p95 from p group by 1), b as (select *, greatest(abs(p5), abs(p95)) v from a),
+    + """a as (select trace_id, quantile_cont(raw, 0.05) p5, quantile_cont(raw, 0.95) p95 from p group by 1), b as (select *, greatest(p95, -p5, 1e-9) v from a),
 c as (select *, case when v > 0 then pow(10.0, floor(log10(v))) end pw from b)
-select trace_id, cast(p5 as float) p5, cast(p95 as float) p95, case when abs(p95) >= abs(p5) then 'positive' else 'negative' end polarity,
+select trace_id, cast(p5 as float) p5, cast(p95 as float) p95, case when greatest(-p5, 0) > greatest(p95, 0) then 'negative' else 'positive' end polarity,
   cast(case when v > 0 then pw * case when v / pw >= 5 then 5 when v / pw >= 2 then 2 else 1 end else 1 end as float) scale from c"""
 )
 def robust_scale(spark, d):
@@ -362,19 +440,19 @@ def robust_scale(spark, d):
     return stats.robust_scale(_present(spark, d), ["trace_id"], "raw").select("trace_id", _f("p5"), _f("p95"), "polarity", _f("scale"))
 
 
-_SPIKES = """with rec as (
-  select recording_id, max(1000 / coalesce(case when sampling_rate_hz > 0 and isfinite(sampling_rate_hz) then sampling_rate_hz end,
-    try_cast(regexp_extract(comment, '(?i)(\\d+(?:\\.\\d+)?)\\s*k?hz', 1) as double) * case when regexp_matches(comment, '(?i)\\d\\s*khz') then 1000 else 1 end)) period from recordings group by 1),
+_SPIKES = (
+    "with " + _REC + """,
 o as (
   select trace_name trace_id, spike_index, min(case when isfinite(amplitude_above_baseline) then amplitude_above_baseline end) amplitude, min(case when isfinite(delta_f_over_f0) then delta_f_over_f0 end) dff,
     min(case when isfinite(baseline_at_spike) then baseline_at_spike end) f0, min(case when isfinite(snr) then snr end) snr, min(case when isfinite(rise_time_ms) then rise_time_ms end) rise_time_ms,
     min(case when isfinite(fwhm_ms) then fwhm_ms end) fwhm_ms, min(case when isfinite(return_to_baseline_time_ms) then return_to_baseline_time_ms end) return_to_baseline_time_ms,
     min(case when isfinite(post_spike_level) then post_spike_level end) post_spike_level, min(source) source
   from spikes where trace_name is not null and spike_index is not null and coalesce(status, '') <> 'deleted' group by 1, 2),
-l as (select o.*, row_number() over w k, (spike_index - lag(spike_index) over w) * period isi from o left join rec on recording_id = trim(split_part(trace_id, '|', 1)) window w as (partition by trace_id order by spike_index)),
-ev as (select trace_id, trim(split_part(trace_id, '|', 1)) recording_id, trim(regexp_extract(trace_id, '^[^|]*\\|(.*)$', 1)) roi_id, printf('%04d', k) spike_id, spike_index peak_index, amplitude,
+l as (select o.*, row_number() over w k, (spike_index - lag(spike_index) over w) * period isi from o left join rec on recording_id = """ + _rec_sql("trace_id") + """ window w as (partition by trace_id order by spike_index)),
+ev as (select trace_id, """ + _rec_sql("trace_id") + " recording_id, " + _roi_sql("trace_id") + """ roi_id, printf('%04d', k) spike_id, spike_index peak_index, amplitude,
   coalesce(dff, case when f0 <> 0 then amplitude / f0 end) delta_f_over_f0, snr, rise_time_ms, fwhm_ms, return_to_baseline_time_ms, post_spike_level, isi isi_ms, case when isi > 0 then 1000 / isi end instantaneous_firing_rate_hz, source from l)
 """
+)
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -411,10 +489,11 @@ _SUMMARY = (
     _EVENTS
     + """,
 gp as (select trace_id, onset - lag(onset) over (partition by trace_id order by onset) gap from e where onset is not null),
-tt as (select trace_id, count(*) * 1.0::double total from (select distinct trace_id, idx from trace_samples where trace_id is not null and idx is not null) group by 1),
+""" + _REC + """, tt as (select trace_id, case when c >= 2 then c * period end total from (
+  select trace_id, count(*) filter (ok) c from (select trace_id, idx, bool_or(t is not null and isfinite(t)) ok from trace_samples where trace_id is not null and idx is not null group by 1, 2) group by 1) left join rec on recording_id = """ + _rec_sql("trace_id") + """),
 a as (select trace_id, count(*) c, min(onset) fo, avg(dur) md, median(dur) nd, avg(peak) mp, median(peak) np, coalesce(sum(dur), 0) td from e group by 1),
 b as (select trace_id, avg(gap) mi, median(gap) ni from gp where gap > 0 group by 1),
-z as (select tt.trace_id, coalesce(c, 0) event_count, fo first_onset_ms, md mean_duration_ms, nd median_duration_ms, mp mean_peak_amp, np median_peak_amp, coalesce(td, 0) total_event_time_ms, coalesce(td, 0) / total event_time_fraction, mi mean_interval_ms, ni median_interval_ms
+z as (select tt.trace_id, coalesce(c, 0) event_count, fo first_onset_ms, md mean_duration_ms, nd median_duration_ms, mp mean_peak_amp, np median_peak_amp, coalesce(td, 0) total_event_time_ms, case when total > 0 then coalesce(td, 0) / total end event_time_fraction, mi mean_interval_ms, ni median_interval_ms
     from tt left join a using (trace_id) left join b using (trace_id)
   union all select 'ALL', count(*), null, avg(dur), median(dur), avg(peak), median(peak), coalesce(sum(dur), 0), null, (select avg(gap) from gp where gap > 0), (select median(gap) from gp where gap > 0) from e having count(*) > 0)
 """
@@ -424,7 +503,9 @@ _SUMMARY_COLUMNS = ("first_onset_ms", "mean_duration_ms", "median_duration_ms",
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:
-    totals = _samples(spark, d).groupBy("trace_id").agg(F.count("*").cast("double").alias("total_ms"))
+    rows = _samples(spark, d)
+    timed = rows.groupBy("trace_id").agg(F.count("t").alias("n")).join(_rates(spark, d, rows), "trace_id")
+    totals = timed.select("trace_id", F.when(F.col("n") >= 2, F.col("n") * (1000 / F.col("fs"))).alias("total_ms"))
     return stats.trace_summary(stats.event_table(table(spark, d, "bursts")), totals)
 
 
@@ -509,14 +590,11 @@ _WANTED = "wt as (select distinct trace_name trace_id, start_time wanted_t from
 @query(
     _X
     + _WANTED
-    + """, c as (select wt.trace_id, wanted_t, idx, row_number() over (partition by wt.trace_id, wanted_t order by abs(t - wanted_t), t, idx) k from wt join x on x.trace_id = wt.trace_id where t is not null and floor(t / 5.0) between floor(wanted_t / 5.0) - 1 and floor(wanted_t / 5.0) + 1)
+    + """, c as (select wt.trace_id, wanted_t, idx, row_number() over (partition by wt.trace_id, wanted_t order by abs(t - wanted_t), t, idx) k from wt join x on x.trace_id = wt.trace_id where t is not null)
 select wt.trace_id, wt.wanted_t, coalesce(idx, -1) idx from wt left join (select * from c where k = 1) c on c.trace_id = wt.trace_id and c.wanted_t = wt.wanted_t"""
 )
 def nearest_sample(spark, d):
-    """The sample nearest in time to the start of each burst, -1 where the trace has no samples in time.
-
-    The SQL only looks at samples in the same or an adjacent five-wide stretch of time, so it differs wherever none is near.
-    """
+    """The sample nearest in time to the start of each burst, -1 where the trace has no samples in time."""
     wanted = table(spark, d, "bursts").where("trace_name is not null").select(F.col("trace_name").alias("trace_id"), scalars.finite(F.col("start_time")).alias("at")).where("at is not null").distinct()
     return detection.nearest_sample(_samples(spark, d), wanted).select("trace_id", F.col("at").alias("wanted_t"), F.coalesce("idx", F.lit(-1)).cast("bigint").alias("idx"))
 
@@ -547,37 +625,85 @@ def dropout_seeds(spark, d):
     return detection.dropouts(_present(spark, d), "raw")
 
 
+def _spikes(spark: SparkSession, d: str, mode: str = "std") -> DataFrame:
+    """Spikes over a rolling baseline, 25 ms apart and with lags of 12.5 ms at each trace's own rate."""
+    rows = _rated(spark, d).withColumn("far", signals.samples_of(25.0)).withColumn("lag", signals.samples_of(12.5))
+    rows = signals.rolling_rank(rows, "raw", 20, "base", 20.0, "reflect")
+    return detection.threshold_spikes(rows, "raw", distance="far", mode=mode, baseline="base", lag="lag")
+
+
 @query()
 def threshold_spikes(spark, d):
-    """Maxima well above the mean, apart and prominent."""
-    return detection.threshold_spikes(_present(spark, d), "raw")
+    """Maxima well above the mean, apart and prominent, with their height over a rolling baseline."""
+    return _spikes(spark, d)
+
+
+@query()
+def threshold_spikes_mad(spark, d):
+    """The same over the median by the lower median absolute deviation."""
+    return _spikes(spark, d, "mad")
 
 
 @query()
+def threshold_spikes_snr(spark, d):
+    """Maxima of the change over 12.5 ms in units of the mean step."""
+    return _spikes(spark, d, "snr")
+
+
+_PLATEAU = (
+    _X
+    + _rank_sql(20, 8, "reflect")
+    + """, ab as (select n.trace_id, n.idx, n.raw - w.y v from n join w using (trace_id, idx)), ce as (select trace_id, median(v) c from ab group by 1),
+d1 as (select trace_id, median(abs(v - c)) mad, stddev_pop(v) sd, any_value(c) c from ab join ce using (trace_id) group by 1),
+lo as (select ab.* from ab join ce using (trace_id) where v <= c), lc as (select trace_id, median(v) c2, count(*) k from lo group by 1),
+d2 as (select trace_id, median(abs(v - c2)) mad, stddev_pop(v) sd, any_value(k) k from lo join lc using (trace_id) group by 1),
+ns as (select trace_id, d1.c, greatest(case when d1.mad > 1e-12 then d1.mad else d1.sd end, 1e-9) m1, greatest(case when d2.mad > 1e-12 then d2.mad else d2.sd end, 1e-9) m2, d2.k from d1 join d2 using (trace_id)),
+nz as (select trace_id, c, case when k >= 8 then greatest(m1, m2) else m1 end z from ns),
+a0 as (select trace_id, min(v) lo, max(v) hi, count(*) n from ab group by 1),
+hb as (select trace_id, least(floor((v - lo) / ((hi - lo) / 256)), 255) bin, count(*) c, any_value(lo) lo, any_value(hi) hi, any_value(n) n from ab join a0 using (trace_id) where hi > lo group by 1, 2),
+kb as (select trace_id, bin, lo + (bin + 0.5) * ((hi - lo) / 256) centre, c / n pr from hb),
+zb as (select *, sum(pr) over w om, sum(pr * centre) over w mu, sum(pr * centre) over (partition by trace_id) tot from kb window w as (partition by trace_id order by bin rows unbounded preceding)),
+yb as (select *, round(case when om * (1 - om) > 1e-12 then pow(tot * om - mu, 2) / (om * (1 - om)) else 0 end, 9) b from zb),
+ot as (select trace_id, arg_max(centre, {'b': b, 'bin': -bin}) th from yb group by 1 union all select trace_id, lo from a0 where hi <= lo),
+en as (select trace_id, c, z, greatest(th, c + 5.0 * z) hi from ot join nz using (trace_id)),
+lv as (select trace_id, hi, least(hi, greatest(c + 2.0 * z, c + 0.5 * (hi - c))) low from en),
+sc as (select trace_id, idx, v > hi up, v <= low dn from ab join lv using (trace_id)),
+ru as (select trace_id, min(idx) idx, true up, count(*) c from (select *, idx - row_number() over (partition by trace_id order by idx) i from sc where up) group by trace_id, i),
+rd as (select trace_id, min(idx) idx, false up, count(*) c from (select *, idx - row_number() over (partition by trace_id order by idx) i from sc where dn) group by trace_id, i),
+ev as (select trace_id, idx, up from ru where c >= 4 union all select trace_id, idx, up from rd where c >= 4),
+tu as (select *, lag(up) over (partition by trace_id order by idx) was from ev), tt as (select * from tu where up <> coalesce(was, false)),
+en2 as (select trace_id, idx, up, lead(idx) over (partition by trace_id order by idx) e from tt)
+select en2.trace_id, idx as start, coalesce(e, top) as "end" from en2 join (select trace_id, max(idx) + 1 top from ab group by 1) using (trace_id) where up and coalesce(e, top) - idx >= 6"""
+)
+
+
+@query(_PLATEAU)
 def long_plateaus(spark, d):
     """Raised stretches over the drift of each trace."""
-    return detection.long_plateaus(_present(spark, d), "raw")
+    return detection.long_plateaus(_present(spark, d), "raw", half=20, enter=4, leave=4, shortest=6)
 
 
 @query()
 def spike_waveforms(spark, d):
-    """Rise, width and return of each detected spike."""
+    """Rise, width and return of each detected spike in milliseconds at its trace's own rate."""
     rows = _present(spark, d)
-    return detection.waveforms(rows, detection.threshold_spikes(rows, "raw"), "raw", 6)
+    shapes = detection.waveforms(rows, detection.threshold_spikes(rows, "raw"), "raw", 6).join(_rates(spark, d, rows), "trace_id")
+    ms = lambda c: (F.col(c) * 1000 / F.col("fs")).alias(f"{c}_ms")
+    return shapes.select("trace_id", "spike_index", ms("rise"), ms("fwhm"), ms("back"))
 
 
 @query()
 def lowpass(spark, d):
-    """Samples after a zero-phase low-pass at a tenth of the sampling rate."""
-    rows = _present(spark, d).withColumn("fs", F.lit(100.0))
-    return detection.filtered(rows, "raw", "fs", 10.0, 5, False, "low").select("trace_id", "idx", "low")
+    """Samples after a zero-phase low-pass at 40 Hz, by each trace's own rate."""
+    rows = _rated(spark, d)
+    return detection.filtered(rows, "raw", "fs", 40.0, 5, False, "low").select("trace_id", "idx", "low")
 
 
 @query()
 def highpass(spark, d):
-    """Samples after a zero-phase high-pass at a hundredth of the sampling rate."""
-    rows = _present(spark, d).withColumn("fs", F.lit(100.0))
-    return detection.filtered(rows, "raw", "fs", 1.0, 3, True, "high").select("trace_id", "idx", "high")
+    """Samples after a zero-phase high-pass at 5 Hz, by each trace's own rate."""
+    rows = _rated(spark, d)
+    return detection.filtered(rows, "raw", "fs", 5.0, 3, True, "high").select("trace_id", "idx", "high")
 
 
 @query(
@@ -585,7 +711,7 @@ def highpass(spark, d):
 s as (select trace_id, regexp_replace(regexp_replace(trace_id, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') s from t),
 k as (select trace_id, case when s = '' then 'trace' else s end s from s)
 select trace_id, case when n = 1 then s else s || '_' || n end file_name, name, label from (
-  select k.*, row_number() over (partition by s order by trace_id) n, regexp_replace(lower(trace_id), '[^a-z0-9]', '', 'g') name, case when length(trace_id) <= 16 then trace_id else substring(trace_id, 1, 13) || '...' end label from k)"""
+  select k.*, row_number() over (partition by s order by trace_id) n, regexp_replace(lower(trace_id), '[^a-z0-9]', '', 'g') name, case when length(trace_id) <= 16 then trace_id else substring(trace_id, 1, 15) || '...' end label from k)"""
 )
 def trace_file_names(spark, d):
     """Names of traces for files, clashes numbered in order; canonical names and short labels."""
@@ -621,15 +747,15 @@ def plateau_signal_types(spark, d):
 
 @query(
     _X
-    + """k as (select trim(split_part(trace_id, '|', 1)) recording_id, trim(regexp_extract(trace_id, '^[^|]*\\|(.*)$', 1)) roi, row, raw from n)
-select recording_id, row as row_no, max(raw) filter (roi = 'ROI 01') roi_01, max(raw) filter (roi = 'ROI 02') roi_02, max(raw) filter (roi = 'ROI 03') roi_03 from k group by 1, 2"""
+    + "k as (select " + _rec_sql("trace_id") + " recording_id, " + _roi_sql("trace_id")
+    + """ roi, row, raw from n), en as (select recording_id, min(c) c from (select recording_id, roi, max(row) + 1 c from k group by 1, 2) group by 1),
+u as (select recording_id, row row_no, roi, max(raw) v from k join en using (recording_id) where row < c group by 1, 2, 3)
+select recording_id, row_no, list(roi order by roi) rois, list(v order by roi) readings from u group by 1, 2"""
 )
 def aligned_panel(spark, d):
-    """All regions of each recording side by side by row number, up to the end of the shortest: ``regions`` by their names.
-
-    The SQL has only the first three regions, as columns, and goes on after the end of the shortest.
-    """
-    return signals.aligned_panel(_present(spark, d), "raw")
+    """All regions of each recording side by side by row number, up to the end of the shortest."""
+    out = signals.aligned_panel(_present(spark, d), "raw")
+    return out.select("recording_id", "row_no", F.map_keys("regions").alias("rois"), F.map_values("regions").alias("readings"))
 
 
 @query(
@@ -660,7 +786,7 @@ def without_artifacts(spark, d):
 
 @query(
     _X
-    + """k as (select trim(split_part(trace_id, '|', 1)) recording_id, (max(t) - min(t)) / 4 q from x where t is not null group by 1), l as (select *, case when q > 0 then pow(10.0, floor(log10(q))) end pw from k)
+    + "k as (select " + _rec_sql("trace_id") + """ recording_id, (max(t) - min(t)) / 4 q from x where t is not null group by 1), l as (select *, case when q > 0 then pow(10.0, floor(log10(q))) end pw from k)
 select recording_id, cast(case when q > 0 then pw * case when q / pw >= 5 then 5 when q / pw >= 2 then 2 else 1 end else 1 end as float) bar from l"""
 )
 def time_scale(spark, d):
@@ -671,7 +797,7 @@ def time_scale(spark, d):
 
 @query(
     _X
-    + """k as (select trim(split_part(trace_id, '|', 1)) recording_id, quantile_cont(raw, 0.005) lo, quantile_cont(raw, 0.995) hi from p group by 1)
+    + "k as (select " + _rec_sql("trace_id") + """ recording_id, quantile_cont(raw, 0.005) lo, quantile_cont(raw, 0.995) hi from p group by 1)
 select recording_id, cast(lo - 0.15 * (hi - lo) as float) least, cast(hi + 0.15 * (hi - lo) as float) most from k"""
 )
 def panel_range(spark, d):

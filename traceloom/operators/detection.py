@@ -23,6 +23,25 @@ from traceloom.session import cut_lineage
 PIECE, HALO = 65_536, 8_192
 
 
+def maxima(rows: DataFrame, passed: list[str]) -> DataFrame:
+    """The rows of ``(trace_id, idx, score, threshold, far, least, ...)`` that are peaks of ``score``, with ``prominence``.
+
+    Peaks are at least ``threshold`` high; of those closer than ``far`` rows the highest stays; they must be ``least`` prominent,
+    for which ``HALO`` rows on either side are looked at.  The last three are the same for all rows of a trace.  Rows without a
+    score never are peaks and bound prominences.
+    """
+    held = with_halo(numbered(rows), HALO, PIECE, "row")
+
+    def run(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        x = np.where(np.isfinite(g["score"]), g["score"], -np.inf)
+        at = find_peaks(x, g["threshold"][0], int(g["far"][0]))
+        height = prominences(x, at, HALO)
+        kept = g["own"][at].astype(bool) & (height >= g["least"][0])
+        return at[kept], {"prominence": height[kept]}
+
+    return map_groups(held, ["trace_id", "piece"], "idx", run, ["trace_id", "idx", *passed], {"prominence": "double"}, used=["score", "threshold", "least", "far", "own"])
+
+
 def threshold_spikes(df: DataFrame, column: str, k: float = 5.0, prominence_k: float = 2.0, distance: int | str = 10, mode: str = "std", baseline: str | None = None, blocked: Column | None = None, lag: int | str = 5) -> DataFrame:
     """``(trace_id, spike_index, spike_time, value, baseline, threshold, amplitude, prominence, noise, snr)`` of the maxima of each trace
     above its threshold.
@@ -49,16 +68,7 @@ def threshold_spikes(df: DataFrame, column: str, k: float = 5.0, prominence_k: f
     far = F.lit(distance) if isinstance(distance, int) else F.col(distance)
     base = F.coalesce(F.col(baseline), F.col("centre")) if baseline else F.col("centre")
     rows = rows.join(limits, "trace_id").select("trace_id", "idx", "t", "value", base.cast("double").alias("baseline"), F.when(F.col("ok"), F.col("score")).alias("score"), "threshold", "least", "step", far.cast("long").alias("far"))
-    held = with_halo(numbered(rows), HALO, PIECE, "row")
-
-    def run(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        x = np.where(np.isfinite(g["score"]), g["score"], -np.inf)
-        at = find_peaks(x, g["threshold"][0], int(g["far"][0]))
-        height = prominences(x, at, HALO)
-        kept = g["own"][at].astype(bool) & (height >= g["least"][0])
-        return at[kept], {"prominence": height[kept]}
-
-    out = map_groups(held, ["trace_id", "piece"], "idx", run, ["trace_id", "idx", "t", "value", "baseline", "threshold", "step"], {"prominence": "double"}, used=["score", "threshold", "least", "far", "own"])
+    out = maxima(rows, ["t", "value", "baseline", "threshold", "step"])
     amplitude = F.col("value") - F.col("baseline")
     return out.select("trace_id", F.col("idx").alias("spike_index"), F.col("t").alias("spike_time"), "value", "baseline", "threshold", amplitude.alias("amplitude"), "prominence", F.col("step").alias("noise"), (amplitude / F.col("step")).alias("snr"))
 

@@ -47,16 +47,16 @@ def carried(edges: DataFrame, keys: list[str], bucket: str, value: str, out: str
     combine = {"max": lambda c, _: F.max(c), "sum": lambda c, _: F.sum(c), "nearest": lambda c, _: F.last(c, True)}[how]
     order = (lambda c: F.desc(c)) if later else (lambda c: F.asc(c))
     before = (Window.unboundedPreceding, -1)
-    rows = edges.withColumn("_hi", F.floor(F.col(bucket) / fan))
-    near = combine(F.col(value), None).over(Window.partitionBy(*keys, "_hi").orderBy(order(bucket)).rowsBetween(*before))
+    rows = edges.withColumn("_carried_group", F.floor(F.col(bucket) / fan))
+    near = combine(F.col(value), None).over(Window.partitionBy(*keys, "_carried_group").orderBy(order(bucket)).rowsBetween(*before))
     pick = F.min_by if later else F.max_by
     whole = pick(value, F.when(F.col(value).isNotNull(), F.col(bucket))) if how == "nearest" else combine(F.col(value), None)
-    tops = rows.groupBy(*keys, "_hi").agg(whole.alias("_whole"))
-    far = combine(F.col("_whole"), None).over(Window.partitionBy(*keys).orderBy(order("_hi")).rowsBetween(*before))
-    tops = tops.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_hi").alias("_top"), far.alias("_far"))
-    rows = rows.withColumn("_near", near)
-    met = rows.join(tops, null_safe(rows, tops, {k: f"_k{i}" for i, k in enumerate(keys)} | {"_hi": "_top"}), "left")
-    put = {"max": F.greatest("_near", "_far"), "sum": F.coalesce("_near", F.lit(0)) + F.coalesce("_far", F.lit(0)), "nearest": F.coalesce("_near", "_far")}[how]
+    tops = rows.groupBy(*keys, "_carried_group").agg(whole.alias("_carried_whole"))
+    far = combine(F.col("_carried_whole"), None).over(Window.partitionBy(*keys).orderBy(order("_carried_group")).rowsBetween(*before))
+    tops = tops.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_carried_group").alias("_carried_top"), far.alias("_carried_far"))
+    rows = rows.withColumn("_carried_near", near)
+    met = rows.join(tops, null_safe(rows, tops, {k: f"_k{i}" for i, k in enumerate(keys)} | {"_carried_group": "_carried_top"}), "left")
+    put = {"max": F.greatest("_carried_near", "_carried_far"), "sum": F.coalesce("_carried_near", F.lit(0)) + F.coalesce("_carried_far", F.lit(0)), "nearest": F.coalesce("_carried_near", "_carried_far")}[how]
     return met.withColumn(out, put).select(*edges.columns, out)
 
 
@@ -93,9 +93,9 @@ def latest(rows: DataFrame, events: DataFrame, keys: list[str], at: str, bucket:
     both = rows.select(*keys, at, bucket, none.cast(kind).alias("_v"), F.lit(1 if equal else 0).alias("_turn"), F.struct(*rows.columns).alias("_row"))
     both = both.unionByName(told.withColumn("_row", none.cast(both.schema["_row"].dataType)))
     inside = Window.partitionBy(*keys, bucket).orderBy(at, "_turn").rowsBetween(Window.unboundedPreceding, 0)
-    near = both.withColumn("_near", F.last("_v", True).over(inside)).where("_row is not null")
+    near = both.withColumn("_carried_near", F.last("_v", True).over(inside)).where("_row is not null")
     lasts = both.groupBy(*keys, bucket).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(at))).alias("_last"))
     names = {name: f"_s{i}" for i, name in enumerate((*keys, bucket))}
     seams = carried(lasts, keys, bucket, "_last", "_seam").select(*(F.col(a).alias(b) for a, b in names.items()), "_seam")
     met = near.join(seams, null_safe(near, seams, names), "left")
-    return met.select("_row.*", F.coalesce("_near", "_seam")["v"].alias(out))
+    return met.select("_row.*", F.coalesce("_carried_near", "_seam")["v"].alias(out))

@@ -185,26 +185,26 @@ def interpolated(df: DataFrame, column: str, masked: Column, x: str, out: str) -
     A trace without any value to go by gives 0.  Where a gap is longer than a piece, its ends are found in the piece ends
     that travel between pieces: one row per piece.
     """
-    anchor = F.when(~masked & F.col(column).isNotNull() & F.col(x).isNotNull(), F.struct(F.col(x).cast("double").alias("x"), F.col(column).cast("double").alias("y")))
-    cut = df.withColumn("piece", F.floor(F.col("idx") / PIECE)).withColumn("a", anchor)
-    inside = Window.partitionBy("trace_id", "piece").orderBy("idx")
-    ends = cut.where("a is not null").groupBy("trace_id", "piece").agg(F.min_by("a", "idx").alias("lo"), F.max_by("a", "idx").alias("hi"))
-    every = cut.select("trace_id", "piece").distinct().join(ends, ["trace_id", "piece"], "left")
-    seams = carried(every, ["trace_id"], "piece", "hi", "seam_before")
-    seams = carried(seams, ["trace_id"], "piece", "lo", "seam_after", later=True).drop("lo", "hi")
-    rows = cut.join(seams, ["trace_id", "piece"])
-    rows = rows.withColumn("l", F.coalesce(F.last("a", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "seam_before"))
-    backwards = Window.partitionBy("trace_id", "piece").orderBy(F.desc("idx"))
-    rows = rows.withColumn("r", F.coalesce(F.last("a", True).over(backwards.rowsBetween(Window.unboundedPreceding, 0)), "seam_after"))
-    lerp = F.col("l.y") + (F.col("r.y") - F.col("l.y")) * (F.col(x) - F.col("l.x")) / (F.col("r.x") - F.col("l.x"))
+    anchor = F.when(~masked & F.col(column).isNotNull() & F.col(x).isNotNull(), F.struct(F.col(x).alias("x"), F.col(column).alias("y")).cast("struct<x: double, y: double>"))
+    cut = df.withColumn("_piece", F.floor(F.col("idx") / PIECE)).withColumn("_a", anchor)
+    inside = Window.partitionBy("trace_id", "_piece").orderBy("idx")
+    found = F.when(F.col("_a").isNotNull(), F.col("idx"))
+    ends = cut.groupBy("trace_id", "_piece").agg(F.min_by("_a", found).alias("_first_known"), F.max_by("_a", found).alias("_last_known"))
+    seams = carried(ends, ["trace_id"], "_piece", "_last_known", "_before")
+    seams = carried(seams, ["trace_id"], "_piece", "_first_known", "_after", later=True).drop("_first_known", "_last_known")
+    rows = cut.join(seams, ["trace_id", "_piece"])
+    rows = rows.withColumn("_l", F.coalesce(F.last("_a", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_before"))
+    backwards = Window.partitionBy("trace_id", "_piece").orderBy(F.desc("idx"))
+    rows = rows.withColumn("_r", F.coalesce(F.last("_a", True).over(backwards.rowsBetween(Window.unboundedPreceding, 0)), "_after"))
+    lerp = F.col("_l.y") + (F.col("_r.y") - F.col("_l.y")) * (F.col(x) - F.col("_l.x")) / (F.col("_r.x") - F.col("_l.x"))
     value = (
-        F.when(F.col("a").isNotNull(), F.col("a.y"))
-        .when(F.col("l").isNull() & F.col("r").isNull(), 0.0)
-        .when(F.col("l").isNull(), F.col("r.y"))
-        .when(F.col("r").isNull(), F.col("l.y"))
+        F.when(F.col("_a").isNotNull(), F.col("_a.y"))
+        .when(F.col("_l").isNull() & F.col("_r").isNull(), 0.0)
+        .when(F.col("_l").isNull(), F.col("_r.y"))
+        .when(F.col("_r").isNull(), F.col("_l.y"))
         .otherwise(lerp)
     )
-    return rows.withColumn(out, value).drop("piece", "a", "seam_before", "seam_after", "l", "r")
+    return rows.withColumn(out, value).drop("_piece", "_a", "_before", "_after", "_l", "_r")
 
 
 def block_means(df: DataFrame, factor: int, means: list[str], flags: list[str] | None = None) -> DataFrame:

@@ -729,10 +729,10 @@ def trace_file_names(spark, d):
 
 @query()
 def short_plateaus(spark, d):
-    """Short raised floors of each trace, with windows at 1000 Hz."""
+    """Short raised floors of each trace, with windows at its own rate."""
     from traceloom.operators import plateaus
 
-    return plateaus.short_plateaus(_present(spark, d), "raw", 1000.0)
+    return plateaus.short_plateaus(_rated(spark, d), "raw")
 
 
 @query()
@@ -741,8 +741,8 @@ def plateau_signal_types(spark, d):
     from traceloom.operators import plateaus
 
     rows, regions = _high(spark, d)
-    smooth = signals.rolling_rank(rows.select("trace_id", "idx", "raw"), "raw", 2, "smooth").withColumn("noise", F.lit(None).cast("double"))
-    return plateaus.signal_types(plateaus.signal_metrics(smooth, masks.at_least(masks.merged(regions, 3), 20), "raw", "smooth", "noise", 1000.0))
+    smooth = signals.rolling_rank(rows.select("trace_id", "idx", "raw"), "raw", 2, "smooth").withColumn("noise", F.lit(None).cast("double")).join(_rates(spark, d, rows), "trace_id")
+    return plateaus.signal_types(plateaus.signal_metrics(cut_lineage(smooth), cut_lineage(masks.at_least(masks.merged(regions, 3), 12)), "raw", "smooth", "noise"))
 
 
 @query(

@@ -1,7 +1,7 @@
 import numpy as np
 
 from traceloom.functions.peaks import find_peaks, schmitt, zero_phase_butterworth
-from traceloom.operators import detection, images, masks, signals
+from traceloom.operators import detection, images, masks, signals, stats
 from pyspark.sql import functions as F
 
 
@@ -101,3 +101,29 @@ def test_long_plateau(spark):
     x[320:360] += 20
     got = [(r["start"], r["end"]) for r in detection.long_plateaus(trace(spark, x), "v", half=100).collect()]
     assert len(got) == 1 and abs(got[0][0] - 320) <= 2 and abs(got[0][1] - 360) <= 10
+
+
+def test_shifts_between_pixels_and_flat_frames(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12, 16))
+    assert images.estimate_shift(x, np.ones((12, 16)), 2) == (0.0, 0.0, 0.0, 0.0, False) == images.estimate_shift(np.ones((12, 16)), x, 2)
+    flat = images.move(x, 0.5, -0.25)
+    fill = np.median(x)
+    for (y, c), v in np.ndenumerate(flat):
+        a, b = y - 0.5, c + 0.25
+        y0, c0 = int(np.floor(a)), int(np.floor(b))
+        inside = y0 >= 0 and y0 + 1 < 12 and c0 >= 0 and c0 + 1 < 16
+        want = 0.5 * (0.75 * x[y0, c0] + 0.25 * x[y0, c0 + 1]) + 0.5 * (0.75 * x[y0 + 1, c0] + 0.25 * x[y0 + 1, c0 + 1]) if inside else fill
+        assert abs(v - want) < 1e-12
+    assert (images.move(x, 1, -2)[1:, :-2] == x[:-1, 2:]).all() and (images.move(x, 1, -2)[0] == fill).all()
+    dy, dx, *_ , ok = images.estimate_shift(x, np.roll(x, (-1, 2), (0, 1)), 3, subpixel=True, least_ratio=1.2)
+    assert ok and abs(dy - 1) < 0.3 and abs(dx + 2) < 0.3
+
+
+def test_whole_table_percentiles_by_rank(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=6000), np.full(5000, 0.25), [np.nan] * 0])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    got = stats.whole_percentiles(df, "v", [0.0, 0.25, 0.5, 0.75, 1.0])
+    assert np.allclose(got, np.quantile(x, [0, 0.25, 0.5, 0.75, 1]))
+    assert stats.whole_percentiles(df.where("v > 100"), "v", [0.5]) == [None]

@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceloom.operators.ordered import carried
+from traceloom.operators.stats import otsu
 from traceloom.session import cut_lineage
 
 
@@ -41,35 +43,112 @@ def tile_of(y: Column, x: Column, tile: int, width: int) -> Column:
     return (F.floor(y / tile) * (width // tile) + F.floor(x / tile) + 1).cast("long")
 
 
+def _arrays(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    """The frames of a batch as arrays of ``height`` by ``width``, missing pixels as NaN."""
+    lists = batch.column(batch.schema.get_field_index(name))
+    flat, ends = lists.values.to_numpy(zero_copy_only=False).astype(float), lists.offsets.to_numpy()
+    h, w = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("height", "width"))
+    return [flat[a:b].reshape(y, x) for a, b, y, x in zip(ends[:-1], ends[1:], h, w)]
+
+
 def roi_means(frames: DataFrame, tile: int, width: int) -> DataFrame:
-    """``(stack, frame, roi, value)``: mean of each tile of each frame."""
-    return pixels(frames).groupBy("stack", "frame", tile_of(F.col("y"), F.col("x"), tile, width).alias("roi")).agg(F.avg("v").alias("value"))
+    """``(stack, frame, roi, value)``: mean of the present pixels of each tile of each frame; no pixel leaves its task."""
+    kinds = dict(frames.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, roi, value = [], [], []
+            for i, x in enumerate(_arrays(batch, "pixels")):
+                y, c = np.indices(x.shape)
+                place = ((y // tile) * (width // tile) + c // tile).ravel()
+                there = np.isfinite(x.ravel())
+                n = np.bincount(place, there)
+                tiles = np.unique(place)
+                at += [i] * len(tiles)
+                roi += (tiles + 1).tolist()
+                total = np.bincount(place, np.where(there, x.ravel(), 0.0))
+                value += [total[t] / n[t] if n[t] else None for t in tiles]
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(roi, pa.int64()), pa.array(value, pa.float64())], names=["stack", "frame", "roi", "value"])
+
+    return frames.select("stack", "frame", "height", "width", "pixels").mapInArrow(run, f"stack {kinds['stack']}, frame {kinds['frame']}, roi bigint, value double")
+
+
+def _partial_projections(frames: DataFrame) -> DataFrame:
+    """``(stack, y, x, n, total, squares, top)`` of what each task has seen of a stack: one row a pixel and task, not a frame."""
+    kind = dict(frames.dtypes)["stack"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for stack, (n, total, squares, top) in seen.items():
+                y, x = (c.ravel() for c in np.indices(total.shape))
+                columns = [pa.array([stack] * total.size), pa.array(y, pa.int64()), pa.array(x, pa.int64()), *(pa.array(v.ravel(), pa.float64()) for v in (n, total, squares, top))]
+                yield pa.RecordBatch.from_arrays(columns, names=["stack", "y", "x", "n", "total", "squares", "top"])
+            seen.clear()
+
+        for batch in batches:
+            for stack, x in zip(batch.column(0).to_pylist(), _arrays(batch, "pixels")):
+                there = np.isfinite(x)
+                v = np.where(there, x, 0.0)
+                if stack in seen:
+                    one = seen[stack]
+                    for i, part in enumerate((there, v, v * v)):
+                        one[i] += part
+                    np.maximum(one[3], np.where(there, x, -np.inf), out=one[3])
+                else:
+                    seen[stack] = [there.astype(float), v, v * v, np.where(there, x, -np.inf)]
+            if sum(one[0].size for one in seen.values()) > 2_000_000:
+                yield from flush()
+        yield from flush()
+
+    return frames.select("stack", "height", "width", "pixels").mapInArrow(run, f"stack {kind}, y bigint, x bigint, n double, total double, squares double, top double")
 
 
 def projections(frames: DataFrame) -> DataFrame:
-    """``(stack, y, x, mean, sd, top)`` over the frames of a stack; the deviation of a single frame is 0."""
-    return pixels(frames).groupBy("stack", "y", "x").agg(F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd"), F.max("v").alias("top"))
+    """``(stack, y, x, mean, sd, top)`` over the frames of a stack; the deviation of a single frame is 0.
+
+    Each task adds its frames up before anything is shuffled: one row for each pixel of a stack and task.
+    """
+    sums = _partial_projections(frames).groupBy("stack", "y", "x").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.max("top").alias("top"))
+    mean = F.col("total") / F.col("n")
+    sd = F.sqrt(F.greatest((F.col("squares") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0)))
+    return sums.where("n > 0").select("stack", "y", "x", mean.alias("mean"), F.when(F.col("n") > 1, sd).otherwise(0.0).alias("sd"), "top")
 
 
-def frame_correlation(frames: DataFrame, threshold_mad: float = 3.0) -> DataFrame:
+def frame_correlation(frames: DataFrame, threshold_mad: float = 3.0, bins: int = 1024) -> DataFrame:
     """How well each frame agrees with its stack's mean: correlation, its complement, mean difference, rank, heavy motion.
 
     A frame moves heavily if its correlation lies below the median by ``threshold_mad`` scaled median absolute deviations, or
-    below the median where these are 0.  The rank counts from the lowest correlation, ties by frame.
+    below the median where these are 0.  The rank counts from the lowest correlation, ties by frame; frames are ranked within
+    ``bins`` bins of correlation, whose counts are carried on.
     """
-    each = pixels(frames)
-    mean = each.groupBy("stack", "y", "x").agg(F.avg("v").alias("m"))
-    joined = each.join(mean, ["stack", "y", "x"])
-    rows = joined.groupBy("stack", "frame").agg(F.corr("v", "m").alias("c"), F.avg(F.abs(F.col("v") - F.col("m"))).alias("difference"))
-    rows = rows.withColumn("correlation", F.least(F.greatest(F.coalesce(F.when(~F.isnan("c"), F.col("c")), F.when(F.col("difference") == 0, 1.0).otherwise(0.0)), F.lit(-1.0)), F.lit(1.0))).drop("c")
+    kinds = dict(frames.dtypes)
+    paired = frames.join(_mean_images(frames), "stack").select("stack", "frame", "height", "width", "pixels", "reference")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, m in zip(_arrays(batch, "pixels"), _arrays(batch, "reference")):
+                there = np.isfinite(x) & np.isfinite(m)
+                a, b = x[there], m[there]
+                difference = float(np.abs(a - b).mean()) if len(a) else None
+                a, b = a - a.mean() if len(a) else a, b - b.mean() if len(b) else b
+                norm = float(np.sqrt((a * a).sum() * (b * b).sum()))
+                c = float((a * b).sum()) / norm if norm > 1e-12 else float(difference == 0)
+                out.append((min(max(c, -1.0), 1.0), difference))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[i] for o in out], pa.float64()) for i in (0, 1))], names=["stack", "frame", "correlation", "difference"])
+
+    rows = cut_lineage(paired.mapInArrow(run, f"stack {kinds['stack']}, frame {kinds['frame']}, correlation double, difference double"))
     middle = rows.groupBy("stack").agg(F.percentile("correlation", F.lit(0.5)).alias("m"))
     rows = rows.join(middle, "stack")
     mad = rows.groupBy("stack").agg(F.percentile(F.abs(F.col("correlation") - F.col("m")), F.lit(0.5)).alias("mad"))
-    rows = rows.join(mad, "stack").withColumn("limit", F.col("m") - threshold_mad * 1.4826 * F.col("mad"))
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("stack").orderBy("correlation", "frame")).cast("bigint")
-    return rows.select("stack", "frame", "correlation", (1 - F.col("correlation")).alias("distance"), "difference", (F.col("correlation") < F.col("limit")).alias("heavy_motion"), rank.alias("rank"))
+    rows = rows.join(mad, "stack").withColumn("limit", F.col("m") - threshold_mad * 1.4826 * F.col("mad")).withColumn("bin", F.floor((F.col("correlation") + 1) / 2 * bins))
+    below = carried(rows.groupBy("stack", "bin").agg(F.count("*").alias("here")), ["stack"], "bin", "here", "below", "sum").drop("here")
+    within = F.row_number().over(Window.partitionBy("stack", "bin").orderBy("correlation", "frame"))
+    rows = rows.join(below, ["stack", "bin"]).withColumn("rank", (F.col("below") + within).cast("bigint"))
+    return rows.select("stack", "frame", "correlation", (1 - F.col("correlation")).alias("distance"), "difference", (F.col("correlation") < F.col("limit")).alias("heavy_motion"), "rank")
 
 
 def mask_means(frames: DataFrame, weights: DataFrame) -> DataFrame:
@@ -86,8 +165,9 @@ def background_weights(weights: DataFrame, tile: int, width: int, mode: str) ->
     free = grid.join(places, ["y", "x"], "left_anti").withColumn("tile", tile_of(F.col("y"), F.col("x"), tile, width))
     if mode == "parent_tile":
         return free.join(tiles, "tile").select("mask", "y", "x", F.lit(1.0).alias("w"))
-    masks = weights.select("mask").distinct()
-    return free.join(F.broadcast(masks)).select("mask", "y", "x", F.lit(1.0).alias("w")) if mode == "global" else weights.where("false")
+    # the free pixels of a frame stand for all masks alike
+    every = weights.agg(F.collect_set("mask").alias("masks"))
+    return free.join(every).select(F.explode("masks").alias("mask"), "y", "x", F.lit(1.0).alias("w")) if mode == "global" else weights.where("false")
 
 
 def mask_records(weights: DataFrame) -> DataFrame:
@@ -113,16 +193,31 @@ def mask_boundary(mask: DataFrame) -> DataFrame:
     return mask.select("mask", "y", "x").join(inner, ["mask", "y", "x"], "left_anti")
 
 
-def tile_foreground(mean_image: DataFrame, tile: int, width: int, foreground: float = 0.6, factor: float = 2.5) -> DataFrame:
-    """Pixels ``(stack, y, x)`` brighter than their tile's foreground percentile by ``factor`` deviations of what lies below it."""
-    rows = mean_image.withColumn("tile", tile_of(F.col("y"), F.col("x"), tile, width))
-    cut = rows.groupBy("stack", "tile").agg(F.percentile("mean", F.lit(foreground)).alias("p"))
-    rows = rows.join(cut, ["stack", "tile"])
-    low = rows.where("mean <= p").groupBy("stack", "tile").agg(F.avg("mean").alias("m"), F.stddev_pop("mean").alias("s"))
-    return rows.join(low, ["stack", "tile"]).where(F.col("mean") > F.greatest(F.col("p"), F.col("m") + factor * F.col("s"))).select("stack", "tile", "y", "x")
-
+def tile_foreground(mean_image: DataFrame, tile: int, width: int, method: str = "foreground", foreground: float = 0.6, brightest: float = 0.95, factor: float = 2.5) -> DataFrame:
+    """Pixels ``(stack, tile, y, x)`` brighter than their tile's threshold.
 
-def components(mask: DataFrame, keys: list[str], rounds: int = 64) -> DataFrame:
+    By ``foreground`` that is a percentile; by ``otsu`` the split of a histogram; by ``brightest`` the greater of a high
+    percentile and the lesser of median and mean with ``factor`` deviations (robust and plain).  Tiles of one brightness have
+    none; where nothing is above the threshold the brightest pixels are it.
+    """
+    keys = ["stack", "tile"]
+    rows = mean_image.where(F.col("mean").isNotNull()).withColumn("tile", tile_of(F.col("y"), F.col("x"), tile, width))
+    ends = rows.groupBy(*keys).agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"), F.percentile("mean", F.lit(foreground if method == "foreground" else brightest)).alias("limit"), F.percentile("mean", F.lit(0.5)).alias("middle"), F.avg("mean").alias("usual"), F.stddev_pop("mean").alias("spread"))
+    ends = ends.where("hi > lo")
+    if method == "otsu":
+        bins = min(128, max(8, int(np.sqrt(tile * tile)) * 4))
+        ends = ends.drop("limit").join(otsu(rows, keys, "mean", bins).withColumnRenamed("threshold", "limit"), keys)
+    elif method == "brightest":
+        mad = rows.join(ends.select(*keys, "middle"), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("mean") - F.col("middle")), F.lit(0.5)).alias("mad"))
+        robust, plain = F.col("middle") + factor * 1.4826 * F.col("mad"), F.col("usual") + factor * F.col("spread")
+        ends = ends.join(mad, keys).withColumn("limit", F.greatest("limit", F.least(robust, plain)))
+    elif method != "foreground":
+        raise ValueError(f"unknown method {method!r}; there are foreground, otsu and brightest")
+    above = (F.col("mean") > F.col("limit")) | ((F.col("limit") >= F.col("hi")) & (F.col("mean") >= F.col("hi")))
+    return rows.join(ends.select(*keys, "limit", "hi"), keys).where(above).select("stack", "tile", "y", "x")
+
+
+def components(mask: DataFrame, keys: list[str]) -> DataFrame:
     """8-connected components of pixels ``(*keys, y, x)``: adds ``component``, the least row-major place in it.
 
     Labels spread to neighbours by joins, with doubling through the pixel that a label names, until none changes; components
@@ -131,7 +226,7 @@ def components(mask: DataFrame, keys: list[str], rounds: int = 64) -> DataFrame:
     place = F.col("y") * 1_000_000 + F.col("x")
     now = cut_lineage(mask.select(*keys, "y", "x", place.alias("here"), place.alias("component")))
     steps = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1))))
-    for _ in range(rounds):
+    while True:
         sent = now.select(*keys, "y", "x", "component", steps.alias("s"))
         sent = sent.select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "component")
         least = sent.groupBy(*keys, "y", "x").agg(F.min("component").alias("least"))
@@ -166,25 +261,93 @@ def thinned(frames: DataFrame, most_edge: int) -> DataFrame:
 
 
 def shifted(frames: DataFrame, shifts: DataFrame) -> DataFrame:
-    """Pixels moved by whole ``(dy, dx)`` per frame without wrapping; what comes free takes the frame's median."""
-    each = pixels(frames)
-    fill = each.groupBy("stack", "frame").agg(F.percentile("v", F.lit(0.5)).alias("fill"))
-    moved = each.join(shifts, ["stack", "frame"]).select("stack", "frame", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), F.col("v").alias("moved"))
-    return each.join(moved, ["stack", "frame", "y", "x"], "left").join(fill, ["stack", "frame"]).select("stack", "frame", "y", "x", F.coalesce("moved", "fill").alias("v"))
-
+    """Pixels ``(stack, frame, y, x, v)`` moved by ``(dy, dx)`` per frame without wrapping; what comes free takes the frame's median.
 
-def estimate_shift(reference: np.ndarray, moving: np.ndarray, most: int) -> tuple[int, int, float]:
-    """Whole-pixel shift ``(dy, dx)`` that brings ``moving`` onto ``reference`` by phase correlation, and the peak's height.
+    Shifts between pixels mix the four pixels around where a pixel comes from, which must all be in the frame.  Frames without a
+    shift stay.  Each frame is moved within its row: only the shifts are joined.
+    """
+    kinds = dict(frames.dtypes)
+    paired = frames.join(shifts.select("stack", "frame", F.col("dy").cast("double").alias("dy"), F.col("dx").cast("double").alias("dx")), ["stack", "frame"], "left")
 
-    Only shifts of at most ``most`` pixels are looked at; of equal peaks the first in row-major order counts.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dy, dx = (np.nan_to_num(batch.column(i).to_numpy(zero_copy_only=False)) for i in (5, 6))
+            moved = [move(x, y, c).ravel() for x, y, c in zip(_arrays(batch, "pixels"), dy, dx)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(moved, pa.list_(pa.float64()))], names=["stack", "frame", "height", "width", "pixels"])
+
+    out = paired.select("stack", "frame", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), "pixels", "dy", "dx")
+    return pixels(out.mapInArrow(run, f"stack {kinds['stack']}, frame {kinds['frame']}, height int, width int, pixels array<double>"))
+
+
+def move(frame: np.ndarray, dy: float, dx: float) -> np.ndarray:
+    """A frame moved by ``dy`` down and ``dx`` to the right, free places filled with its median."""
+    h, w = frame.shape
+    out = np.full((h, w), np.median(frame[np.isfinite(frame)]) if np.isfinite(frame).any() else 0.0)
+    if abs(dy - round(dy)) < 1e-8 and abs(dx - round(dx)) < 1e-8:
+        y, x = int(round(dy)), int(round(dx))
+        if abs(y) < h and abs(x) < w:
+            out[max(y, 0) : h + min(y, 0), max(x, 0) : w + min(x, 0)] = frame[max(-y, 0) : h - max(y, 0), max(-x, 0) : w - max(x, 0)]
+        return out
+    top, left = int(np.floor(-dy)), int(np.floor(-dx))
+    part_y, part_x = -dy - top, -dx - left
+    a, b = max(0, -top), min(h, h - 1 - top)
+    c, d = max(0, -left), min(w, w - 1 - left)
+    if a < b and c < d:
+        corner = lambda y, x: frame[a + top + y : b + top + y, c + left + x : d + left + x]
+        upper = (1 - part_x) * corner(0, 0) + part_x * corner(0, 1)
+        lower = (1 - part_x) * corner(1, 0) + part_x * corner(1, 1)
+        out[a:b, c:d] = (1 - part_y) * upper + part_y * lower
+    return out
+
+
+def _without_slow_changes(x: np.ndarray, sigma: float | None) -> np.ndarray:
+    """A frame less its Gaussian blur, if a width is given, and less its mean."""
+    if sigma:
+        reach = max(1, round(3 * sigma))
+        kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma**2))
+        kernel /= kernel.sum()
+        blur = x
+        for axis in (0, 1):
+            wide = np.pad(blur, [(reach, reach) if i == axis else (0, 0) for i in (0, 1)], mode="reflect")
+            blur = np.lib.stride_tricks.sliding_window_view(wide, 2 * reach + 1, axis=axis) @ kernel
+        x = x - blur
+    return x - x.mean()
+
+
+def widest_shift(boxes: DataFrame) -> int:
+    """The bound of shifts for a layout: an eighth of the shortest edge of its boxes, from 1 to 5."""
+    edge = boxes.agg(F.min(F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("e")).first()["e"]
+    return 1 if edge is None else max(1, min(5, int(edge) // 8))
+
+
+def estimate_shift(reference: np.ndarray, moving: np.ndarray, most: int, subpixel: bool = False, high_pass: float | None = None, least_ratio: float | None = None) -> tuple[float, float, float, float, bool]:
+    """Shift ``(dy, dx)`` that brings ``moving`` onto ``reference`` by phase correlation, the peak's height, its ratio to the
+    next one, and whether that is enough.
+
+    Only shifts of at most ``most`` pixels are looked at; of equal peaks the first in row-major order counts.  Between pixels a
+    parabola through the peak's neighbours gives the place.  A flat frame or reference isn't moved.
     """
-    a, b = reference - reference.mean(), moving - moving.mean()
+    a, b = _without_slow_changes(reference, high_pass), _without_slow_changes(moving, high_pass)
+    if not a.any() or not b.any():
+        return 0.0, 0.0, 0.0, 0.0, False
     cross = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
-    peak = np.real(np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)))
-    ys, xs = np.arange(-most, most + 1) % a.shape[0], np.arange(-most, most + 1) % a.shape[1]
-    near = peak[np.ix_(ys, xs)]
+    peak = np.abs(np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)))
+    h, w = peak.shape
+    near = peak[np.ix_(np.arange(-most, most + 1) % h, np.arange(-most, most + 1) % w)]
     y, x = np.unravel_index(int(np.argmax(np.round(near, 12))), near.shape)
-    return int(y) - most, int(x) - most, float(near[y, x])
+    y, x, top = int(y) - most, int(x) - most, float(near[y, x])
+    ratio = top / max(float(np.partition(near.ravel(), -2)[-2]), 1e-12) if near.size > 1 else float("inf")
+    dy, dx = float(y), float(x)
+    if subpixel:
+        def vertex(left: float, right: float) -> float:
+            bend = left - 2 * top + right
+            return 0.0 if abs(bend) < 1e-12 else min(max(0.5 * (left - right) / bend, -0.5), 0.5)
+
+        dy += vertex(float(peak[(y - 1) % h, x % w]), float(peak[(y + 1) % h, x % w]))
+        dx += vertex(float(peak[y % h, (x - 1) % w]), float(peak[y % h, (x + 1) % w]))
+    dy, dx = min(max(dy, -most), most), min(max(dx, -most), most)
+    enough = not least_ratio or ratio >= least_ratio
+    return (dy if enough else 0.0), (dx if enough else 0.0), top, ratio, enough
 
 
 def frames_of(rows: DataFrame, height: int, width: int) -> DataFrame:
@@ -193,44 +356,44 @@ def frames_of(rows: DataFrame, height: int, width: int) -> DataFrame:
     return packed.select("stack", "frame", F.lit(height).alias("height"), F.lit(width).alias("width"), F.col("p.v").alias("pixels"))
 
 
-def _mean_images(rows: DataFrame) -> DataFrame:
-    """``(stack, reference)``: the mean of a stack's pixels as an array."""
-    mean = rows.groupBy("stack", "y", "x").agg(F.avg("v").alias("m"))
-    return mean.groupBy("stack").agg(F.sort_array(F.collect_list(F.struct("y", "x", "m"))).alias("r")).select("stack", F.col("r.m").alias("reference"))
+def _mean_images(frames: DataFrame) -> DataFrame:
+    """``(stack, reference)``: the mean of a stack's frames as an array."""
+    mean = projections(frames).select("stack", "y", "x", "mean")
+    return mean.groupBy("stack").agg(F.sort_array(F.collect_list(F.struct("y", "x", "mean"))).alias("r")).select("stack", F.col("r.mean").alias("reference"))
 
 
-def _shifts_against(frames: DataFrame, references: DataFrame, most: int) -> DataFrame:
+def _shifts_against(frames: DataFrame, references: DataFrame, most: int, subpixel: bool = False, high_pass: float | None = None, least_ratio: float | None = None) -> DataFrame:
     """Shift of every frame against its stack's reference; frames are transformed batch by batch in Arrow calls."""
     paired = frames.join(references, "stack").select("stack", "frame", "height", "width", "pixels", "reference")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for h, w, p, m in zip(*(batch.column(i) for i in (2, 3, 4, 5))):
-                shape = (h.as_py(), w.as_py())
-                out.append(estimate_shift(np.array(m.as_py(), dtype=float).reshape(shape), np.array(p.as_py(), dtype=float).reshape(shape), min(most, (min(shape) - 1) // 2)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())],
-                names=["stack", "frame", "dy", "dx", "peak"],
-            )
+            out = [estimate_shift(m, x, min(most, (min(x.shape) - 1) // 2), subpixel, high_pass, least_ratio) for x, m in zip(_arrays(batch, "pixels"), _arrays(batch, "reference"))]
+            columns = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["stack", "frame", "dy", "dx", "peak", "ratio", "accepted"])
 
     kind = dict(frames.dtypes)
-    return paired.mapInArrow(run, f"stack {kind['stack']}, frame {kind['frame']}, dy bigint, dx bigint, peak double")
+    out = paired.mapInArrow(run, f"stack {kind['stack']}, frame {kind['frame']}, dy double, dx double, peak double, ratio double, accepted boolean")
+    return out if subpixel else out.withColumn("dy", F.col("dy").cast("bigint")).withColumn("dx", F.col("dx").cast("bigint"))
 
 
-def motion_shifts(frames: DataFrame, most: int = 2, reference: str = "mean", rounds: int = 1) -> DataFrame:
-    """``(stack, frame, dy, dx, peak)``: the shift of every frame against its stack's reference.
+def motion_shifts(frames: DataFrame, most: int = 2, reference: str = "mean", rounds: int = 1, subpixel: bool = False, high_pass: float | None = None, least_ratio: float | None = None) -> DataFrame:
+    """``(stack, frame, dy, dx, peak, ratio, accepted)``: the shift of every frame against its stack's reference.
 
     The reference is the stack's first frame (``first``) or its mean image, which with more ``rounds`` is taken again from the
-    frames as they are moved so far.  Means are native aggregates, joined to the frames by stack.
+    frames as they are moved so far.  Means are partial sums of each task, joined to the frames by stack.  Frames whose peak
+    isn't ``least_ratio`` times the next one aren't moved.
     """
+    how = {"subpixel": subpixel, "high_pass": high_pass, "least_ratio": least_ratio}
     if reference == "first":
         first = frames.groupBy("stack").agg(F.min_by("pixels", "frame").alias("reference"))
-        return _shifts_against(frames, first, most)
-    shifts = _shifts_against(frames, _mean_images(pixels(frames)), most)
+        return _shifts_against(frames, first, most, **how)
+    shifts = _shifts_against(frames, _mean_images(frames), most, **how)
     for _ in range(rounds - 1):
         shifts = cut_lineage(shifts)
-        shifts = _shifts_against(frames, _mean_images(shifted(frames, shifts.select("stack", "frame", "dy", "dx"))), most)
+        moved = shifted(frames, shifts.select("stack", "frame", "dy", "dx")).groupBy("stack", "y", "x").agg(F.avg("v").alias("m"))
+        means = moved.groupBy("stack").agg(F.sort_array(F.collect_list(F.struct("y", "x", "m"))).alias("r")).select("stack", F.col("r.m").alias("reference"))
+        shifts = _shifts_against(frames, means, most, **how)
     return shifts
 
 
@@ -241,7 +404,7 @@ def tile_shifts(frames: DataFrame, boxes: DataFrame, height: int, width: int, mo
     out = motion_shifts(tiles, most, "first")
     kind = dict(frames.dtypes)["stack"]
     place = F.from_json("stack", f"stack {kind}, roi bigint")
-    return out.select(place["stack"].alias("stack"), place["roi"].alias("roi"), "frame", "dy", "dx", "peak")
+    return out.select(place["stack"].alias("stack"), place["roi"].alias("roi"), "frame", "dy", "dx", "peak", "ratio", "accepted")
 
 
 def mask_shifts(frames: DataFrame, weights: DataFrame, radius: int) -> DataFrame:

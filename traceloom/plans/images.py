@@ -96,9 +96,8 @@ def mask_means_less_background(spark, d):
 
 _FG = (
     _P
-    + """mi as (select stack, y, x, avg(v) m, (y // 4) * 2 + x // 4 + 1 tile from px group by 1, 2, 3), pc as (select stack, tile, quantile_cont(m, 0.6) p from mi group by 1, 2),
-lo as (select stack, tile, avg(m) a, stddev_pop(m) s, any_value(p) p from mi join pc using (stack, tile) where m <= p group by 1, 2),
-fg as (select stack, tile, y, x from mi join lo using (stack, tile) where m > greatest(p, a + 1.0 * s))
+    + """mi as (select stack, y, x, avg(v) m, (y // 4) * 2 + x // 4 + 1 tile from px group by 1, 2, 3), pc as (select stack, tile, quantile_cont(m, 0.6) p, min(m) lo, max(m) hi from mi group by 1, 2),
+fg as (select stack, tile, y, x from mi join pc using (stack, tile) where hi > lo and (m > p or (p >= hi and m >= hi)))
 """
 )
 
@@ -107,7 +106,26 @@ fg as (select stack, tile, y, x from mi join lo using (stack, tile) where m > gr
 def tile_foreground(spark, d):
     """Bright pixels of each tile of a stack's mean image."""
     mean = images.projections(_frames(spark, d)).select("stack", "y", "x", "mean")
-    return images.tile_foreground(mean, 4, 8, 0.6, 1.0)
+    return images.tile_foreground(mean, 4, 8)
+
+
+@query(
+    _P
+    + """mi as (select stack, y, x, avg(v) m, (y // 4) * 2 + x // 4 + 1 tile from px group by 1, 2, 3),
+pc as (select stack, tile, quantile_cont(m, 0.8) p, median(m) md, avg(m) av, stddev_pop(m) sp, min(m) lo, max(m) hi from mi group by 1, 2), ma as (select stack, tile, median(abs(m - md)) mad from mi join pc using (stack, tile) group by 1, 2),
+th as (select *, greatest(p, least(md + 1.0 * 1.4826 * mad, av + 1.0 * sp)) t from pc join ma using (stack, tile))
+select stack, tile, y, x from mi join th using (stack, tile) where hi > lo and (m > t or (t >= hi and m >= hi))"""
+)
+def tile_brightest(spark, d):
+    """The brightest pixels of each tile of a stack's mean image, by robust and plain deviations."""
+    mean = images.projections(_frames(spark, d)).select("stack", "y", "x", "mean")
+    return images.tile_foreground(mean, 4, 8, "brightest", brightest=0.8, factor=1.0)
+
+
+@query()
+def tile_otsu(spark, d):
+    """Bright pixels of each tile by the split of its histogram."""
+    return images.tile_foreground(images.projections(_frames(spark, d)).select("stack", "y", "x", "mean"), 4, 8, "otsu")
 
 
 _CC = (
@@ -195,6 +213,19 @@ def motion_shifts(spark, d):
     return images.motion_shifts(_frames(spark, d))
 
 
+@query()
+def motion_shifts_subpixel(spark, d):
+    """Shift of each frame between pixels, after a high-pass, where the peak stands out."""
+    return images.motion_shifts(_frames(spark, d), 2, subpixel=True, high_pass=1.0, least_ratio=1.05)
+
+
+@query()
+def motion_corrected_subpixel(spark, d):
+    """Frames moved back by their shifts between pixels."""
+    frames = _frames(spark, d)
+    return images.shifted(frames, images.motion_shifts(frames, 2, subpixel=True).select("stack", "frame", "dy", "dx"))
+
+
 @query()
 def motion_corrected(spark, d):
     """Frames moved back by their shifts."""

@@ -28,6 +28,9 @@ SETTLED, ROUNDS = 1e-3, 60
 FOLLOWED, NAMED_ALIKE = 0.6, 0.4
 
 
+_WRITE = json.JSONEncoder(sort_keys=True, ensure_ascii=False).encode
+
+
 def _kind(value) -> str:
     if isinstance(value, bool):
         return "boolean"
@@ -60,7 +63,7 @@ def flatten(text: str | None) -> list[tuple[str, str, str]] | None:
             if isinstance(value, dict):
                 todo.append((f"{prefix}{key}.", value))
             else:
-                out[f"{prefix}{key}"] = (_kind(value), json.dumps(_plain(value), sort_keys=True, ensure_ascii=False))
+                out[f"{prefix}{key}"] = (_kind(value), _WRITE(_plain(value)))
     return [(path, *out[path]) for path in sorted(out)]
 
 

@@ -816,3 +816,12 @@ select trace_id, idx, cast(round(y, 6) as float) smooth from w"""
 def polynomial_smooth(spark, d):
     """Quadratic least squares over five samples, ends repeated."""
     return signals.polynomial_smooth(_present(spark, d), "raw", 2, 2, "smooth").select("trace_id", "idx", _f(F.round("smooth", 6), "smooth"))
+
+
+@query()
+def template_matches(spark, d):
+    """Spikes that look like those that a person accepted or set, or where there are none like what stands out most."""
+    from traceloom.operators import templates
+
+    chosen = table(spark, d, "spikes").where("trace_name is not null and spike_index is not null and (status in ('accepted', 'manual') or source = 'manual')")
+    return templates.template_spikes(_rated(spark, d), "raw", chosen.select(F.col("trace_name").alias("trace_id"), F.col("spike_index").alias("idx")), autopick=True)

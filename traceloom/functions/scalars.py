@@ -81,7 +81,33 @@ def report_number(x: Column, digits: int = 2) -> Column:
     """A number as reports show it: no digits from 1000 on, one from 100 on, else ``digits``; empty for missing ones."""
     x = finite(x)
     shown = F.when(F.abs(x) >= 1000, F.format_string("%.0f", x)).when(F.abs(x) >= 100, F.format_string("%.1f", x)).otherwise(F.format_string(f"%.{digits}f", x))
-    return F.coalesce(shown, F.lit(""))
+    return F.when(x.isNotNull(), shown).otherwise("")
+
+
+def shown_number(x: Column) -> Column:
+    """A number as scales show it: whole ones without digits, from 1 on one digit at most, else two significant ones."""
+    x = finite(x)
+    one = F.regexp_replace(F.format_string("%.1f", x), r"\.?0+$", "")
+    # two significant digits, in powers of ten below a ten-thousandth
+    power = F.floor(F.log10(F.abs(x)))
+    lead = F.rint(F.abs(x) / F.pow(F.lit(10.0), power - 1))
+    power, lead = F.when(lead >= 100, power + 1).otherwise(power), F.when(lead >= 100, F.lit(10.0)).otherwise(lead)
+    plain = F.regexp_replace(F.format_string("%.6f", lead * F.pow(F.lit(10.0), power - 1)), "0+$", "")
+    small = F.concat(F.regexp_replace(F.format_string("%.1f", lead / 10), r"\.0$", ""), F.lit("e-"), F.lpad((-power).cast("string"), 2, "0"))
+    two = F.concat(F.when(x < 0, "-").otherwise(""), F.when(power >= -4, plain).otherwise(small))
+    whole = F.abs(x - F.rint(x)) < 1e-9
+    return F.when(x.isNull(), F.lit(None).cast("string")).when(whole, F.rint(x).cast("long").cast("string")).when(F.abs(x) >= 1, one).otherwise(two)
+
+
+def time_label(seconds: Column) -> Column:
+    """A length of time in ms below a second, else in s."""
+    return F.when(seconds < 1, F.concat(shown_number(seconds * 1000), F.lit(" ms"))).otherwise(F.concat(shown_number(seconds), F.lit(" s")))
+
+
+def sheet_name(name: Column) -> Column:
+    """A name for a sheet of a workbook: forbidden characters become underscores, 31 characters at most, never empty."""
+    clean = F.trim(F.regexp_replace(name, r"[\[\]:*?/\\]", "_"))
+    return F.substring(F.when(clean == "", "trace").otherwise(clean), 1, 31)
 
 
 def short_label(name: Column, most: int = 26) -> Column:

@@ -13,10 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceloom.operators.grouped import map_groups
 from traceloom.operators.ordered import carried
 from traceloom.operators.stats import otsu
 from traceloom.session import cut_lineage
 
+#: Frames of a stack through which a mask is followed in one group.
+FRAMES = 4096
+
 
 def pixels(frames: DataFrame) -> DataFrame:
     """``(stack, frame, y, x, v)`` of every pixel."""
@@ -432,18 +436,19 @@ def difference_map(v: Column, limit: Column, gamma: float = 0.85) -> Column:
     return F.signum(share) * F.pow(F.abs(share), gamma)
 
 
-def sample_frames(count: int, wanted: int) -> list[int]:
-    """At most ``wanted`` frame numbers spread evenly over ``count``, each once."""
-    if count <= 0 or wanted <= 0:
-        return []
-    return sorted({round(i * (count - 1) / max(wanted - 1, 1)) for i in range(min(wanted, count))})
+def sample_frames(count: Column, wanted: int) -> Column:
+    """At most ``wanted`` frame numbers spread evenly over ``count``, each once, as an array; empty where there are none."""
+    n = F.least(count, F.lit(wanted)).cast("int")
+    spread = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.rint(i * (count - 1) / max(wanted - 1, 1)).cast("long"))
+    return F.when(n > 0, F.array_distinct(spread)).otherwise(F.array().cast("array<bigint>"))
 
 
 def tracked_masks(frames: DataFrame, weights: DataFrame, local: int = 1, bound: int = 2, least_score: float | None = None, least_visible: float = 0.25) -> DataFrame:
     """Masks followed from frame to frame: ``(stack, mask, frame, dy, dx, score, visible_fraction, signal, state)``.
 
     Every shift within ``bound`` is scored natively, as in ``mask_shifts``.  Then a small state machine passes over the frames of
-    each mask: it takes the best shift near the last one (``accepted``), else the best of all (``rescued``), else stays where
+    each mask, in pieces of ``FRAMES``: first from every place that a mask may have at the start of a piece, all at once, which
+    gives its place at the end; these are followed from piece to piece, one row each; then from the place that it really has: it takes the best shift near the last one (``accepted``), else the best of all (``rescued``), else stays where
     it was (``held``); the first frame starts from no shift.  A shift passes if its score and the visible share of the mask do.
     """
     each = pixels(frames)
@@ -456,28 +461,59 @@ def tracked_masks(frames: DataFrame, weights: DataFrame, local: int = 1, bound:
         F.count("*").alias("visible"), F.avg("v").alias("signal"), F.corr("t", "v").alias("c"), F.stddev_pop("t").alias("st"), F.stddev_pop("v").alias("sv")
     )
     score = F.when((F.col("visible") >= 2) & (F.col("st") > 1e-9) & (F.col("sv") > 1e-9), F.col("c")).otherwise(F.col("signal"))
-    rows = scored.join(sizes, "mask").select("stack", "mask", "frame", "dy", "dx", score.alias("score"), (F.col("visible") / F.col("size")).alias("visible_fraction"), "signal", (F.col("frame") * 10_000 + (F.col("dy") + bound) * 100 + F.col("dx") + bound).alias("place"))
+    rows = scored.join(sizes, "mask").select("stack", "mask", "frame", "dy", "dx", score.alias("score"), (F.col("visible") / F.col("size")).alias("visible_fraction"), "signal", (F.col("frame") * 10_000 + (F.col("dy") + bound) * 100 + F.col("dx") + bound).alias("place"), F.floor(F.col("frame") / FRAMES).alias("piece"))
+    rows = cut_lineage(rows)  # read twice below
 
-    def run(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        at, state = [], []
-        last = np.array([0, 0])
+    side = 2 * bound + 1
+    grid = np.array([(dy, dx) for dy in range(-bound, bound + 1) for dx in range(-bound, bound + 1)])
+    close = np.abs(grid[:, None] - grid[None]).max(axis=2) <= local
+
+    def frames_in(g: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """First row of each frame, and for each place of the grid its row there, its score and whether that passes."""
         passes = (g["visible_fraction"] >= least_visible) & ((g["score"] >= least_score) if least_score is not None else True)
         edges = np.flatnonzero(np.r_[True, g["frame"][1:] != g["frame"][:-1], True])
+        at = ((g["dy"] + bound) * side + g["dx"] + bound).astype(int)
         for a, b in zip(edges[:-1], edges[1:]):
-            dy, dx, score, ok = g["dy"][a:b], g["dx"][a:b], np.round(g["score"][a:b], 9), passes[a:b]
-            near = (np.abs(dy - last[0]) <= local) & (np.abs(dx - last[1]) <= local)
-            for name, choice in (("accepted", near), ("rescued", np.ones(b - a, dtype=bool)), ("held", (dy == last[0]) & (dx == last[1]))):
-                best = int(np.argmax(np.where(choice, score, -np.inf)))
-                if choice[best] and (ok[best] or name == "held"):
-                    at.append(a + best)
-                    state.append(name)
-                    last = np.array([dy[best], dx[best]])
-                    break
-        return np.array(at, dtype=np.int64), {"state": np.array(state, dtype=object)}
+            row, score, ok = np.full(len(grid), -1), np.full(len(grid), -np.inf), np.zeros(len(grid), dtype=bool)
+            row[at[a:b]], score[at[a:b]], ok[at[a:b]] = np.arange(a, b), np.round(g["score"][a:b], 9), passes[a:b]
+            yield a, row, score, ok
+
+    def step(last: np.ndarray, row: np.ndarray, score: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places after a frame for places before it, and how: 0 accepted, 1 rescued, 2 held, 3 not seen at all."""
+        near = np.where(close[last], score, -np.inf).argmax(axis=1)
+        best = int(score.argmax())
+        accepted = close[last, near] & ok[near]
+        rescued = ~accepted & ok[best]
+        how = np.where(accepted, 0, np.where(rescued, 1, np.where(row[last] >= 0, 2, 3)))
+        return np.where(accepted, near, np.where(rescued, best, last)), how
+
+    def ends(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        last = np.arange(len(grid))
+        for _, row, score, ok in frames_in(g):
+            last, _ = step(last, row, score, ok)
+        return np.zeros(len(grid), dtype=np.int64), {"begin": np.arange(len(grid)), "end": last}
+
+    def follow(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        now, begins = len(grid) // 2, []
+        for end in g["end"].reshape(-1, len(grid)):
+            begins.append(now)
+            now = int(end[now])
+        return np.arange(len(begins)) * len(grid), {"start": np.array(begins)}
 
-    from traceloom.operators.grouped import map_groups
+    def run(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        at, state, last = [], [], np.array([int(g["start"][0])])
+        for _, row, score, ok in frames_in(g):
+            last, how = step(last, row, score, ok)
+            if how[0] < 3:
+                at.append(row[last[0]])
+                state.append(("accepted", "rescued", "held")[how[0]])
+        return np.array(at, dtype=np.int64), {"state": np.array(state, dtype=object)}
 
-    return map_groups(rows, ["stack", "mask"], "place", run, ["stack", "mask", "frame", "dy", "dx", "score", "visible_fraction", "signal"], {"state": "string"})
+    keys = ["stack", "mask", "piece"]
+    used = ["frame", "dy", "dx", "score", "visible_fraction"]
+    maps = map_groups(rows, keys, "place", ends, keys, {"begin": "bigint", "end": "bigint"}, used=used)
+    starts = map_groups(maps.withColumn("order", F.col("piece") * len(grid) + F.col("begin")), ["stack", "mask"], "order", follow, keys, {"start": "bigint"}, used=["end"])
+    return map_groups(rows.join(starts, keys), keys, "place", run, ["stack", "mask", "frame", "dy", "dx", "score", "visible_fraction", "signal"], {"state": "string"}, used=[*used, "start"])
 
 
 def roi_crops(frames: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -253,6 +253,32 @@ def samples_of(ms: float, fs: str = "fs", least: int = 1) -> Column:
     return F.greatest(F.lit(least), F.rint(ms / 1000 * F.col(fs)).cast("long"))
 
 
+def time_axes(df: DataFrame, rates: DataFrame) -> DataFrame:
+    """``(trace_id, is_ms, ms_scale, period_ms)``: whether a trace's times span more than 1,000 and so are in ms, the factor from its
+    times to ms by its sampling period, and that period.  A trace without a positive step has a factor of 1."""
+    steps = lagged(df.where("t is not null"), "t", 1, "before").withColumn("dt", F.col("t") - F.col("before")).where("dt > 0").groupBy("trace_id").agg(F.percentile("dt", F.lit(0.5)).alias("dt"))
+    ends = df.where("t is not null").groupBy("trace_id").agg((F.max_by("t", "idx") - F.min_by("t", "idx")).alias("span"))
+    period = 1000 / F.col("fs")
+    return ends.join(rates, "trace_id").join(steps, "trace_id", "left").select("trace_id", (F.col("span") > 1000).alias("is_ms"), F.coalesce(period / F.col("dt"), F.lit(1.0)).alias("ms_scale"), period.alias("period_ms"))
+
+
+def moved_regions(regions: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Regions after the first ``offset`` of a trace's ``n`` samples are cut off: moved, cut to what is left, those outside dropped.
+
+    ``offsets`` has ``(trace_id, offset, n)``."""
+    moved = regions.join(offsets, "trace_id").withColumn("start", F.col("start") - F.col("offset")).withColumn("end", F.col("end") - F.col("offset"))
+    left = F.col("n") - F.col("offset")
+    kept = moved.where((F.col("end") > 0) & (F.col("start") < left))
+    return kept.withColumn("start", F.greatest("start", F.lit(0))).withColumn("end", F.least("end", left)).drop("offset", "n")
+
+
+def moved_spikes(spikes: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Spikes ``(trace_id, spike_index, candidate_index, ...)`` after the first ``offset`` of ``n`` samples are cut off; those cut off are dropped."""
+    met = spikes.join(offsets, "trace_id").where((F.col("offset") <= 0) | ((F.col("spike_index") >= F.col("offset")) & (F.col("spike_index") < F.col("n"))))
+    cut = F.greatest("offset", F.lit(0))
+    return met.withColumn("spike_index", F.col("spike_index") - cut).withColumn("candidate_index", F.greatest(F.col("candidate_index") - cut, F.lit(0))).drop("offset", "n")
+
+
 def aligned_windows(df: DataFrame, onsets: DataFrame, before: int, after: int) -> DataFrame:
     """``(trace_id, onset, offset, ...)``: the samples from ``before`` positions before each onset to ``after`` after it.
 

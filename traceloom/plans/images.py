@@ -397,3 +397,41 @@ def tile_first_shifts(spark, d):
     frames = _frames(spark, d)
     layout = frames.select("stack", "width", "height").distinct().select("*", F.lit(4).alias("box_width"), F.lit(4).alias("box_height"), F.lit(4).alias("roi_count"))
     return images.tile_shifts(frames, images.roi_boxes(layout), 4, 4, 1)
+
+
+@query(
+    _FG
+    + """, mw as (select stack, tile, y, x, m w from fg join mi using (stack, tile, y, x) where m > 0)
+select stack || '/' || tile mask, count(*) pixel_count, cast(sum(w) as float) weight_sum, min(x) x0, min(y) y0, max(x) + 1 x1, max(y) + 1 y1, cast(sum(x * w) / sum(w) as float) centre_x, cast(sum(y * w) / sum(w) as float) centre_y from mw group by 1"""
+)
+def mask_records(spark, d):
+    """Size, box and weighted centre of the bright pixels of each tile, weighted by their brightness."""
+    mean = images.projections(_frames(spark, d)).select("stack", "y", "x", F.col("mean").alias("w"))
+    weights = tile_foreground(spark, d).join(mean, ["stack", "y", "x"]).select(F.concat_ws("/", "stack", "tile").alias("mask"), "y", "x", "w")
+    out = images.mask_records(weights)
+    return out.select("mask", "pixel_count", F.col("weight_sum").cast("float"), "x0", "y0", "x1", "y1", F.col("centre_x").cast("float"), F.col("centre_y").cast("float"))
+
+
+@query(
+    """with c as (select source_tiff, max(frame) + 1 n from signal_frames where source_tiff is not null and frame is not null group by 1),
+u as (select source_tiff, n, unnest(range(0, least(n, 7))) i from c)
+select distinct source_tiff, cast(round_even(i * (n - 1) / 6.0, 0) as bigint) frame from u"""
+)
+def sampled_frames(spark, d):
+    """Seven frames of each stack, spread evenly."""
+    counts = table(spark, d, "signal_frames").where("source_tiff is not null and frame is not null").groupBy("source_tiff").agg((F.max("frame") + 1).alias("n"))
+    return counts.select("source_tiff", F.explode(images.sample_frames(F.col("n"), 7)).alias("frame"))
+
+
+@query(_P + "n as (select stack, frame, y, x, v, dense_rank() over (partition by stack order by frame) - 1 page from px) select stack, page, y, x, cast(v as float) v from n")
+def stack_round_trip(spark, d):
+    """Stacks written as image files by the executors and read again, page by page."""
+    from traceloom.plans.traces import _scratch
+    from traceloom.sources import stacks
+
+    folder = _scratch(spark, "stacks")
+    written = stacks.write_stacks(_frames(spark, d), folder)
+    written.count()
+    back = stacks.read_stacks(spark, folder)
+    named = back.select(F.regexp_extract("path", r"([^/]+)\.tif$", 1).cast("bigint").alias("stack"), "frame", "height", "width", "pixels")
+    return images.pixels(named).select("stack", F.col("frame").alias("page"), "y", "x", F.col("v").cast("float").alias("v"))

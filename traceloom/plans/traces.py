@@ -825,3 +825,127 @@ def template_matches(spark, d):
 
     chosen = table(spark, d, "spikes").where("trace_name is not null and spike_index is not null and (status in ('accepted', 'manual') or source = 'manual')")
     return templates.template_spikes(_rated(spark, d), "raw", chosen.select(F.col("trace_name").alias("trace_id"), F.col("spike_index").alias("idx")), autopick=True)
+
+
+@query(
+    _X
+    + _REC
+    + """, l as (select trace_id, t - lag(t) over (partition by trace_id order by idx) dt from x where t is not null), k as (select trace_id, quantile_cont(dt, 0.5) dt from l where dt > 0 group by 1),
+e as (select trace_id, arg_max(t, idx) - arg_min(t, idx) span from x where t is not null group by 1)
+select trace_id, span > 1000 is_ms, cast(coalesce(period / dt, 1) as float) ms_scale, cast(period as float) period_ms, cast(case when span > 1000 then 5.0 else 0.005 end as float) half_window
+from e join rec on recording_id = """
+    + _rec_sql("trace_id")
+    + " left join k using (trace_id)"
+)
+def time_axes(spark, d):
+    """Whether each trace's times are in ms, the factor to ms, its period, and 5 ms in units of its times."""
+    rows = _samples(spark, d)
+    out = signals.time_axes(rows, _rates(spark, d, rows))
+    return out.select("trace_id", "is_ms", _f("ms_scale"), _f("period_ms"), _f(F.when(F.col("is_ms"), 5.0).otherwise(0.005), "half_window"))
+
+
+_CUT = """of_ as (select trace_id, min(idx) filter (t >= f) o, max(idx) + 1 n from x join (select trace_id, min(t) + 20 f from x where t is not null group by 1) using (trace_id) group by 1),
+os as (select trace_id, coalesce(o, 0) o, n from of_)"""
+
+
+def _offsets(spark: SparkSession, d: str) -> DataFrame:
+    """``(trace_id, offset, n)``: the first sample 20 units of time after a trace's first, or 0, and the trace's length."""
+    rows = _samples(spark, d)
+    starts = rows.where("t is not null").groupBy("trace_id").agg((F.min("t") + 20).alias("f"))
+    return rows.join(starts, "trace_id").groupBy("trace_id").agg(F.coalesce(F.min(F.when(F.col("t") >= F.col("f"), F.col("idx"))), F.lit(0)).alias("offset"), (F.max("idx") + 1).alias("n"))
+
+
+@query(
+    _X
+    + _CUT
+    + ", "
+    + _BURSTS
+    + """, mb as (select trace_id, burst_index, s2 - o s, e2 - o e, n - o l from b join os using (trace_id))
+select trace_id, burst_index, greatest(s, 0) as start, least(e, l) as "end" from mb where e > 0 and s < l"""
+)
+def events_after_startup(spark, d):
+    """Bursts by position after the startup of each trace is cut off."""
+    rows = table(spark, d, "bursts").where("trace_name is not null and start_index is not null and end_index > start_index")
+    bursts = rows.groupBy(F.col("trace_name").alias("trace_id"), "burst_index").agg(F.min("start_index").alias("start"), F.min("end_index").alias("end"))
+    return signals.moved_regions(bursts, _offsets(spark, d)).select("trace_id", "burst_index", "start", "end")
+
+
+@query(
+    _X
+    + _CUT
+    + """, sp as (select trace_name trace_id, spike_index, min(candidate_index) c from spikes where trace_name is not null and spike_index is not null group by 1, 2)
+select trace_id, spike_index - greatest(o, 0) spike_index, greatest(c - greatest(o, 0), 0) candidate_index from sp join os using (trace_id) where o <= 0 or (spike_index >= o and spike_index < n)"""
+)
+def spikes_after_startup(spark, d):
+    """Spikes by position after the startup of each trace is cut off."""
+    once = table(spark, d, "spikes").where("trace_name is not null and spike_index is not null").groupBy(F.col("trace_name").alias("trace_id"), "spike_index").agg(F.min("candidate_index").alias("candidate_index"))
+    return signals.moved_spikes(once, _offsets(spark, d)).select("trace_id", "spike_index", "candidate_index")
+
+
+@query(
+    """with r as (select trace_name trace_id, avg(snr) m from (select distinct trace_name, spike_index, snr from spikes where trace_name is not null and isfinite(snr)) group by 1),
+v as (select trace_id, m, round(m, 6) q from r)
+select trace_id, case when abs(q) >= 1000 then printf('%.0f', q) when abs(q) >= 100 then printf('%.1f', q) else printf('%.2f', q) end mean_snr from v"""
+)
+def report_values(spark, d):
+    """Mean signal-to-noise ratio of each trace's spikes as reports show it."""
+    once = table(spark, d, "spikes").where("trace_name is not null").select("trace_name", "spike_index", scalars.finite(F.col("snr")).alias("snr")).where("snr is not null").distinct()
+    return once.groupBy(F.col("trace_name").alias("trace_id")).agg(F.avg("snr").alias("m")).select("trace_id", scalars.report_number(F.round("m", 6)).alias("mean_snr"))
+
+
+@query(
+    "with " + _REC + """, w as (select recording_id, greatest(1, cast(round_even(25 / period, 0) as int)) spacing, greatest(5, cast(round_even(100 / period, 0) as int)) n from rec where period is not null)
+select recording_id, spacing, n + case when n % 2 = 0 then 1 else 0 end "window" from w"""
+)
+def window_samples(spark, d):
+    """Samples in 25 ms, and an odd window of 100 ms, at each recording's rate."""
+    from traceloom.operators.clocks import sampling_rates as rates
+
+    known = rates(table(spark, d, "recordings"))
+    return known.select("recording_id", scalars.to_samples(F.lit(25.0), F.col("rate")).alias("spacing"), scalars.odd_at_least(scalars.to_samples(F.lit(100.0), F.col("rate"))).alias("window"))
+
+
+@query(
+    """with t as (select distinct trace_id from trace_samples where trace_id is not null), k as (select trace_id, trim(regexp_replace(trace_id, '[\\[\\]:*?/\\\\]', '_', 'g')) c from t)
+select trace_id, substring(case when c = '' then 'trace' else c end, 1, 31) sheet from k"""
+)
+def sheet_names(spark, d):
+    """Names of traces for the sheets of a workbook."""
+    return table(spark, d, "trace_samples").select("trace_id").where("trace_id is not null").distinct().select("trace_id", scalars.sheet_name(F.col("trace_id")).alias("sheet"))
+
+
+@query()
+def time_scale_labels(spark, d):
+    """The length of each recording's time scale as it is written beside it."""
+    bars = time_scale(spark, d).where("bar > 0")
+    return bars.select("recording_id", scalars.time_label(F.col("bar").cast("double")).alias("label"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own beside the checkpoints, which all executors reach."""
+    import uuid
+
+    cut_lineage(spark.range(1))  # sees to it that there is a checkpoint folder
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(_SPIKES + "select trace_id, spike_id, peak_index, source, cast(amplitude as float) amplitude from ev")
+def package_round_trip(spark, d):
+    """Spike events written as an analysis package and read again."""
+    from traceloom.sources import packages
+
+    folder = _scratch(spark, "package")
+    packages.write_package({"events": _events(spark, d)}, folder, {"made_by": "package_round_trip"})
+    _, tables = packages.read_package(spark, folder)
+    return tables["events"].select("trace_id", "spike_id", "peak_index", "source", _f("amplitude"))
+
+
+@query(_X + "z as (select 1) select trace_id, idx, cast(t as float) t, cast(raw as float) raw from x")
+def csv_round_trip(spark, d):
+    """Samples exported as CSV and read again; missing numbers are blank cells."""
+    from traceloom.sources import packages
+
+    folder = _scratch(spark, "csv")
+    packages.export_csv(_samples(spark, d), folder, ["trace_id", "idx", "t", "raw"])
+    back = spark.read.option("header", "true").schema("trace_id string, idx bigint, t double, raw double, corrected double").csv(folder)
+    return back.select("trace_id", "idx", _f("t"), _f("raw"))

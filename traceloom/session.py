@@ -24,11 +24,14 @@ def local_session(cpus: int = 8, partitions: int = 8) -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is set (tests, one machine) a
-    temporary folder is made.  A later loss of an executor costs a re-read of those files, never a recomputation.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only in local mode, where all is one machine, a
+    temporary folder is made if none is set; on a cluster that is an error.  The write happens at once.  A later loss of an executor costs a re-read of those files, never a recomputation.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import io
+import itertools
+import os
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -72,6 +76,31 @@ def write_tiff(path: str, frames: Iterator[np.ndarray]) -> int:
     return count
 
 
+def write_stacks(frames: DataFrame, folder: str) -> DataFrame:
+    """Write each stack of ``(stack, frame, height, width, pixels)`` as one TIFF of floats; ``(stack, path, frames)`` of those written.
+
+    Nothing is written before the result is used.  Spark brings the frames of a stack together in order, and a task passes them
+    on to the file one at a time, under another name until it is whole, so that a task that is run again does no harm.
+    ``folder`` must be a path that all executors have mounted.  Missing pixels are NaN; a file holds less than 4 GiB.
+    """
+    place = folder.removeprefix("file://").removeprefix("file:")
+    kind = dict(frames.dtypes)["stack"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(place, exist_ok=True)
+        rows = (r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)))
+        for stack, pages in itertools.groupby(rows, key=lambda r: r[0]):
+            path = f"{place}/{re.sub('[^A-Za-z0-9_.-]+', '_', str(stack))}.tif"
+            begun = f"{path}.{uuid.uuid4().hex}"
+            shaped = (np.asarray(p.values.to_numpy(zero_copy_only=False), dtype=np.float32).reshape(h.as_py(), w.as_py()) for _, h, w, p in pages)
+            count = write_tiff(begun, shaped)
+            os.replace(begun, path)
+            yield pa.RecordBatch.from_arrays([pa.array([stack]), pa.array([path]), pa.array([count], pa.int64())], names=["stack", "path", "frames"])
+
+    given = frames.select("stack", "frame", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), F.col("pixels").cast("array<double>").alias("pixels"))
+    return given.repartition("stack").sortWithinPartitions("stack", "frame").select("stack", "height", "width", "pixels").mapInArrow(run, f"stack {kind}, path string, frames bigint")
+
+
 def read_stacks(spark: SparkSession, path: str, frames: bool = True) -> DataFrame:
     """``(path, frame, height, width, dtype, pixels)`` of all TIFF files under a path; without pixels if ``frames`` is false.
 

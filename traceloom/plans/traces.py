@@ -949,3 +949,21 @@ def csv_round_trip(spark, d):
     packages.export_csv(_samples(spark, d), folder, ["trace_id", "idx", "t", "raw"])
     back = spark.read.option("header", "true").schema("trace_id string, idx bigint, t double, raw double, corrected double").csv(folder)
     return back.select("trace_id", "idx", _f("t"), _f("raw"))
+
+
+@query(
+    _X
+    + _REC
+    + """, no as (select trace_id, greatest(median(abs(raw - m)), 1e-9) z from m group by 1),
+sr as (select r.*, greatest(2, cast(round_even(80 / period, 0) as bigint)) n from r join rec on recording_id = """
+    + _rec_sql("trace_id")
+    + """), sg as (select sr.trace_id, s, e, case when count(*) >= 8 then quantile_cont(raw, 0.95) - quantile_cont(raw, 0.05) else max(raw) - min(raw) end span from sr join p on p.trace_id = sr.trace_id and idx >= s and idx < e where e - s <= n group by 1, 2, 3),
+bad as (select sg.trace_id, s, e from sg join no using (trace_id) where span >= 4 * z)
+select trace_id, s as start, e as "end" from r where not exists(select 1 from bad where bad.trace_id = r.trace_id and bad.s = r.s and bad.e = r.e)"""
+)
+def regions_without_impulses(spark, d):
+    """Stretches above the median without short ones that are spikes."""
+    from traceloom.operators import analysis
+
+    rows, regions = _high(spark, d)
+    return analysis.without_impulses(rows, regions, "raw", _rates(spark, d, rows)).select("trace_id", "start", "end")

@@ -68,7 +68,7 @@ def threshold_spikes(df: DataFrame, column: str, k: float = 5.0, prominence_k: f
     far = F.lit(distance) if isinstance(distance, int) else F.col(distance)
     base = F.coalesce(F.col(baseline), F.col("centre")) if baseline else F.col("centre")
     rows = rows.join(limits, "trace_id").select("trace_id", "idx", "t", "value", base.cast("double").alias("baseline"), F.when(F.col("ok"), F.col("score")).alias("score"), "threshold", "least", "step", far.cast("long").alias("far"))
-    out = maxima(rows, ["t", "value", "baseline", "threshold", "step"])
+    out = maxima(cut_lineage(rows), ["t", "value", "baseline", "threshold", "step"])
     amplitude = F.col("value") - F.col("baseline")
     return out.select("trace_id", F.col("idx").alias("spike_index"), F.col("t").alias("spike_time"), "value", "baseline", "threshold", amplitude.alias("amplitude"), "prominence", F.col("step").alias("noise"), (amplitude / F.col("step")).alias("snr"))
 
@@ -87,7 +87,8 @@ def triggered_regions(df: DataFrame, column: str, high: str, low: str, enter: in
     on = masks.at_least(masks.regions_of(df, v > hi), enter).select("trace_id", F.col("start").alias("idx"), F.lit(True).alias("on"))
     off = masks.at_least(masks.regions_of(df, v <= lo), leave).select("trace_id", F.col("start").alias("idx"), F.lit(False).alias("on"))
     bucket = F.floor(F.col("idx") / PIECE)
-    events = bucketed_lag(on.unionByName(off), ["trace_id"], bucket, ["idx"], "on", "was")
+    runs = cut_lineage(on.unionByName(off))  # read twice below
+    events = bucketed_lag(runs, ["trace_id"], bucket, ["idx"], "on", "was")
     turns = cut_lineage(events.where("on <> coalesce(was, false)").select("trace_id", "idx", "on"))
     closed = bucketed_lag(turns, ["trace_id"], bucket, ["idx"], "idx", "start").where("not on").select("trace_id", "start", F.col("idx").alias("end"))
     last = turns.groupBy("trace_id").agg(F.max_by("on", "idx").alias("on"), F.max("idx").alias("start")).where("on")
@@ -106,7 +107,7 @@ def long_plateaus(df: DataFrame, column: str, half: int | Column = 50, drift_per
     levels = stats.low_state_noise(flat, ["trace_id"], "above").join(stats.otsu(flat, ["trace_id"], "above"), "trace_id")
     levels = levels.withColumn("entry", F.greatest("threshold", F.col("centre") + entry_k * F.col("noise")))
     leave_at = F.least("entry", F.greatest(F.col("centre") + exit_k * F.col("noise"), F.col("centre") + exit_fraction * (F.col("entry") - F.col("centre"))))
-    levels = levels.withColumn("exit", leave_at).select("trace_id", "entry", "exit")
+    levels = cut_lineage(levels.withColumn("exit", leave_at).select("trace_id", "entry", "exit"))
     return masks.at_least(triggered_regions(flat.join(levels, "trace_id"), "above", "entry", "exit", enter, leave), shortest)
 
 

@@ -96,11 +96,11 @@ def triggered_regions(df: DataFrame, column: str, high: str, low: str, enter: in
     return closed.unionByName(last.join(ends, "trace_id").select("trace_id", "start", "end"))
 
 
-def long_plateaus(df: DataFrame, column: str, half: int | Column = 50, drift_percentile: float = 20.0, entry_k: float = 5.0, exit_k: float = 2.0, exit_fraction: float = 0.5, enter: int = 10, leave: int = 10, shortest: int = 20) -> DataFrame:
-    """Raised stretches of a trace over its drift.
+def above_drift(df: DataFrame, column: str, half: int | Column = 50, drift_percentile: float = 20.0, entry_k: float = 5.0, exit_k: float = 2.0, exit_fraction: float = 0.5) -> DataFrame:
+    """``(trace_id, idx, above, entry, exit)``: samples above the drift of their trace, and the levels that they are compared with.
 
-    The drift is a rolling percentile; what is above it is compared with an entry level, the greater of the Otsu threshold and
-    the median and ``entry_k`` noises (``low_state_noise``), and an exit level below.  Regions of at least ``shortest`` samples stay.
+    The drift is a rolling percentile.  The entry level is the greater of the Otsu threshold and the median and ``entry_k``
+    noises (``low_state_noise``); the exit level lies below.
     """
     flat = rolling_rank(df, column, half, "drift", drift_percentile, "reflect").withColumn("above", F.col(column) - F.col("drift"))
     flat = cut_lineage(flat.select("trace_id", "idx", "above"))  # read many times below
@@ -108,7 +108,13 @@ def long_plateaus(df: DataFrame, column: str, half: int | Column = 50, drift_per
     levels = levels.withColumn("entry", F.greatest("threshold", F.col("centre") + entry_k * F.col("noise")))
     leave_at = F.least("entry", F.greatest(F.col("centre") + exit_k * F.col("noise"), F.col("centre") + exit_fraction * (F.col("entry") - F.col("centre"))))
     levels = cut_lineage(levels.withColumn("exit", leave_at).select("trace_id", "entry", "exit"))
-    return masks.at_least(triggered_regions(flat.join(levels, "trace_id"), "above", "entry", "exit", enter, leave), shortest)
+    return flat.join(levels, "trace_id")
+
+
+def long_plateaus(df: DataFrame, column: str, half: int | Column = 50, drift_percentile: float = 20.0, entry_k: float = 5.0, exit_k: float = 2.0, exit_fraction: float = 0.5, enter: int = 10, leave: int = 10, shortest: int = 20) -> DataFrame:
+    """Raised stretches of a trace over its drift: those that a trigger between the levels of ``above_drift`` holds for ``shortest`` samples."""
+    flat = above_drift(df, column, half, drift_percentile, entry_k, exit_k, exit_fraction)
+    return masks.at_least(triggered_regions(flat, "above", "entry", "exit", enter, leave), shortest)
 
 
 def _dropout_seeds(df: DataFrame, column: str, window: int, low: float, depth: float, fall: float) -> DataFrame:

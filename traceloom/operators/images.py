@@ -264,8 +264,8 @@ def thinned(frames: DataFrame, most_edge: int) -> DataFrame:
     return cut.select("stack", "frame", (F.col("y") / F.col("step")).cast("long").alias("y"), (F.col("x") / F.col("step")).cast("long").alias("x"), "v")
 
 
-def shifted(frames: DataFrame, shifts: DataFrame) -> DataFrame:
-    """Pixels ``(stack, frame, y, x, v)`` moved by ``(dy, dx)`` per frame without wrapping; what comes free takes the frame's median.
+def moved(frames: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Frames moved by ``(dy, dx)`` each without wrapping; what comes free takes the frame's median.
 
     Shifts between pixels mix the four pixels around where a pixel comes from, which must all be in the frame.  Frames without a
     shift stay.  Each frame is moved within its row: only the shifts are joined.
@@ -276,11 +276,16 @@ def shifted(frames: DataFrame, shifts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dy, dx = (np.nan_to_num(batch.column(i).to_numpy(zero_copy_only=False)) for i in (5, 6))
-            moved = [move(x, y, c).ravel() for x, y, c in zip(_arrays(batch, "pixels"), dy, dx)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(moved, pa.list_(pa.float64()))], names=["stack", "frame", "height", "width", "pixels"])
+            there = [move(x, y, c).ravel() for x, y, c in zip(_arrays(batch, "pixels"), dy, dx)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(there, pa.list_(pa.float64()))], names=["stack", "frame", "height", "width", "pixels"])
 
     out = paired.select("stack", "frame", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), "pixels", "dy", "dx")
-    return pixels(out.mapInArrow(run, f"stack {kinds['stack']}, frame {kinds['frame']}, height int, width int, pixels array<double>"))
+    return out.mapInArrow(run, f"stack {kinds['stack']}, frame {kinds['frame']}, height int, width int, pixels array<double>")
+
+
+def shifted(frames: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Pixels ``(stack, frame, y, x, v)`` of the frames as they are ``moved``."""
+    return pixels(moved(frames, shifts))
 
 
 def move(frame: np.ndarray, dy: float, dx: float) -> np.ndarray:
@@ -395,12 +400,51 @@ def motion_shifts(frames: DataFrame, most: int = 2, reference: str = "mean", rou
     shifts = _shifts_against(frames, _mean_images(frames), most, **how)
     for _ in range(rounds - 1):
         shifts = cut_lineage(shifts)
-        moved = shifted(frames, shifts.select("stack", "frame", "dy", "dx")).groupBy("stack", "y", "x").agg(F.avg("v").alias("m"))
-        means = moved.groupBy("stack").agg(F.sort_array(F.collect_list(F.struct("y", "x", "m"))).alias("r")).select("stack", F.col("r.m").alias("reference"))
-        shifts = _shifts_against(frames, means, most, **how)
+        shifts = _shifts_against(frames, _mean_images(moved(frames, shifts)), most, **how)
     return shifts
 
 
+# Fixed value: a tile's own peak must be so many times the next one for the tile to move.
+RESIDUAL_RATIO = 1.10
+
+
+def residual_moved(frames: DataFrame, boxes: DataFrame, most: int = 2, residual: int = 1, least_ratio: float = RESIDUAL_RATIO, high_pass: float | None = None, **shared) -> DataFrame:
+    """Frames moved as a whole by ``motion_shifts``, then each tile by what is left of its shift: frames with ``tiles``.
+
+    ``boxes`` has ``(stack, roi, x0, y0, x1, y1)``, within the frames and few for each stack.  ``tiles`` is an array of ``(roi, dy, dx,
+    peak, ratio, accepted)``; a tile is compared with the mean of the frames after the first step and moves by whole pixels,
+    ``residual`` at most, where its peak is ``least_ratio`` times the next one.  What comes free takes the tile's median.  Stacks
+    without boxes keep their frames, with no tiles.  ``shared`` goes to ``motion_shifts``.
+    """
+    whole = cut_lineage(moved(frames, motion_shifts(frames, most, high_pass=high_pass, **shared)))
+    tiles = boxes.groupBy("stack").agg(F.sort_array(F.collect_list(F.array("roi", "x0", "y0", "x1", "y1"))).alias("boxes"))
+    paired = whole.join(_mean_images(whole), "stack").join(tiles, "stack", "left").select("stack", "frame", "height", "width", "pixels", "reference", "boxes")
+    kinds = dict(frames.dtypes)
+    tile = pa.struct([("roi", pa.int64()), ("dy", pa.int64()), ("dx", pa.int64()), ("peak", pa.float64()), ("ratio", pa.float64()), ("accepted", pa.bool_())])
+
+    def settle(frame: np.ndarray, mean: np.ndarray, roi: int, x0: int, y0: int, x1: int, y1: int) -> dict:
+        part = frame[y0:y1, x0:x1].copy()
+        reach = max(0, min(residual, (min(part.shape) - 1) // 2))
+        dy, dx, peak, ratio, accepted = estimate_shift(mean[y0:y1, x0:x1], part, reach, False, high_pass, least_ratio)
+        frame[y0:y1, x0:x1] = move(part, dy, dx)
+        return {"roi": roi, "dy": int(dy), "dx": int(dx), "peak": peak, "ratio": ratio, "accepted": bool(accepted)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [x.copy() for x in _arrays(batch, "pixels")]
+            found = [[settle(x, m, *b) for b in boxes or []] for x, m, boxes in zip(out, _arrays(batch, "reference"), batch.column(6).to_pylist())]
+            columns = [pa.array([x.ravel() for x in out], pa.list_(pa.float64())), pa.array(found, pa.list_(tile))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *columns], names=["stack", "frame", "height", "width", "pixels", "tiles"])
+
+    shape = "array<struct<roi: bigint, dy: bigint, dx: bigint, peak: double, ratio: double, accepted: boolean>>"
+    return paired.mapInArrow(run, f"stack {kinds['stack']}, frame {kinds['frame']}, height int, width int, pixels array<double>, tiles {shape}")
+
+
+def residual_shifts(corrected: DataFrame) -> DataFrame:
+    """``(stack, frame, roi, dy, dx, peak, ratio, accepted)`` of the tiles of ``residual_moved``."""
+    return corrected.select("stack", "frame", F.explode("tiles").alias("t")).select("stack", "frame", "t.*")
+
+
 def tile_shifts(frames: DataFrame, boxes: DataFrame, height: int, width: int, most: int = 2) -> DataFrame:
     """``(stack, roi, frame, dy, dx, peak)``: each tile of a stack moved on its own against its first frame."""
     cut = roi_crops(frames, boxes).withColumn("tile", F.struct("stack", "roi"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from traceloom.functions.scalars import finite, recording_of, roi_of, seconds_per_unit
 from traceloom.operators.grouped import map_groups
-from traceloom.operators.ordered import bucketed_lag, carried
+from traceloom.operators.ordered import bucketed_lag, carried, with_numbers
 
 #: Positions in a piece of a trace.
 PIECE = 16_384
@@ -300,3 +300,16 @@ def aligned_panel(df: DataFrame, column: str) -> DataFrame:
     ends = rows.groupBy("recording_id", "roi").agg((F.max("row_no") + 1).alias("n")).groupBy("recording_id").agg(F.min("n").alias("n"))
     held = rows.join(ends, "recording_id").where("row_no < n").groupBy("recording_id", "row_no", "roi").agg(F.max("v").alias("v"))
     return held.groupBy("recording_id", "row_no").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("roi", "v")))).alias("regions"))
+
+
+def corrected_units(df: DataFrame, column: str, reference: str, baseline: str, out: str) -> DataFrame:
+    """Add ``out``: ``column``, or what it is above ``baseline`` for traces in which that is nearer to ``reference``.
+
+    The difference is taken where its median is nearer to the reference's and the median of its size is smaller than without; traces
+    without a present value keep theirs.
+    """
+    x, less = F.col(column), F.col(column) - F.col(baseline)
+    mid = lambda c: F.percentile(c, F.lit(0.5))
+    fits = (F.abs(mid(less) - mid(F.col(reference))) < F.abs(mid(x) - mid(F.col(reference)))) & (mid(F.abs(less)) < mid(F.abs(x)))
+    choice = df.groupBy("trace_id").agg(F.coalesce(fits, F.lit(False)).alias("_less"))
+    return with_numbers(df, choice, ["trace_id"]).withColumn(out, F.when(F.col("_less"), less).otherwise(x)).drop("_less")

@@ -233,6 +233,26 @@ def motion_corrected(spark, d):
     return images.shifted(frames, images.motion_shifts(frames).select("stack", "frame", "dy", "dx"))
 
 
+def _tiles(frames: DataFrame) -> DataFrame:
+    """Each stack's four tiles of 4 by 4."""
+    layout = frames.select("stack", "width", "height").distinct()
+    return images.roi_boxes(layout.select("*", F.lit(4).alias("box_width"), F.lit(4).alias("box_height"), F.lit(4).alias("roi_count")))
+
+
+@query()
+def residual_shifts(spark, d):
+    """What is left of the shift of each tile after its frame has been moved as a whole."""
+    frames = _frames(spark, d)
+    return images.residual_shifts(images.residual_moved(frames, _tiles(frames)))
+
+
+@query()
+def residual_corrected(spark, d):
+    """Frames moved as a whole and then tile by tile."""
+    frames = _frames(spark, d)
+    return images.pixels(images.residual_moved(frames, _tiles(frames))).withColumn("v", F.col("v").cast("float"))
+
+
 _LAYOUT = """with l as (select source_tiff stack, max(width) w, max(height) h, max(roi_count) n, max(roi_sizes[1].w) bw, max(roi_sizes[1].h) bh from recordings where source_tiff is not null group by 1),
 b as (select *, w // n cw from l where n > 0 and w % n = 0), bx as (select stack, cw, h, unnest(range(0, n)) i from b where cw > 0 and h > 0)
 """

@@ -967,3 +967,108 @@ def regions_without_impulses(spark, d):
 
     rows, regions = _high(spark, d)
     return analysis.without_impulses(rows, regions, "raw", _rates(spark, d, rows)).select("trace_id", "start", "end")
+
+
+_CORE = (
+    _X
+    + _REC
+    + ", "
+    + _merge_sql("z", "r", 3)
+    + ", tn as (select trace_id, max(idx) + 1 n from p group by 1), fr as (select trace_id, n, 1000 / period fs from tn join rec on recording_id = "
+    + _rec_sql("trace_id")
+    + """ where period is not null), co as (select z.trace_id, s, e, n, fs from z join fr using (trace_id) where e - s >= 12)"""
+)
+
+
+def _long_stretches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Samples, and the long stretches above the median of their trace."""
+    rows, regions = _high(spark, d)
+    return rows, masks.at_least(masks.merged(regions, 3), 12)
+
+
+@query(
+    _CORE
+    + """, k as (select trace_id, n, greatest(1, cast(round_even(2 * fs / 1000, 0) as bigint)) g, greatest(2, cast(round_even(3 * fs / 1000, 0) as bigint)) q, greatest(5, cast(round_even(50 * fs / 1000, 0) as bigint)) f,
+  greatest(10, cast(round_even(20 * fs / 1000, 0) as bigint)) wa, greatest(3, cast(round_even(5 * fs / 1000, 0) as bigint)) a from fr),
+dv as (select a.trace_id, a.idx, a.raw, coalesce(a.raw - b.raw, 0) d from n a join k on k.trace_id = a.trace_id left join n b on b.trace_id = a.trace_id and b.row = a.row - g),
+d1 as (select trace_id, median(d) m, median(raw) b from dv group by 1),
+d2 as (select trace_id, 3 * greatest(median(abs(d - m)), 1e-9) st, any_value(b) + 2 * greatest(median(abs(raw - b)), 1e-9) lo from dv join d1 using (trace_id) group by 1),
+fl as (select trace_id, idx, abs(d) <= st qt, d > st up, raw <= lo lw, q, g, a from dv join d2 using (trace_id) join k using (trace_id)),
+st as (select trace_id, idx, sum(qt::int) over (partition by trace_id order by idx range between current row and q - 1 following) = q qs,
+  sum(up::int) over (partition by trace_id order by idx range between current row and g - 1 following) = g us, sum(lw::int) over (partition by trace_id order by idx range between current row and a - 1 following) = a ls from fl),
+c1 as (select c.trace_id, s, e, any_value(k.n) n, any_value(g) g, any_value(wa) wa, any_value(f) f, any_value(a) a, coalesce(max(idx + q), s) c from co c join k on k.trace_id = c.trace_id
+  left join st on st.trace_id = c.trace_id and qs and idx between s - f and s - q group by 1, 2, 3),
+c2 as (select c1.trace_id, s, e, any_value(n) n, any_value(f) f, any_value(a) a, coalesce(min(idx), any_value(case when least(n, c + wa) - 1 + g > n then s else c end)) o from c1
+  left join st on st.trace_id = c1.trace_id and us and idx >= c and idx < c + wa group by 1, 2, 3),
+c3 as (select c2.trace_id, s0.s, s0.e, any_value(o) o, any_value(n) n, coalesce(min(idx), s0.e) t from c2 join (select trace_id, s, e from c2) s0 using (trace_id, s, e)
+  left join st on st.trace_id = c2.trace_id and ls and idx >= c2.e and idx <= least(n, c2.e + f) - a group by 1, 2, 3),
+ed as (select trace_id, o s, greatest(o + 1, least(t, n)) e from c3), """
+    + _merge_sql("y", "ed", 0)
+    + ' select trace_id, s as start, e as "end" from y'
+)
+def slope_edges(spark, d):
+    """Long stretches above the median with edges by the slope of the trace."""
+    from traceloom.operators import analysis
+
+    rows, regions = _long_stretches(spark, d)
+    return analysis.refined_edges(rows, regions, "raw", _rates(spark, d, rows)).select("trace_id", "start", "end")
+
+
+@query(
+    _CORE
+    + """, sd as (select *, least(greatest(3, (e - s) // 2), greatest(3, cast(round_even(60 * fs / 1000, 0) as bigint))) w from co),
+cx as (select trace_id, s, e, greatest(0, s - w) lo, least(n, e + w) hi from sd),
+lv as (select cx.trace_id, s, e, any_value(lo) lo, any_value(hi) hi, coalesce(median(raw) filter (idx < s or idx >= e), 0) b, median(raw) filter (idx >= s and idx < e) l from cx join p on p.trace_id = cx.trace_id and idx >= lo and idx < hi where hi - lo >= 5 group by 1, 2, 3),
+gr as (select *, j * (hi - lo - 1) / 15.0::double x from lv, range(0, 16) t(j) where abs(l - b) > 1e-12),
+vl as (select gr.trace_id, s, e, j, case when x = floor(x) then u.raw else u.raw * (1 - x + floor(x)) + v.raw * (x - floor(x)) end r, l, b from gr
+  left join p u on u.trace_id = gr.trace_id and u.idx = lo + floor(x)::bigint left join p v on v.trace_id = gr.trace_id and v.idx = lo + floor(x)::bigint + 1)
+select trace_id, s as start, e as "end", j as point, cast(round(coalesce((r - b) / (l - b), 0), 6) as float) as "value" from vl"""
+)
+def plateau_profiles(spark, d):
+    """Shape of each long stretch and its surroundings at 16 points."""
+    from traceloom.operators import analysis
+
+    rows, regions = _long_stretches(spark, d)
+    out = analysis.profiles(rows, regions, "raw", _rates(spark, d, rows), 16)
+    points = out.select("trace_id", "start", "end", F.posexplode("profile").alias("point", "v"))
+    return points.select("trace_id", "start", "end", F.col("point").cast("bigint").alias("point"), _f(F.round("v", 6), "value"))
+
+
+@query()
+def plateau_audit(spark, d):
+    """Every candidate for a long plateau, and the step at which it was turned down."""
+    from traceloom.operators import analysis
+
+    rows = _present(spark, d)
+    return analysis.plateau_audit(rows, "raw", _rates(spark, d, rows), half=20, enter=4, leave=4, shortest=6)
+
+
+@query()
+def rejected_plateaus(spark, d):
+    """The candidates turned down, by position after the startup of each trace is cut off."""
+    from traceloom.operators import analysis
+
+    out = analysis.rejected(plateau_audit(spark, d), _offsets(spark, d))
+    return out.select("trace_id", "start", "end", "stage", _f("near_miss"))
+
+
+@query()
+def transform_steps(spark, d):
+    """Samples after a high-pass, means of blocks of two, and a low-pass, in this order."""
+    from traceloom.operators import analysis
+
+    steps = [("highpass", 1.0, 3), ("downsample", 2), ("lowpass", 40.0, 5)]
+    return analysis.transformed(_rated(spark, d), "raw", steps).select("trace_id", "idx", "t", "fs", _f("raw"))
+
+
+@query(
+    _X
+    + _rank_sql(5, 2, "reflect")
+    + """, j as (select x.trace_id, x.idx, x.raw v, x.corrected c, x.raw - y l from p x join w using (trace_id, idx)),
+ch as (select trace_id, abs(median(l) - median(c)) < abs(median(v) - median(c)) and median(abs(l)) < median(abs(v)) ok from j group by 1)
+select trace_id, idx, cast(case when ok then l else v end as float) as "value" from j join ch using (trace_id)"""
+)
+def corrected_units(spark, d):
+    """Samples in the units of the corrected trace: above their baseline where that is nearer to it."""
+    rows = signals.rolling_rank(_present(spark, d), "raw", 5, "base", 20.0, "reflect")
+    return signals.corrected_units(rows, "raw", "corrected", "base", "out").select("trace_id", "idx", _f("out", "value"))

@@ -1022,7 +1022,7 @@ lv as (select cx.trace_id, s, e, any_value(lo) lo, any_value(hi) hi, coalesce(me
 gr as (select *, j * (hi - lo - 1) / 15.0::double x from lv, range(0, 16) t(j) where abs(l - b) > 1e-12),
 vl as (select gr.trace_id, s, e, j, case when x = floor(x) then u.raw else u.raw * (1 - x + floor(x)) + v.raw * (x - floor(x)) end r, l, b from gr
   left join p u on u.trace_id = gr.trace_id and u.idx = lo + floor(x)::bigint left join p v on v.trace_id = gr.trace_id and v.idx = lo + floor(x)::bigint + 1)
-select trace_id, s as start, e as "end", j as point, cast(round(coalesce((r - b) / (l - b), 0), 6) as float) as "value" from vl"""
+select trace_id, s as start, e as "end", j as point, cast(round(coalesce((r - b) / (l - b), 0), 6) + 0.0::double as float) as "value" from vl"""
 )
 def plateau_profiles(spark, d):
     """Shape of each long stretch and its surroundings at 16 points."""

@@ -40,3 +40,16 @@ def test_package_and_csv(spark, tmp_path):
     assert back.columns == ["v", "trace_id", "idx", "ok"] and back.where("v is null").count() == 1
     packages.wide_traces(df, "v", ["t"]).coalesce(1).write.option("header", "true").csv(str(tmp_path / "w"))
     assert packages.read_csv_long(spark, str(tmp_path / "w"), ["idx"]).count() == 2
+
+
+def test_arrays_of_traces(spark, tmp_path):
+    for name, meta in (("a", '{"trace_name": "Rec | ROI 01", "sampling_rate_hz": 500.0}'), ("b", None), ("bad", "{}"), ("none", "{")):
+        (tmp_path / name).mkdir()
+        if meta is not None:
+            (tmp_path / name / "metadata.json").write_text(meta)
+    np.savez(tmp_path / "a" / "arrays.npz", time=[0.0, 2.0, 4.0], corrected=[1.0, 2.0, np.nan], plateau_mask=[True, False])
+    np.savez(tmp_path / "b" / "arrays.npz", time=np.zeros(0), raw=np.zeros(0))
+    (tmp_path / "bad" / "arrays.npz").write_bytes(b"no archive")
+    np.savez(tmp_path / "none" / "arrays.npz", raw=[7.0])
+    got = packages.read_trace_arrays(spark, str(tmp_path), ["time", "raw", "plateau_mask"]).orderBy("trace_id", "idx").collect()
+    assert [tuple(r) for r in got] == [("Rec | ROI 01", 0, 500.0, 0.0, 1.0, 1.0), ("Rec | ROI 01", 1, 500.0, 2.0, 2.0, 0.0), ("Rec | ROI 01", 2, 500.0, 4.0, None, None), ("none", 0, None, None, 7.0, None)]

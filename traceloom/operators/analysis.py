@@ -3,6 +3,8 @@ set by slope, shapes on a common grid, and why candidates were turned down; and
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,12 +66,12 @@ def rejoined(regions: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def _met(windows: DataFrame, first: Column, end: Column, runs: DataFrame, piece: int = 1024) -> DataFrame:
-    """Each window with the runs ``(s, e)`` that share a bucket of positions with ``first`` to ``end``, some of them several times.
+    """Each window with the runs ``(s, e, ...)`` that share a bucket of positions with ``first`` to ``end``, some of them several times.
 
     Windows are short.  Runs may be of any length: a run stands once in each bucket, so there are no more rows than positions.
     """
     a = windows.withColumn("_bucket", F.explode(F.sequence(F.floor(first / piece), F.floor(end / piece))))
-    b = runs.select("trace_id", F.col("start").alias("s"), F.col("end").alias("e"))
+    b = runs.withColumnsRenamed({"start": "s", "end": "e"})
     return a.join(b.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("s") / piece), F.floor((F.col("e") - 1) / piece)))), ["trace_id", "_bucket"])
 
 
@@ -170,11 +172,12 @@ def plateau_audit(df: DataFrame, column: str, rates: DataFrame, half: int | Colu
     edged = cut_lineage(refined_edges(df, long, column, rates))
     plain = cut_lineage(without_impulses(df, edged, column, rates))
     final = cut_lineage(masks.at_least(rejoined(plain, rates), shortest))
-    out = candidates = cut_lineage(masks.merged(above.unionByName(held).unionByName(final.select("trace_id", "start", "end"))))
     keys = ["trace_id", "start", "end"]
-    for name, outcome in zip(STEPS, (above, held, long, edged, plain, final)):
-        hit = masks.best_overlap(candidates, outcome, []).select(*keys, (F.col("overlap") > 0).alias(name))
-        out = out.join(hit, keys)
+    candidates = cut_lineage(masks.merged(above.unionByName(held).unionByName(final.select(*keys))))
+    outcomes = reduce(DataFrame.unionByName, (o.select(*keys, F.lit(name).alias("step")) for name, o in zip(STEPS, (above, held, long, edged, plain, final))))
+    met = _met(candidates, F.col("start"), F.col("end") - 1, outcomes).where("s < end and e > start")
+    hits = met.groupBy(*keys).agg(*(F.bool_or(F.col("step") == name).alias(name) for name in STEPS))
+    out = candidates.join(hits, keys, "left").fillna(False, list(STEPS))
     inside = candidates.select(*keys, F.explode(F.sequence("start", F.col("end") - 1)).alias("idx")).join(flat, ["trace_id", "idx"])
     numbers = inside.groupBy(*keys).agg(stats.median("above").alias("median"), F.percentile("above", F.lit(0.25)).alias("p25"), F.max("above").alias("peak"), F.any_value("entry").alias("entry"), F.any_value("exit").alias("exit"))
     stage = F.coalesce(F.when(F.col(STEPS[-1]), "accepted"), *(F.when(~F.col(s), s) for s in STEPS))

@@ -313,3 +313,9 @@ def corrected_units(df: DataFrame, column: str, reference: str, baseline: str, o
     fits = (F.abs(mid(less) - mid(F.col(reference))) < F.abs(mid(x) - mid(F.col(reference)))) & (mid(F.abs(less)) < mid(F.abs(x)))
     choice = df.groupBy("trace_id").agg(F.coalesce(fits, F.lit(False)).alias("_less"))
     return with_numbers(df, choice, ["trace_id"]).withColumn(out, F.when(F.col("_less"), less).otherwise(x)).drop("_less")
+
+
+def panel_channel(df: DataFrame, channels: list[str]) -> DataFrame:
+    """Add ``channel``, the first of the columns ``channels`` in which a trace has a value, and ``value``; null where none has."""
+    there = df.groupBy("trace_id").agg(F.coalesce(*(F.when(F.count(c) > 0, F.lit(c)) for c in channels)).alias("channel"))
+    return with_numbers(df, there, ["trace_id"]).withColumn("value", F.coalesce(*(F.when(F.col("channel") == c, F.col(c)) for c in channels)))

@@ -1072,3 +1072,32 @@ def corrected_units(spark, d):
     """Samples in the units of the corrected trace: above their baseline where that is nearer to it."""
     rows = signals.rolling_rank(_present(spark, d), "raw", 5, "base", 20.0, "reflect")
     return signals.corrected_units(rows, "raw", "corrected", "base", "out").select("trace_id", "idx", _f("out", "value"))
+
+
+@query(
+    """with s as (select trace_id, idx, min(case when isfinite(raw) then raw end) raw, min(case when isfinite(corrected_source) then corrected_source end) c from trace_samples where trace_id is not null and idx is not null group by 1, 2),
+ch as (select trace_id, case when count(c) > 0 then 'corrected_source' when count(raw) > 0 then 'raw' end channel from s group by 1)
+select trace_id, idx, channel, cast(case when channel = 'raw' then raw else c end as float) as "value" from s join ch using (trace_id)"""
+)
+def panel_channels(spark, d):
+    """Samples of the channel that a panel shows of each trace: what was corrected, or what was recorded where nothing was."""
+    number = lambda c: F.min(scalars.finite(F.col(c))).alias(c)
+    once = table(spark, d, "trace_samples").where("trace_id is not null and idx is not null").groupBy("trace_id", "idx").agg(number("raw"), number("corrected_source"))
+    return signals.panel_channel(once, ["corrected_source", "raw"]).select("trace_id", "idx", "channel", _f("value"))
+
+
+@query(
+    _CORE
+    + """, lo as (select trace_id, idx, idx - row_number() over (partition by trace_id order by idx) i from p join (select trace_id, quantile_cont(raw, 0.9) q from p group by 1) using (trace_id) where raw >= q),
+tp as (select trace_id, min(idx) s, max(idx) + 1 e from lo group by trace_id, i), un as (select trace_id, s, e from co union all select trace_id, s, e from tp),
+gp as (select un.*, greatest(1, cast(round_even(5 * fs / 1000, 0) as bigint)) g from un join fr using (trace_id)),
+y_a as (select *, max(e) over (partition by trace_id order by s, e rows between unbounded preceding and 1 preceding) pe from gp), y_b as (select *, sum(case when pe is null or s > pe + g then 1 else 0 end) over (partition by trace_id order by s, e rows unbounded preceding) i from y_a)
+select trace_id, min(s) as start, max(e) as "end" from y_b group by trace_id, i"""
+)
+def merged_plateaus(spark, d):
+    """Long stretches above the median and stretches of the highest tenth of each trace together, gaps of up to 5 ms closed."""
+    rows, regions = _long_stretches(spark, d)
+    tops = rows.groupBy("trace_id").agg(F.percentile("raw", F.lit(0.9)).alias("q"))
+    top = masks.regions_of(rows.join(tops, "trace_id"), F.col("raw") >= F.col("q"))
+    rates = _rates(spark, d, rows)
+    return masks.merged(regions.unionByName(top), rates.select("trace_id", signals.samples_of(5.0).alias("n"))).select("trace_id", "start", "end")

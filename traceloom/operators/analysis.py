@@ -93,24 +93,29 @@ def refined_edges(df: DataFrame, regions: DataFrame, column: str, rates: DataFra
     rows = cut_lineage(rows)  # read many times below
     steep = _deviation(rows.where("free"), "slope").select("trace_id", (STEEP * F.col("noise")).alias("steep"))
     low = _deviation(rows.where("free"), "v").select("trace_id", (F.col("middle") + LOW * F.col("noise")).alias("low"))
-    rated = with_numbers(rows, cut_lineage(steep.join(low, "trace_id")), ["trace_id"])
+    rated = with_numbers(rows.where("free"), cut_lineage(steep.join(low, "trace_id")), ["trace_id"])
+    kinds = {"quiet": F.abs("slope") <= F.col("steep"), "rise": F.col("slope") > F.col("steep"), "low": F.col("v") <= F.col("low")}
+    # the runs of all three kinds in one pass: the key is the trace and the kind
+    kind = F.explode(F.array_compact(F.array(*(F.when(holds, name) for name, holds in kinds.items()))))
+    every = cut_lineage(masks.regions_of(rated.select("trace_id", "idx", kind.alias("kind")).select(F.struct("trace_id", "kind").alias("trace_id"), "idx"), F.lit(True)))
 
-    def runs(mask: Column, ms: float, least: int) -> DataFrame:
-        return masks.at_least(masks.regions_of(rated, F.col("free") & mask), rates.select("trace_id", signals.samples_of(ms, "fs", least).alias("n")))
+    def runs(name: str, ms: float, least: int) -> DataFrame:
+        found = every.where(F.col("trace_id.kind") == name).select("trace_id.trace_id", "start", "end")
+        return masks.at_least(found, rates.select("trace_id", signals.samples_of(ms, "fs", least).alias("n")))
 
     n = lambda ms, least, name: signals.samples_of(ms, "fs", least).alias(name)
     lengths = rates.select("trace_id", n(QUIET_MS, 2, "quiet"), n(RISE_MS, 1, "rise"), n(SEARCH_MS, 5, "far"), n(WAIT_MS, 10, "wait"), n(LOW_MS, 3, "calm"))
     ends = rows.groupBy("trace_id").agg((F.max("idx") + 1).alias("n"))
     windows = cut_lineage(regions.select(*keys).distinct().join(lengths, "trace_id").join(ends, "trace_id"))
     until = F.least("e", "start")
-    before = _met(windows, F.greatest(F.col("start") - F.col("far"), F.lit(0)), F.col("start"), runs(F.abs("slope") <= F.col("steep"), QUIET_MS, 2))
+    before = _met(windows, F.greatest(F.col("start") - F.col("far"), F.lit(0)), F.col("start"), runs("quiet", QUIET_MS, 2))
     quiet = before.where(until - F.col("quiet") >= F.greatest(F.col("s"), F.col("start") - F.col("far"))).groupBy(*keys).agg(F.max(until).alias("after"))
     windows = cut_lineage(windows.join(quiet, keys, "left").withColumn("after", F.coalesce("after", "start")))
     begins, limit = F.greatest("s", "after"), F.col("after") + F.col("wait")
-    rising = _met(windows, F.col("after"), limit, runs(F.col("slope") > F.col("steep"), RISE_MS, 1))
+    rising = _met(windows, F.col("after"), limit, runs("rise", RISE_MS, 1))
     onsets = rising.where((begins + F.col("rise") <= F.col("e")) & (begins < limit)).groupBy(*keys).agg(F.min(begins).alias("onset"))
     lowest = F.greatest("s", "end")
-    falling = _met(windows, F.col("end"), F.col("end") + F.col("far"), runs(F.col("v") <= F.col("low"), LOW_MS, 3))
+    falling = _met(windows, F.col("end"), F.col("end") + F.col("far"), runs("low", LOW_MS, 3))
     offsets = falling.where(lowest + F.col("calm") <= F.least(F.col("e"), F.col("end") + F.col("far"))).groupBy(*keys).agg(F.min(lowest).alias("offset"))
     # where a trace ends while the rise is looked for, the region's own start stays
     cut_off = F.least(F.col("n"), limit) - 1 + F.col("rise") > F.col("n")

@@ -136,3 +136,22 @@ def test_panel_channels(spark):
     df = spark.createDataFrame(rows, "trace_id string, idx long, raw double, corrected double")
     got = {(r["trace_id"], r["idx"]): (r["channel"], r["value"]) for r in signals.panel_channel(df, ["corrected", "raw"]).collect()}
     assert got == {("a", 0): ("corrected", 5.0), ("a", 1): ("corrected", None), ("b", 0): ("raw", 2.0), ("c", 0): (None, None)}
+
+
+def test_missing_pixels_rounds_and_empty_stacks(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(16, 16))
+    moves = [(0, 0)] * 6 + [(1, 0), (0, -1)]
+    frames = [np.roll(base, m, (0, 1)) for m in moves]
+    frames[6][3, 3] = np.nan
+    for f in frames:
+        f[12, 12] = np.nan  # no frame has this pixel
+    rows = [("s", i, 16, 16, f.ravel().tolist()) for i, f in enumerate(frames)] + [("blank", 0, 16, 16, [None] * 256)]
+    df = spark.createDataFrame(rows, "stack string, frame long, height int, width int, pixels array<double>")
+    for rounds in (1, 2):
+        got = {(r["stack"], r["frame"]): (r["dy"], r["dx"]) for r in images.motion_shifts(df, 2, rounds=rounds).collect()}
+        assert got == {("s", i): (-y, -x) for i, (y, x) in enumerate(moves)} | {("blank", 0): (0, 0)}
+    boxes = spark.createDataFrame([("s", 1, 0, 0, 8, 8)], "stack string, roi long, x0 long, y0 long, x1 long, y1 long")
+    out = images.residual_moved(df, boxes.limit(0), 2, 1)
+    assert out.count() == 9 and images.residual_shifts(out).count() == 0
+    assert images.residual_moved(df.limit(0), boxes, 2, 1).count() == 0

@@ -110,12 +110,17 @@ def _partial_projections(frames: DataFrame) -> DataFrame:
     return frames.select("stack", "height", "width", "pixels").mapInArrow(run, f"stack {kind}, y bigint, x bigint, n double, total double, squares double, top double")
 
 
+def _projection_sums(frames: DataFrame) -> DataFrame:
+    """``(stack, y, x, n, total, squares, top)`` of every pixel of a stack, missing in all frames or not."""
+    return _partial_projections(frames).groupBy("stack", "y", "x").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.max("top").alias("top"))
+
+
 def projections(frames: DataFrame) -> DataFrame:
     """``(stack, y, x, mean, sd, top)`` over the frames of a stack; the deviation of a single frame is 0.
 
     Each task adds its frames up before anything is shuffled: one row for each pixel of a stack and task.
     """
-    sums = _partial_projections(frames).groupBy("stack", "y", "x").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.max("top").alias("top"))
+    sums = _projection_sums(frames)
     mean = F.col("total") / F.col("n")
     sd = F.sqrt(F.greatest((F.col("squares") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0)))
     return sums.where("n > 0").select("stack", "y", "x", mean.alias("mean"), F.when(F.col("n") > 1, sd).otherwise(0.0).alias("sd"), "top")
@@ -310,7 +315,10 @@ def move(frame: np.ndarray, dy: float, dx: float) -> np.ndarray:
 
 
 def _without_slow_changes(x: np.ndarray, sigma: float | None) -> np.ndarray:
-    """A frame less its Gaussian blur, if a width is given, and less its mean."""
+    """A frame less its Gaussian blur, if a width is given, and less its mean; missing pixels take the mean of the others first."""
+    there = np.isfinite(x)
+    if not there.all():
+        x = np.where(there, x, x[there].mean() if there.any() else 0.0)
     if sigma:
         reach = max(1, round(3 * sigma))
         kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma**2))
@@ -366,8 +374,8 @@ def frames_of(rows: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def _mean_images(frames: DataFrame) -> DataFrame:
-    """``(stack, reference)``: the mean of a stack's frames as an array."""
-    mean = projections(frames).select("stack", "y", "x", "mean")
+    """``(stack, reference)``: the mean of a stack's frames as an array, null for pixels that no frame has."""
+    mean = _projection_sums(frames).select("stack", "y", "x", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("mean"))
     return mean.groupBy("stack").agg(F.sort_array(F.collect_list(F.struct("y", "x", "mean"))).alias("r")).select("stack", F.col("r.mean").alias("reference"))
 
 

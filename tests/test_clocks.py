@@ -43,3 +43,19 @@ def test_words(spark):
     texts = {"Time (µs)": "us", "t_ns": "ns", "Zeit (Sek.)": "s", "elapsed [min]": "min", "time in milliseconds": "ms", "values in usec": "us", "x": None, "": None, "Timestamp": None}
     got = {r[0]: r[1] for r in spark.createDataFrame([(k,) for k in texts], "t string").select("t", unit_named_in(F.col("t"))).collect()}
     assert got == texts
+
+
+def test_no_sort_and_no_interpreted_scores(spark):
+    t, s, f, rec = tables(spark, [("A | x", k, k * 0.5, 0) for k in range(9)], [("A | x", 2, 1.0, "in s"), ("A | x", 2, 1.0, "in ms")], [], [("A", None, None, 2000.0, None, None)])
+    out = in_one_unit(clock_records(t, s, f), sampling_rates(rec))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "lambdafunction" not in plan and "lambda " not in plan
+    assert plan.count("array_max(") == 1
+    found = {(r["table_name"], r["pos"]): (r["unit"], r["time_us"], r["on_clock"]) for r in out.collect()}
+    assert len(found) == 10 and found["trace_samples", 3] == ("ms", 1500, True) and found["spikes", 2] == ("ms", 1000, True)
+
+
+def test_equally_likely_units_and_notes_of_repeated_records(spark):
+    # with a period of 1 ms a count of periods is the number of milliseconds; of equal units the last name counts
+    t, s, f, rec = tables(spark, [("A | x", k, float(k), 0) for k in range(30)], [], [], [("A", None, None, 1000.0, None, None)])
+    assert {(r["unit"], r["factor"], r["posterior"]) for r in in_one_unit(clock_records(t, s, f), sampling_rates(rec)).where("pos > 0").collect()} == {("sample", 1.0, 0.5)}

@@ -21,6 +21,9 @@ from traceloom.session import cut_lineage
 # Milliseconds in one of each unit.  ``sample`` counts sampling periods and so differs by recording.
 UNITS_MS = {"ms": 1.0, "s": 1000.0, "us": 0.001, "min": 60000.0, "ns": 0.000001, "h": 3600000.0}
 
+# The components of the mixture.
+COMPONENTS = sorted([*UNITS_MS, "sample"])
+
 # How texts name the units.  The order is that of the tests: the first pattern that fits counts.
 UNIT_WORDS = (
     ("ns", r"(?i)(^|[^a-z])(ns|nsec|nanosec\w*)([^a-z]|$)"),
@@ -50,6 +53,16 @@ def unit_named_in(text: Column) -> Column:
     return reduce(lambda rest, x: F.when(F.regexp_like(text, F.lit(x[1])), x[0]).otherwise(rest), reversed(UNIT_WORDS), F.lit(None).cast("string"))
 
 
+def _code(unit: Column) -> Column:
+    """The place of a unit in the order of the names, null for none; the greatest code is that of the last name."""
+    return reduce(lambda rest, i: F.when(unit == COMPONENTS[i], i).otherwise(rest), range(len(COMPONENTS)), F.lit(None).cast("int"))
+
+
+def _owner() -> Column:
+    """What a series is the clock of: its stack, or the recording that its name begins with."""
+    return F.when(F.col("table_name") == "signal_frames", F.col("series_key")).otherwise(F.substring_index("series_key", " | ", 1))
+
+
 def sampling_rates(recordings: DataFrame) -> DataFrame:
     """``(recording_id, source_tiff, rate, header_unit, sidecar_unit)``: one row per recording.
 
@@ -89,7 +102,7 @@ def clock_records(trace_samples: DataFrame, spikes: DataFrame, signal_frames: Da
         one(trace_samples, "trace_samples", "trace_id", "idx", "t", none)
         .unionByName(one(spikes, "spikes", "trace_name", "spike_index", "spike_time", unit_named_in(F.col("notes"))))
         .unionByName(one(signal_frames, "signal_frames", "source_tiff", "frame", "time_ms", none))
-        .withColumn("owner", F.when(F.col("table_name") == "signal_frames", F.col("series_key")).otherwise(F.split_part("series_key", F.lit(" | "), F.lit(1))))
+        .withColumn("owner", _owner())
     )
 
 
@@ -114,7 +127,7 @@ def start_offsets(traces: DataFrame) -> DataFrame:
 
 def _fit(bins: np.ndarray, shift: np.ndarray, counts: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
     """Weights and widths of the components by expectation and maximisation over a histogram; the places stay fixed."""
-    places = np.column_stack([np.full(len(bins), -math.log10(f)) for f in UNITS_MS.values()] + [-shift])
+    places = np.column_stack([np.full(len(bins), -math.log10(UNITS_MS[name])) if name in UNITS_MS else -shift for name in COMPONENTS])
     n = places.shape[1]
     weights, widths = np.full(n, 1 / n), np.full(n, 0.05)
     gap2 = (bins[:, None] - places) ** 2
@@ -129,23 +142,21 @@ def _fit(bins: np.ndarray, shift: np.ndarray, counts: np.ndarray, rounds: int =
     return weights, widths
 
 
-def _components(names: list[str], weights: np.ndarray, widths: np.ndarray) -> Column:
-    """The fitted components as an array; the place of ``sample`` is minus the logarithm of the record's period."""
-    return F.array(
-        *(
-            F.struct(
-                F.lit(name).alias("unit"),
-                F.lit(math.log(weights[i] + 1e-12)).alias("prior"),
-                F.lit(float(widths[i])).alias("width"),
-                F.lit(-math.log10(UNITS_MS.get(name, 1.0))).alias("place"),
-                F.lit(UNITS_MS.get(name, 1.0)).alias("factor"),
-                F.lit(0.0 if name in UNITS_MS else 1.0).alias("periods"),
-            )
-            for i, name in enumerate(names)
-        )
+def _components(weights: np.ndarray, widths: np.ndarray) -> Column:
+    """The fitted components as one structure: the level and the steepness of each unit's likelihood."""
+    return F.struct(
+        *(F.lit(math.log(w + 1e-12) - math.log(s)).alias(f"level_{name}") for name, w, s in zip(COMPONENTS, weights, widths)),
+        *(F.lit(float(1 / (2 * s**2))).alias(f"steep_{name}") for name, s in zip(COMPONENTS, widths)),
     )
 
 
+def _likelihood(name: str) -> Column:
+    """Logarithm of a unit's likelihood for a record; the place of ``sample`` is minus the logarithm of the record's period."""
+    gap = F.col("r") + (F.lit(math.log10(UNITS_MS[name])) if name in UNITS_MS else F.col("p"))
+    text = F.when(F.col("said") == COMPONENTS.index(name), math.log(TEXT_WEIGHT)).otherwise(0.0)
+    return F.col("model")[f"level_{name}"] + text - gap * gap * F.col("model")[f"steep_{name}"]
+
+
 def in_one_unit(records: DataFrame, rates: DataFrame) -> DataFrame:
     """Every record with its unit: ``table_name, series_key, pos, x, unit, factor, posterior, uncertain, time_us, on_clock``.
 
@@ -163,9 +174,9 @@ def in_one_unit(records: DataFrame, rates: DataFrame) -> DataFrame:
     by_rec = rates.select(F.col("recording_id").alias("owner"), "rate", F.col("header_unit").alias("said"))
     by_tiff = rates.where("source_tiff is not null").groupBy(F.col("source_tiff").alias("owner")).agg(F.max("rate").alias("rate"), F.max("sidecar_unit").alias("said"))
     owners = cut_lineage(by_rec.withColumn("stack", F.lit(False)).unionByName(by_tiff.withColumn("stack", F.lit(True))).withColumn("period", 1000 / F.col("rate")))
-    kept = records.withColumn("stack", frames)
+    kept = records.withColumn("note_unit", _code(F.col("note_unit"))).withColumn("stack", frames)
     offsets = start_offsets(with_numbers(kept.where(~frames), owners, ["owner", "stack"])).withColumn("stack", F.lit(False))
-    clocks = cut_lineage(owners.join(offsets, ["owner", "stack"], "left").select("owner", "stack", "period", "said", F.coalesce("offset", F.lit(0)).alias("offset")))
+    clocks = cut_lineage(owners.join(offsets, ["owner", "stack"], "left").select("owner", "stack", "period", _code(F.col("said")).alias("said"), F.coalesce("offset", F.lit(0)).alias("offset")))
 
     def placed(rows: DataFrame) -> DataFrame:
         timed = with_numbers(rows, clocks, ["owner", "stack"]).withColumn("expected", (F.col("pos") + F.col("offset")) * F.col("period"))
@@ -174,24 +185,20 @@ def in_one_unit(records: DataFrame, rates: DataFrame) -> DataFrame:
 
     far = F.least(F.greatest("r", F.lit(-REACH)), F.lit(REACH))
     binned = placed(kept).where("r is not null").groupBy("table_name", (F.rint(far / BIN) * BIN).alias("r"), (F.rint(F.col("p") / BIN) * BIN).alias("p")).count().toPandas()
-    names = [*UNITS_MS, "sample"]
     parts = {t: _fit(g["r"].to_numpy(), g["p"].to_numpy(), g["count"].to_numpy(dtype=float)) for t, g in binned.groupby("table_name")}
     model = reduce(
-        lambda rest, t: F.when(F.col("table_name") == t, _components(names, *parts[t])).otherwise(rest),
+        lambda rest, t: F.when(F.col("table_name") == t, _components(*parts[t])).otherwise(rest),
         parts,
-        _components(names, np.full(len(names), 1 / len(names)), np.full(len(names), LEAST_WIDTH)),
-    )
-    once = kept.groupBy("table_name", "series_key", "pos").agg(F.min("x").alias("x"), F.max("note_unit").alias("note_unit"), F.first("owner").alias("owner"), F.first("stack").alias("stack"))
-    likely = F.transform(
-        model,
-        lambda c: F.struct(
-            (c["prior"] + F.when(F.col("said") == c["unit"], math.log(TEXT_WEIGHT)).otherwise(0.0) - F.log(c["width"]) - (F.col("r") - c["place"] + c["periods"] * F.col("p")) ** 2 / (2 * c["width"] ** 2)).alias("l"),
-            c["unit"].alias("unit"),
-            F.when(c["periods"] > 0, F.col("period")).otherwise(c["factor"]).alias("factor"),
-        ),
+        _components(np.full(len(COMPONENTS), 1 / len(COMPONENTS)), np.full(len(COMPONENTS), LEAST_WIDTH)),
     )
-    scored = placed(once).withColumn("likely", F.when(F.col("r").isNotNull(), likely)).withColumn("top", F.array_max("likely"))
-    scored = scored.withColumn("posterior", 1 / F.aggregate("likely", F.lit(0.0), lambda a, v: a + F.exp(v["l"] - F.col("top")["l"])))
+    # numbers only are summed up, so that repeated records meet in hash tables and nothing is sorted
+    once = kept.groupBy("table_name", "series_key", "pos").agg(F.min("x").alias("x"), F.max("note_unit").alias("note_unit"))
+    once = once.withColumn("owner", _owner()).withColumn("stack", frames)
+    units = [F.struct(_likelihood(name).alias("l"), F.lit(name).alias("unit"), (F.lit(UNITS_MS[name]) if name in UNITS_MS else F.col("period")).alias("factor")) for name in COMPONENTS]
+    # plain arithmetic for each unit, as functions over an array of components are interpreted row by row; and out of an
+    # array of one, as otherwise each condition on the likeliest unit would be moved in front of it and work it out again
+    scored = placed(once).withColumn("model", model).withColumn("top", F.explode(F.array(F.when(F.col("r").isNotNull(), F.array_max(F.array(*units))))))
+    scored = scored.withColumn("posterior", 1 / reduce(lambda a, b: a + b, (F.exp(_likelihood(name) - F.col("top")["l"]) for name in COMPONENTS)))
     converted = F.col("x") * F.col("top")["factor"]
     zero = (F.col("x") == 0) & (F.col("expected") == 0)
     on_clock = zero | F.coalesce(F.abs(converted - F.col("expected")) <= F.greatest(0.1 * F.col("period"), 0.002 * F.abs("expected")), F.lit(False))

@@ -1,4 +1,7 @@
 import random
+from time import process_time
+
+import numpy as np
 
 from traceloom.llm import leakage as L
 
@@ -101,3 +104,74 @@ def test_items_in_blocks(spark, monkeypatch):
     items, docs, truth = corpus()
     got = L.leaked(spark.createDataFrame(docs, "doc_id long, text string, x int"), spark.createDataFrame(items, "item_id long, passage string, question string"))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == truth
+
+
+def _plain(text, page):
+    """The alignment of one text and one region, place by place."""
+    one = np.float32
+    cost, opening, onward, n = one(L.COST), one(L.OPENING), one(L.ONWARD), len(text)
+    cells, gaps, best = [(one(0), 0, i) for i in range(n)], [(one(-1e6), 0, 0)] * n, 0
+    for w in page:
+        gaps = [(s - opening, h, b) if s - opening > g - onward else (g - onward, gh, gb) for (s, h, b), (g, gh, gb) in zip(cells, gaps)]
+        new = []
+        for i, t in enumerate(text):
+            came, over = (cells[i - 1], gaps[i - 1]) if i else ((one(0), 0, 0), (one(-1e6), 0, 0))
+            if t == w and w > 0:
+                came = over if over[0] > came[0] else came
+                new.append((max(came[0], one(0)) + one(1), came[1] + 1, came[2]) if came[0] > 0 else (one(1), 1, i))
+            else:
+                new.append((came[0] - cost, came[1], came[2]))
+        top = (one(-1e9), 0, 0)
+        for i in range(n):
+            lifted = new[i][0] + cost * one(i)
+            top = (lifted, *new[i][1:]) if lifted >= top[0] else top
+            s = top[0] - cost * one(i)
+            new[i] = (s, *top[1:]) if s > 0 else (one(0), 0, i)
+        cells = new
+        for i, (s, h, b) in enumerate(cells):
+            if text[i] == w and w > 0 and i - b + 1 >= np.ceil(L.HELD * n) and one(h) >= one(L.UNALTERED) * one(i - b + 1) and s >= one(L.COHERENT) * one(h):
+                best = max(best, h)
+    return best
+
+
+def test_alignment_is_that_of_each_pair():
+    rng = np.random.default_rng(5)
+    texts, pages = [], []
+    for k in range(60):
+        text = rng.integers(1, 30, rng.integers(1, 40))
+        page = list(rng.integers(0, 30, rng.integers(0, 12))) + [int(w) if rng.random() > 0.05 else 0 for w in text if rng.random() > 0.03] + list(rng.integers(0, 30, rng.integers(0, 30)))
+        if k % 3 == 0:
+            page[len(page) // 2 : len(page) // 2] = [0] * int(rng.integers(1, 30))
+        texts.append(text.astype(np.int32))
+        pages.append(np.array(page, dtype=np.uint16))
+    pages[7] = pages[7][:0]
+    got = L.aligned(texts, pages)
+    assert got.tolist() == [_plain(t.tolist(), p.tolist()) for t, p in zip(texts, pages)] and (got > 0).sum() > 20
+
+
+def test_short_regions_do_not_wait_for_long_ones():
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(1, 500, 110).astype(np.int32) for _ in range(256)]
+    pages = [rng.integers(0, 500, 1500 if i == 99 else 30).astype(np.uint16) for i in range(256)]
+
+    def seconds(a, b):
+        began = process_time()
+        L.aligned(texts[a:b], pages[a:b])
+        return process_time() - began
+
+    assert min(seconds(0, 256) for _ in range(3)) < 6 * min(seconds(99, 100) for _ in range(3))
+
+
+def test_shared_pairs_of_many_documents():
+    rng = np.random.default_rng(7)
+    items = L.Items([(i, " ".join(f"w{w}" for w in rng.integers(0, 12, rng.integers(3, 30))), None) for i in range(9)] + [(9, "w1", None)])
+    size, pairs = len(items.vocab) + 1, items.pairs()
+    docs = [rng.integers(0, size, rng.integers(0, 40)) for _ in range(70)]
+    starts = np.cumsum([0, *(len(d) + L.WINDOW for d in docs)])
+    flat = np.zeros(starts[-1], dtype=np.uint16)
+    for d, s in zip(docs, starts):
+        flat[s : s + len(d)] = d
+    met = [{(int(a), int(b)) for a, b in zip(d[:-1], d[1:]) if a and b} for d in docs]
+    held = [[(int(a), int(b)) for a, b in zip(w[:-1], w[1:])] for w in items.words]
+    want = [(d, t) for d in range(70) for t in range(len(held)) if sum(p in met[d] for p in held[t]) >= pairs[3][t]]
+    assert L.sharing(flat, starts[:-1], np.array([len(d) for d in docs]), size, pairs) == want

@@ -42,6 +42,9 @@ ITEMS = 4000
 #: Words whose rows of a partial product travel together.
 BLOCK = 256
 
+#: Documents whose pairs of words are counted together.
+TOGETHER = 16
+
 #: Words that a page may put in between at one place, and on either side of where a test text is expected.
 BETWEEN = 40
 
@@ -271,55 +274,69 @@ def aligned(items: list[np.ndarray], regions: list[np.ndarray]) -> np.ndarray:
     """
     if not items:
         return np.zeros(0, dtype=np.int32)
-    n, wide, long = len(items), max(map(len, items)), max(map(len, regions))
+    n, wide = len(items), max(map(len, items))
+    # long regions first: those that have ended are the last rows, which drop out
+    order = sorted(range(n), key=lambda i: -len(regions[i]))
+    lengths = np.array([len(regions[i]) for i in order])
     text = np.full((n, wide), -1, dtype=np.int32)
-    page = np.full((n, long), -2, dtype=np.int32)
-    for i, (a, b) in enumerate(zip(items, regions)):
-        text[i, : len(a)] = a
-        page[i, : len(b)] = b
-    size = np.array([len(a) for a in items])
-    need = np.ceil(HELD * size)[:, None]
+    page = np.full((lengths[0], n), -2, dtype=np.int32)
+    for row, i in enumerate(order):
+        text[row, : len(items[i])] = items[i]
+        page[: len(regions[i]), row] = regions[i]
+    page[page == 0] = -2
+    need = np.ceil(HELD * np.array([len(items[i]) for i in order]))
     place = np.arange(wide, dtype=np.float32)
     cost, opening, onward = np.float32(COST), np.float32(OPENING), np.float32(ONWARD)
-    low = np.float32(-1e6)
-    score, hits, start = np.zeros((n, wide), np.float32), np.zeros((n, wide), np.float32), np.tile(place, (n, 1))
-    gap, gap_hits, gap_start = np.full((n, wide), low), np.zeros((n, wide), np.float32), np.zeros((n, wide), np.float32)
+    lift = cost * place
+    # the matched words of a piece and the place where it starts, in one number
+    kind, one = (np.int32, 1 << 16) if wide < 1 << 15 else (np.int64, 1 << 32)
+    at = np.arange(wide, dtype=kind)
+    every_score, every_piece = np.zeros((n, wide), np.float32), np.tile(at, (n, 1))
+    every_gap, every_gap_piece = np.full((n, wide), -1e6, np.float32), np.zeros((n, wide), kind)
+    every_new, every_new_piece = np.empty((n, wide), np.float32), np.empty((n, wide), kind)
     best = np.zeros(n, dtype=np.int32)
-    rows = np.arange(n)[:, None]
-
-    def shifted(a: np.ndarray, fill: float) -> np.ndarray:
-        return np.concatenate([np.full((n, 1), fill, np.float32), a[:, :-1]], axis=1)
-
-    for j in range(long):
-        same = (text == page[:, j : j + 1]) & (page[:, j : j + 1] > 0)
+    for j in range(lengths[0]):
+        k = int(np.searchsorted(-lengths, -j, side="left"))
+        score, piece, gap, gap_piece, new, new_piece = (x[:k] for x in (every_score, every_piece, every_gap, every_gap_piece, every_new, every_new_piece))
         # words that the page puts in between: the place in the text stays
+        gap -= onward
         opened = score - opening
-        go = gap - onward
-        use = opened > go
-        gap = np.where(use, opened, go)
-        gap_hits, gap_start = np.where(use, hits, gap_hits), np.where(use, start, gap_start)
-        before, before_hits, before_start = shifted(score, 0), shifted(hits, 0), shifted(start, 0)
-        bridged, bridged_hits, bridged_start = shifted(gap, low), shifted(gap_hits, 0), shifted(gap_start, 0)
-        over = same & (bridged > before)
-        before, before_hits, before_start = np.where(over, bridged, before), np.where(over, bridged_hits, before_hits), np.where(over, bridged_start, before_start)
-        fresh = before <= 0
-        new = np.where(same, np.maximum(before, 0) + 1, before - cost)
-        new_hits = np.where(same, np.where(fresh, 0, before_hits) + 1, before_hits)
-        new_start = np.where(same & fresh, place, before_start)
+        np.copyto(gap_piece, piece, where=opened > gap)
+        np.maximum(gap, opened, out=gap)
+        # an altered word; what is matched is few places, which are looked at one by one
+        np.subtract(score[:, :-1], cost, out=new[:, 1:])
+        new[:, 0] = -cost
+        new_piece[:, 1:] = piece[:, :-1]
+        new_piece[:, 0] = 0
+        same = np.flatnonzero(text[:k] == page[j, :k, None])
+        if len(same):
+            column = same % wide
+            left = np.maximum(same - 1, 0)
+            before, bridged = np.where(column > 0, score.ravel()[left], np.float32(0)), np.where(column > 0, gap.ravel()[left], np.float32(-1e6))
+            from_piece = np.where(bridged > before, gap_piece.ravel()[left], piece.ravel()[left])
+            before = np.maximum(before, bridged)
+            new.ravel()[same] = np.maximum(before, 0) + np.float32(1)
+            new_piece.ravel()[same] = np.where(before <= 0, at[column], from_piece) + kind(one)
         # words of the text that are left out: each costs as much as an altered one
-        lifted = new + cost * place
+        lifted = new + lift
         top = np.maximum.accumulate(lifted, axis=1)
-        source = np.maximum.accumulate(np.where(lifted == top, np.arange(wide), 0), axis=1)
-        new, new_hits, new_start = top - cost * place, new_hits[rows, source], new_start[rows, source]
+        np.subtract(top, lift, out=new)
         dead = new <= 0
+        moved = np.flatnonzero((lifted < top) & ~dead)
+        if len(moved):
+            source = np.maximum.accumulate(np.where(lifted == top, at, 0), axis=1)
+            new_piece.ravel()[moved] = new_piece.ravel()[moved - moved % wide + source.ravel()[moved]]
         new[dead] = 0
-        new_hits[dead] = 0
-        score, hits, start = new, new_hits, np.where(dead, place, new_start)
-        span = place - start + 1
-        good = same & (span >= need) & (hits >= UNALTERED * span) & (score >= COHERENT * hits)
-        if good.any():
-            best = np.maximum(best, np.where(good, hits, 0).max(axis=1).astype(np.int32))
-    return best
+        np.copyto(new_piece, at, where=dead)
+        every_score, every_piece, every_new, every_new_piece = every_new, every_new_piece, every_score, every_piece
+        if len(same):
+            hits, start = (x.astype(np.float32) for x in np.divmod(new_piece.ravel()[same], one))
+            span = place[column] - start + 1
+            good = (span >= need[same // wide]) & (hits >= UNALTERED * span) & (new.ravel()[same] >= COHERENT * hits)
+            np.maximum.at(best, same[good] // wide, hits[good].astype(np.int32))
+    out = np.zeros(n, dtype=np.int32)
+    out[order] = best
+    return out
 
 
 def may_hold(items: list[np.ndarray], regions: list[np.ndarray], size: int) -> np.ndarray:
@@ -348,15 +365,23 @@ def sharing(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int
     """Documents and texts that share as many pairs of neighbouring words as any piece that counts must have."""
     known, first, owner, least = pairs
     out: list[tuple[int, int]] = []
-    for d, (s, n) in enumerate(zip(starts, lengths)):
-        doc = flat[s : s + n].astype(np.int64)
-        met = np.unique((doc[:-1] * size + doc[1:])[(doc[:-1] > 0) & (doc[1:] > 0)])
-        at = np.minimum(np.searchsorted(known, met), max(len(known) - 1, 0))
-        at = at[known[at] == met] if len(known) else at[:0]
-        count = first[at + 1] - first[at]
-        every = np.repeat(first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        shared = np.bincount(owner[every], minlength=len(least))
-        out += [(d, int(t)) for t in np.flatnonzero(shared >= least)]
+    if not len(known):
+        return [(d, int(t)) for d in range(len(starts)) for t in np.flatnonzero(least <= 0)]
+    for lo in range(0, len(starts), TOGETHER):
+        here = slice(lo, min(lo + TOGETHER, len(starts)))
+        # documents are followed by zeros, so no pair reaches from one into the next
+        base = starts[here][0]
+        words = flat[base : starts[here][-1] + lengths[here][-1]].astype(np.int64)
+        at = np.flatnonzero((words[:-1] > 0) & (words[1:] > 0))
+        key = words[at] * size + words[at + 1]
+        pair = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        of_text = known[pair] == key
+        doc = np.searchsorted(starts[here] - base, at[of_text], side="right") - 1
+        doc, pair = np.divmod(np.unique(doc * len(known) + pair[of_text]), len(known))
+        count = first[pair + 1] - first[pair]
+        every = np.repeat(first[pair] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        shared = np.bincount(np.repeat(doc, count) * len(least) + owner[every], minlength=(here.stop - lo) * len(least)).reshape(-1, len(least))
+        out += [(lo + int(d), int(t)) for d, t in zip(*np.nonzero(shared >= least))]
     return out
 
 
@@ -393,7 +418,7 @@ def search(encoded: DataFrame, items: Items, space: np.ndarray, wide: bool, key:
                 base = part[0]
                 vectors = _window_sums(flat[base : part[-1] + WINDOW], part - base, space)
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-                hit, which = np.nonzero(vectors @ query.T >= NEAR)
+                hit, which = np.divmod(np.flatnonzero(vectors @ query.T >= NEAR), len(query))
                 expected = part[hit] - starts[doc[lo + hit]] - place[which]
                 for d, t, e in zip(doc[lo + hit].tolist(), owner[which].tolist(), (expected // BETWEEN).tolist()):
                     pairs[d, t, e] = None
